@@ -84,3 +84,73 @@ def select_list(ints: list[str], doubles: list[str]) -> str:
 
 ORACLE["card_behaviour"] = with_canon(
     BEHAVIOUR_BODY + f"\nSELECT {select_list(BEHAVIOUR_INTS, BEHAVIOUR_DOUBLES)} FROM beh")
+
+
+DEVICE_BODY = """
+dstat AS (
+  SELECT DeviceInfo, count(DISTINCT card1) AS device_user_count, count(card1) AS device_tx_count,
+         avg(CAST(isFraud AS DOUBLE)) AS device_fraud_rate,
+         least(count(DISTINCT card1) * avg(CAST(isFraud AS DOUBLE)), 10.0) / 10 AS device_risk_score
+  FROM merged WHERE DeviceInfo IS NOT NULL GROUP BY DeviceInfo
+),
+estat AS (
+  SELECT P_emaildomain, count(DISTINCT card1) AS email_user_count,
+         avg(CAST(isFraud AS DOUBLE)) AS email_domain_fraud_rate
+  FROM merged WHERE P_emaildomain IS NOT NULL GROUP BY P_emaildomain
+),
+astat AS (
+  SELECT addr1, count(DISTINCT card1) AS addr_user_count, avg(CAST(isFraud AS DOUBLE)) AS addr_fraud_rate
+  FROM merged WHERE addr1 IS NOT NULL GROUP BY addr1
+),
+cstat AS (
+  SELECT card1, count(DISTINCT DeviceInfo) AS card_device_count, count(DISTINCT P_emaildomain) AS card_email_count
+  FROM merged WHERE card1 IS NOT NULL GROUP BY card1
+),
+dj AS (
+  SELECT m.TransactionID,
+         coalesce(d.device_user_count, 0) AS device_user_count, coalesce(d.device_tx_count, 0) AS device_tx_count,
+         coalesce(d.device_fraud_rate, 0) AS device_fraud_rate, coalesce(d.device_risk_score, 0) AS device_risk_score,
+         coalesce(e.email_user_count, 1) AS email_user_count,
+         coalesce(e.email_domain_fraud_rate, 0) AS email_domain_fraud_rate,
+         coalesce(a.addr_user_count, 1) AS addr_user_count, coalesce(a.addr_fraud_rate, 0) AS addr_fraud_rate,
+         coalesce(c.card_device_count, 1) AS card_device_count, coalesce(c.card_email_count, 1) AS card_email_count,
+         CASE coalesce(lower(m.DeviceType), 'unknown') WHEN 'mobile' THEN 0.4 WHEN 'desktop' THEN 0.2
+              WHEN 'unknown' THEN 0.6 ELSE 0.5 END AS device_type_risk
+  FROM merged m
+  LEFT JOIN dstat d USING (DeviceInfo) LEFT JOIN estat e USING (P_emaildomain)
+  LEFT JOIN astat a USING (addr1) LEFT JOIN cstat c USING (card1)
+),
+dev AS (
+  SELECT dj.*, 0.5 * ln(1 + card_device_count) + 0.5 * ln(1 + card_email_count) AS identity_mismatch_score,
+         CAST(CASE WHEN device_user_count > (SELECT quantile_cont(device_user_count, 0.95) FROM dj)
+              THEN 1 ELSE 0 END AS INTEGER) AS device_is_high_risk
+  FROM dj
+)"""
+
+ORACLE["device_stats"] = with_canon(DEVICE_BODY + "\nSELECT DeviceInfo, device_user_count, device_tx_count, "
+                                    + r6("device_fraud_rate", "device_fraud_rate") + ", "
+                                    + r6("device_risk_score", "device_risk_score") + " FROM dstat")
+ORACLE["email_stats"] = with_canon(DEVICE_BODY + "\nSELECT P_emaildomain, email_user_count, "
+                                   + r6("email_domain_fraud_rate", "email_domain_fraud_rate") + " FROM estat")
+ORACLE["addr_stats"] = with_canon(DEVICE_BODY + "\nSELECT " + r6("addr1", "addr1") + ", addr_user_count, "
+                                  + r6("addr_fraud_rate", "addr_fraud_rate") + " FROM astat")
+ORACLE["card_identity_counts"] = with_canon(DEVICE_BODY + "\nSELECT * FROM cstat")
+DEVICE_INTS = ["TransactionID", "device_user_count", "device_tx_count", "email_user_count", "addr_user_count",
+               "card_device_count", "card_email_count", "device_is_high_risk"]
+DEVICE_DOUBLES = ["device_fraud_rate", "device_risk_score", "email_domain_fraud_rate", "addr_fraud_rate",
+                  "device_type_risk", "identity_mismatch_score"]
+ORACLE["device_features"] = with_canon(DEVICE_BODY + f"\nSELECT {select_list(DEVICE_INTS, DEVICE_DOUBLES)} FROM dev")
+
+ORACLE["entity_risk"] = with_canon(BEHAVIOUR_BODY + "," + DEVICE_BODY + """,
+cr AS (
+  SELECT b.TransactionID, b.card_amount_ratio,
+         d.device_fraud_rate * d.email_domain_fraud_rate AS device_x_email_risk,
+         d.addr_fraud_rate * d.device_fraud_rate AS addr_x_device_risk,
+         coalesce(d.device_fraud_rate, 0) + coalesce(d.email_domain_fraud_rate, 0) + coalesce(d.addr_fraud_rate, 0)
+           AS total_entity_risk,
+         greatest(d.device_fraud_rate, d.email_domain_fraud_rate, d.addr_fraud_rate) AS max_entity_risk
+  FROM beh b JOIN dev d USING (TransactionID)
+)
+SELECT TransactionID, """ + ", ".join(r6(c, c) for c in (
+    "card_amount_ratio", "device_x_email_risk", "addr_x_device_risk", "total_entity_risk", "max_entity_risk")) + ", "
+    + r6("card_amount_ratio * max_entity_risk", "high_amt_x_entity_risk") + " FROM cr")

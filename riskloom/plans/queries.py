@@ -38,3 +38,58 @@ def card_behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, stats = behavioral.fit_transform(df)
     shares = [c for c in stats.stat_cols if c.startswith(behavioral.SHARE_PREFIX)]
     return round_doubles(out.select(*BEHAVIOUR_COLS, *shares))
+
+
+# ---- device / email / address / card identity (A5-A8, J6-J10, F8-F11) ----
+from riskloom.operators import cross, device  # noqa: E402
+from riskloom.sources.tables import merged_transactions  # noqa: E402
+
+
+@register("device_stats")
+def device_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 per-device table."""
+    return round_doubles(device.fit_entity_stats(merged_transactions(spark, sf_dir)).device)
+
+
+@register("email_stats")
+def email_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 per-email-domain table."""
+    return round_doubles(device.fit_entity_stats(merged_transactions(spark, sf_dir)).email)
+
+
+@register("addr_stats")
+def addr_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7 per-address table."""
+    return round_doubles(device.fit_entity_stats(merged_transactions(spark, sf_dir)).addr)
+
+
+@register("card_identity_counts")
+def card_identity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 distinct devices and e-mail domains per card (J10 as one aggregate)."""
+    return device.fit_entity_stats(merged_transactions(spark, sf_dir)).card
+
+
+DEVICE_COLS = ["TransactionID", "device_user_count", "device_tx_count", "device_fraud_rate", "device_risk_score",
+               "email_user_count", "email_domain_fraud_rate", "addr_user_count", "addr_fraud_rate",
+               "card_device_count", "card_email_count", "device_type_risk", "identity_mismatch_score",
+               "device_is_high_risk"]
+
+
+@register("device_features")
+def device_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-transaction J6-J9 joins with fills, F9-F11."""
+    out, _ = device.fit_transform(merged_transactions(spark, sf_dir))
+    return round_doubles(out.select(*DEVICE_COLS))
+
+
+CROSS_COLS = ["TransactionID", "card_amount_ratio", "device_x_email_risk", "addr_x_device_risk",
+              "total_entity_risk", "max_entity_risk", "high_amt_x_entity_risk"]
+
+
+@register("entity_risk")
+def entity_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F12/F13 on top of the behaviour and device stages."""
+    df = timed_transactions(spark, sf_dir)
+    out = behavioral.add_amount_features(df)
+    out, _ = device.fit_transform(out)
+    return round_doubles(cross.add_cross_entity_features(out).select(*CROSS_COLS))
