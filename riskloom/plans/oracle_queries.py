@@ -154,3 +154,43 @@ cr AS (
 SELECT TransactionID, """ + ", ".join(r6(c, c) for c in (
     "card_amount_ratio", "device_x_email_risk", "addr_x_device_risk", "total_entity_risk", "max_entity_risk")) + ", "
     + r6("card_amount_ratio * max_entity_risk", "high_amt_x_entity_risk") + " FROM cr")
+
+
+PREP_BODY = """
+enc AS (
+  SELECT col AS "column", value, CAST(row_number() OVER (PARTITION BY col ORDER BY value) - 1 AS INTEGER) AS code
+  FROM (
+    SELECT DISTINCT 'ProductCD' AS col, coalesce(ProductCD, 'Unknown') AS value FROM fitset
+    UNION SELECT DISTINCT 'P_emaildomain', coalesce(P_emaildomain, 'Unknown') FROM fitset
+    UNION SELECT DISTINCT 'DeviceType', coalesce(DeviceType, 'Unknown') FROM fitset
+    UNION SELECT DISTINCT 'DeviceInfo', coalesce(DeviceInfo, 'Unknown') FROM fitset
+  )
+),
+med AS (SELECT median(addr1) AS m_addr1, median(TransactionAmt) AS m_amt, median(card1) AS m_card FROM fitset),
+prep AS (
+  SELECT t.TransactionID, t.isFraud,
+    coalesce((SELECT code FROM enc WHERE "column" = 'ProductCD' AND value = coalesce(t.ProductCD, 'Unknown')), -1) AS ProductCD,
+    coalesce((SELECT code FROM enc WHERE "column" = 'P_emaildomain' AND value = coalesce(t.P_emaildomain, 'Unknown')), -1) AS P_emaildomain,
+    coalesce((SELECT code FROM enc WHERE "column" = 'DeviceType' AND value = coalesce(t.DeviceType, 'Unknown')), -1) AS DeviceType,
+    coalesce((SELECT code FROM enc WHERE "column" = 'DeviceInfo' AND value = coalesce(t.DeviceInfo, 'Unknown')), -1) AS DeviceInfo,
+    coalesce(t.addr1, med.m_addr1) AS addr1, coalesce(t.TransactionAmt, med.m_amt) AS TransactionAmt,
+    coalesce(t.card1, CAST(trunc(med.m_card) AS BIGINT)) AS card1
+  FROM timed t, med
+)"""
+PREP_SELECT = ("SELECT TransactionID, isFraud, CAST(ProductCD AS INTEGER) AS ProductCD, "
+               "CAST(P_emaildomain AS INTEGER) AS P_emaildomain, CAST(DeviceType AS INTEGER) AS DeviceType, "
+               "CAST(DeviceInfo AS INTEGER) AS DeviceInfo, " + r6("addr1", "addr1") + ", "
+               + r6("TransactionAmt", "TransactionAmt") + ", card1 FROM prep")
+ORACLE["label_encoders"] = with_canon("fitset AS (SELECT * FROM timed)," + PREP_BODY + "\nSELECT * FROM enc")
+ORACLE["preprocessed"] = with_canon("fitset AS (SELECT * FROM timed)," + PREP_BODY + "\n" + PREP_SELECT)
+ORACLE["encode_unseen"] = with_canon("fitset AS (SELECT * FROM timed WHERE TransactionDT < 20 * 86400),"
+                                     + PREP_BODY + "\n" + PREP_SELECT)
+_NUMS = ["TransactionDT", "TransactionAmt", "card1", "addr1", "tx_hour", "tx_day_of_week", "tx_day", "tx_week",
+         "tx_hour_sin", "tx_hour_cos", "tx_dow_sin", "tx_dow_cos", "tx_amount_log"]
+ORACLE["numeric_medians"] = with_canon("x AS (SELECT 1)\n" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {r6(f'median({c})')} AS median FROM timed" for c in _NUMS))
+ORACLE["time_features"] = with_canon("x AS (SELECT 1)\nSELECT TransactionID, " + ", ".join(
+    r6(c, c) for c in ("tx_hour", "tx_day_of_week", "tx_hour_sin", "tx_hour_cos", "tx_dow_sin", "tx_dow_cos",
+                       "tx_amount_log")) + """, tx_day, tx_week,
+  CAST(CASE WHEN tx_hour BETWEEN 22 AND 24 OR tx_hour BETWEEN 0 AND 6 THEN 1 ELSE 0 END AS INTEGER) AS tx_is_night,
+  CAST(CASE WHEN tx_day_of_week >= 5 THEN 1 ELSE 0 END AS INTEGER) AS tx_is_weekend FROM timed""")

@@ -37,7 +37,11 @@ timed AS (
          (TransactionDT / 86400.0) % 7 AS tx_day_of_week,
          CAST(trunc(TransactionDT / 86400.0) AS BIGINT) AS tx_day,
          CAST(trunc(TransactionDT / 604800.0) AS BIGINT) AS tx_week,
-         ln(1 + TransactionAmt) AS tx_amount_log
+         ln(1 + TransactionAmt) AS tx_amount_log,
+         sin(2 * pi() * ((TransactionDT / 3600.0) % 24) / 24) AS tx_hour_sin,
+         cos(2 * pi() * ((TransactionDT / 3600.0) % 24) / 24) AS tx_hour_cos,
+         sin(2 * pi() * ((TransactionDT / 86400.0) % 7) / 7) AS tx_dow_sin,
+         cos(2 * pi() * ((TransactionDT / 86400.0) % 7) / 7) AS tx_dow_cos
   FROM merged
 )"""
 

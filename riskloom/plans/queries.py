@@ -93,3 +93,50 @@ def entity_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = behavioral.add_amount_features(df)
     out, _ = device.fit_transform(out)
     return round_doubles(cross.add_cross_entity_features(out).select(*CROSS_COLS))
+
+
+# ---- preprocessing (P1-P10, S7) ----
+from riskloom.operators import preprocess  # noqa: E402
+
+
+@register("time_features")
+def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1-F4 plus F7 flags."""
+    from riskloom.functions.time import night_flag, weekend_flag
+    df = timed_transactions(spark, sf_dir)
+    return round_doubles(df.select(
+        "TransactionID", "tx_hour", "tx_day_of_week", "tx_day", "tx_week", "tx_hour_sin", "tx_hour_cos",
+        "tx_dow_sin", "tx_dow_cos", "tx_amount_log",
+        night_flag(F.col("tx_hour")).alias("tx_is_night"), weekend_flag(F.col("tx_day_of_week")).alias("tx_is_weekend")))
+
+
+@register("label_encoders")
+def label_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1 + P8 + P9: (column, value, code) dimension table."""
+    return preprocess.fit(timed_transactions(spark, sf_dir)).encoders
+
+
+@register("numeric_medians")
+def numeric_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P2 + P7: (column, median) dimension table."""
+    return round_doubles(preprocess.fit(timed_transactions(spark, sf_dir)).medians)
+
+
+PREP_COLS = ["TransactionID", "isFraud", "ProductCD", "P_emaildomain", "DeviceType", "DeviceInfo",
+             "addr1", "TransactionAmt", "card1"]
+
+
+@register("preprocessed")
+def preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imputed and encoded table (P7, P8, P10) fitted on the whole frame."""
+    df = timed_transactions(spark, sf_dir)
+    return round_doubles(preprocess.transform(df, preprocess.fit(df)).select(*PREP_COLS))
+
+
+@register("encode_unseen")
+def encode_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoders fitted on the first 20 days, applied to every row: values
+    first seen later map to -1 (P10); medians likewise come from the fit part."""
+    df = timed_transactions(spark, sf_dir)
+    prep = preprocess.fit(df.filter(F.col("TransactionDT") < 20 * 86400))
+    return round_doubles(preprocess.transform(df, prep).select(*PREP_COLS))
