@@ -194,3 +194,115 @@ ORACLE["time_features"] = with_canon("x AS (SELECT 1)\nSELECT TransactionID, " +
                        "tx_amount_log")) + """, tx_day, tx_week,
   CAST(CASE WHEN tx_hour BETWEEN 22 AND 24 OR tx_hour BETWEEN 0 AND 6 THEN 1 ELSE 0 END AS INTEGER) AS tx_is_night,
   CAST(CASE WHEN tx_day_of_week >= 5 THEN 1 ELSE 0 END AS INTEGER) AS tx_is_weekend FROM timed""")
+
+
+def _q(body: str) -> str:
+    return with_canon("x AS (SELECT 1)\n" + body)
+
+
+ORACLE["class_balance"] = _q(
+    "SELECT count(*) AS n_rows, CAST(sum(isFraud) AS BIGINT) AS n_fraud, "
+    "CAST(count(*) FILTER (WHERE isFraud = 0) AS BIGINT) AS n_legit, "
+    + r6("avg(isFraud)", "fraud_rate") + ", "
+    + r6("CASE WHEN sum(isFraud) = 0 THEN NULL ELSE count(*) FILTER (WHERE isFraud = 0) / sum(isFraud) END",
+         "scale_pos_weight") + " FROM merged")
+ORACLE["fraud_by_hour"] = _q(
+    "SELECT CAST(floor((TransactionDT / 3600.0) % 24) AS INTEGER) AS hour, " + r6("avg(isFraud)", "fraud_rate")
+    + ", count(*) AS n FROM merged GROUP BY 1")
+ORACLE["fraud_by_day_of_week"] = _q(
+    "SELECT CAST(floor(TransactionDT / 86400) % 7 AS INTEGER) AS day_of_week, " + r6("avg(isFraud)", "fraud_rate")
+    + ", count(*) AS n FROM merged GROUP BY 1")
+ORACLE["rolling_daily_fraud_rate"] = _q(
+    "SELECT tx_day, " + r6("fraud_rate", "fraud_rate") + ", " + r6(
+        "CASE WHEN count(*) OVER w >= 7 THEN avg(fraud_rate) OVER w END", "rolling_fraud_rate") + """
+FROM (SELECT CAST(floor(TransactionDT / 86400) AS BIGINT) AS tx_day, avg(isFraud) AS fraud_rate
+      FROM merged GROUP BY 1)
+WINDOW w AS (ORDER BY tx_day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)""")
+ORACLE["fraud_by_category"] = _q(
+    "SELECT \"column\", value, " + r6("avg(isFraud)", "fraud_rate") + """, count(*) AS n FROM (
+  SELECT 'ProductCD' AS "column", ProductCD AS value, isFraud FROM merged
+  UNION ALL SELECT 'DeviceType', DeviceType, isFraud FROM merged) WHERE value IS NOT NULL GROUP BY 1, 2""")
+DEVICE_TABLE = """devt AS (SELECT DeviceInfo, count(DISTINCT card1) AS n_cards, count(TransactionID) AS n_transactions,
+  avg(isFraud) AS fraud_rate FROM merged WHERE DeviceInfo IS NOT NULL GROUP BY DeviceInfo)"""
+ORACLE["device_table"] = with_canon(DEVICE_TABLE + "\nSELECT DeviceInfo, n_cards, n_transactions, "
+                                    + r6("fraud_rate", "fraud_rate") + " FROM devt")
+ORACLE["device_sharing_summary"] = with_canon(DEVICE_TABLE + """
+SELECT (SELECT count(*) FROM devt) AS n_devices,
+       (SELECT count(*) FROM devt WHERE n_cards > 1) AS n_devices_multi_card,
+       (SELECT count(*) FROM devt WHERE n_cards > 5) AS n_devices_over_5_cards,
+       """ + r6("(SELECT avg(m.isFraud) FROM merged m JOIN devt d USING (DeviceInfo) WHERE d.n_cards > 5)",
+                "fraud_rate_high_device") + ", "
+    + r6("(SELECT avg(isFraud) FROM merged)", "fraud_rate_overall"))
+ORACLE["device_card_bucket_rate"] = with_canon(DEVICE_TABLE + """
+SELECT card_bucket, """ + r6("avg(fraud_rate)", "mean_device_fraud_rate") + """, count(*) AS n_devices FROM (
+  SELECT fraud_rate, CASE WHEN n_cards <= 0 THEN NULL WHEN n_cards <= 1 THEN '1' WHEN n_cards <= 2 THEN '2'
+    WHEN n_cards <= 5 THEN '3-5' WHEN n_cards <= 10 THEN '6-10' WHEN n_cards <= 50 THEN '11-50'
+    WHEN n_cards <= 1000 THEN '50+' END AS card_bucket FROM devt) WHERE card_bucket IS NOT NULL GROUP BY 1""")
+ORACLE["describe_by_class"] = _q(
+    "SELECT isFraud, count(TransactionAmt) AS count, " + ", ".join([
+        r6("avg(TransactionAmt)", "mean"), r6("stddev_samp(TransactionAmt)", "std"),
+        r6("min(TransactionAmt)", "min"), r6("quantile_cont(TransactionAmt, 0.25)", "p25"),
+        r6("quantile_cont(TransactionAmt, 0.5)", "p50"), r6("quantile_cont(TransactionAmt, 0.75)", "p75"),
+        r6("max(TransactionAmt)", "max")]) + " FROM merged GROUP BY isFraud")
+ORACLE["amount_percentiles"] = _q(" UNION ALL ".join(
+    f"SELECT isFraud, {p} AS percentile, {r6(f'quantile_cont(TransactionAmt, {p / 100})')} AS value "
+    f"FROM merged GROUP BY isFraud" for p in (25, 50, 75, 90, 95, 99)))
+_MCOLS = ["TransactionID", "TransactionDT", "TransactionAmt", "ProductCD", "card1", "addr1", "P_emaildomain",
+          "isFraud", "DeviceType", "DeviceInfo"]
+_MISSING = "mr AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS missing_rate FROM merged"
+    for c in _MCOLS) + ")"
+ORACLE["missing_rates"] = with_canon(_MISSING + "\nSELECT \"column\", " + r6("missing_rate", "missing_rate")
+                                     + " FROM mr")
+ORACLE["missing_summary"] = with_canon(
+    _MISSING + "\nSELECT count(*) FILTER (WHERE missing_rate > 0.5) AS n_over_half, "
+    "count(*) FILTER (WHERE missing_rate > 0) AS n_any, count(*) AS n_columns FROM mr")
+ORACLE["top_missing"] = with_canon(_MISSING + "\nSELECT \"column\", " + r6("missing_rate", "missing_rate")
+                                   + " FROM mr ORDER BY missing_rate DESC, \"column\" LIMIT 5")
+_CM = ["TransactionAmt", "isFraud", "card1", "addr1"]
+ORACLE["correlation_matrix"] = _q(" UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r6(f'corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))')} AS corr"
+    f" FROM merged" for i, a in enumerate(_CM) for b in _CM[:i]))
+_LC = ["TransactionDT", "TransactionAmt", "card1", "addr1", "tx_hour", "tx_day_of_week", "tx_day", "tx_week",
+       "tx_hour_sin", "tx_hour_cos", "tx_dow_sin", "tx_dow_cos", "tx_amount_log", "device_user_count",
+       "device_tx_count", "device_fraud_rate", "device_risk_score", "email_user_count", "email_domain_fraud_rate",
+       "addr_user_count", "addr_fraud_rate", "card_device_count", "card_email_count", "device_type_risk",
+       "identity_mismatch_score", "device_is_high_risk"]
+_DEVFULL = DEVICE_BODY.replace("SELECT m.TransactionID,", "SELECT m.*,").replace(
+    "FROM merged m\n  LEFT JOIN dstat", "FROM timed m\n  LEFT JOIN dstat")
+ORACLE["label_correlations"] = with_canon(_DEVFULL.strip() + ",\nlc AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(isFraud AS DOUBLE)) AS correlation FROM dev"
+    for c in _LC) + ")\nSELECT feature, " + r6("correlation", "correlation") + """ FROM lc
+WHERE correlation IS NOT NULL AND NOT isnan(correlation) ORDER BY abs(correlation) DESC, feature LIMIT 30""")
+
+
+def _hist(src: str, value: str, bins: int, by: str = "isFraud") -> str:
+    return f"""hx AS (SELECT {by} AS grp, CAST({value} AS DOUBLE) AS x FROM {src} WHERE {value} IS NOT NULL),
+rg0 AS (SELECT grp, min(x) AS lo, max(x) AS hi, count(*) AS n FROM hx GROUP BY grp),
+rg AS (SELECT grp, CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi,
+       n FROM rg0),
+rw AS (SELECT grp, lo, hi, n, (hi - lo) / {bins} AS w FROM rg),
+hb AS (SELECT hx.grp, CAST(least(floor((x - lo) / w), {bins - 1}) AS INTEGER) AS bin, lo, w, n
+       FROM hx JOIN rw USING (grp))
+SELECT grp AS {by}, bin, {r6('any_value(lo) + bin * any_value(w)', 'bin_start')}, count(*) AS count,
+       {r6('count(*) / (any_value(n) * any_value(w))', 'density')}
+FROM hb GROUP BY grp, bin"""
+
+
+ORACLE["amount_log_histogram"] = with_canon(_hist("merged", "ln(1 + TransactionAmt)", 50))
+ORACLE["clipped_amount_histogram"] = with_canon(
+    "qq AS (SELECT quantile_cont(TransactionAmt, 0.01) AS q1, quantile_cont(TransactionAmt, 0.99) AS q99 FROM merged),"
+    "\nclipped AS (SELECT isFraud, least(greatest(TransactionAmt, q1), q99) AS amt FROM merged, qq),\n"
+    + _hist("clipped", "amt", 40))
+ORACLE["cards_per_device_histogram"] = with_canon(
+    DEVICE_TABLE + ",\ndg AS (SELECT 0 AS grp0, least(n_cards, 20) AS nc FROM devt),\n"
+    + _hist("dg", "nc", 20, by="grp0").replace("SELECT grp AS grp0", "SELECT grp AS \"group\""))
+ORACLE["risk_bucket_fraud_rate"] = with_canon(DEVICE_BODY.strip() + """,
+mm AS (SELECT min(device_risk_score) AS mn, max(device_risk_score) AS mx FROM dj),
+rb AS (SELECT d.device_risk_score AS s, m.isFraud, mm.mn, (mm.mx - mm.mn) / 10 AS step
+       FROM dj d JOIN merged m USING (TransactionID), mm)
+SELECT CAST(""" + " + ".join(["0"] + [f"CASE WHEN s > mn + {k} * step THEN 1 ELSE 0 END" for k in range(1, 10)])
+    + " AS INTEGER) AS bucket, " + r6("avg(isFraud)", "fraud_rate") + ", count(*) AS n FROM rb GROUP BY 1")
+ORACLE["preview"] = _q("SELECT TransactionID, TransactionDT, " + r6("TransactionAmt", "TransactionAmt")
+                       + ", ProductCD, card1, " + r6("addr1", "addr1")
+                       + ", P_emaildomain, isFraud, DeviceType, DeviceInfo FROM merged ORDER BY TransactionID LIMIT 3")

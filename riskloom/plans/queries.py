@@ -140,3 +140,116 @@ def encode_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = timed_transactions(spark, sf_dir)
     prep = preprocess.fit(df.filter(F.col("TransactionDT") < 20 * 86400))
     return round_doubles(preprocess.transform(df, prep).select(*PREP_COLS))
+
+
+# ---- profiling (A9-A22, W3, F23, F27, F30, J14, L9, L11) ----
+from riskloom.operators import profiling as prof  # noqa: E402
+
+
+def _merged(spark, sf_dir):
+    return merged_transactions(spark, sf_dir)
+
+
+@register("class_balance")
+def class_balance(spark, sf_dir):
+    return round_doubles(prof.class_balance(_merged(spark, sf_dir)))
+
+
+@register("fraud_by_hour")
+def fraud_by_hour(spark, sf_dir):
+    return round_doubles(prof.fraud_by_hour(_merged(spark, sf_dir)))
+
+
+@register("fraud_by_day_of_week")
+def fraud_by_day_of_week(spark, sf_dir):
+    return round_doubles(prof.fraud_by_day_of_week(_merged(spark, sf_dir)))
+
+
+@register("rolling_daily_fraud_rate")
+def rolling_daily_fraud_rate(spark, sf_dir):
+    return round_doubles(prof.rolling_daily_fraud_rate(_merged(spark, sf_dir)))
+
+
+@register("fraud_by_category")
+def fraud_by_category(spark, sf_dir):
+    return round_doubles(prof.fraud_by_category(_merged(spark, sf_dir)))
+
+
+@register("device_table")
+def device_table(spark, sf_dir):
+    return round_doubles(prof.device_table(_merged(spark, sf_dir)))
+
+
+@register("device_sharing_summary")
+def device_sharing_summary(spark, sf_dir):
+    return round_doubles(prof.device_sharing_summary(_merged(spark, sf_dir)))
+
+
+@register("device_card_bucket_rate")
+def device_card_bucket_rate(spark, sf_dir):
+    return round_doubles(prof.device_card_bucket_rate(_merged(spark, sf_dir)))
+
+
+@register("describe_by_class")
+def describe_by_class(spark, sf_dir):
+    return round_doubles(prof.describe_by_class(_merged(spark, sf_dir)))
+
+
+@register("amount_percentiles")
+def amount_percentiles(spark, sf_dir):
+    return round_doubles(prof.amount_percentiles(_merged(spark, sf_dir)))
+
+
+@register("missing_rates")
+def missing_rates(spark, sf_dir):
+    return round_doubles(prof.missing_rates(_merged(spark, sf_dir)))
+
+
+@register("missing_summary")
+def missing_summary(spark, sf_dir):
+    return prof.missing_summary(_merged(spark, sf_dir))
+
+
+@register("top_missing")
+def top_missing(spark, sf_dir):
+    return round_doubles(prof.top_missing(_merged(spark, sf_dir), 5))
+
+
+@register("correlation_matrix")
+def correlation_matrix(spark, sf_dir):
+    return round_doubles(prof.correlation_matrix(_merged(spark, sf_dir),
+                                                 ["TransactionAmt", "isFraud", "card1", "addr1"]))
+
+
+@register("label_correlations")
+def label_correlations(spark, sf_dir):
+    frame, _ = device.fit_transform(timed_transactions(spark, sf_dir))
+    return round_doubles(prof.label_correlations(frame, 30))
+
+
+@register("amount_log_histogram")
+def amount_log_histogram(spark, sf_dir):
+    return round_doubles(prof.class_histogram(_merged(spark, sf_dir), F.log1p("TransactionAmt"), 50))
+
+
+@register("clipped_amount_histogram")
+def clipped_amount_histogram(spark, sf_dir):
+    df = prof.clip_to_quantiles(_merged(spark, sf_dir), "TransactionAmt")
+    return round_doubles(prof.class_histogram(df, F.col("TransactionAmt"), 40))
+
+
+@register("cards_per_device_histogram")
+def cards_per_device_histogram(spark, sf_dir):
+    dt = prof.device_table(_merged(spark, sf_dir)).withColumn("group", F.lit(0))
+    return round_doubles(prof.class_histogram(dt, F.least(F.col("n_cards"), F.lit(20)), 20, by="group"))
+
+
+@register("risk_bucket_fraud_rate")
+def risk_bucket_fraud_rate(spark, sf_dir):
+    frame, _ = device.fit_transform(_merged(spark, sf_dir))
+    return round_doubles(prof.equal_width_buckets(frame, "device_risk_score", 10))
+
+
+@register("preview")
+def preview(spark, sf_dir):
+    return round_doubles(prof.preview(_merged(spark, sf_dir), 3))
