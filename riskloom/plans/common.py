@@ -22,9 +22,9 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(round6(F.col(f.name)).alias(f.name))
+            cols.append(round6(F.col(f"`{f.name}`")).alias(f.name))
         else:
-            cols.append(F.col(f.name))
+            cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
 
 

@@ -306,3 +306,75 @@ SELECT CAST(""" + " + ".join(["0"] + [f"CASE WHEN s > mn + {k} * step THEN 1 ELS
 ORACLE["preview"] = _q("SELECT TransactionID, TransactionDT, " + r6("TransactionAmt", "TransactionAmt")
                        + ", ProductCD, card1, " + r6("addr1", "addr1")
                        + ", P_emaildomain, isFraud, DeviceType, DeviceInfo FROM merged ORDER BY TransactionID LIMIT 3")
+
+
+SCORES = """sc AS (SELECT TransactionID, CASE WHEN TransactionAmt % 100 < 0 THEN (TransactionAmt % 100 + 100) % 100
+                                 ELSE TransactionAmt % 100 END / 100 AS score, isFraud AS label FROM tx),
+g AS (SELECT score, CAST(sum(label) AS DOUBLE) AS pos, CAST(sum(1 - label) AS DOUBLE) AS neg FROM sc GROUP BY score),
+cv AS (SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp
+       FROM g),
+tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM g),
+cc AS (SELECT cv.*, P, N, tp / (tp + fp) AS prec, tp / P AS rec FROM cv, tot),
+cf AS (SELECT *, 2 * prec * rec / (prec + rec + 1e-9) AS f1c FROM cc)"""
+
+
+def _f1sql(tp: str, fp: str, fn: str) -> str:
+    return f"coalesce(CASE WHEN 2 * {tp} + {fp} + {fn} = 0 THEN NULL ELSE 2.0 * {tp} / (2 * {tp} + {fp} + {fn}) END, 0.0)"
+
+
+CONF = """conf AS (SELECT count(*) FILTER (WHERE score >= 0.5 AND label = 1) AS true_positives,
+  count(*) FILTER (WHERE score >= 0.5 AND label <> 1) AS false_positives,
+  count(*) FILTER (WHERE score < 0.5 AND label = 1) AS false_negatives,
+  count(*) FILTER (WHERE score < 0.5 AND label <> 1) AS true_negatives FROM sc)"""
+
+ORACLE["score_curve"] = with_canon(SCORES + "\nSELECT " + ", ".join(r6(c, c) for c in ("score", "pos", "neg", "tp", "fp"))
+                                   + " FROM cv")
+ORACLE["ranking_metrics"] = with_canon(SCORES + ",\n" + CONF + """,
+best AS (SELECT score AS optimal_threshold FROM cf ORDER BY f1c DESC, score ASC LIMIT 1),
+opt AS (SELECT count(*) FILTER (WHERE score >= optimal_threshold AND label = 1) AS a,
+               count(*) FILTER (WHERE score >= optimal_threshold AND label <> 1) AS b,
+               count(*) FILTER (WHERE score < optimal_threshold AND label = 1) AS c FROM sc, best)
+SELECT """ + ", ".join([
+    r6("(SELECT sum(pos * ((N - fp) + 0.5 * neg)) / (any_value(P) * any_value(N)) FROM cf)", "roc_auc"),
+    r6("(SELECT sum(pos * prec) / any_value(P) FROM cf)", "pr_auc"),
+    r6("(SELECT optimal_threshold FROM best)", "optimal_threshold"),
+    r6("coalesce((SELECT rec FROM cf WHERE score >= 0.5 ORDER BY score LIMIT 1), 0.0)", "fraud_recall_at_threshold"),
+    r6("(SELECT " + _f1sql("true_positives", "false_positives", "false_negatives") + " FROM conf)", "f1_at_threshold"),
+    r6("(SELECT " + _f1sql("a", "b", "c") + " FROM opt)", "f1_optimal")]))
+ORACLE["confusion_at_threshold"] = with_canon(SCORES + ",\n" + CONF + """
+SELECT true_positives, false_positives, false_negatives, true_negatives, """ + ", ".join([
+    r6("true_positives / (true_positives + false_positives + 1e-9)", "fraud_precision"),
+    r6("true_positives / (true_positives + false_negatives + 1e-9)", "fraud_recall"),
+    r6(_f1sql("true_positives", "false_positives", "false_negatives"), "f1"),
+    r6("(true_positives + true_negatives) / (true_positives + true_negatives + false_positives + false_negatives)",
+       "accuracy")]) + " FROM conf")
+
+
+def _cls(name, t, fp, fn, sup):
+    p = f"coalesce(CASE WHEN {t} + {fp} = 0 THEN NULL ELSE {t} / ({t} + {fp}) END, 0.0)"
+    r = f"coalesce(CASE WHEN {t} + {fn} = 0 THEN NULL ELSE {t} / ({t} + {fn}) END, 0.0)"
+    return f"SELECT '{name}' AS class, {p} AS precision, {r} AS recall, {_f1sql(t, fp, fn)} AS f1, {sup} AS support FROM cd"
+
+
+ORACLE["classification_report"] = with_canon(SCORES + ",\n" + CONF + """,
+cd AS (SELECT CAST(true_positives AS DOUBLE) AS tp, CAST(false_positives AS DOUBLE) AS fp,
+       CAST(false_negatives AS DOUBLE) AS fn, CAST(true_negatives AS DOUBLE) AS tn FROM conf),
+pc AS (""" + _cls("Legitimate", "tn", "fn", "fp", "tn + fp") + " UNION ALL " + _cls("Fraud", "tp", "fp", "fn", "tp + fn")
+    + """),
+allc AS (
+  SELECT * FROM pc
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support) FROM pc
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+                   sum(f1 * support) / sum(support), sum(support) FROM pc)
+SELECT class, """ + ", ".join(r6(c, c) for c in ("precision", "recall", "f1", "support")) + " FROM allc")
+ORACLE["threshold_f1"] = with_canon(SCORES + "\nSELECT " + ", ".join(
+    r6(_f1sql(f"count(*) FILTER (WHERE score >= {t} AND label = 1)",
+              f"count(*) FILTER (WHERE score >= {t} AND label <> 1)",
+              f"count(*) FILTER (WHERE score < {t} AND label = 1)"), "f1_at_" + str(t).replace(".", "_"))
+    for t in (0.5, 0.6, 0.7, 0.8, 0.9)) + " FROM sc")
+ORACLE["time_split"] = _q("""SELECT TransactionID,
+  CAST(CASE WHEN row_number() OVER (ORDER BY TransactionDT, TransactionID) >
+            count(*) OVER () - CAST(floor(count(*) OVER () * 0.2) AS BIGINT) THEN 1 ELSE 0 END AS INTEGER)
+  AS is_validation FROM tx""")
+ORACLE["stratified_fold_sizes"] = _q("""SELECT isFraud, CAST((rn - 1) % 5 AS INTEGER) AS fold, count(*) AS n
+FROM (SELECT isFraud, row_number() OVER (PARTITION BY isFraud ORDER BY TransactionID) AS rn FROM tx) GROUP BY 1, 2""")

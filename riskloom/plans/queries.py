@@ -253,3 +253,53 @@ def risk_bucket_fraud_rate(spark, sf_dir):
 @register("preview")
 def preview(spark, sf_dir):
     return round_doubles(prof.preview(_merged(spark, sf_dir), 3))
+
+
+# ---- split and metrics (L2-L4, X1, W5, M6-M11) ----
+from riskloom.operators import metrics, split  # noqa: E402
+
+
+def fixed_scores(spark, sf_dir):
+    """Fixed component score per transaction: (amount mod 100) / 100, label = isFraud."""
+    from riskloom.sources.tables import events_transactions
+    tx = events_transactions(spark, sf_dir)
+    return tx.select("TransactionID", (F.pmod(F.col("TransactionAmt"), F.lit(100.0)) / 100).alias("score"),
+                     F.col("isFraud").alias("label"))
+
+
+@register("score_curve")
+def score_curve(spark, sf_dir):
+    return round_doubles(metrics.score_curve(fixed_scores(spark, sf_dir)))
+
+
+@register("ranking_metrics")
+def ranking_metrics(spark, sf_dir):
+    return round_doubles(metrics.ranking_metrics(fixed_scores(spark, sf_dir), threshold=0.5))
+
+
+@register("confusion_at_threshold")
+def confusion_at_threshold(spark, sf_dir):
+    return round_doubles(metrics.confusion_metrics(metrics.confusion(fixed_scores(spark, sf_dir), 0.5)))
+
+
+@register("classification_report")
+def classification_report(spark, sf_dir):
+    return round_doubles(metrics.classification_report(metrics.confusion(fixed_scores(spark, sf_dir), 0.5)))
+
+
+@register("threshold_f1")
+def threshold_f1(spark, sf_dir):
+    return round_doubles(metrics.threshold_f1(fixed_scores(spark, sf_dir)))
+
+
+@register("time_split")
+def time_split(spark, sf_dir):
+    from riskloom.sources.tables import events_transactions
+    return split.time_split_flags(events_transactions(spark, sf_dir)).select("TransactionID", "is_validation")
+
+
+@register("stratified_fold_sizes")
+def stratified_fold_sizes(spark, sf_dir):
+    from riskloom.sources.tables import events_transactions
+    folds = split.stratified_folds(events_transactions(spark, sf_dir), k=5)
+    return folds.groupBy("isFraud", "fold").agg(F.count(F.lit(1)).alias("n"))
