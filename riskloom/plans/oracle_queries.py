@@ -378,3 +378,73 @@ ORACLE["time_split"] = _q("""SELECT TransactionID,
   AS is_validation FROM tx""")
 ORACLE["stratified_fold_sizes"] = _q("""SELECT isFraud, CAST((rn - 1) % 5 AS INTEGER) AS fold, count(*) AS n
 FROM (SELECT isFraud, row_number() OVER (PARTITION BY isFraud ORDER BY TransactionID) AS rn FROM tx) GROUP BY 1, 2""")
+
+
+def _graph_body(src: str) -> str:
+    return f"""gsrc AS (SELECT CAST(card1 AS VARCHAR) AS card, CAST(DeviceInfo AS VARCHAR) AS device,
+  {src}),
+verts AS (
+  SELECT DISTINCT 'card:' || card AS id, 'card' AS type, card AS value FROM gsrc WHERE card IS NOT NULL
+  UNION SELECT DISTINCT 'device:' || device, 'device', device FROM gsrc WHERE device IS NOT NULL
+  UNION SELECT DISTINCT 'email:' || email, 'email', email FROM gsrc WHERE email IS NOT NULL
+  UNION SELECT DISTINCT 'address:' || addr, 'address', addr FROM gsrc WHERE addr IS NOT NULL),
+pd AS (SELECT DISTINCT card, device FROM gsrc WHERE card IS NOT NULL AND device IS NOT NULL),
+rk AS (SELECT device, card, row_number() OVER (PARTITION BY device ORDER BY card) AS rn FROM pd),
+edges AS (
+  SELECT least('card:' || card, 'device:' || device) AS src, greatest('card:' || card, 'device:' || device) AS dst,
+         'card_device' AS edge_type, CAST(NULL AS VARCHAR) AS shared_device FROM pd
+  UNION ALL SELECT DISTINCT least('card:' || card, 'email:' || email), greatest('card:' || card, 'email:' || email),
+         'card_email', NULL FROM gsrc WHERE card IS NOT NULL AND email IS NOT NULL
+  UNION ALL SELECT DISTINCT least('card:' || card, 'address:' || addr), greatest('card:' || card, 'address:' || addr),
+         'card_address', NULL FROM gsrc WHERE card IS NOT NULL AND addr IS NOT NULL
+  UNION ALL SELECT least('card:' || a.card, 'card:' || b.card), greatest('card:' || a.card, 'card:' || b.card),
+         'co_device', max(a.device)
+    FROM rk a JOIN rk b ON a.device = b.device AND b.rn BETWEEN a.rn + 1 AND a.rn + 4 GROUP BY 1, 2),
+adj AS (SELECT src AS node, dst AS nbr FROM edges UNION ALL SELECT dst, src FROM edges),
+deg AS (
+  SELECT v.id AS node, v.type, count(a.nbr) AS graph_degree,
+         count(*) FILTER (WHERE a.nbr LIKE 'device:%') AS graph_n_device_neighbors,
+         count(*) FILTER (WHERE a.nbr LIKE 'email:%') AS graph_n_email_neighbors,
+         count(*) FILTER (WHERE a.nbr LIKE 'card:%') AS graph_n_co_device_cards,
+         count(*) FILTER (WHERE a.nbr LIKE 'address:%') AS graph_n_address_neighbors
+  FROM verts v LEFT JOIN adj a ON a.node = v.id GROUP BY v.id, v.type)"""
+
+
+GRAPH_BODY = _graph_body("P_emaildomain AS email, CAST(addr1 AS VARCHAR) AS addr FROM merged")
+GRAPH_METRICS = GRAPH_BODY + """,
+tri AS (SELECT x.node, count(*) AS t FROM adj x JOIN adj y ON x.node = y.node AND x.nbr < y.nbr
+        JOIN adj z ON z.node = x.nbr AND z.nbr = y.nbr GROUP BY x.node),
+reach(node, root) AS (SELECT id, id FROM verts UNION SELECT a.nbr, r.root FROM reach r JOIN adj a ON a.node = r.node),
+lab AS (SELECT node, min(root) AS label FROM reach GROUP BY node),
+csz AS (SELECT node, count(*) OVER (PARTITION BY label) AS graph_component_size FROM lab),
+hub AS (SELECT quantile_cont(graph_degree, 0.95) AS p95 FROM deg WHERE type = 'card'),
+nm AS (
+  SELECT d.*, CASE WHEN graph_degree < 2 THEN 0.0 ELSE 2.0 * coalesce(t.t, 0) / (graph_degree * (graph_degree - 1))
+              END AS graph_clustering, c.graph_component_size,
+         CAST(coalesce(CASE WHEN graph_degree > hub.p95 THEN 1 ELSE 0 END, 0) AS INTEGER) AS graph_is_hub
+  FROM deg d LEFT JOIN tri t USING (node) JOIN csz c USING (node), hub)"""
+_NM_COLS = ("node, type, graph_degree, graph_n_device_neighbors, graph_n_email_neighbors, graph_n_co_device_cards, "
+            "graph_n_address_neighbors, graph_component_size, graph_is_hub, "
+            + r6("graph_clustering", "graph_clustering"))
+ORACLE["graph_vertices"] = with_canon(GRAPH_BODY + "\nSELECT * FROM verts")
+ORACLE["graph_edges"] = with_canon(GRAPH_BODY + "\nSELECT * FROM edges")
+ORACLE["graph_counts"] = with_canon(GRAPH_BODY + "\nSELECT (SELECT count(*) FROM verts) AS n_nodes, "
+                                    "(SELECT count(*) FROM edges) AS n_edges")
+ORACLE["graph_node_metrics"] = with_canon(GRAPH_METRICS + f"\nSELECT {_NM_COLS} FROM nm", recursive=True)
+ORACLE["graph_transaction_features"] = with_canon(GRAPH_METRICS + """
+SELECT m.TransactionID, coalesce(graph_degree, 0) AS graph_degree, """ + r6("coalesce(graph_clustering, 0.0)",
+                                                                           "graph_clustering") + """,
+  coalesce(graph_component_size, 1) AS graph_component_size,
+  coalesce(graph_n_device_neighbors, 0) AS graph_n_device_neighbors,
+  coalesce(graph_n_email_neighbors, 0) AS graph_n_email_neighbors,
+  coalesce(graph_n_co_device_cards, 0) AS graph_n_co_device_cards,
+  coalesce(graph_n_address_neighbors, 0) AS graph_n_address_neighbors, coalesce(graph_is_hub, 0) AS graph_is_hub
+FROM merged m LEFT JOIN nm ON nm.node = 'card:' || CAST(m.card1 AS VARCHAR) AND nm.type = 'card'""", recursive=True)
+ORACLE["graph_score"] = with_canon(GRAPH_BODY + """
+SELECT m.TransactionID, """ + r6("""coalesce(CASE WHEN (SELECT max(graph_degree) FROM deg) > 0 THEN
+  least(d.graph_degree / (SELECT max(graph_degree) FROM deg), 1.0) END, 0.0)""", "graph_score") + """
+FROM merged m LEFT JOIN deg d ON d.node = 'card:' || CAST(m.card1 AS VARCHAR) AND d.type = 'card'""")
+SUPPLIER_BODY = """sup AS (SELECT o.o_custkey AS card1, CAST(l.l_suppkey AS VARCHAR) AS DeviceInfo
+  FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey),
+""" + _graph_body("CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS addr FROM sup")
+ORACLE["supplier_graph_degrees"] = with_canon(SUPPLIER_BODY + "\nSELECT * FROM deg")

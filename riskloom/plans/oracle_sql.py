@@ -46,8 +46,8 @@ timed AS (
 )"""
 
 
-def with_canon(body: str) -> str:
-    return "WITH " + CANON + ",\n" + body.strip()
+def with_canon(body: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + CANON + ",\n" + body.strip()
 
 
 def r6(expr: str, alias: str | None = None) -> str:

@@ -303,3 +303,58 @@ def stratified_fold_sizes(spark, sf_dir):
     from riskloom.sources.tables import events_transactions
     folds = split.stratified_folds(events_transactions(spark, sf_dir), k=5)
     return folds.groupBy("isFraud", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- entity graph (G1-G12, J11, J15, U2, U3, F14, F16) ----
+from riskloom.operators import graph as gr  # noqa: E402
+
+
+def _graph(spark, sf_dir):
+    return gr.build(merged_transactions(spark, sf_dir))
+
+
+@register("graph_vertices")
+def graph_vertices(spark, sf_dir):
+    return _graph(spark, sf_dir).vertices
+
+
+@register("graph_edges")
+def graph_edges(spark, sf_dir):
+    return _graph(spark, sf_dir).edges
+
+
+@register("graph_counts")
+def graph_counts(spark, sf_dir):
+    return gr.graph_counts(_graph(spark, sf_dir))
+
+
+@register("graph_node_metrics")
+def graph_node_metrics(spark, sf_dir):
+    return round_doubles(gr.node_features(_graph(spark, sf_dir), with_pagerank=False))
+
+
+@register("graph_pagerank")
+def graph_pagerank(spark, sf_dir):
+    return gr.pagerank(_graph(spark, sf_dir))
+
+
+@register("graph_transaction_features")
+def graph_transaction_features(spark, sf_dir):
+    df = merged_transactions(spark, sf_dir)
+    feats = gr.node_features(gr.build(df), with_pagerank=False)
+    out = gr.transaction_graph_features(df, feats)
+    return round_doubles(out.select("TransactionID", *[c for c in gr.ZERO_FEATURES if c in out.columns]))
+
+
+@register("graph_score")
+def graph_score(spark, sf_dir):
+    df = merged_transactions(spark, sf_dir)
+    return round_doubles(gr.graph_score(df, gr.build(df)).select("TransactionID", "graph_score"))
+
+
+@register("supplier_graph_degrees")
+def supplier_graph_degrees(spark, sf_dir):
+    """Large bipartite graph (customer = card, supplier = device): degrees
+    and neighbour counts including the next-4 co-device links."""
+    from riskloom.sources.tables import card_device_pairs
+    return gr.degrees(gr.build(card_device_pairs(spark, sf_dir)))
