@@ -448,3 +448,94 @@ SUPPLIER_BODY = """sup AS (SELECT o.o_custkey AS card1, CAST(l.l_suppkey AS VARC
   FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey),
 """ + _graph_body("CAST(NULL AS VARCHAR) AS email, CAST(NULL AS VARCHAR) AS addr FROM sup")
 ORACLE["supplier_graph_degrees"] = with_canon(SUPPLIER_BODY + "\nSELECT * FROM deg")
+
+
+def _pct(x: str) -> str:
+    return f"CAST(CAST(round({x} * 100) AS BIGINT) AS VARCHAR) || '%'"
+
+
+PRED_BODY = GRAPH_BODY + """,
+mx AS (SELECT max(graph_degree) AS mx FROM deg),
+comp AS (
+  SELECT m.TransactionID, m.TransactionDT AS ts, m.DeviceInfo AS device, m.TransactionAmt, m.isFraud AS label,
+         CAST(floor(m.TransactionID / 100) AS BIGINT) AS batch_id,
+         CASE WHEN m.TransactionAmt % 100 < 0 THEN (m.TransactionAmt % 100 + 100) % 100 ELSE m.TransactionAmt % 100 END
+           / 100 AS l,
+         coalesce(CASE WHEN mx.mx > 0 THEN least(d.graph_degree / mx.mx, 1.0) END, 0.0) AS g,
+         CAST((m.TransactionID * 37) % 100 AS DOUBLE) / 100 AS a
+  FROM merged m LEFT JOIN deg d ON d.node = 'card:' || CAST(m.card1 AS VARCHAR) AND d.type = 'card', mx),
+bl AS (SELECT *, greatest(0.0, least(1.0, l * 0.6 + g * 0.25 + a * 0.15)) AS s FROM comp),
+rs AS (
+  SELECT *, list_filter([
+      CASE WHEN l > 0.40 THEN 'High ML fraud probability (' || """ + _pct("l") + """ || ')' END,
+      CASE WHEN g > 0.5 THEN 'Card appears in a high-risk device-sharing network (graph risk: ' || """ + _pct("g") + """ || ')' END,
+      CASE WHEN a > 0.7 THEN 'Transaction pattern is statistically anomalous (anomaly score: ' || """ + _pct("a") + """ || ')' END,
+      CASE WHEN coalesce(TransactionAmt, 0) > 5000 THEN 'Unusually large transaction amount ($' ||
+           format('{:,}', CAST(round(TransactionAmt) AS BIGINT)) || ')' END], lambda x: x IS NOT NULL) AS rl
+  FROM bl),
+pred AS (
+  SELECT CAST(TransactionID AS VARCHAR) AS transaction_id, round(s, 4) AS fraud_score,
+         CASE WHEN s >= 0.65 THEN 'CRITICAL' WHEN s >= 0.40 THEN 'HIGH' WHEN s >= 0.20 THEN 'MEDIUM' ELSE 'LOW' END
+           AS risk_level,
+         round(l, 4) AS lgbm, round(g, 4) AS graph, round(a, 4) AS anomaly,
+         CASE WHEN len(rl) = 0 THEN ['No specific high-risk indicators detected'] ELSE rl END AS reasons,
+         ts, device, TransactionAmt, label, batch_id
+  FROM rs)"""
+
+ORACLE["scored_fixed"] = with_canon(PRED_BODY + "\nSELECT transaction_id, risk_level, " + ", ".join(
+    r6(c, c) for c in ("fraud_score", "lgbm", "graph", "anomaly")) + ", array_to_string(reasons, ' | ') AS reasons_text"
+    " FROM pred")
+ORACLE["risk_counts"] = with_canon(PRED_BODY + "\nSELECT risk_level, count(*) AS count FROM pred GROUP BY 1")
+ORACLE["dashboard_kpis"] = with_canon(PRED_BODY + """
+SELECT count(*) AS total_processed, count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) AS n_high,
+  count(*) FILTER (WHERE risk_level = 'CRITICAL') AS n_critical, """ + r6("avg(fraud_score)", "avg_fraud_score") + ", "
+    + r6("count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) / greatest(count(*), 1)", "alert_rate")
+    + " FROM pred")
+ORACLE["mean_component_scores"] = with_canon(PRED_BODY + "\n" + " UNION ALL ".join(
+    f"SELECT '{n}' AS model, {r6(f'avg({c})')} AS average_score FROM pred"
+    for n, c in (("LightGBM", "lgbm"), ("Graph", "graph"), ("Anomaly", "anomaly"))))
+ORACLE["batch_summary"] = with_canon(PRED_BODY + """
+SELECT batch_id, count(*) AS total_processed, count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) AS high_risk_count,
+  """ + r6("round(avg(fraud_score) * (1.0 + 1e-11), 4)", "avg_fraud_score") + " FROM pred GROUP BY batch_id")
+ORACLE["request_counters"] = with_canon(PRED_BODY + """
+SELECT '/predict/batch' AS endpoint, risk_level, count(*) AS requests,
+  count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) AS alerts FROM pred GROUP BY risk_level""")
+ORACLE["last_score"] = with_canon(PRED_BODY + "\nSELECT " + r6("arg_max(fraud_score, (ts, transaction_id))",
+                                                               "last_fraud_score") + " FROM pred")
+ORACLE["consumer_stats"] = with_canon(PRED_BODY + """
+SELECT count(*) AS processed, count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) AS high_risk,
+  (SELECT count(*) FROM tx WHERE TransactionAmt IS NULL OR NOT (TransactionAmt > 0)) AS errors,
+  """ + r6("count(*) / greatest(max(ts) - min(ts), 1.0)", "tps") + " FROM pred")
+ORACLE["top_alert_devices"] = with_canon(PRED_BODY + """
+SELECT device, count(*) AS alert_count FROM pred WHERE risk_level IN ('HIGH', 'CRITICAL') AND device IS NOT NULL
+GROUP BY device ORDER BY alert_count DESC, device LIMIT 8""")
+ORACLE["latest_alerts"] = with_canon(PRED_BODY + """
+SELECT transaction_id, """ + r6("fraud_score", "fraud_score") + """,
+  CASE risk_level WHEN 'CRITICAL' THEN '🟣 CRITICAL' WHEN 'HIGH' THEN '🔴 HIGH' WHEN 'MEDIUM' THEN '🟠 MEDIUM'
+       WHEN 'LOW' THEN '🟢 LOW' ELSE risk_level END AS badge,
+  printf('%02d:%02d:%02d', CAST(((ts + 1703980800) % 86400) // 3600 AS INTEGER),
+         CAST((((ts + 1703980800) % 86400) % 3600) // 60 AS INTEGER), CAST(((ts + 1703980800) % 86400) % 60 AS INTEGER))
+    AS clock,
+  array_to_string(reasons, ' | ') AS reasons_text
+FROM pred WHERE risk_level IN ('HIGH', 'CRITICAL') ORDER BY ts DESC, transaction_id DESC LIMIT 20""")
+ORACLE["alert_buffer"] = with_canon(PRED_BODY + "\nSELECT transaction_id, " + r6("fraud_score", "fraud_score")
+                                    + ", risk_level, ts FROM pred ORDER BY ts DESC, transaction_id DESC LIMIT 200")
+ORACLE["alert_filter"] = with_canon(PRED_BODY + "\nSELECT transaction_id, " + r6("fraud_score", "fraud_score")
+                                    + ", risk_level FROM pred WHERE risk_level IN ('MEDIUM', 'HIGH', 'CRITICAL') "
+                                      "AND fraud_score >= 0.3")
+ORACLE["request_quarantine"] = _q("""SELECT count(*) FILTER (WHERE TransactionAmt > 0) AS n_valid,
+  count(*) FILTER (WHERE TransactionAmt IS NULL OR NOT (TransactionAmt > 0)) AS n_quarantined FROM tx""")
+
+
+def _win(size: int, slide: int) -> str:
+    return PRED_BODY + f""",
+ws AS (SELECT p.*, s.k FROM pred p, range(0, {size // slide}) s(k)),
+wb AS (SELECT *, (floor((ts + 1703980800) / {slide}) - k) * {slide} AS window_start FROM ws
+       WHERE (floor((ts + 1703980800) / {slide}) - k) * {slide} + {size} > ts + 1703980800)
+SELECT CAST(window_start AS BIGINT) AS window_start, count(*) AS processed,
+  count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) AS alerts, """ + r6("avg(label)", "fraud_rate") + """
+FROM wb GROUP BY window_start"""
+
+
+ORACLE["alert_windows_10s"] = with_canon(_win(10, 10))
+ORACLE["rolling_fraud_rate_60s"] = with_canon(_win(60, 10))

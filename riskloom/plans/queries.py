@@ -358,3 +358,135 @@ def supplier_graph_degrees(spark, sf_dir):
     and neighbour counts including the next-4 co-device links."""
     from riskloom.sources.tables import card_device_pairs
     return gr.degrees(gr.build(card_device_pairs(spark, sf_dir)))
+
+
+# ---- scoring and monitoring on fixed component scores (F15-F19, F24, F29, P12-P16, A23-A30, L6-L8) ----
+from riskloom.functions import risk  # noqa: E402
+from riskloom.operators import monitor  # noqa: E402
+from riskloom.sources.tables import EPOCH_OFFSET  # noqa: E402
+
+
+def fixed_predictions(spark, sf_dir):
+    """Prediction rows from fixed component scores derived from the tables:
+    lgbm = (amount mod 100) / 100, graph = F16 degree score, anomaly =
+    ((id * 37) mod 100) / 100."""
+    df = merged_transactions(spark, sf_dir)
+    df = gr.graph_score(df, gr.build(df))
+    lgbm = F.pmod(F.col("TransactionAmt"), F.lit(100.0)) / 100
+    anomaly = F.pmod(F.col("TransactionID") * 37, F.lit(100)).cast("double") / 100
+    pred = risk.prediction_struct(F.col("TransactionID"), lgbm, F.col("graph_score"), anomaly,
+                                  F.col("TransactionAmt"))
+    return df.select(pred.alias("p"), F.col("TransactionDT").alias("ts"), F.col("DeviceInfo").alias("device"),
+                     "TransactionAmt", F.col("isFraud").alias("label"),
+                     F.floor(F.col("TransactionID") / 100).alias("batch_id")).select("p.*", "*").drop("p")
+
+
+@register("scored_fixed")
+def scored_fixed(spark, sf_dir):
+    p = fixed_predictions(spark, sf_dir)
+    return round_doubles(p.select("transaction_id", "fraud_score", "risk_level", "component_scores.*",
+                                  F.array_join("reasons", " | ").alias("reasons_text")))
+
+
+@register("risk_counts")
+def risk_counts(spark, sf_dir):
+    return monitor.risk_counts(fixed_predictions(spark, sf_dir))
+
+
+@register("dashboard_kpis")
+def dashboard_kpis(spark, sf_dir):
+    return round_doubles(monitor.kpis(fixed_predictions(spark, sf_dir)))
+
+
+@register("mean_component_scores")
+def mean_component_scores(spark, sf_dir):
+    return round_doubles(monitor.mean_component_scores(fixed_predictions(spark, sf_dir)))
+
+
+@register("batch_summary")
+def batch_summary(spark, sf_dir):
+    return round_doubles(monitor.batch_summary(fixed_predictions(spark, sf_dir)))
+
+
+@register("request_counters")
+def request_counters(spark, sf_dir):
+    p = fixed_predictions(spark, sf_dir).withColumn("endpoint", F.lit("/predict/batch"))
+    return monitor.request_counters(p)
+
+
+@register("last_score")
+def last_score(spark, sf_dir):
+    return round_doubles(monitor.last_score(fixed_predictions(spark, sf_dir)))
+
+
+@register("consumer_stats")
+def consumer_stats(spark, sf_dir):
+    from riskloom.sources.tables import events_transactions
+    valid, bad = monitor.validate_requests(events_transactions(spark, sf_dir))
+    return round_doubles(monitor.consumer_stats(fixed_predictions(spark, sf_dir), bad))
+
+
+@register("top_alert_devices")
+def top_alert_devices(spark, sf_dir):
+    return monitor.top_alert_devices(fixed_predictions(spark, sf_dir))
+
+
+@register("latest_alerts")
+def latest_alerts(spark, sf_dir):
+    p = fixed_predictions(spark, sf_dir).filter(monitor.is_high_risk(F.col("risk_level")))
+    out = monitor.latest_alerts(p, 20)
+    return round_doubles(out.select("transaction_id", "fraud_score", risk.badge(F.col("risk_level")).alias("badge"),
+                                    risk.clock_text(F.col("ts") + F.lit(EPOCH_OFFSET)).alias("clock"),
+                                    F.array_join("reasons", " | ").alias("reasons_text")))
+
+
+@register("alert_buffer")
+def alert_buffer(spark, sf_dir):
+    out = monitor.latest_alerts(fixed_predictions(spark, sf_dir), 200)
+    return round_doubles(out.select("transaction_id", "fraud_score", "risk_level", "ts"))
+
+
+@register("alert_filter")
+def alert_filter(spark, sf_dir):
+    out = monitor.filter_alerts(fixed_predictions(spark, sf_dir), ["MEDIUM", "HIGH", "CRITICAL"], 0.3)
+    return round_doubles(out.select("transaction_id", "fraud_score", "risk_level"))
+
+
+@register("request_quarantine")
+def request_quarantine(spark, sf_dir):
+    from riskloom.sources.tables import events_transactions
+    valid, bad = monitor.validate_requests(events_transactions(spark, sf_dir))
+    counts = valid.agg(F.count(F.lit(1)).alias("n_valid")).crossJoin(bad.agg(F.count(F.lit(1)).alias("n_quarantined")))
+    return counts
+
+
+@register("alert_windows_10s")
+def alert_windows_10s(spark, sf_dir):
+    p = fixed_predictions(spark, sf_dir)
+    t = F.timestamp_seconds(F.col("ts") + F.lit(EPOCH_OFFSET))
+    out = monitor.event_time_windows(p, t, "10 seconds")
+    return round_doubles(out.select(F.unix_seconds("window_start").alias("window_start"), "processed", "alerts",
+                                    "fraud_rate"))
+
+
+@register("rolling_fraud_rate_60s")
+def rolling_fraud_rate_60s(spark, sf_dir):
+    p = fixed_predictions(spark, sf_dir)
+    t = F.timestamp_seconds(F.col("ts") + F.lit(EPOCH_OFFSET))
+    out = monitor.event_time_windows(p, t, "60 seconds", "10 seconds")
+    return round_doubles(out.select(F.unix_seconds("window_start").alias("window_start"), "processed", "alerts",
+                                    "fraud_rate"))
+
+
+@register("latency_histogram")
+def latency_histogram(spark, sf_dir):
+    return monitor.latency_histogram(fixed_predictions(spark, sf_dir))
+
+
+@register("alert_messages")
+def alert_messages(spark, sf_dir):
+    p = fixed_predictions(spark, sf_dir).filter(monitor.is_high_risk(F.col("risk_level")))
+    pred = F.struct(*[F.col(c) for c in ("transaction_id", "fraud_score", "risk_level", "component_scores",
+                                         "reasons")])
+    return p.select(F.col("transaction_id").alias("key"),
+                    F.to_json(risk.alert_message(pred, F.col("TransactionAmt"))).alias("value"))
