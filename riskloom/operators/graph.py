@@ -177,30 +177,46 @@ def components(g: Graph, max_iter: int = 100, checkpoint_every: int = 3) -> Data
 
 
 def pagerank(g: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6,
-             checkpoint_every: int = 5) -> DataFrame:
+             check_every: int = 5) -> DataFrame:
     """PageRank on the undirected graph (each edge both ways), uniform
-    teleport, dangling (isolated) mass spread uniformly, stop when the L1
-    change < N * tol."""
-    verts = g.vertices.select(F.col("id").alias("node"))
-    n = verts.count()
+    teleport, dangling mass spread uniformly; stop once the L1 change of one
+    step < N * tol.
+
+    The only dangling vertices of an undirected graph are isolated ones; they
+    all carry the same value, which follows a scalar recurrence kept on the
+    driver, so each step reads the previous ranks once (a linear plan).
+    Convergence is tested every ``check_every`` steps, each block ending in a
+    reliable checkpoint."""
+    n = g.vertices.count()
     adj = adjacency(g)
     outdeg = adj.groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-    adj = cut_lineage(adj.join(outdeg, "node"))
-    pr = cut_lineage(verts.withColumn("pr", F.lit(1.0 / n)))
-    for i in range(max_iter):
-        contrib = adj.join(pr, "node").groupBy(F.col("nbr").alias("node")).agg(
-            F.sum(F.col("pr") / F.col("deg")).alias("s"))
-        dangling = pr.join(outdeg, "node", "left_anti").agg(F.coalesce(F.sum("pr"), F.lit(0.0)).alias("dm"))
-        new = verts.join(contrib, "node", "left").crossJoin(F.broadcast(dangling)).select(
-            "node", (F.lit((1 - alpha) / n) + alpha * F.coalesce(F.col("s"), F.lit(0.0))
-                     + alpha * F.col("dm") / n).alias("pr"))
-        new = cut_lineage(new) if (i + 1) % checkpoint_every == 0 else new.persist()
-        err = new.join(pr.withColumnRenamed("pr", "old"), "node").agg(
-            F.sum(F.abs(F.col("pr") - F.col("old")))).first()[0]
-        pr = new
+    k_iso = n - outdeg.count()
+    adj = cut_lineage(adj.join(outdeg, "node").select("node", "nbr", (F.lit(1.0) / F.col("deg")).alias("w")))
+    linked = outdeg.select("node")
+    pr = cut_lineage(linked.withColumn("pr", F.lit(1.0 / n)))
+    p_iso = 1.0 / n
+
+    def step(cur: DataFrame, dangling_share: float) -> DataFrame:
+        contrib = adj.join(cur, "node").groupBy(F.col("nbr").alias("node")).agg(
+            F.sum(F.col("pr") * F.col("w")).alias("s"))
+        return contrib.select("node", (F.lit((1 - alpha) / n + dangling_share) + alpha * F.col("s")).alias("pr"))
+
+    done = 0
+    while done < max_iter:
+        block = min(check_every, max_iter - done)
+        prev, prev_iso = pr, p_iso
+        for _ in range(block):
+            share = alpha * k_iso * p_iso / n
+            prev, prev_iso = pr, p_iso
+            pr, p_iso = step(pr, share), (1 - alpha) / n + share
+        done += block
+        both = cut_lineage(pr.join(prev.withColumnRenamed("pr", "old"), "node"))
+        err = both.agg(F.sum(F.abs(F.col("pr") - F.col("old")))).first()[0] + k_iso * abs(p_iso - prev_iso)
+        pr = both.select("node", "pr")
         if err < n * tol:
             break
-    return pr.select("node", F.col("pr").alias("graph_pagerank"))
+    iso = g.vertices.select(F.col("id").alias("node")).join(linked, "node", "left_anti").withColumn("pr", F.lit(p_iso))
+    return pr.unionByName(iso).select("node", F.col("pr").alias("graph_pagerank"))
 
 
 def node_features(g: Graph, with_pagerank: bool = True) -> DataFrame:
@@ -233,7 +249,7 @@ def graph_score(df: DataFrame, g: Graph, card: str = ROLES.card) -> DataFrame:
     """min(degree / max degree over all nodes, 1); unknown card -> 0."""
     deg = degrees(g)
     mx = deg.agg(F.max("graph_degree").alias("_mx"))
-    cd = deg.filter(F.col("type") == "card").select(F.col("node").alias("_node"), "graph_degree")
+    cd = deg.filter(F.col("type") == "card").select(F.col("node").alias("_node"), F.col("graph_degree").alias("_gdeg"))
     out = df.join(cd, node_id("card", F.col(card)) == F.col("_node"), "left").crossJoin(F.broadcast(mx))
-    s = F.when(F.col("_mx") > 0, F.least(F.col("graph_degree") / F.col("_mx"), F.lit(1.0)))
-    return out.withColumn("graph_score", F.coalesce(s, F.lit(0.0))).drop("_node", "graph_degree", "_mx")
+    s = F.when(F.col("_mx") > 0, F.least(F.col("_gdeg") / F.col("_mx"), F.lit(1.0)))
+    return out.withColumn("graph_score", F.coalesce(s, F.lit(0.0))).drop("_node", "_gdeg", "_mx")
