@@ -26,7 +26,8 @@ BADGES = (("CRITICAL", "🟣 CRITICAL"), ("HIGH", "🔴 HIGH"), ("MEDIUM", "🟠
 def blend(lgbm: Column, graph: Column, anomaly: Column, weights=ENSEMBLE_WEIGHTS) -> Column:
     """weighted sum clipped to [0, 1]."""
     s = lgbm * weights["lgbm"] + graph * weights["graph"] + anomaly * weights["anomaly"]
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), s))
+    # greatest / least skip nulls: a missing component keeps the score null
+    return F.when(s.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)))
 
 
 def risk_level(score: Column) -> Column:

@@ -251,5 +251,6 @@ def graph_score(df: DataFrame, g: Graph, card: str = ROLES.card) -> DataFrame:
     mx = deg.agg(F.max("graph_degree").alias("_mx"))
     cd = deg.filter(F.col("type") == "card").select(F.col("node").alias("_node"), F.col("graph_degree").alias("_gdeg"))
     out = df.join(cd, node_id("card", F.col(card)) == F.col("_node"), "left").crossJoin(F.broadcast(mx))
-    s = F.when(F.col("_mx") > 0, F.least(F.col("_gdeg") / F.col("_mx"), F.lit(1.0)))
+    # least() skips nulls: guard the unknown-card case explicitly
+    s = F.when((F.col("_mx") > 0) & F.col("_gdeg").isNotNull(), F.least(F.col("_gdeg") / F.col("_mx"), F.lit(1.0)))
     return out.withColumn("graph_score", F.coalesce(s, F.lit(0.0))).drop("_node", "_gdeg", "_mx")

@@ -191,7 +191,8 @@ def clip_to_quantiles(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.9
     """clip a column to its [1 %, 99 %] quantiles (one-row aggregate, broadcast)."""
     q = df.agg(F.percentile(F.col(col), F.array(F.lit(lo), F.lit(hi))).alias("_q"))
     return df.crossJoin(F.broadcast(q)).withColumn(
-        col, F.least(F.greatest(F.col(col), F.col("_q")[0]), F.col("_q")[1])).drop("_q")
+        col, F.when(F.col(col).isNotNull(), F.least(F.greatest(F.col(col), F.col("_q")[0]), F.col("_q")[1]))
+    ).drop("_q")
 
 
 def equal_width_buckets(df: DataFrame, col: str, bins: int = 10) -> DataFrame:

@@ -441,7 +441,7 @@ SELECT m.TransactionID, coalesce(graph_degree, 0) AS graph_degree, """ + r6("coa
   coalesce(graph_n_address_neighbors, 0) AS graph_n_address_neighbors, coalesce(graph_is_hub, 0) AS graph_is_hub
 FROM merged m LEFT JOIN nm ON nm.node = 'card:' || CAST(m.card1 AS VARCHAR) AND nm.type = 'card'""", recursive=True)
 ORACLE["graph_score"] = with_canon(GRAPH_BODY + """
-SELECT m.TransactionID, """ + r6("""coalesce(CASE WHEN (SELECT max(graph_degree) FROM deg) > 0 THEN
+SELECT m.TransactionID, """ + r6("""coalesce(CASE WHEN (SELECT max(graph_degree) FROM deg) > 0 AND d.graph_degree IS NOT NULL THEN
   least(d.graph_degree / (SELECT max(graph_degree) FROM deg), 1.0) END, 0.0)""", "graph_score") + """
 FROM merged m LEFT JOIN deg d ON d.node = 'card:' || CAST(m.card1 AS VARCHAR) AND d.type = 'card'""")
 SUPPLIER_BODY = """sup AS (SELECT o.o_custkey AS card1, CAST(l.l_suppkey AS VARCHAR) AS DeviceInfo
@@ -461,7 +461,8 @@ comp AS (
          CAST(floor(m.TransactionID / 100) AS BIGINT) AS batch_id,
          CASE WHEN m.TransactionAmt % 100 < 0 THEN (m.TransactionAmt % 100 + 100) % 100 ELSE m.TransactionAmt % 100 END
            / 100 AS l,
-         coalesce(CASE WHEN mx.mx > 0 THEN least(d.graph_degree / mx.mx, 1.0) END, 0.0) AS g,
+         coalesce(CASE WHEN mx.mx > 0 AND d.graph_degree IS NOT NULL THEN least(d.graph_degree / mx.mx, 1.0) END, 0.0)
+           AS g,
          CAST((m.TransactionID * 37) % 100 AS DOUBLE) / 100 AS a
   FROM merged m LEFT JOIN deg d ON d.node = 'card:' || CAST(m.card1 AS VARCHAR) AND d.type = 'card', mx),
 bl AS (SELECT *, greatest(0.0, least(1.0, l * 0.6 + g * 0.25 + a * 0.15)) AS s FROM comp),

@@ -490,3 +490,77 @@ def alert_messages(spark, sf_dir):
                                          "reasons")])
     return p.select(F.col("transaction_id").alias("key"),
                     F.to_json(risk.alert_message(pred, F.col("TransactionAmt"))).alias("value"))
+
+
+# ---- models and scoring pipeline (M1-M5, M12-M17, M20; rows / invariant checks) ----
+_ARTIFACTS: dict = {}
+
+
+def trained(spark, sf_dir):
+    """Train once per (session, data dir) and reuse the artifacts for the
+    model queries below."""
+    from riskloom.plans import train as tr
+    key = (id(spark), sf_dir)
+    if key not in _ARTIFACTS:
+        df = merged_transactions(spark, sf_dir)
+        art, report = tr.train(spark, df)
+        _ARTIFACTS[key] = (art, report)
+    return _ARTIFACTS[key]
+
+
+@register("anomaly_scores")
+def anomaly_scores(spark, sf_dir):
+    from riskloom.operators import anomaly
+    from riskloom.plans import train as tr
+    art, _ = trained(spark, sf_dir)
+    frame = tr._features(timed_transactions(spark, sf_dir), art)
+    return anomaly.score(frame, art.forest).select("TransactionID", "anomaly_score", "anomaly_pred")
+
+
+@register("evaluation_report")
+def evaluation_report(spark, sf_dir):
+    _, report = trained(spark, sf_dir)
+    return report.select("lightgbm.*", "anomaly.*", "val_set_size", "val_fraud_rate")
+
+
+@register("scored_transactions")
+def scored_transactions(spark, sf_dir):
+    from riskloom.plans import train as tr
+    art, _ = trained(spark, sf_dir)
+    p = tr.score(merged_transactions(spark, sf_dir), art)
+    return p.select("prediction.transaction_id", "prediction.fraud_score", "prediction.risk_level",
+                    "prediction.component_scores.*", F.array_join("prediction.reasons", " | ").alias("reasons_text"),
+                    F.size("prediction.top_shap_features").alias("n_top_features"))
+
+
+@register("feature_importance")
+def feature_importance(spark, sf_dir):
+    from riskloom.operators import model
+    art, _ = trained(spark, sf_dir)
+    return model.feature_importance(art.classifier, 25)
+
+
+@register("contribution_summary")
+def contribution_summary(spark, sf_dir):
+    from riskloom.operators import explain, split
+    from riskloom.plans import train as tr
+    art, _ = trained(spark, sf_dir)
+    frame = tr._features(timed_transactions(spark, sf_dir), art)
+    sample = split.hash_sample(frame, 5000)
+    return explain.global_importance(explain.contributions(art.classifier, sample), art.features, 20)
+
+
+@register("isotonic_calibration")
+def isotonic_calibration(spark, sf_dir):
+    """M2 on the fixed scores: calibrated value per distinct score."""
+    from riskloom.operators import model
+    s = fixed_scores(spark, sf_dir)
+    iso = model.isotonic(s)
+    return iso.transform(s.select(F.col("score").cast("double").alias("score"))).distinct()
+
+
+@register("hash_sample")
+def hash_sample(spark, sf_dir):
+    """L3: repeatable sample of 2 000 transactions."""
+    from riskloom.sources.tables import events_transactions
+    return split.hash_sample(events_transactions(spark, sf_dir), 2000)
