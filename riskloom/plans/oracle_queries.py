@@ -540,3 +540,25 @@ FROM wb GROUP BY window_start"""
 
 ORACLE["alert_windows_10s"] = with_canon(_win(10, 10))
 ORACLE["rolling_fraud_rate_60s"] = with_canon(_win(60, 10))
+
+
+_VEL_ONLY = """
+vel AS (
+  SELECT a.TransactionID, a.card1,
+         count(b.TransactionID) FILTER (WHERE b.TransactionDT >= a.TransactionDT - 3600) AS c1h,
+         count(b.TransactionID) FILTER (WHERE b.TransactionDT >= a.TransactionDT - 86400) AS c24h,
+         count(b.TransactionID) FILTER (WHERE b.TransactionDT >= a.TransactionDT - 604800) AS c7d,
+         coalesce(a.TransactionDT - max(b.TransactionDT), 0) AS since_last
+  FROM tx a LEFT JOIN tx b
+    ON a.card1 = b.card1
+   AND (b.TransactionDT < a.TransactionDT
+        OR (b.TransactionDT = a.TransactionDT AND b.TransactionID < a.TransactionID))
+  WHERE a.card1 IS NOT NULL
+  GROUP BY a.TransactionID, a.card1, a.TransactionDT
+)"""
+ORACLE["stream_card_velocity"] = with_canon(_VEL_ONLY + """
+SELECT TransactionID, card1, CAST(since_last AS DOUBLE) AS time_since_last_tx, CAST(c1h AS INTEGER) AS card_tx_count_1h,
+  CAST(c24h AS INTEGER) AS card_tx_count_24h, CAST(c7d AS INTEGER) AS card_tx_count_7d FROM vel""")
+ORACLE["message_roundtrip"] = _q("SELECT TransactionID, TransactionDT, " + r6("TransactionAmt", "TransactionAmt")
+                                 + ", ProductCD, card1, " + r6("addr1", "addr1")
+                                 + ", P_emaildomain, isFraud, DeviceType, DeviceInfo FROM merged")

@@ -564,3 +564,34 @@ def hash_sample(spark, sf_dir):
     """L3: repeatable sample of 2 000 transactions."""
     from riskloom.sources.tables import events_transactions
     return split.hash_sample(events_transactions(spark, sf_dir), 2000)
+
+
+# ---- streaming (V7 checked against the batch definition; S14 / S17 / S18 codec) ----
+def _stream_dir(spark, name):
+    import uuid
+    from riskloom.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+@register("stream_card_velocity")
+def stream_card_velocity(spark, sf_dir):
+    """Canonical rows -> time-ordered JSON files -> file stream -> keyed
+    velocity state -> Parquet sink in the shared folder -> read back."""
+    from riskloom.streaming import stream as st
+    from riskloom.sources.tables import events_transactions
+    base = _stream_dir(spark, "stream-velocity")
+    st.write_time_ordered_files(events_transactions(spark, sf_dir), f"{base}/in", 6)
+    q = (st.card_velocity_stream(st.transaction_stream(spark, f"{base}/in"))
+         .writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("message_roundtrip")
+def message_roundtrip(spark, sf_dir):
+    """S17 encode -> S18 decode of the merged rows (values must survive)."""
+    from riskloom.streaming import stream as st
+    df = merged_transactions(spark, sf_dir)
+    back = st.decode_messages(st.encode_messages(df))
+    return round_doubles(back.select(*df.columns))
