@@ -595,3 +595,34 @@ def message_roundtrip(spark, sf_dir):
     df = merged_transactions(spark, sf_dir)
     back = st.decode_messages(st.encode_messages(df))
     return round_doubles(back.select(*df.columns))
+
+
+# ---- embeddings (G13, G14, J12; invariant checks) ----
+from riskloom.config import WalkParams  # noqa: E402
+from riskloom.operators import embed  # noqa: E402
+
+
+@register("graph_walks")
+def graph_walks(spark, sf_dir):
+    """G13 walks (5 walks of length 20 per vertex on the canonical graph)."""
+    return embed.random_walks(_graph(spark, sf_dir), WalkParams(num_walks=5))
+
+
+@register("node_embeddings")
+def node_embeddings(spark, sf_dir):
+    """Word2Vec (dim 64, window 10) over the walks."""
+    walks = embed.random_walks(_graph(spark, sf_dir), WalkParams(num_walks=5))
+    return embed.word2vec_embeddings(walks, WalkParams())
+
+
+@register("fallback_embeddings")
+def fallback_embeddings(spark, sf_dir):
+    return embed.fallback_embeddings(_graph(spark, sf_dir))
+
+
+@register("transaction_embeddings")
+def transaction_embeddings(spark, sf_dir):
+    """J12 with the fallback vectors: card / device vectors per transaction."""
+    df = merged_transactions(spark, sf_dir)
+    emb = embed.fallback_embeddings(gr.build(df))
+    return embed.transaction_embeddings(df, emb).select("TransactionID", "emb_card", "emb_device")
