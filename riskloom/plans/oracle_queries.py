@@ -562,3 +562,14 @@ SELECT TransactionID, card1, CAST(since_last AS DOUBLE) AS time_since_last_tx, C
 ORACLE["message_roundtrip"] = _q("SELECT TransactionID, TransactionDT, " + r6("TransactionAmt", "TransactionAmt")
                                  + ", ProductCD, card1, " + r6("addr1", "addr1")
                                  + ", P_emaildomain, isFraud, DeviceType, DeviceInfo FROM merged")
+
+
+ORACLE["csv_source"] = ORACLE["message_roundtrip"]
+ORACLE["bounded_scan"] = _q("SELECT TransactionID, TransactionDT, " + r6("TransactionAmt", "TransactionAmt")
+                            + ", ProductCD, card1, " + r6("addr1", "addr1")
+                            + ", P_emaildomain, isFraud, DeviceType, DeviceInfo FROM merged ORDER BY TransactionID "
+                              "LIMIT 100")
+ORACLE["identity_match"] = _q("""SELECT (SELECT count(*) FROM tx) AS n_transactions, (SELECT count(*) FROM idn) AS n_identity,
+  (SELECT count(*) FROM idn WHERE TransactionID IN (SELECT TransactionID FROM tx)) AS n_identity_matched,
+  """ + r6("(SELECT count(*) FROM idn WHERE TransactionID IN (SELECT TransactionID FROM tx)) / "
+           "(SELECT count(*) FROM tx)", "match_rate"))

@@ -626,3 +626,33 @@ def transaction_embeddings(spark, sf_dir):
     df = merged_transactions(spark, sf_dir)
     emb = embed.fallback_embeddings(gr.build(df))
     return embed.transaction_embeddings(df, emb).select("TransactionID", "emb_card", "emb_device")
+
+
+# ---- file sources (S1-S4) ----
+@register("csv_source")
+def csv_source(spark, sf_dir):
+    """S1 + S2 + J1: both tables written as CSV to the shared folder, read
+    back with explicit schemas, then merged."""
+    from riskloom.operators.merge import merge_identity
+    from riskloom.sources import files
+    from riskloom.sources.tables import ID_SCHEMA, TX_SCHEMA, events_identity, events_transactions
+    base = _stream_dir(spark, "csv")
+    files.write_csv(events_transactions(spark, sf_dir), f"{base}/tx")
+    files.write_csv(events_identity(spark, sf_dir), f"{base}/id")
+    tx = files.read_csv(spark, f"{base}/tx", TX_SCHEMA)
+    idn = files.read_csv(spark, f"{base}/id", ID_SCHEMA)
+    return round_doubles(merge_identity(tx, idn))
+
+
+@register("bounded_scan")
+def bounded_scan(spark, sf_dir):
+    from riskloom.sources import files
+    return round_doubles(files.bounded_scan(merged_transactions(spark, sf_dir), 100))
+
+
+@register("identity_match")
+def identity_match(spark, sf_dir):
+    """Identity rows matched in the transaction table."""
+    from riskloom.operators.merge import identity_match as im
+    from riskloom.sources.tables import events_identity, events_transactions
+    return round_doubles(im(events_transactions(spark, sf_dir), events_identity(spark, sf_dir)))
