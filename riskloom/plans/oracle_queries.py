@@ -573,3 +573,17 @@ ORACLE["identity_match"] = _q("""SELECT (SELECT count(*) FROM tx) AS n_transacti
   (SELECT count(*) FROM idn WHERE TransactionID IN (SELECT TransactionID FROM tx)) AS n_identity_matched,
   """ + r6("(SELECT count(*) FROM idn WHERE TransactionID IN (SELECT TransactionID FROM tx)) / "
            "(SELECT count(*) FROM tx)", "match_rate"))
+
+
+def _r4(expr: str, alias: str) -> str:
+    return f"round(CAST({expr} AS DOUBLE) * (1.0 + 1e-11), 4) AS {alias}"
+
+
+ORACLE["card_amount_windows"] = _q("""SELECT a.TransactionID, """ + ", ".join(
+    _r4(f"avg(b.TransactionAmt) FILTER (WHERE b.TransactionDT >= a.TransactionDT - {w})", f"card_tx_mean_amt_{lab}")
+    + ", " + _r4(f"stddev_samp(b.TransactionAmt) FILTER (WHERE b.TransactionDT >= a.TransactionDT - {w})",
+                 f"card_tx_std_amt_{lab}")
+    for w, lab in ((3600, "1h"), (86400, "24h"), (604800, "7d"))) + """
+FROM tx a LEFT JOIN tx b ON a.card1 = b.card1
+   AND (b.TransactionDT < a.TransactionDT OR (b.TransactionDT = a.TransactionDT AND b.TransactionID < a.TransactionID))
+GROUP BY a.TransactionID""")

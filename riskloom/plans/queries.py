@@ -656,3 +656,15 @@ def identity_match(spark, sf_dir):
     from riskloom.operators.merge import identity_match as im
     from riskloom.sources.tables import events_identity, events_transactions
     return round_doubles(im(events_transactions(spark, sf_dir), events_identity(spark, sf_dir)))
+
+
+@register("card_amount_windows")
+def card_amount_windows(spark, sf_dir):
+    """Trailing 1 h / 24 h / 7 d mean and sample std of earlier amounts
+    per card.  Reported at 4 dp: a square root lands arbitrarily close to a
+    6-dp boundary, where summation-order noise would flip the last digit."""
+    from riskloom.operators.velocity import velocity_features
+    from riskloom.sources.tables import events_transactions
+    out = velocity_features(events_transactions(spark, sf_dir), amount="TransactionAmt")
+    cols = [f"card_tx_{m}_amt_{w}" for w in ("1h", "24h", "7d") for m in ("mean", "std")]
+    return out.select("TransactionID", *[F.round(F.col(c) * F.lit(1.0 + 1e-11), 4).alias(c) for c in cols])
