@@ -210,3 +210,20 @@ def score(df: DataFrame, forest: Forest) -> DataFrame:
     norm = (F.col("anomaly_raw") - F.lit(forest.score_min)) / F.lit(denom) if denom != 0 else F.lit(0.0)
     return d.withColumn("anomaly_score", F.lit(1.0) - norm).withColumn(
         "anomaly_pred", F.when(F.col("anomaly_raw") < 0, F.lit(-1)).otherwise(F.lit(1)))
+
+
+def save(forest: Forest, spark, path: str) -> None:
+    """Node table as Parquet plus one row of scaling / score parameters."""
+    spark.createDataFrame(forest.nodes, NODE_SCHEMA).write.mode("overwrite").parquet(f"{path}/nodes")
+    spark.createDataFrame([(forest.features, forest.center, forest.scale, forest.psi, forest.offset,
+                            forest.score_min, forest.score_max)],
+                          "features array<string>, center array<double>, scale array<double>, psi int, "
+                          "offset double, score_min double, score_max double").write.mode("overwrite").parquet(
+        f"{path}/params")
+
+
+def load(spark, path: str) -> Forest:
+    p = spark.read.parquet(f"{path}/params").first()
+    nodes = spark.read.parquet(f"{path}/nodes").toPandas()   # bounded: trees x 511 rows
+    return Forest(list(p["features"]), list(p["center"]), list(p["scale"]), nodes, p["psi"], p["offset"],
+                  p["score_min"], p["score_max"])

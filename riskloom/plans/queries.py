@@ -520,7 +520,9 @@ def anomaly_scores(spark, sf_dir):
 @register("evaluation_report")
 def evaluation_report(spark, sf_dir):
     _, report = trained(spark, sf_dir)
-    return report.select("lightgbm.*", "anomaly.*", "val_set_size", "val_fraud_rate")
+    an = report.select("anomaly.*").columns
+    return report.select("lightgbm.*", *[F.col(f"anomaly.{c}").alias(f"anomaly_{c}") for c in an],
+                         "val_set_size", "val_fraud_rate")
 
 
 @register("scored_transactions")
