@@ -150,24 +150,31 @@ def _merged(spark, sf_dir):
     return merged_transactions(spark, sf_dir)
 
 
+def _tx(spark, sf_dir):
+    """Transaction columns only: identity has at most one row per id, so
+    queries that read no identity column skip the join (same rows)."""
+    from riskloom.sources.tables import events_transactions
+    return events_transactions(spark, sf_dir)
+
+
 @register("class_balance")
 def class_balance(spark, sf_dir):
-    return round_doubles(prof.class_balance(_merged(spark, sf_dir)))
+    return round_doubles(prof.class_balance(_tx(spark, sf_dir)))
 
 
 @register("fraud_by_hour")
 def fraud_by_hour(spark, sf_dir):
-    return round_doubles(prof.fraud_by_hour(_merged(spark, sf_dir)))
+    return round_doubles(prof.fraud_by_hour(_tx(spark, sf_dir)))
 
 
 @register("fraud_by_day_of_week")
 def fraud_by_day_of_week(spark, sf_dir):
-    return round_doubles(prof.fraud_by_day_of_week(_merged(spark, sf_dir)))
+    return round_doubles(prof.fraud_by_day_of_week(_tx(spark, sf_dir)))
 
 
 @register("rolling_daily_fraud_rate")
 def rolling_daily_fraud_rate(spark, sf_dir):
-    return round_doubles(prof.rolling_daily_fraud_rate(_merged(spark, sf_dir)))
+    return round_doubles(prof.rolling_daily_fraud_rate(_tx(spark, sf_dir)))
 
 
 @register("fraud_by_category")
@@ -192,12 +199,12 @@ def device_card_bucket_rate(spark, sf_dir):
 
 @register("describe_by_class")
 def describe_by_class(spark, sf_dir):
-    return round_doubles(prof.describe_by_class(_merged(spark, sf_dir)))
+    return round_doubles(prof.describe_by_class(_tx(spark, sf_dir)))
 
 
 @register("amount_percentiles")
 def amount_percentiles(spark, sf_dir):
-    return round_doubles(prof.amount_percentiles(_merged(spark, sf_dir)))
+    return round_doubles(prof.amount_percentiles(_tx(spark, sf_dir)))
 
 
 @register("missing_rates")
@@ -217,7 +224,7 @@ def top_missing(spark, sf_dir):
 
 @register("correlation_matrix")
 def correlation_matrix(spark, sf_dir):
-    return round_doubles(prof.correlation_matrix(_merged(spark, sf_dir),
+    return round_doubles(prof.correlation_matrix(_tx(spark, sf_dir),
                                                  ["TransactionAmt", "isFraud", "card1", "addr1"]))
 
 
@@ -229,12 +236,12 @@ def label_correlations(spark, sf_dir):
 
 @register("amount_log_histogram")
 def amount_log_histogram(spark, sf_dir):
-    return round_doubles(prof.class_histogram(_merged(spark, sf_dir), F.log1p("TransactionAmt"), 50))
+    return round_doubles(prof.class_histogram(_tx(spark, sf_dir), F.log1p("TransactionAmt"), 50))
 
 
 @register("clipped_amount_histogram")
 def clipped_amount_histogram(spark, sf_dir):
-    df = prof.clip_to_quantiles(_merged(spark, sf_dir), "TransactionAmt")
+    df = prof.clip_to_quantiles(_tx(spark, sf_dir), "TransactionAmt")
     return round_doubles(prof.class_histogram(df, F.col("TransactionAmt"), 40))
 
 
