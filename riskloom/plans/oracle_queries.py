@@ -258,7 +258,7 @@ ORACLE["missing_summary"] = with_canon(
     _MISSING + "\nSELECT count(*) FILTER (WHERE missing_rate > 0.5) AS n_over_half, "
     "count(*) FILTER (WHERE missing_rate > 0) AS n_any, count(*) AS n_columns FROM mr")
 ORACLE["top_missing"] = with_canon(_MISSING + "\nSELECT \"column\", " + r6("missing_rate", "missing_rate")
-                                   + " FROM mr ORDER BY missing_rate DESC, \"column\" LIMIT 5")
+                                   + " FROM mr ORDER BY missing_rate DESC, \"column\" LIMIT 50")
 _CM = ["TransactionAmt", "isFraud", "card1", "addr1"]
 ORACLE["correlation_matrix"] = _q(" UNION ALL ".join(
     f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {r6(f'corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))')} AS corr"

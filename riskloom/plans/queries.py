@@ -219,7 +219,7 @@ def missing_summary(spark, sf_dir):
 
 @register("top_missing")
 def top_missing(spark, sf_dir):
-    return round_doubles(prof.top_missing(_merged(spark, sf_dir), 5))
+    return round_doubles(prof.top_missing(_merged(spark, sf_dir), 50))
 
 
 @register("correlation_matrix")
