@@ -15,7 +15,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,18 +36,26 @@ def prefix_sums(
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     work = df.withColumn("_n", F.lit(1).cast("long"))
     cols = list(sum_cols) + ["_n"]
-    ranged = cut_lineage(work.repartitionByRange(n, *order).sortWithinPartitions(*order))
+    # the range partition id is stored as a column before the checkpoint:
+    # later stages may run these partitions inside a union, where the task's
+    # own partition index is shifted
+    ranged = cut_lineage(work.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                         .withColumn("_pid", F.spark_partition_id()))
 
     tot_schema = T.StructType([T.StructField("_pid", T.IntegerType())] +
                               [T.StructField(c, T.DoubleType()) for c in cols])
 
     def totals(batches):
         acc = np.zeros(len(cols))
+        pid = None
         for pdf in batches:
-            acc += pdf[cols].astype("float64").fillna(0.0).sum().to_numpy()
-        yield pd.DataFrame([[TaskContext.get().partitionId(), *acc]], columns=["_pid", *cols])
+            if len(pdf):
+                pid = int(pdf["_pid"].iloc[0])
+                acc += pdf[cols].astype("float64").fillna(0.0).sum().to_numpy()
+        if pid is not None:
+            yield pd.DataFrame([[pid, *acc]], columns=["_pid", *cols])
 
-    rows = sorted(ranged.select(*cols).mapInPandas(totals, tot_schema).collect(), key=lambda r: r["_pid"])
+    rows = sorted(ranged.select("_pid", *cols).mapInPandas(totals, tot_schema).collect(), key=lambda r: r["_pid"])
     offsets: dict[int, np.ndarray] = {}
     run = np.zeros(len(cols))
     for r in rows:
@@ -59,9 +66,12 @@ def prefix_sums(
     out_schema = T.StructType(out_fields)
 
     def running(batches):
-        pid = TaskContext.get().partitionId()
-        base = offsets.get(pid, np.zeros(len(cols))).copy()
+        base = None
         for pdf in batches:
+            if not len(pdf):
+                continue
+            if base is None:
+                base = offsets.get(int(pdf["_pid"].iloc[0]), np.zeros(len(cols))).copy()
             vals = pdf[cols].astype("float64").fillna(0.0).to_numpy()
             cum = np.cumsum(vals, axis=0) + base
             if len(vals):
@@ -72,4 +82,4 @@ def prefix_sums(
 
     res = ranged.mapInPandas(running, out_schema)
     res = res.withColumn(prefix + "_n", F.col(prefix + "_n").cast("long"))
-    return res.drop("_n")
+    return res.drop("_n", "_pid")

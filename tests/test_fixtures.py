@@ -210,3 +210,17 @@ def test_approx_fill_close_to_exact(spark):
     e = {r.TransactionID: r.card_tx_std_amt for r in exact.collect()}
     a = {r.TransactionID: r.card_tx_std_amt for r in approx.collect()}
     assert a[1] == pytest.approx(e[1]) and a[5] == pytest.approx(e[5], rel=0.2)
+
+
+def test_prefix_sums_inside_union(spark):
+    """Ordinals stay right when the result is consumed inside a union (task
+    partition indices shift there)."""
+    from riskloom.operators.ordinal import prefix_sums
+    df = spark.range(0, 3000).select(F.col("id"), F.lit(1.0).alias("v"))
+    r = prefix_sums(df, [F.col("id")], [], num_partitions=5)
+    a = r.filter(F.col("id") < 1500)
+    b = r.filter(F.col("id") >= 1500)
+    u = spark.range(0, 10).select(F.col("id"), F.lit(0).cast("long").alias("cum__n")).unionByName(a.select("id", "cum__n")) \
+        .unionByName(b.select("id", "cum__n"))
+    got = {x.id: x.cum__n for x in u.collect() if x.cum__n}
+    assert all(got[i] == i + 1 for i in range(3000))
