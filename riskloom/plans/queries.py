@@ -510,9 +510,15 @@ def trained(spark, sf_dir):
     key = (id(spark), sf_dir)
     if key not in _ARTIFACTS:
         df = merged_transactions(spark, sf_dir)
-        art, report = tr.train(spark, df)
-        _ARTIFACTS[key] = (art, report)
-    return _ARTIFACTS[key]
+        out = _stream_dir(spark, "train")          # shared folder (S5-S12 artifacts, runs table)
+        art, report = tr.train(spark, df, out_dir=out)
+        _ARTIFACTS[key] = (art, report, out)
+    return _ARTIFACTS[key][:2]
+
+
+def _train_dir(spark, sf_dir):
+    trained(spark, sf_dir)
+    return _ARTIFACTS[(id(spark), sf_dir)][2]
 
 
 @register("anomaly_scores")
@@ -677,3 +683,18 @@ def card_amount_windows(spark, sf_dir):
     out = velocity_features(events_transactions(spark, sf_dir), amount="TransactionAmt")
     cols = [f"card_tx_{m}_amt_{w}" for w in ("1h", "24h", "7d") for m in ("mean", "std")]
     return out.select("TransactionID", *[F.round(F.col(c) * F.lit(1.0 + 1e-11), 4).alias(c) for c in cols])
+
+
+@register("best_run")
+def best_run(spark, sf_dir):
+    """Best training run by calibrated ROC-AUC from the runs table."""
+    from riskloom.plans import train as tr
+    return tr.best_run(spark, f"{_train_dir(spark, sf_dir)}/runs").drop("start_time", "run_id", "duration_s")
+
+
+@register("recent_runs")
+def recent_runs(spark, sf_dir):
+    """The last runs by start time."""
+    from riskloom.plans import train as tr
+    return tr.recent_runs(spark, f"{_train_dir(spark, sf_dir)}/runs", 10).select(
+        "param_max_iter", "param_max_depth", "cal_roc_auc", "cal_pr_auc")
