@@ -103,9 +103,19 @@ def transform(df: DataFrame, stats: EntityStats, roles=ROLES) -> DataFrame:
         cols["identity_mismatch_score"] = F.lit(0.0)
     out = out.withColumns(cols)
 
-    if "device_user_count" in out.columns:
-        # 95th percentile (linear) of the frame being transformed,
-        # one-row aggregate broadcast to every row (fixed size)
+    if "device_user_count" in out.columns and stats.device is not None and dev in df.columns:
+        # 95th percentile (linear) of device_user_count over the
+        # rows of the frame being transformed, taken as a row-weighted
+        # percentile over the per-device table (rows of unseen / null devices
+        # carry the filled 0): no second pass through the joined frame
+        per_dev = df.groupBy(dev).agg(F.count(F.lit(1)).alias("_rows"))
+        ud = stats.device.select(dev, "device_user_count")
+        vals = per_dev.join(ud, on=dev, how="left").select(
+            F.coalesce(F.col("device_user_count"), F.lit(0)).alias("_v"), "_rows")
+        p95 = vals.agg(F.percentile(F.col("_v"), F.lit(0.95), F.col("_rows")).alias("_p95"))
+        out = out.crossJoin(F.broadcast(p95)).withColumn(
+            "device_is_high_risk", (F.col("device_user_count") > F.col("_p95")).cast("int")).drop("_p95")
+    elif "device_user_count" in out.columns:
         p95 = df_p95(out, "device_user_count")
         out = out.crossJoin(F.broadcast(p95)).withColumn(
             "device_is_high_risk", (F.col("device_user_count") > F.col("_p95")).cast("int")).drop("_p95")
