@@ -165,11 +165,13 @@ def components(g: Graph, max_iter: int = 100, checkpoint_every: int = 3) -> Data
     for i in range(max_iter):
         prop = adj.join(labels.withColumnRenamed("node", "nbr").withColumnRenamed("label", "nl"), "nbr") \
             .groupBy("node").agg(F.min("nl").alias("nl"))
+        # a label changes exactly when a neighbour offers a smaller one
         new = labels.join(prop, "node", "left").select(
-            "node", F.least(F.col("label"), F.coalesce(F.col("nl"), F.col("label"))).alias("label"))
+            "node", F.least(F.col("label"), F.coalesce(F.col("nl"), F.col("label"))).alias("label"),
+            F.coalesce(F.col("nl") < F.col("label"), F.lit(False)).alias("_chg"))
         new = cut_lineage(new) if (i + 1) % checkpoint_every == 0 else new.persist()
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter(F.col("label") != F.col("old")).count()
-        labels = new
+        changed = new.agg(F.count_if("_chg")).first()[0]
+        labels = new.select("node", "label")
         if changed == 0:
             break
     sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("graph_component_size"))
