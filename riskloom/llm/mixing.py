@@ -25,7 +25,8 @@ from riskloom.llm.common import WORD, clean_text, stored, table
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
 SPREAD = 256            # parts of a (source, size) group when copies are dealt
-MAX_STEPS = 200         # Newton needs about ten; beyond, it raises
+STEPS = 5               # Newton steps between two written states
+MAX_BLOCKS = 40         # about ten steps are needed; beyond all blocks, it raises
 TOLERANCE = 1e-9
 
 
@@ -52,6 +53,25 @@ def share_targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, bound:
     return w.select("key", "total", F.least(cap, F.coalesce(F.col("level"), F.lit(0.0)) * F.col("w")).alias("target"))
 
 
+def _newton_step(words: DataFrame, state: DataFrame, top: float) -> DataFrame:
+    """One step for every key; the state travels through the aggregation, so
+    a block of steps is a linear plan."""
+    e = F.col("lam") * F.col("size") / F.col("mean")
+    mass = F.col("n") * F.col("size") * F.exp(F.least(e, F.lit(top)))
+    s = words.join(state, "key").groupBy(*state.columns).agg(
+        F.sum(mass).alias("f"),
+        F.sum(F.when(e < top, mass * F.col("size") / F.col("mean")).otherwise(0.0)).alias("g"))
+    f, goal, lam = F.col("f"), F.col("target"), F.col("lam")
+    s = s.withColumn("lo", F.when(f < goal, lam).otherwise(F.col("lo"))) \
+        .withColumn("hi", F.when(f > goal, lam).otherwise(F.col("hi"))) \
+        .withColumn("done", F.col("done") | (F.abs(f - goal) <= TOLERANCE * goal)
+                    | F.coalesce(F.col("hi") - F.col("lo") <= 1e-14 * F.abs(F.col("hi")), F.lit(False)))
+    step = lam - F.when(F.col("g") > 0, F.log(f / goal) * f / F.col("g"))
+    inside = (step < F.col("hi")) & (F.col("lo").isNull() | (step > F.col("lo")))
+    middle = F.when(F.col("lo").isNull(), F.col("hi") * 2 - F.abs(F.col("hi")) - 1).otherwise((F.col("lo") + F.col("hi")) / 2)
+    return s.withColumn("lam", F.when(F.col("done"), lam).when(inside, step).otherwise(middle)).select(*state.columns)
+
+
 def solve_rates(hist: DataFrame, goals: DataFrame, bound: int = MAX_COPIES) -> DataFrame:
     """hist (key, size, n), goals (key, total, target) -> hist with rate.
     Safeguarded Newton steps on the log of each source's token sum; a step that
@@ -64,28 +84,16 @@ def solve_rates(hist: DataFrame, goals: DataFrame, bound: int = MAX_COPIES) -> D
         F.when(F.col("target") >= bound * F.col("total"), F.lit(1)).otherwise(0).alias("full"),
         F.lit(0.0).alias("lam"), F.lit(None).cast("double").alias("lo"),
         (F.lit(top) * F.col("total") / F.col("docs") / F.col("least") + 1e-9).alias("hi"))
-    state = stored(state, "mix")
-    for _ in range(MAX_STEPS):
-        e = F.col("lam") * F.col("size") / F.col("mean")
-        mass = F.col("n") * F.col("size") * F.exp(F.least(e, F.lit(top)))
-        sums = hist.where("size > 0").join(state, "key").groupBy("key").agg(
-            F.sum(mass).alias("f"),
-            F.sum(F.when(e < top, mass * F.col("size") / F.col("mean")).otherwise(0.0)).alias("g"))
-        s = state.join(sums, "key") \
-            .withColumn("lo", F.when(F.col("f") < F.col("target"), F.col("lam")).otherwise(F.col("lo"))) \
-            .withColumn("hi", F.when(F.col("f") > F.col("target"), F.col("lam")).otherwise(F.col("hi"))) \
-            .withColumn("done", (F.col("full") == 1) | (F.abs(F.col("f") - F.col("target")) <= TOLERANCE * F.col("target"))
-                        | F.coalesce(F.col("hi") - F.col("lo") <= 1e-14 * F.abs(F.col("hi")), F.lit(False)))
-        step = F.col("lam") - F.when(F.col("g") > 0, F.log(F.col("f") / F.col("target")) * F.col("f") / F.col("g"))
-        inside = (step < F.col("hi")) & (F.col("lo").isNull() | (step > F.col("lo")))
-        middle = F.when(F.col("lo").isNull(), F.col("hi") * 2 - F.abs(F.col("hi")) - 1).otherwise((F.col("lo") + F.col("hi")) / 2)
-        s = s.withColumn("lam", F.when(F.col("done"), F.col("lam")).when(inside, step).otherwise(middle))
-        s = stored(s.select(*state.columns, "done"), "mix")
-        state = s.drop("done")
-        if s.where(~F.col("done")).isEmpty():
+    state = stored(state.withColumn("done", F.col("full") == 1), "mix")
+    words = stored(hist.where("size > 0"), "mix")
+    for _ in range(MAX_BLOCKS):
+        for _ in range(STEPS):
+            state = _newton_step(words, state, top)
+        state = stored(state, "mix")
+        if state.where(~F.col("done")).isEmpty():
             break
     else:
-        raise RuntimeError(f"entropy balancing did not converge in {MAX_STEPS} steps")
+        raise RuntimeError(f"entropy balancing did not converge in {MAX_BLOCKS * STEPS} steps")
     e = F.col("lam") * F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("full") == 1, float(bound)) \
         .otherwise(F.round(F.exp(F.least(e, F.lit(top))), 9))
@@ -102,20 +110,15 @@ def round_copies(rates: DataFrame, bound: int = MAX_COPIES, passes: int = 4) ->
     due = F.sum(F.col("n") * F.col("rate")).over(w)
     bins = rates.withColumn("due", due).withColumn("copies", (
         F.floor(F.round(F.col("due"), 6) + 0.5) - F.floor(F.round(F.col("due") - F.col("n") * F.col("rate"), 6) + 0.5)))
-    bins = bins.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("copies"), F.col("n") * bound))).drop("due")
-    bins = stored(bins, "mix")
+    bins = bins.withColumn("copies", F.greatest(F.lit(0), F.least(F.col("copies"), F.col("n") * bound)).cast("long")).drop("due")
+    key, size, rest = Window.partitionBy("key"), F.col("size"), F.abs(F.col("rest"))
     for _ in range(passes):
-        rest = bins.groupBy("key").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("rest"))
-        b = bins.join(rest, "key")
-        room = F.when(F.col("rest") >= 0, F.col("n") * bound - F.col("copies")).otherwise(F.col("copies"))
-        b = b.withColumn("room", room)
-        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("rest")) & (F.col("room") > 0)
-        pick = b.where(fits).groupBy("key").agg(F.max("size").alias("pick"))
-        b = b.join(pick, "key", "left")
-        n = F.least(F.col("room"), F.floor(F.abs("rest") / F.col("size"))) * F.signum("rest").cast("long")
-        bins = stored(b.withColumn("copies", F.when((F.col("size") == F.col("pick")) & (F.col("size") > 0), F.col("copies") + n)
-                                   .otherwise(F.col("copies")).cast("long")).select(*bins.columns), "mix")
-    return bins
+        bins = bins.withColumn("rest", F.col("target") - F.sum(F.col("copies") * size).over(key))
+        bins = bins.withColumn("room", F.when(F.col("rest") >= 0, F.col("n") * bound - F.col("copies")).otherwise(F.col("copies")))
+        bins = bins.withColumn("pick", F.max(F.when((size > 0) & (size <= rest) & (F.col("room") > 0), size)).over(key))
+        more = F.least(F.col("room"), F.floor(rest / size)) * F.signum("rest").cast("long")
+        bins = bins.withColumn("copies", F.when(size == F.col("pick"), F.col("copies") + more).otherwise(F.col("copies")).cast("long"))
+    return stored(bins.drop("rest", "room", "pick"), "mix")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

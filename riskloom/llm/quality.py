@@ -29,10 +29,10 @@ MIN_GROUP = 100         # documents; smaller groups take the fences of their lan
 FENCES = {
     "word_length": (1.5, 8.0, True),
     "symbol_rate": (0.15, 8.0, False),
-    "dup_line_rate": (0.3, 8.0, False),
-    "repeat_rate": (0.2, 8.0, False),
+    "dup_line_rate": (0.5, 8.0, False),
+    "stutter_rate": (0.2, 8.0, False),
 }
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter")
 
 
 def _repeated_in(key: np.ndarray) -> np.ndarray:
@@ -73,8 +73,9 @@ def count_features(col: pa.Array) -> dict[str, np.ndarray]:
     dup = lines - np.bincount(ld[first], minlength=n)
     # repeated windows
     repeat = np.zeros(n, np.int64)
+    h = W.hash_spans(buf, s, e)
+    stutter = np.bincount(doc[1:][(h[1:] == h[:-1]) & (doc[1:] == doc[:-1])], minlength=n)
     if len(s) >= WINDOW:
-        h = W.hash_spans(buf, s, e)
         m = len(h) - WINDOW + 1
         with np.errstate(over="ignore"):
             key = np.zeros(m, np.uint64)
@@ -89,7 +90,7 @@ def count_features(col: pa.Array) -> dict[str, np.ndarray]:
         np.add.at(cover, at + WINDOW, -1)
         repeat = np.bincount(doc[np.cumsum(cover[:-1]) > 0], minlength=n)
     return {"n_words": n_words, "word_chars": body[off[1:]] - body[off[:-1]], "n_symbols": sym[off[1:]] - sym[off[:-1]],
-            "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": lines}
+            "n_dup_lines": dup, "n_repeat_words": repeat, "n_lines": lines, "n_stutter": stutter}
 
 
 def features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
@@ -110,7 +111,7 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "sourc
 def _rates(df: DataFrame) -> DataFrame:
     w, ln = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_lines"), F.lit(1))
     return df.withColumns({"word_length": F.col("word_chars") / w, "symbol_rate": F.col("n_symbols") / w,
-                           "dup_line_rate": F.col("n_dup_lines") / ln, "repeat_rate": F.col("n_repeat_words") / w})
+                           "dup_line_rate": F.col("n_dup_lines") / ln, "stutter_rate": F.col("n_stutter") / w})
 
 
 def fences(rated: DataFrame) -> DataFrame:
