@@ -38,3 +38,9 @@ def clean_text(col: str = "text") -> Column:
 def train_fold(doc_id: Column) -> Column:
     """crc32 of the id's text modulo 5 (null id: -1)."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)).cast("int"), F.lit(-1))
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The columns ``names`` next to a struct ``doc`` of all columns, so that
+    no column of the input can clash with a working column."""
+    return docs.select(*names, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import words as W
-from riskloom.llm.common import stored, table
+from riskloom.llm.common import packed, stored, table
 from riskloom.llm.components import connected_components
 from riskloom.llm.leaders import bucket_rows, link
 
@@ -155,14 +155,19 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs without the removed lines; n_chars follows where docs have it."""
-    gone = removed_lines(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("removed", "_removed")
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_removed", i)), "\n")
-    out = out.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars"))
-                             .otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+    gone = removed_lines(docs).withColumnRenamed("doc_id", "at")
+    d = packed(docs, F.col("doc_id").cast("long").alias("id")).join(gone, F.col("id") == F.col("at"), "left")
+    left = F.array_join(F.filter(F.split("doc.text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(left)
+    out = []
+    for c, kind in docs.dtypes:
+        col = F.col("doc")[c]
+        if c == "text":
+            col = text
+        elif c == "n_chars":
+            col = F.when(F.col("removed").isNull(), col).otherwise(F.length(left)).cast(kind)
+        out.append(col.alias(c))
+    return d.select(*out)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WORD, clean_text, stored, table
+from riskloom.llm.common import WORD, clean_text, packed, stored, table
 
 MAX_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -144,10 +144,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
         .drop("_part", "_rank", "each", "more")
 
 
+def sized_columns() -> tuple[Column, Column]:
+    return source_key(F.col("source")), F.regexp_count(clean_text(), F.lit(WORD)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """The columns that mixing needs: doc_id, key, size."""
-    return docs.select("doc_id", source_key(F.col("source")).alias("key"),
-                       F.regexp_count(clean_text(), F.lit(WORD)).cast("long").alias("size"))
+    key, size = sized_columns()
+    return docs.select("doc_id", key.alias("key"), size.alias("size"))
+
+
+def take_copies(docs: DataFrame) -> DataFrame:
+    """Every document as often as the mix takes it, with all its columns."""
+    taken = mix(stored(sized(docs), "mix")).where("copies > 0") \
+        .groupBy("doc_id", "key", "size").agg(F.max("copies").cast("int").alias("copies"))
+    taken = taken.withColumnsRenamed({"doc_id": "_id", "key": "_key", "size": "_size"})
+    key, size = sized_columns()
+    out = packed(docs, F.col("doc_id").alias("id"), key.alias("k"), size.alias("s")).join(
+        taken, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_key")) & (F.col("s") == F.col("_size")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

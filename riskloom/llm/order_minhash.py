@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import words as W
-from riskloom.llm.common import stored, table
+from riskloom.llm.common import packed, stored, table
 from riskloom.llm.components import connected_components
 from riskloom.llm.leaders import bucket_rows, link
 
@@ -201,11 +201,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return comp.select(F.col("id").alias("doc_id"), F.col("component").alias("class_id"))
 
 
-def with_classes(docs: DataFrame) -> DataFrame:
-    """All rows of docs with class_id; its own doc_id where nothing is near."""
-    cls = near_duplicates(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("class_id", "_class")
-    out = docs.join(cls, docs["doc_id"].cast("long") == F.col("_id"), "left")
-    return out.withColumn("class_id", F.coalesce("_class", F.col("doc_id").cast("long"))).drop("_id", "_class")
+def first_of_classes(docs: DataFrame) -> DataFrame:
+    """docs without the documents whose class has a smaller doc_id."""
+    gone = near_duplicates(docs).where("doc_id != class_id").select(F.col("doc_id").alias("gone"))
+    out = packed(docs, F.col("doc_id").cast("long").alias("id"))
+    return out.join(gone, F.col("id") == F.col("gone"), "left_anti").select("doc.*")
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,7 +105,7 @@ def features(docs: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang", "sourc
                 yield pa.RecordBatch.from_arrays(
                     [c.column(k) for k in carry] + [pa.array(f[k].astype(np.int64)) for k in COUNTS], [*carry, *COUNTS])
 
-    return docs.select(*carry, "text").mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*carry, "text"])).mapInArrow(run, schema)
 
 
 def _rates(df: DataFrame) -> DataFrame:
@@ -138,11 +138,12 @@ def fences(rated: DataFrame) -> DataFrame:
     return every.select(*out)
 
 
-def judge(counted: DataFrame) -> DataFrame:
-    """Adds base_failed and kept to counted documents (see ``features``)."""
+def judge(counted: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    """Adds base_failed and kept to counted documents (see ``features``);
+    limits: the fences of a whole corpus, else those of these documents."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rated = _rates(counted).withColumn("base_failed", failed)
-    f = fences(rated).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    f = (fences(rated) if limits is None else limits).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     out = rated.join(f, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     good = ~F.col("base_failed")
     for name in FENCES:
@@ -150,6 +151,23 @@ def judge(counted: DataFrame) -> DataFrame:
     return out.withColumn("kept", good).select(*counted.columns, "base_failed", "kept")
 
 
+def corpus_fences(docs: DataFrame) -> DataFrame:
+    """The fences of all documents, written once."""
+    counted = features(docs, ("lang", "source"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return stored(fences(_rates(counted).withColumn("base_failed", failed)), "quality")
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns.  A second pass counts
+    again instead of storing the texts between the passes."""
+    limits = corpus_fences(docs)
+    rest = [c for c in docs.columns if c not in ("text", "lang", "source")]
+    d = docs.select("text", "lang", "source", F.struct(*[docs[c] for c in rest]).alias("doc"))
+    kept = judge(features(d, ("text", "lang", "source", "doc")), limits).where("kept")
+    return kept.select(*[F.col(c) if c in ("text", "lang", "source") else F.col("doc")[c].alias(c) for c in docs.columns])
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stored(features(table(spark, sf_dir, "documents")), "quality")
     return judge(counted).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
