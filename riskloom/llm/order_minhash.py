@@ -9,7 +9,8 @@ texts: a link is 1 - edits / longer length of at least 0.8, in words.  Equal
 texts are one class before any sketch is compared.
 
 Texts shorter than five words have one k-mer, the whole text.  Texts without a
-word (null, empty, blank) and rows without doc_id link with nothing.  Rows with
+word (null, empty, blank) are equal texts.  Rows without doc_id link with
+nothing.  Rows with
 equal doc_id are one document if their texts are equal, and are linked as one
 node otherwise.  An empty table gives an empty table.
 """
@@ -92,10 +93,13 @@ def sketches_of(docs: DataFrame) -> DataFrame:
                     num = W.mix(np.arange(int(n.max(initial=0)), dtype=np.uint64) * W.U(0x9E3779B97F4A7C15) + W.U(seed))
                     with np.errstate(over="ignore"):
                         v = W.mix(h ^ num[W.run_positions(n)])
-                        seq.append(W.mix(np.add.reduceat(v, at) + n[full].astype(np.uint64)) if len(full) else v)
-                off = np.arange(len(full) + 1, dtype=np.int32) * keys.shape[1]
+                        both = np.zeros(len(n), np.uint64)
+                        if len(full):
+                            both[full] = W.mix(np.add.reduceat(v, at) + n[full].astype(np.uint64))
+                        seq.append(both)
+                off = np.concatenate([[0], np.cumsum(n > 0)]).astype(np.int32) * keys.shape[1]
                 yield pa.RecordBatch.from_arrays(
-                    [c.column("doc_id").take(pa.array(full)), pa.array(n[full].astype(np.int64)),
+                    [c.column("doc_id"), pa.array(n.astype(np.int64)),
                      *(pa.array(s.view(np.int64)) for s in seq),
                      pa.ListArray.from_arrays(pa.array(off), pa.array(keys.ravel().view(np.int64)))],
                     ["doc_id", "n_words", "h1", "h2", "keys"])
