@@ -28,6 +28,7 @@ from riskloom.llm.common import stored, table, train_fold
 MAX_TRAIN = 50_000       # labelled rows to learn from; so many ids are broadcast at most
 MAX_LEXICON = 20_000     # words that stand out most
 MIN_Z = 3.0
+MIN_GAIN = 2.0           # log-odds; weaker words tell languages and topics apart rather than toxicity
 PRIOR_SHARE = 0.1        # prior counts as a share of all counts
 MIN_LOSS = 0.05
 SIGNIFICANT = 0.01       # expected segments by chance in a text of its length
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | float:
     odds = lambda n, total: F.log((F.col(n) + a) / (total + prior - F.col(n) - a))
     delta = odds("n1", n1) - odds("n0", n0)
     z = delta / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    rows = c.select("word", "n1", "n0", delta.alias("delta"), z.alias("z"), a.alias("a")).where(F.col("z") >= MIN_Z) \
+    rows = c.select("word", "n1", "n0", delta.alias("delta"), z.alias("z"), a.alias("a")).where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_GAIN)) \
         .orderBy(F.desc("z"), "word").limit(MAX_LEXICON).collect()
     word = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(word)
