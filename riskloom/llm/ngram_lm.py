@@ -34,8 +34,8 @@ DISCOUNT = 0.75
 MIN_COUNT = 2                   # of a word in levels 2 and 3, of a context in level 3
 END = 0x5EED0F0E17D0C0DE        # the end token's hash
 SHARD_WORDS = 1 << 21           # words of a shard of level 1
-SHARD_TOKENS = 1 << 23          # training tokens of a shard of levels 2 and 3, on average
-HOLD = 1 << 21                  # keys that a task sums up before it passes them on
+SHARD_TOKENS = 1 << 21          # training tokens of a shard of levels 2 and 3, on average
+HOLD = 1 << 20                  # keys that a task sums up before it passes them on
 RANGE = 12.0                    # logarithms to base 10 down to -RANGE, in 65535 steps
 REL = 40                        # bits of a rank among successors
 
@@ -134,9 +134,8 @@ class Words:
     def counts(self, rank: np.ndarray) -> np.ndarray:
         out = np.zeros(len(rank), np.int64)
         for s in range(len(self.names)):
-            m = (rank >= self.starts[s]) & (rank < self.starts[s + 1])
-            if m.any():
-                out[m] = self.shard(s)["counts"][rank[m] - self.starts[s]]
+            m = np.flatnonzero((rank >= self.starts[s]) & (rank < self.starts[s + 1]))
+            out[m] = self.shard(s)["counts"][rank[m] - self.starts[s]]
         return out
 
 
@@ -181,37 +180,34 @@ class Level:
             if int(s[order[a]]) in self.names:
                 yield int(s[order[a]]), ask[order[a:b]]
 
-    def parents(self, parent: np.ndarray):
-        """Of every parent: where its range starts as a number and as an index,
-        and what it leaves to the lower order (1 where it has no range)."""
-        base, first, rest = np.full(len(parent), -1, np.int64), np.zeros(len(parent), np.int64), np.ones(len(parent))
-        end = base.copy()
+    def lookup(self, parent: np.ndarray, item: np.ndarray, counts: bool = False):
+        """For every (parent, item): the entry's index (-1 if absent), its rank
+        within the range, its probability and, of the parent, what it leaves to
+        the lower order (1 where it has no range); with ``counts`` the entry's
+        count instead of its probability.  Parents without a range, known by
+        what they leave, are not searched."""
+        index, rank = np.full(len(parent), -1, np.int64), np.full(len(parent), -1, np.int64)
+        kept, rest = np.zeros(len(parent)), np.ones(len(parent))
         for s, at in self.by_shard(parent):
             a, seq = self.shard(s)
             p = parent[at] - s * self.width
-            p, back = np.unique(p, return_inverse=True)
-            base[at], end[at] = seq["base"].get(p)[back], seq["base"].get(p + 1)[back]
-            first[at] = seq["first"].get(p)[back] + self.starts[s]
-            rest[at] = restore(a["rest"][p])[back]
-        return base, end, first, rest
-
-    def find(self, parent: np.ndarray, base: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Index of the item within its parent's range, -1 if absent."""
-        out = np.full(len(parent), -1, np.int64)
-        value = base + item
-        ask = np.where((base >= 0) & (item >= 0) & (value < end), parent, -1)
-        for s, at in self.by_shard(ask):
-            i = self.shard(s)[1]["items"].find(value[at])
-            out[at] = np.where(i >= 0, i + self.starts[s], -1)
-        return out
-
-    def column(self, parent: np.ndarray, index: np.ndarray, name: str) -> np.ndarray:
-        """What is kept with each found entry; 0 where none is."""
-        out = np.zeros(len(index), np.float64)
-        for s, at in self.by_shard(np.where(index >= 0, parent, -1)):
-            x = self.shard(s)[0][name][index[at] - self.starts[s]]
-            out[at] = restore(x) if x.dtype == np.uint16 else x
-        return out
+            left = a["rest"][p]
+            some = left > 0
+            at, p, left = at[some], p[some], left[some]
+            rest[at] = restore(left)
+            ask = item[at] >= 0
+            at, p = at[ask], p[ask]
+            u, back = np.unique(p, return_inverse=True)
+            value = seq["base"].get(u)[back] + item[at]
+            i = seq["items"].find(value)
+            hit = i >= 0
+            at, back, value, i = at[hit], back[hit], value[hit], i[hit]
+            inside = value < seq["base"].get(u + 1)[back]
+            at, back, i = at[inside], back[inside], i[inside]
+            index[at] = i + self.starts[s]
+            rank[at] = i - seq["first"].get(u)[back]
+            kept[at] = a["counts"][i] if counts else restore(a["kept"][i])
+        return index, rank, kept, rest
 
 
 def build_level(keys: DataFrame, shards: int, width: int, bits: int, context: str, model: "Trie", folder: str) -> Level:
@@ -232,9 +228,11 @@ def build_level(keys: DataFrame, shards: int, width: int, bits: int, context: st
             whole = model.context_counts(context, np.arange(width) + int(s) * width, parent)
             kept = np.maximum(c - DISCOUNT, 0) / whole[parent]
             rest = 1 - np.bincount(parent, kept, width)
+            left = quantise(np.maximum(rest, 1e-9))
+            left[parent] = np.maximum(left[parent], 1)       # 0 says that a parent has no range
             name = write_arrays(folder, {
                 **encode(base[parent] + item, "items"), **encode(base, "base"), **encode(first.astype(np.int64), "first"),
-                "kept": quantise(kept), "rest": quantise(np.maximum(rest, 1e-9)), "counts": c.astype(np.uint32)})
+                "kept": quantise(kept), "rest": left, "counts": c.astype(np.uint32)})
             yield pa.RecordBatch.from_pydict({"shard": [int(s)], "size": [len(k)], "name": [name]})
 
     rows = keys.repartition(max(shards, 1), "shard").mapInArrow(run, "shard long, size long, name string").collect()
@@ -262,23 +260,15 @@ class Trie:
                 n[m] = c[rank[m] - start]
         return np.maximum(n, 1)
 
-    def frequent(self, rank: np.ndarray) -> np.ndarray:
-        n = self.words.counts(rank)
-        return np.where((n >= MIN_COUNT) | (rank == self.words.size), rank, -1)
-
-    def pairs(self, rank: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(self, rank: np.ndarray, sizes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(word before, word) at every token; -1 where the word is rare."""
-        cur = self.frequent(rank)
+        cur = np.where((self.words.counts(rank) if n is None else n) >= MIN_COUNT, rank, -1)
         prev = np.empty(len(cur), np.int64)
         prev[1:] = cur[:-1]
         begin = np.cumsum(sizes) - sizes
         prev[begin] = self.words.size
         return prev, cur
 
-    def bigrams(self, prev: np.ndarray, cur: np.ndarray):
-        base, end, first, rest = self.two.parents(prev)
-        return self.two.find(prev, base, end, cur), first, rest
-
     def contexts(self, two: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The entry of level 2 that ends before every token."""
         out = np.empty(len(two), np.int64)
@@ -369,13 +359,10 @@ def train(docs: DataFrame, is_training, carry: list[str]) -> tuple[Trie, DataFra
 
     def trigrams(rank, sizes):
         prev, cur = model.pairs(rank, sizes)
-        two, first, _ = model.bigrams(prev, cur)
-        parent = model.contexts(two, sizes)
+        two, nth, seen, _ = model.two.lookup(prev, cur, counts=True)
+        parent = model.contexts(np.where(seen >= MIN_COUNT, two, -1), sizes)
         ok = (parent >= 0) & (two >= 0)
-        before = np.concatenate([[-1], prev[:-1]])
-        seen = model.two.column(np.where(ok, before, -1), np.where(ok, parent, -1), "counts")
-        ok &= seen >= MIN_COUNT
-        return parent[ok], (two - first)[ok]
+        return parent[ok], nth[ok]
 
     model.three = build_level(_keys(rows, wide, REL, trigrams), shards, wide, REL, "pairs", model, folder)
     return model, ids
@@ -391,14 +378,13 @@ def score(ids: DataFrame, model: Trie, carry: list[str]) -> DataFrame:
         for b in batches:
             for c in _slices(b):
                 rank, sizes = _arrays(c)
-                one = (model.words.counts(rank) + 0.5) / below
-                prev, cur = model.pairs(rank, sizes)
-                two, first, rest = model.bigrams(prev, cur)
-                p = model.two.column(prev, two, "kept") + rest * one
-                parent = model.contexts(two, sizes)
-                base, end, _, rest = model.three.parents(parent)
-                three = model.three.find(parent, base, end, np.where(two >= 0, two - first, -1))
-                p = model.three.column(parent, three, "kept") + rest * p
+                n = model.words.counts(rank)
+                one = (n + 0.5) / below
+                prev, cur = model.pairs(rank, sizes, n)
+                two, nth, kept, rest = model.two.lookup(prev, cur)
+                p = kept + rest * one
+                _, _, kept, rest = model.three.lookup(model.contexts(two, sizes), nth)
+                p = kept + rest * p
                 begin = np.cumsum(sizes) - sizes
                 total = lambda x: np.add.reduceat(x, begin)
                 yield pa.RecordBatch.from_arrays(
