@@ -27,7 +27,7 @@ MAX_COMMON = 0.002       # n-grams in a larger share of these are no features
 WINDOW = 14              # words of a training window of a template
 CONFIRM = 0.6            # share of a template's n-grams
 FALSE_RATE = 0.001       # of held-back plain paragraphs above the threshold
-MIN_TELLING = 3          # n-grams of templates
+MIN_TELLING = 2          # word triples of templates
 NONE = "none"
 
 # fixed values: notices and telling sentences of common licences
@@ -60,7 +60,7 @@ TEMPLATES = (
 )
 
 
-def grams(text: Column) -> Column:
+def grams(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     """Hashes of word pairs and triples; lower case, letters and digits only.
     The words are bound once, as a lambda's variable."""
     w = F.filter(F.split(F.lower(text), "[^a-z0-9\\x{80}-\\x{10ffff}]+"), lambda x: x != "")
@@ -69,7 +69,7 @@ def grams(text: Column) -> Column:
         n = F.size(ws)
         return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)]))) \
             .otherwise(F.array().cast("array<bigint>"))
-    return F.get(F.transform(F.array(w), lambda ws: F.concat(of(ws, 2), of(ws, 3))), F.lit(0))
+    return F.get(F.transform(F.array(w), lambda ws: F.concat(*[of(ws, k) for k in sizes])), F.lit(0))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -97,12 +97,13 @@ def fit(docs: DataFrame) -> Classifier:
     spark = docs.sparkSession
     t = templates(spark).withColumn("grams", F.array_distinct(grams(F.col("line"))))
     plain = stored(plain_sample(docs).withColumn("grams", F.array_distinct(grams(F.col("line")))), "license")
+    # a plain paragraph that holds several word triples of templates is no example of plain text
+    telling = [r["g"] for r in t.select(F.explode(grams(F.col("line"), (3,))).alias("g")).distinct().collect()]
+    plain = plain.where(F.size(F.array_intersect("grams", F.array(*map(F.lit, telling)))) < MIN_TELLING)
     own = t.select(F.explode("grams").alias("g")).distinct()
     n = plain.count()
     seen = plain.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > MAX_COMMON * max(n, 1))
     vocabulary = sorted(r["g"] for r in own.join(F.broadcast(own.join(seen, "g", "left_semi")), "g", "left_anti").collect())
-    # a plain paragraph that holds several n-grams of templates is no example of plain text
-    plain = plain.where(F.size(F.array_intersect("grams", F.array(*map(F.lit, vocabulary)))) < MIN_TELLING)
     words = F.split("line", " ")
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - WINDOW, F.lit(0)), F.lit(3))
     windows = t.select("family", "line", F.explode(starts).alias("at")) \
