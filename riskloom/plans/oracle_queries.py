@@ -14,8 +14,7 @@ _STAT_COLS = (["card_tx_count", "card_tx_mean_amt", "card_tx_std_amt", "card_tx_
                "card_hour_mean"] + [f"card_freq_product_{p}" for p in PRODUCTS] + ["card_merchant_entropy"])
 _MEDIANS = ",\n".join(f"median({c}) AS m_{c}" for c in _STAT_COLS)
 _FILLED = ",\n".join(
-    f"CAST(trunc(coalesce(j.{c}, m.m_{c})) AS BIGINT) AS {c}" if c == "card_tx_count"
-    else f"coalesce(j.{c}, m.m_{c}) AS {c}" for c in _STAT_COLS)
+    f"CAST(coalesce(j.{c}, m.m_{c}) AS DOUBLE) AS {c}" for c in _STAT_COLS)
 
 BEHAVIOUR_BODY = f"""
 cs AS (
@@ -174,7 +173,7 @@ prep AS (
     coalesce((SELECT code FROM enc WHERE "column" = 'DeviceType' AND value = coalesce(t.DeviceType, 'Unknown')), -1) AS DeviceType,
     coalesce((SELECT code FROM enc WHERE "column" = 'DeviceInfo' AND value = coalesce(t.DeviceInfo, 'Unknown')), -1) AS DeviceInfo,
     coalesce(t.addr1, med.m_addr1) AS addr1, coalesce(t.TransactionAmt, med.m_amt) AS TransactionAmt,
-    coalesce(t.card1, CAST(trunc(med.m_card) AS BIGINT)) AS card1
+    coalesce(CAST(t.card1 AS DOUBLE), med.m_card) AS card1
   FROM timed t, med
 )"""
 PREP_SELECT = ("SELECT TransactionID, isFraud, CAST(ProductCD AS INTEGER) AS ProductCD, "
@@ -237,7 +236,7 @@ ORACLE["device_card_bucket_rate"] = with_canon(DEVICE_TABLE + """
 SELECT card_bucket, """ + r6("avg(fraud_rate)", "mean_device_fraud_rate") + """, count(*) AS n_devices FROM (
   SELECT fraud_rate, CASE WHEN n_cards <= 0 THEN NULL WHEN n_cards <= 1 THEN '1' WHEN n_cards <= 2 THEN '2'
     WHEN n_cards <= 5 THEN '3-5' WHEN n_cards <= 10 THEN '6-10' WHEN n_cards <= 50 THEN '11-50'
-    WHEN n_cards <= 1000 THEN '50+' END AS card_bucket FROM devt) WHERE card_bucket IS NOT NULL GROUP BY 1""")
+    ELSE '50+' END AS card_bucket FROM devt) WHERE card_bucket IS NOT NULL GROUP BY 1""")
 ORACLE["describe_by_class"] = _q(
     "SELECT isFraud, count(TransactionAmt) AS count, " + ", ".join([
         r6("avg(TransactionAmt)", "mean"), r6("stddev_samp(TransactionAmt)", "std"),

@@ -557,12 +557,11 @@ def feature_importance(spark, sf_dir):
 
 @register("contribution_summary")
 def contribution_summary(spark, sf_dir):
-    from riskloom.operators import explain, split
+    from riskloom.operators import explain
     from riskloom.plans import train as tr
     art, _ = trained(spark, sf_dir)
     frame = tr._features(timed_transactions(spark, sf_dir), art)
-    sample = split.hash_sample(frame, 5000)
-    return explain.global_importance(explain.contributions(art.classifier, sample), art.features, 20)
+    return explain.global_importance(explain.contributions(art.classifier, frame), art.features, 20)
 
 
 @register("isotonic_calibration")

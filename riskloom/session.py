@@ -32,14 +32,17 @@ def get_session(master: str | None = None, partitions: int = 8, app: str = "risk
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder; only when the session
-    names none (local tests) set a scratch one."""
+    """Return the cluster's shared checkpoint folder.  A local session that
+    names none gets a scratch one; a cluster must name one, as the executors
+    cannot see a folder of the driver's machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="riskloom-ckpt-")
     sc.setCheckpointDir(path)
     return path

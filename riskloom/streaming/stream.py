@@ -61,17 +61,20 @@ def decode_messages(df: DataFrame, value: str = "value") -> DataFrame:
 
 # ---------------------------------------------------------------- sources / sinks
 def transaction_stream(spark: SparkSession, path: str | None = None, kafka_servers: str | None = None,
-                       topic: str = "fraud-transactions", max_per_trigger: int = 50) -> DataFrame:
+                       topic: str = "fraud-transactions", max_per_trigger: int | None = None) -> DataFrame:
     """Streaming transactions (decoded).  Kafka: ``startingOffsets``
-    latest and ``maxOffsetsPerTrigger`` like the reference consumer's poll
-    size; file source: JSON lines, ``maxFilesPerTrigger=1``."""
+    latest, ``max_per_trigger`` as ``maxOffsetsPerTrigger``; file source: JSON
+    lines, ``max_per_trigger`` as ``maxFilesPerTrigger``.  None: no limit."""
     if kafka_servers:
         raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
-               .option("subscribe", topic).option("startingOffsets", "latest")
-               .option("maxOffsetsPerTrigger", max_per_trigger).load())
-        return decode_messages(raw)
-    return (spark.readStream.schema(MESSAGE_SCHEMA).option("maxFilesPerTrigger", 1)
-            .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
+               .option("subscribe", topic).option("startingOffsets", "latest"))
+        if max_per_trigger:
+            raw = raw.option("maxOffsetsPerTrigger", max_per_trigger)
+        return decode_messages(raw.load())
+    files = spark.readStream.schema(MESSAGE_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record")
+    if max_per_trigger:
+        files = files.option("maxFilesPerTrigger", max_per_trigger)
+    return files.json(path)
 
 
 def write_messages(df: DataFrame, path: str | None = None, kafka_servers: str | None = None,
@@ -189,5 +192,9 @@ def _velocity_fn(windows: Sequence[tuple[int, str]]):
 def card_velocity_stream(stream: DataFrame, windows: Sequence[tuple[int, str]] = TIME_WINDOWS) -> DataFrame:
     """V7: streaming W1 / W2 keyed by card (null cards -> zeros, no state)."""
     keyed = stream.filter(F.col(ROLES.card).isNotNull()).select(ROLES.id, ROLES.card, ROLES.time)
-    return keyed.groupBy(ROLES.card).applyInPandasWithState(
+    timed = keyed.groupBy(ROLES.card).applyInPandasWithState(
         _velocity_fn(windows), VELOCITY_OUT, VELOCITY_STATE, "append", GroupStateTimeout.NoTimeout)
+    without = stream.filter(F.col(ROLES.card).isNull()).select(
+        *[F.col(f.name).cast(f.dataType) if f.name in (ROLES.id, ROLES.card) else F.lit(0).cast(f.dataType).alias(f.name)
+          for f in VELOCITY_OUT.fields])
+    return timed.unionByName(without)
