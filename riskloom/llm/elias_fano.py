@@ -7,6 +7,7 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
+TABLES: dict[str, np.ndarray] = {}
 
 
 def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
@@ -31,13 +32,16 @@ def encode(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
 def _select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Position of the r-th set bit of each word."""
     at, r, word = np.zeros(len(word), np.int64), r.astype(np.int64), word.copy()
-    for width in (32, 16, 8, 4, 2, 1):
+    if "byte" not in TABLES:
+        bits = (np.arange(256)[:, None] >> np.arange(8)) & 1
+        TABLES["byte"] = np.argsort(1 - bits, axis=1, kind="stable").astype(np.int64)   # set bits first, in order
+    for width in (32, 16, 8):
         n = np.bitwise_count(word & U((1 << width) - 1)).astype(np.int64)
         up = r >= n
         r -= np.where(up, n, 0)
         at += np.where(up, width, 0)
         word = np.where(up, word >> U(width), word)
-    return at
+    return at + TABLES["byte"][(word & U(255)).astype(np.int64), np.minimum(r, 7)]
 
 
 class Sequence:

@@ -46,8 +46,14 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x * (65535 / RANGE)), 0, 65535).astype(np.uint16)
 
 
+LEVELS: dict[str, np.ndarray] = {}      # the 65536 probabilities, made once in each process
+
+
 def restore(q: np.ndarray) -> np.ndarray:
-    return np.where(q == 65535, 0.0, 10.0 ** (q.astype(np.float64) * (-RANGE / 65535)))
+    if "p" not in LEVELS:
+        LEVELS["p"] = 10.0 ** (np.arange(65536) * (-RANGE / 65535))
+        LEVELS["p"][65535] = 0.0
+    return LEVELS["p"][q]
 
 
 def text_tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -174,17 +180,18 @@ class Level:
         """(shard, positions) of the parents >= 0 whose shard exists."""
         ask = np.flatnonzero(parent >= 0)
         s = parent[ask] // self.width
-        order = np.argsort(s, kind="stable")
+        order = np.argsort(s.astype(np.uint16) if len(s) and s.max() < 65536 else s, kind="stable")   # 16 bits: radix sort
         cut = np.flatnonzero(np.concatenate([[True], np.diff(s[order]) > 0])) if len(ask) else np.zeros(0, np.int64)
         for a, b in zip(cut, [*cut[1:], len(ask)]):
             if int(s[order[a]]) in self.names:
                 yield int(s[order[a]]), ask[order[a:b]]
 
-    def lookup(self, parent: np.ndarray, item: np.ndarray, counts: bool = False):
+    def lookup(self, parent: np.ndarray, item: np.ndarray, counts: bool = False, repeated: bool = True):
         """For every (parent, item): the entry's index (-1 if absent), its rank
         within the range, its probability and, of the parent, what it leaves to
         the lower order (1 where it has no range); with ``counts`` the entry's
-        count instead of its probability.  Parents without a range, known by
+        count instead of its probability; ``repeated``: parents come many times,
+        so each is read once.  Parents without a range, known by
         what they leave, are not searched."""
         index, rank = np.full(len(parent), -1, np.int64), np.full(len(parent), -1, np.int64)
         kept, rest = np.zeros(len(parent)), np.ones(len(parent))
@@ -197,7 +204,7 @@ class Level:
             rest[at] = restore(left)
             ask = item[at] >= 0
             at, p = at[ask], p[ask]
-            u, back = np.unique(p, return_inverse=True)
+            u, back = np.unique(p, return_inverse=True) if repeated else (p, np.arange(len(p)))
             value = seq["base"].get(u)[back] + item[at]
             i = seq["items"].find(value)
             hit = i >= 0
@@ -321,7 +328,7 @@ def _keys(ids: DataFrame, width: int, bits: int, items) -> DataFrame:
                 parent, item = items(*_arrays(c))
                 shard = parent // width
                 key = ((parent - shard * width) << bits) | item
-                order = np.argsort(shard, kind="stable")
+                order = np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 65536 else shard, kind="stable")
                 at = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(shard)]]) if len(shard) else []
                 for x, y in zip(at, at[1:]):
                     s = sums[0].setdefault(int(shard[order[x]]), Sums())
@@ -383,7 +390,7 @@ def score(ids: DataFrame, model: Trie, carry: list[str]) -> DataFrame:
                 prev, cur = model.pairs(rank, sizes, n)
                 two, nth, kept, rest = model.two.lookup(prev, cur)
                 p = kept + rest * one
-                _, _, kept, rest = model.three.lookup(model.contexts(two, sizes), nth)
+                _, _, kept, rest = model.three.lookup(model.contexts(two, sizes), nth, repeated=False)
                 p = kept + rest * p
                 begin = np.cumsum(sizes) - sizes
                 total = lambda x: np.add.reduceat(x, begin)
