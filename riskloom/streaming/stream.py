@@ -63,8 +63,8 @@ def decode_messages(df: DataFrame, value: str = "value") -> DataFrame:
 def transaction_stream(spark: SparkSession, path: str | None = None, kafka_servers: str | None = None,
                        topic: str = "fraud-transactions", max_per_trigger: int | None = None) -> DataFrame:
     """Streaming transactions (decoded).  Kafka: ``startingOffsets``
-    latest, ``max_per_trigger`` as ``maxOffsetsPerTrigger``; file source: JSON
-    lines, ``max_per_trigger`` as ``maxFilesPerTrigger``.  None: no limit."""
+    latest, ``max_per_trigger`` as ``maxOffsetsPerTrigger``; None: no
+    limit.  File stand-in: JSON lines, ``max_per_trigger`` files (None: one)."""
     if kafka_servers:
         raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
                .option("subscribe", topic).option("startingOffsets", "latest"))
@@ -72,9 +72,7 @@ def transaction_stream(spark: SparkSession, path: str | None = None, kafka_serve
             raw = raw.option("maxOffsetsPerTrigger", max_per_trigger)
         return decode_messages(raw.load())
     files = spark.readStream.schema(MESSAGE_SCHEMA).option("columnNameOfCorruptRecord", "_corrupt_record")
-    if max_per_trigger:
-        files = files.option("maxFilesPerTrigger", max_per_trigger)
-    return files.json(path)
+    return files.option("maxFilesPerTrigger", max_per_trigger or 1).json(path)
 
 
 def write_messages(df: DataFrame, path: str | None = None, kafka_servers: str | None = None,
