@@ -5,8 +5,9 @@ remainder.  The histogram of piece lengths, in classes of ``UNIT`` tokens, is
 all that the driver sees (at most ``CAPACITY / UNIT`` rows): a linear program
 over sequence patterns is solved by column generation, where a knapsack dynamic
 program prices new patterns; the rounded patterns then go to the pieces by
-their rank within each class.  Ranks are dealt over a hash of the piece, so a
-class that holds a third of all pieces is spread over many tasks.
+their rank within each class.  Ranks are dealt over a hash of the piece, in
+parts whose number grows with the pieces, so a class that holds a third of all
+pieces is spread over many tasks.
 
 Null or empty text: the end id alone.  Equal rows are packed each.  Other
 columns are ignored.  An empty table gives an empty table.
@@ -29,7 +30,8 @@ from riskloom.llm.common import stored, table
 CAPACITY = 2048
 UNIT = 8
 END_ID = 1
-SPREAD = 256
+SPREAD = 256             # parts of a class that are ranked apart, at least
+PART_ROWS = 200_000      # pieces of a part if all were of one class, on average
 MAX_COLUMNS = 5000       # patterns priced at most; the plan so far is valid at any time
 CACHED_WORDS = 500_000   # pieces of text whose ids a worker keeps
 SPECIAL = "<|endoftext|>"
@@ -181,8 +183,9 @@ def plan_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[t
 def pack(cut: DataFrame, capacity: int = CAPACITY, unit: int = UNIT) -> DataFrame:
     """Adds sequence_id and offset to the pieces of ``pieces`` (written once)."""
     spark = cut.sparkSession
+    spread = max(SPREAD, cut.count() // PART_ROWS)
     cut = cut.withColumn("_class", F.ceil(F.col("length") / unit).cast("int")) \
-        .withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SPREAD)))
+        .withColumn("_part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(spread)))
     counts = stored(cut.groupBy("_class", "_part").agg(F.count(F.lit(1)).alias("m")), "pack")
     hist = sorted((r["_class"], r["m"]) for r in counts.groupBy("_class").agg(F.sum("m").alias("m")).collect())
     size, demand = (np.array([h[i] for h in hist], np.int64) for i in (0, 1))
