@@ -34,7 +34,9 @@ SPREAD = 256             # parts of a class that are ranked apart, at least
 PART_ROWS = 200_000      # pieces of a part if all were of one class, on average
 MAX_COLUMNS = 5000       # patterns priced at most; the plan so far is valid at any time
 CACHED_WORDS = 500_000   # pieces of text whose ids a worker keeps
+GROUP = 256              # new words that are encoded as one text
 SPECIAL = "<|endoftext|>"
+SPACE = "\u0120"         # fixed value: how the vocabulary writes a space
 # letters of the texts that the standard library's patterns split as the vocabulary asks
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(f"[\x00-\x1b\x20-\x7f{_LETTERS}]*")
@@ -42,31 +44,52 @@ PIECES = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_
 
 
 class Encoder:
-    """Ids of a text as little-endian 32-bit bytes; remembers the ids of each
+    """Ids of texts as little-endian 32-bit bytes; remembers the ids of each
     piece of text, as texts repeat their words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.leads = np.zeros(max(vocab.values(), default=0) + 1, bool)      # ids that begin with a space
+        self.leads[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __call__(self, text: str) -> bytes:
-        if SPECIAL in text or not PLAIN.fullmatch(text):
-            return self.whole(text)
-        parts, known = PIECES.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            new = list({p for p in parts if p not in known})
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
-                new = list(set(parts))
-            ids = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-            known.update((p, np.array(x.ids, "<u4").tobytes()) for p, x in zip(new, ids))
-            return b"".join(map(known.__getitem__, parts))
+    def learn_words(self, words: list[str]) -> list[str]:
+        """Words that begin with their only space are encoded as one text, which
+        splits at the spaces again.  Returns the words of groups where it did not."""
+        groups = [words[i:i + GROUP] for i in range(0, len(words), GROUP)]
+        failed = []
+        for g, x in zip(groups, self.tokenizer.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(x.ids, "<u4")
+            start = 4 * np.flatnonzero(self.leads[ids])
+            if len(start) != len(g) or start[0]:
+                failed += g
+                continue
+            raw, start = ids.tobytes(), start.tolist()
+            self.known.update(zip(g, [raw[i:j] for i, j in zip(start, [*start[1:], len(raw)])]))
+        return failed
+
+    def learn(self, new: set[str]) -> None:
+        words = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        rest = list(new.difference(words)) + self.learn_words(words)
+        ids = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.known.update((p, np.array(x.ids, "<u4").tobytes()) for p, x in zip(rest, ids))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        parts = [None if SPECIAL in t or not PLAIN.fullmatch(t) else PIECES.findall(t) for t in texts]
+        new: set[str] = set()
+        for p in parts:
+            new.update(p or ())
+        unknown = new.difference(self.known)
+        if len(self.known) + len(unknown) > CACHED_WORDS:
+            self.known.clear()
+            unknown = new
+        self.learn(unknown)
+        return [self.whole(t) if p is None else b"".join(map(self.known.__getitem__, p)) for t, p in zip(texts, parts)]
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -98,8 +121,8 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         for b in batches:
             for c in W.chunks(b):
                 who, start, length, crc, total = [], [], [], [], []
-                for i, t in enumerate(c.column("text").to_pylist()):
-                    ids = encode(t or "") + end
+                for i, ids in enumerate(encode([t or "" for t in c.column("text").to_pylist()])):
+                    ids += end
                     for k in range(0, len(ids), step):
                         part = ids[k:k + step]
                         who.append(i)
