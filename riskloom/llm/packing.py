@@ -33,7 +33,7 @@ END_ID = 1
 SPREAD = 256             # parts of a class that are ranked apart, at least
 PART_ROWS = 200_000      # pieces of a part if all were of one class, on average
 MAX_COLUMNS = 5000       # patterns priced at most; the plan so far is valid at any time
-CACHED_WORDS = 500_000   # pieces of text whose ids a worker keeps
+CACHED_WORDS = 1_000_000 # pieces of text whose ids a worker keeps
 GROUP = 256              # new words that are encoded as one text
 SPECIAL = "<|endoftext|>"
 SPACE = "\u0120"         # fixed value: how the vocabulary writes a space
@@ -74,7 +74,7 @@ class Encoder:
         return failed
 
     def learn(self, new: set[str]) -> None:
-        words = [p for p in new if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        words = [p for p in new if " !" <= p < "!"]       # a space and then no space
         rest = list(new.difference(words)) + self.learn_words(words)
         ids = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
         self.known.update((p, np.array(x.ids, "<u4").tobytes()) for p, x in zip(rest, ids))
