@@ -28,6 +28,7 @@ WINDOW = 14              # words of a training window of a template
 CONFIRM = 0.6            # share of a template's n-grams
 FALSE_RATE = 0.001       # of held-back plain paragraphs above the threshold
 MIN_TELLING = 2          # word triples of templates
+FIT_PARTS = 4            # partitions of the bounded training table
 NONE = "none"
 
 # fixed values: notices and telling sentences of common licences
@@ -112,7 +113,8 @@ def fit(docs: DataFrame) -> Classifier:
     around = plain.select(F.col("line").alias("around")).orderBy(F.xxhash64("line")).limit(4)
     mixed = windows.crossJoin(F.broadcast(around)).select("family", F.concat_ws(" ", "around", "line", "around").alias("line"))  # 4 rows
     rows = windows.unionByName(mixed).unionByName(plain.select(F.lit(NONE).alias("family"), "line"))
-    rows = stored(rows.select("family", F.array_distinct(grams(F.col("line"))).alias("grams"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("aside")), "license")
+    rows = stored(rows.select("family", F.array_distinct(grams(F.col("line"))).alias("grams"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("aside"))
+                  .coalesce(FIT_PARTS), "license")
     families = [NONE, *sorted({f for f, _ in TEMPLATES})]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     vec = CountVectorizerModel.from_vocabulary([str(g) for g in vocabulary], inputCol="text_grams", outputCol="features", binary=True)
