@@ -65,6 +65,11 @@ class Sequence:
         pos = 64 * w + _select_in_word(self.high[w], i - self.ones[w])
         return ((pos - i) << self.l) | self._low(i)
 
+    def _zero(self, k: np.ndarray) -> np.ndarray:
+        """Position of the k-th zero of the high bits."""
+        w = np.searchsorted(self.zeros, k, "right") - 1
+        return 64 * w + _select_in_word(~self.high[w], k - self.zeros[w])
+
     def find(self, value: np.ndarray) -> np.ndarray:
         """Index of each value in a strictly rising sequence, -1 if absent."""
         out = np.full(len(value), -1, np.int64)
@@ -74,19 +79,16 @@ class Sequence:
         v = value[ask]
         h = v >> self.l
         want = v & ((1 << self.l) - 1)
-        k = np.maximum(h - 1, 0)                          # the zero that closes the bucket before
-        w = np.searchsorted(self.zeros, k, "right") - 1
-        pos = 64 * w + _select_in_word(~self.high[w], k - self.zeros[w])
-        pos = np.where(h == 0, 0, pos + 1)                # first bit of the bucket
-        live = np.arange(len(ask))
-        while len(live):
-            p = pos[live]
-            one = (self.high[p >> 6] >> (p & 63).astype(np.uint64)) & U(1) == 1
-            live, p = live[one], p[one]
-            i = p - h[live]
-            low = self._low(i)
-            hit = low == want[live]
-            out[ask[live[hit]]] = i[hit]
-            live = live[low < want[live]]
-            pos[live] += 1
+        lo = np.where(h == 0, 0, self._zero(np.maximum(h - 1, 0)) + 1) - h     # the bucket's entries: from lo
+        end = self._zero(h) - h                                               # to end
+        hi, live = end.copy(), np.flatnonzero(lo < end)
+        while len(live):                                  # the low bits rise within a bucket: halve it
+            mid = (lo[live] + hi[live]) >> 1
+            less = self._low(mid) < want[live]
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], mid)
+            live = live[lo[live] < hi[live]]
+        live = np.flatnonzero(lo < end)
+        live = live[self._low(lo[live]) == want[live]]
+        out[ask[live]] = lo[live]
         return out
