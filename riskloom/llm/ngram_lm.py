@@ -186,13 +186,13 @@ class Level:
             if int(s[order[a]]) in self.names:
                 yield int(s[order[a]]), ask[order[a:b]]
 
-    def lookup(self, parent: np.ndarray, item: np.ndarray, counts: bool = False, repeated: bool = True):
+    def lookup(self, parent: np.ndarray, item: np.ndarray, counts: bool = False):
         """For every (parent, item): the entry's index (-1 if absent), its rank
         within the range, its probability and, of the parent, what it leaves to
         the lower order (1 where it has no range); with ``counts`` the entry's
-        count instead of its probability; ``repeated``: parents come many times,
-        so each is read once.  Parents without a range, known by
-        what they leave, are not searched."""
+        count instead of its probability.  Each entry is looked up once, in
+        order; parents without a range, known by what they leave, are not
+        searched."""
         index, rank = np.full(len(parent), -1, np.int64), np.full(len(parent), -1, np.int64)
         kept, rest = np.zeros(len(parent)), np.ones(len(parent))
         for s, at in self.by_shard(parent):
@@ -204,16 +204,18 @@ class Level:
             rest[at] = restore(left)
             ask = item[at] >= 0
             at, p = at[ask], p[ask]
-            u, back = np.unique(p, return_inverse=True) if repeated else (p, np.arange(len(p)))
-            value = seq["base"].get(u)[back] + item[at]
-            i = seq["items"].find(value)
+            both, back = np.unique((p << REL) | item[at], return_inverse=True)      # each entry once, in order
+            p, want = both >> REL, both & ((1 << REL) - 1)
+            new = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.zeros(0, bool)
+            u, of = p[new], np.cumsum(new) - 1
+            start, end = seq["base"].get(u)[of], seq["base"].get(u + 1)[of]
+            i = seq["items"].find(np.where(start + want < end, start + want, -1))
             hit = i >= 0
-            at, back, value, i = at[hit], back[hit], value[hit], i[hit]
-            inside = value < seq["base"].get(u + 1)[back]
-            at, back, i = at[inside], back[inside], i[inside]
-            index[at] = i + self.starts[s]
-            rank[at] = i - seq["first"].get(u)[back]
-            kept[at] = a["counts"][i] if counts else restore(a["kept"][i])
+            nth, value = np.full(len(i), -1, np.int64), np.zeros(len(i))
+            nth[hit] = i[hit] - seq["first"].get(p[hit])
+            value[hit] = a["counts"][i[hit]] if counts else restore(a["kept"][i[hit]])
+            index[at] = np.where(hit, i + self.starts[s], -1)[back]
+            rank[at], kept[at] = nth[back], value[back]
         return index, rank, kept, rest
 
 
@@ -390,7 +392,7 @@ def score(ids: DataFrame, model: Trie, carry: list[str]) -> DataFrame:
                 prev, cur = model.pairs(rank, sizes, n)
                 two, nth, kept, rest = model.two.lookup(prev, cur)
                 p = kept + rest * one
-                _, _, kept, rest = model.three.lookup(model.contexts(two, sizes), nth, repeated=False)
+                _, _, kept, rest = model.three.lookup(model.contexts(two, sizes), nth)
                 p = kept + rest * p
                 begin = np.cumsum(sizes) - sizes
                 total = lambda x: np.add.reduceat(x, begin)
