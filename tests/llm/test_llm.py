@@ -105,11 +105,13 @@ def test_shares_stop_at_the_bound(spark):
 
 def test_elias_fano_finds_and_reads():
     rng = np.random.default_rng(1)
-    for top in (50, 10_000, 10 ** 12):
-        v = np.unique(rng.integers(0, top, 3000))
+    dense = np.arange(5000) * 3 + 7         # thousands of entries in one bucket, far from the others
+    for top in (50, 10_000, 10 ** 12, 0):
+        v = np.unique(rng.integers(0, top, 3000)) if top else np.concatenate([dense, [10 ** 9, 10 ** 12]])
+        top = max(top, int(v[-1]) + 5)
         s = elias_fano.Sequence(elias_fano.encode(v, "v"), "v")
         assert (s.get(np.arange(len(v))) == v).all()
-        ask = np.concatenate([v, rng.integers(0, top, 2000)])
+        ask = np.concatenate([v, v + 1, v, rng.integers(0, top, 2000)])
         at = np.minimum(np.searchsorted(v, ask), len(v) - 1)
         assert (s.find(ask) == np.where(v[at] == ask, at, -1)).all()
 
