@@ -30,6 +30,7 @@ SHINGLE = 8
 BANDS = 8
 ROWS = 3
 SIMILARITY = 0.8
+BLOCK = 1 << 15     # shingles that are sketched at a time
 
 
 def line_spans(buf: np.ndarray, off: np.ndarray):
@@ -56,17 +57,28 @@ def shingle_values(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.nd
 
 
 def band_keys(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One row of band keys per line."""
-    start = np.cumsum(n) - n
-    x = (x >> W.U(32)).astype(np.uint32)
+    """One row of band keys per line; whole lines of about BLOCK shingles at a
+    time, so that the arrays stay in a core's cache."""
     out = np.zeros((len(n), BANDS), np.uint64)
-    if len(n):
-        with np.errstate(over="ignore"):
-            for j in range(BANDS * ROWS):
-                r = W.mix(np.array([j + 1], np.uint64))[0]
-                v = x * np.uint32(int(r) & 0xFFFFFFFF | 1) + np.uint32(int(r) >> 32)
-                low = np.minimum.reduceat(v, start).astype(np.uint64)
-                out[:, j // ROWS] = W.mix(out[:, j // ROWS] * W.U(0x9FB21C651E98DF25) + low + W.U(j + 1))
+    if not len(n):
+        return out
+    end = np.cumsum(n)
+    x = (x >> W.U(32)).astype(np.uint32)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(end // BLOCK)) + 1, [len(n)]])
+    seeds = [int(W.mix(np.array([j + 1], np.uint64))[0]) for j in range(BANDS * ROWS)]
+    room = np.empty(int(np.diff(np.concatenate([[0], end[cuts[1:] - 1]])).max()), np.uint32)
+    low = np.empty((BANDS * ROWS, len(n)), np.uint32)
+    for p, q in zip(cuts, cuts[1:]):
+        start = end[p:q] - n[p:q]
+        part = x[start[0]:end[q - 1]]
+        v, start = room[:len(part)], start - start[0]
+        for j, r in enumerate(seeds):
+            np.multiply(part, np.uint32(r & 0xFFFFFFFF | 1), out=v)
+            np.add(v, np.uint32(r >> 32), out=v)
+            low[j, p:q] = np.minimum.reduceat(v, start)
+    with np.errstate(over="ignore"):
+        for j in range(BANDS * ROWS):
+            out[:, j // ROWS] = W.mix(out[:, j // ROWS] * W.U(0x9FB21C651E98DF25) + low[j].astype(np.uint64) + W.U(j + 1))
     return out
 
 
