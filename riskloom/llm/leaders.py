@@ -1,21 +1,40 @@
 """Linking within buckets without listing pairs.
 
-Every bucket elects its smallest id as leader and only pairs with the leader
-are verified, so work is linear in the rows of buckets.  Members that the
-leader does not match stay behind: their bucket is refined by the next of their
-keys (which parts texts that differ) and elects again; once a row has used all
-its keys, its bucket elects plainly until nobody is left.  No member, pair or
-bucket is capped.
+Every bucket elects its smallest id as leader, and members that it does not
+match elect again, ``ROUNDS`` times; each round verifies a pair a row.  The
+links found part a bucket's members into components.  Then comes the exact
+pass: members outside their bucket's largest component are compared with all
+members of other components, in blocks of bounded rows and bytes inside tasks.
+A block gives only links that join two components, so at most one a row.  No
+member, pair or bucket is capped: the components are those of all verified
+pairs that share a bucket.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm import words as W
 from riskloom.llm.common import stored
+from riskloom.llm.components import connected_components
+
+ROUNDS = 2
+BLOCK = 256                 # rows of a side of a block
+BLOCK_BYTES = 1 << 23       # bytes of text of a side of a block
+FOLD = 128                  # cells of the folded counts that bound the common items
+
+
+class Rule(NamedTuple):
+    """When two texts are linked."""
+    items: Callable[[pa.Array], list[np.ndarray]]       # hashes of every text
+    need: Callable[[np.ndarray, np.ndarray], np.ndarray]    # common items that texts of so many items need at least
+    same: Callable[[np.ndarray, np.ndarray], bool]
 
 
 def bucket_rows(sketches: DataFrame) -> DataFrame:
@@ -27,31 +46,108 @@ def bucket_rows(sketches: DataFrame) -> DataFrame:
     return flat.join(shared, "bucket", "left_semi")
 
 
-def link(rows: DataFrame, sketches: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """rows of ``bucket_rows``; verify takes distinct pairs (a, b) and returns
-    (a, b, ok).  Returns the verified links (a, b)."""
-    n_keys = sketches.select(F.max(F.size("keys"))).first()[0] or 0
-    members = rows.select("id").distinct()
-    rows = stored(rows.join(sketches.join(members, "id", "left_semi").select("id", "keys"), "id"), "rows")
-    known, step = None, 0
-    while True:
-        lead = rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-        cur = stored(rows.join(lead.drop("last"), "bucket").where(F.col("id") != F.col("lead")), "rows")
-        if cur.isEmpty():
-            break
+def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Distinct pairs (a, b) and texts (id, text) -> (a, b, ok)."""
+    def run(batches):
+        for batch in batches:
+            for c in W.chunks(batch, "x"):
+                x, y = rule.items(c.column("x")), rule.items(c.column("y"))
+                ok = [bool(rule.same(p, q)) for p, q in zip(x, y)]
+                yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b") \
+        .join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
+
+
+def _blocks(batches) -> Iterator[pa.Table]:
+    """The rows of each block; blocks lie one after the other."""
+    held, last = [], None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block = b.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), b.num_rows]
+        for p, q in zip(cuts, cuts[1:]):
+            if held and block[p] != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(b.slice(p, q - p))
+            last = block[p]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def join_block(t: pa.Table, rule: Rule) -> tuple[list[int], list[int]]:
+    """Links (a, b) that join components of a block.  A pair is left to the
+    first bucket that both texts share."""
+    left, main, j = (t.column(c).to_numpy() for c in ("left", "main", "j"))
+    key = t.column("id").to_numpy()
+    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+    _, group = np.unique(t.column("component").to_numpy(), return_inverse=True)
+    items = rule.items(t.column("text"))
+    size = np.array([len(x) for x in items], np.int64)
+    owner = np.repeat(np.arange(len(key)), size)
+    cell = (np.concatenate(items) >> W.U(57)).astype(np.int64) if len(owner) else owner
+    fold = np.bincount(owner * FOLD + cell, minlength=len(key) * FOLD).reshape(-1, FOLD).astype(np.int32)
+    right = np.flatnonzero(~left)
+    a, b = [], []
+    for i in np.flatnonzero(left):
+        # of two members outside the largest component, the smaller id is on the left
+        to = right[(group[right] != group[i]) & (main[right] | (key[right] > key[i]))]
+        to = to[~(keys[to, :j[i]] == keys[i, :j[i]]).any(axis=1)]
+        to = to[np.minimum(fold[to], fold[i]).sum(axis=1) >= rule.need(size[to], size[i])]
+        for k in to:
+            if group[k] != group[i] and rule.same(items[i], items[k]):
+                group[group == group[k]] = group[i]
+                a.append(int(key[i]))
+                b.append(int(key[k]))
+    return a, b
+
+
+def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): the links within buckets that the links ``known`` do not imply.
+    A bucket's smallest id has been compared with all members already."""
+    lead = rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
+    comp = connected_components(known)
+    m = rows.join(lead.drop("last"), "bucket").where("id != lead").drop("lead").join(comp, "id", "left") \
+        .withColumn("component", F.coalesce("component", "id"))
+    m = stored(m.join(texts.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "id"), "rows")
+    size = m.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    size = size.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max(F.struct("n", "component", "bytes")).alias("top"),
+                                      F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("parts > 1")
+    parts = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES, F.lit(1.0))).cast("int")
+    size = size.select("bucket", "most", parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("nl"), parts(F.col("n"), F.col("bytes")).alias("nr"))
+    m = m.join(size, "bucket").withColumn("main", F.col("component") == F.col("most"))
+    part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    left = m.where(~F.col("main")).select("*", part(F.col("nl"), 1).alias("lb"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"), F.lit(True).alias("left"))
+    right = m.select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lb"), part(F.col("nr"), 2).alias("rb"), F.lit(False).alias("left"))
+    both = left.unionByName(right).select("id", "j", "component", "main", "left", F.xxhash64("bucket", "lb", "rb").alias("block"))
+    both = both.join(sketches.select("id", "keys"), "id").join(texts.select("id", "text"), "id") \
+        .repartition("block").sortWithinPartitions("block")
+
+    def run(batches):
+        for t in _blocks(batches):
+            a, b = join_block(t, rule)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return both.select("block", "id", "j", "component", "main", "left", "keys", "text").mapInArrow(run, "a long, b long")
+
+
+def link(rows: DataFrame, sketches: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """rows of ``bucket_rows`` and texts (id, text) -> verified links (a, b),
+    whose components are those of all pairs of a bucket."""
+    known, left = None, rows
+    for _ in range(ROUNDS):
+        lead = left.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
+        cur = stored(left.join(lead.drop("last"), "bucket").where(F.col("id") != F.col("lead")), "rows")
         pairs = cur.select(F.col("id").alias("b"), F.col("lead").alias("a")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        new = stored(verify(pairs), "links")
+        new = stored(verify(pairs, texts, rule), "links")
         known = new if known is None else known.unionByName(new)
         good = known.where("ok").select(F.col("b").alias("id"), F.col("a").alias("lead"))
         left = cur.join(good, ["id", "lead"], "left_anti").drop("lead")
-        step += 1
-        if step < n_keys:
-            left = left.withColumn("bucket", F.xxhash64("bucket", F.get("keys", F.pmod(F.col("j") + step, F.size("keys")))))
-        rows = left
-    spark = sketches.sparkSession
-    if known is None:
-        kind = dict(sketches.dtypes)["id"]
-        return spark.createDataFrame([], f"a {kind}, b {kind}")
-    return known.where("ok").select("a", "b")
+    found = known.where("ok").select("a", "b")
+    return found.unionByName(stored(rest(rows, sketches, found, texts, rule), "links"))

@@ -2,8 +2,8 @@
 
 A line is trimmed and A-Z lowered; its shingles are runs of eight bytes of
 characters.  Equal lines are one text.  MinHash bands of three put lines of
-similarity 0.8 into a shared bucket with odds of 0.997; bucket leaders are
-compared by the exact Jaccard similarity of shingles, and distributed
+similarity 0.8 into a shared bucket with odds of 0.997; the lines of a bucket
+are compared by the exact Jaccard similarity of shingles, and distributed
 union-find joins the links.  The first line of a component (by doc_id, then
 line number) stays, all others go.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import words as W
 from riskloom.llm.common import packed, stored, table
 from riskloom.llm.components import connected_components
-from riskloom.llm.leaders import bucket_rows, link
+from riskloom.llm.leaders import Rule, bucket_rows, link
 
 SHINGLE = 8
 BANDS = 8
@@ -103,9 +103,9 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, line_no int, id long, check long, " + ", ".join(f"{n} long" for n in names))
 
 
-def verify_with(lines: DataFrame, similarity: float = SIMILARITY):
-    """lines (id, line) -> a function of pairs (a, b) to (a, b, ok)."""
-    def shingles(col):
+def rule(similarity: float = SIMILARITY) -> Rule:
+    """Lines are linked by the Jaccard similarity of their shingles."""
+    def items(col):
         buf, off = W.text_bytes(col)
         buf = W.lower_az(buf)
         s, e = W.word_spans(buf, off)
@@ -113,28 +113,18 @@ def verify_with(lines: DataFrame, similarity: float = SIMILARITY):
         k = np.arange(len(col))
         first, last = np.searchsorted(doc, k), np.searchsorted(doc, k, "right") - 1
         x, n = shingle_values(buf, s[first], e[last])
-        return x, np.concatenate([[0], np.cumsum(n)])
+        return [np.unique(v) for v in np.split(x, np.cumsum(n)[:-1])] if len(n) else []
 
-    def run(batches):
-        for batch in batches:
-            for c in W.chunks(batch, "x"):
-                (xa, oa), (xb, ob) = shingles(c.column("x")), shingles(c.column("y"))
-                ok = []
-                for i in range(c.num_rows):
-                    p, q = np.unique(xa[oa[i]:oa[i + 1]]), np.unique(xb[ob[i]:ob[i + 1]])
-                    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                        ok.append(False)
-                        continue
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
-                yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(lines.select(F.col("id").alias("b"), F.col("line").alias("y")), "b") \
-            .join(lines.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
-
-    return verify
+    def need(m, n):
+        return np.maximum((similarity * (m + n) - 1e-9) / (1 + similarity), similarity * np.maximum(m, n)) - 1e-6
+
+    def same(p, q):
+        if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+            return False
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        return both >= similarity * (len(p) + len(q) - both) - 1e-9
+
+    return Rule(items, need, same)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -151,9 +141,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     at = at.groupBy("at.doc_id").agg(F.collect_list(F.struct("id", "at.line_no")).alias("want"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = text.join(at, "doc_id").select(F.split("text", "\n", -1).alias("all"), F.explode("want").alias("w")) \
-        .select(F.col("w.id").alias("id"), F.get("all", F.col("w.line_no")).alias("line")).where("line rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+        .select(F.col("w.id").alias("id"), F.get("all", F.col("w.line_no")).alias("text")).where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     found = stored(found.dropDuplicates(["id"]), "lines")
-    comp = connected_components(link(rows, sketches, verify_with(found)))
+    comp = connected_components(link(rows, sketches, found, rule()))
     where = lines.select("doc_id", "line_no", "id", "check").join(comp, "id", "left") \
         .select("doc_id", "line_no", F.coalesce("component", "id").alias("group"),
                 F.when(F.col("component").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"))

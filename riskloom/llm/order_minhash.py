@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import words as W
 from riskloom.llm.common import packed, stored, table
 from riskloom.llm.components import connected_components
-from riskloom.llm.leaders import bucket_rows, link
+from riskloom.llm.leaders import Rule, bucket_rows, link
 
 K = 5
 SKETCHES = 20       # at shingle similarity 0.8 a sketch agrees with 0.64: missing all 20 has odds of 1e-9
@@ -165,26 +165,23 @@ def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     return None
 
 
-def verify_with(texts: DataFrame, similarity: float = SIMILARITY):
-    """texts (id, text) -> a function of pairs (a, b) to (a, b, ok)."""
-    def run(batches):
-        for batch in batches:
-            for c in W.chunks(batch, "x"):
-                ha, na = W.word_hashes(c.column("x"))
-                hb, nb = W.word_hashes(c.column("y"))
-                ea, eb = np.cumsum(na), np.cumsum(nb)
-                ok = []
-                for p, q, m, n in zip(ea - na, eb - nb, na, nb):
-                    limit = int((1 - similarity) * max(m, n) + 1e-9)
-                    ok.append(edits_within(ha[p:p + m], hb[q:q + n], limit) is not None)
-                yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+def rule(similarity: float = SIMILARITY) -> Rule:
+    """Texts are linked by the edit distance of their words."""
+    def items(col):
+        h, n = W.word_hashes(col)
+        return np.split(h, np.cumsum(n)[:-1]) if len(n) else []
+
+    def limit(long):
+        return np.floor((1 - similarity) * long + 1e-9).astype(np.int64)
+
+    def need(m, n):
+        long = np.maximum(m, n)
+        return long - limit(long)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b") \
-            .join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-        return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, ok boolean")
+    def same(a, b):
+        return edits_within(a, b, int(limit(np.int64(max(len(a), len(b)))))) is not None
 
-    return verify
+    return Rule(items, need, same)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -198,7 +195,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(bucket_rows(one), "omh")
     wanted = rows.select("id").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    links = link(rows, one, verify_with(stored(texts, "omh")))
+    links = link(rows, one, stored(texts, "omh"), rule())
     # a doc_id with several texts ties their classes together
     ties = member.where(F.col("doc_id") != F.col("id")).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     comp = connected_components(links.unionByName(ties))

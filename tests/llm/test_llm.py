@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from riskloom.llm import elias_fano, license_scan, line_dedup, mixing, ngram_lm, order_minhash, packing, quality, range_join, secrets, toxicity
+from riskloom.llm import elias_fano, leaders, license_scan, line_dedup, mixing, ngram_lm, order_minhash, packing, quality, range_join, secrets, toxicity
 from riskloom.llm.common import train_fold
 from riskloom.llm.components import connected_components
 
@@ -181,6 +181,78 @@ def test_line_dedup_against_all_pairs(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(d).collect()} == want
 
 
+def components_of(ids, linked):
+    comp = {i: i for i in ids}
+    for i in ids:
+        for k in ids:
+            if k < i and comp[i] != comp[k] and linked(i, k):
+                old, new = max(comp[i], comp[k]), min(comp[i], comp[k])
+                comp = {x: new if c == old else c for x, c in comp.items()}
+    return comp
+
+
+def chain_and_star():
+    """A chain of 300 texts, a word apart each, in mixed order of ids, and a
+    star: a centre and texts that are near to it, but not to each other."""
+    rng = np.random.default_rng(8)
+    w, out = [f"w{k}" for k in range(20)], []
+    for k in range(300):
+        w = list(w)
+        w[k % 20] = f"x{k}"
+        out.append(" ".join(w))
+    base = [f"s{k}" for k in range(40)]
+    star = [" ".join(base)]
+    for k in range(30):
+        v = list(base)
+        for at in rng.choice(40, 7, replace=False):
+            v[at] = f"y{k}at{at}"
+        star.append(" ".join(v))
+    texts = out + star
+    order = rng.permutation(len(texts))
+    return {int(i): t for i, t in zip(order, texts)}
+
+
+def test_links_of_a_bucket_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(leaders, "BLOCK", 50)
+    texts = chain_and_star()
+    rule = order_minhash.rule()
+    words = {i: t.split() for i, t in texts.items()}
+    ids = sorted(texts)
+    want = components_of(ids, lambda i, k: edits(words[i], words[k]) <= 0.2 * max(len(words[i]), len(words[k])) + 1e-9)
+    assert len(set(want.values())) == 2
+    t = spark.createDataFrame(sorted(texts.items()), "id long, text string")
+    for keys in (lambda i: [7], lambda i: [i % 2, 7]):      # one bucket; two halves of it before
+        s = spark.createDataFrame([(i, keys(i)) for i in ids], "id long, keys array<long>")
+        links = leaders.link(leaders.bucket_rows(s), s, t, rule)
+        got = {r["id"]: r["component"] for r in connected_components(links).collect()}
+        assert got == want
+
+
+def test_near_duplicates_of_a_chain_and_a_star(spark):
+    texts = chain_and_star()
+    words = {i: t.split() for i, t in texts.items()}
+    sk = {r["doc_id"]: set(r["keys"]) for r in order_minhash.sketches_of(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    want = components_of(sorted(texts), lambda i, k: sk[i] & sk[k] and edits(words[i], words[k]) <= 0.2 * max(len(words[i]), len(words[k])) + 1e-9)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).collect()}
+    assert {i: got.get(i, i) for i in texts} == want
+
+
+def test_line_dedup_of_a_chain(spark):
+    rng = np.random.default_rng(9)
+    line, lines = list("the quick brown fox jumps over the lazy dog and runs far away from here to the hills beyond the river"), []
+    for k in range(300):
+        line[(7 * k) % 100] = chr(97 + int(rng.integers(26)))
+        lines.append("".join(line))
+    lines = [lines[k] for k in rng.permutation(300)]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    sets = [{x[k:k + 8] for k in range(len(x) - 7)} for x in (y.strip() for y in lines)]
+    band = {r["doc_id"]: {r[f"b{j}"] for j in range(line_dedup.BANDS)} for r in line_dedup.lines_of(d).collect()}
+    near = lambda i, k: band[i] & band[k] and len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) - 1e-9
+    want = components_of(range(300), near)
+    gone = {r["doc_id"] for r in line_dedup.removed_lines(d).collect()}
+    assert gone == {i for i in want if want[i] != i}
+
+
 def test_packing_round_trip(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
