@@ -9,9 +9,7 @@ looked up by successor search.  Probabilities are interpolated with absolute
 discounting and kept as 16-bit logarithms.  Levels are built by shards, one
 shard a task, and lie in files of the shared folder that scoring tasks map.
 
-Words seen once in training stay out of levels 2 and 3, contexts seen once out
-of level 3; their mass goes to the lower order, so every distribution still
-sums to one.  Training rows: crc32 of the doc_id's text modulo 5 is not 1.
+All n-grams of the training rows are kept, those seen once too.  Training rows: crc32 of the doc_id's text modulo 5 is not 1.
 Null text: empty, the end token alone.  Null doc_id: a training row.  Rows
 with equal doc_id are counted and scored one by one.  An empty table gives an
 empty table.
@@ -31,7 +29,6 @@ from riskloom.llm.shared_files import open_arrays, write_arrays
 
 HELD_OUT = 1
 DISCOUNT = 0.75
-MIN_COUNT = 2                   # of a word in levels 2 and 3, of a context in level 3
 END = 0x5EED0F0E17D0C0DE        # the end token's hash
 SHARD_WORDS = 1 << 21           # words of a shard of level 1
 SHARD_TOKENS = 1 << 21          # training tokens of a shard of levels 2 and 3, on average
@@ -186,13 +183,12 @@ class Level:
             if int(s[order[a]]) in self.names:
                 yield int(s[order[a]]), ask[order[a:b]]
 
-    def lookup(self, parent: np.ndarray, item: np.ndarray, counts: bool = False):
+    def lookup(self, parent: np.ndarray, item: np.ndarray):
         """For every (parent, item): the entry's index (-1 if absent), its rank
         within the range, its probability and, of the parent, what it leaves to
-        the lower order (1 where it has no range); with ``counts`` the entry's
-        count instead of its probability.  Each entry is looked up once, in
-        order; parents without a range, known by what they leave, are not
-        searched."""
+        the lower order (1 where it has no range).  Each entry is looked up
+        once, in order; parents without a range, known by what they leave, are
+        not searched."""
         index, rank = np.full(len(parent), -1, np.int64), np.full(len(parent), -1, np.int64)
         kept, rest = np.zeros(len(parent)), np.ones(len(parent))
         for s, at in self.by_shard(parent):
@@ -213,7 +209,7 @@ class Level:
             hit = i >= 0
             nth, value = np.full(len(i), -1, np.int64), np.zeros(len(i))
             nth[hit] = i[hit] - seq["first"].get(p[hit])
-            value[hit] = a["counts"][i[hit]] if counts else restore(a["kept"][i[hit]])
+            value[hit] = restore(a["kept"][i[hit]])
             index[at] = np.where(hit, i + self.starts[s], -1)[back]
             rank[at], kept[at] = nth[back], value[back]
         return index, rank, kept, rest
@@ -269,14 +265,13 @@ class Trie:
                 n[m] = c[rank[m] - start]
         return np.maximum(n, 1)
 
-    def pairs(self, rank: np.ndarray, sizes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(word before, word) at every token; -1 where the word is rare."""
-        cur = np.where((self.words.counts(rank) if n is None else n) >= MIN_COUNT, rank, -1)
-        prev = np.empty(len(cur), np.int64)
-        prev[1:] = cur[:-1]
+    def pairs(self, rank: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word before, word) at every token; -1 where the word is unknown."""
+        prev = np.empty(len(rank), np.int64)
+        prev[1:] = rank[:-1]
         begin = np.cumsum(sizes) - sizes
         prev[begin] = self.words.size
-        return prev, cur
+        return prev, rank
 
     def contexts(self, two: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The entry of level 2 that ends before every token."""
@@ -368,8 +363,8 @@ def train(docs: DataFrame, is_training, carry: list[str]) -> tuple[Trie, DataFra
 
     def trigrams(rank, sizes):
         prev, cur = model.pairs(rank, sizes)
-        two, nth, seen, _ = model.two.lookup(prev, cur, counts=True)
-        parent = model.contexts(np.where(seen >= MIN_COUNT, two, -1), sizes)
+        two, nth, _, _ = model.two.lookup(prev, cur)
+        parent = model.contexts(two, sizes)
         ok = (parent >= 0) & (two >= 0)
         return parent[ok], nth[ok]
 
@@ -389,7 +384,7 @@ def score(ids: DataFrame, model: Trie, carry: list[str]) -> DataFrame:
                 rank, sizes = _arrays(c)
                 n = model.words.counts(rank)
                 one = (n + 0.5) / below
-                prev, cur = model.pairs(rank, sizes, n)
+                prev, cur = model.pairs(rank, sizes)
                 two, nth, kept, rest = model.two.lookup(prev, cur)
                 p = kept + rest * one
                 _, _, kept, rest = model.three.lookup(model.contexts(two, sizes), nth)

@@ -129,6 +129,35 @@ def test_lm_counts_and_normalisation(spark, docs):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_lm_keeps_ngrams_seen_once(spark):
+    from pyspark.sql import functions as F
+    rows = [(1, "a lone text of words seen once only"), (2, "a b a b c"), (3, "b c a"), (4, "lone text of b c a once only"), (5, "new a lone text")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.col("doc_id") > 3)
+    model, ids = ngram_lm.train(d, ~F.col("h"), ["doc_id"])
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score(ids, model, ["doc_id"]).collect()}
+    texts = {i: [0, *t.split(), 1] for i, t in rows}
+    one, two, three = (collections.Counter(tuple(t[k:k + n]) for i, t in texts.items() if i < 4 for k in range(n == 1, len(t) - n + 1)) for n in (1, 2, 3))
+    total = sum(one.values())
+
+    def discounted(count, whole, context, word, lower):
+        known = [n for g, n in count.items() if g[:-1] == context]
+        if not known:
+            return lower
+        rest = 1 - sum(max(n - 0.75, 0) for n in known) / whole
+        return max(count[(*context, word)] - 0.75, 0) / whole + rest * lower
+
+    for i, t in texts.items():
+        want = 0.0
+        for k in range(1, len(t)):
+            p = (one[(t[k],)] + 0.5) / (total + 0.5 * (len(one) + 1))
+            before = 3 if k == 1 else one[(t[k - 1],)]
+            p = discounted(two, max(before, 1), (t[k - 1],), t[k], p)
+            if k > 1:
+                p = discounted(three, max(two[(t[k - 2], t[k - 1])], 1), (t[k - 2], t[k - 1]), t[k], p)
+            want += math.log10(p)
+        assert got[i] == pytest.approx(want, rel=2e-3)
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
