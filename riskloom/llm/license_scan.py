@@ -5,11 +5,15 @@ licence templates, alone and inside corpus paragraphs, and the class of no
 licence from paragraphs of the corpus.  Only n-grams that are rare in plain
 paragraphs are features, so most paragraphs have none and the weights are a
 small table that is joined to the n-grams of the corpus.  A threshold set on
-held-back paragraphs makes everything less certain unknown, and a prediction is
-confirmed by the share of a template's n-grams that the paragraph contains.
-
-A paragraph is a line.  Null and empty texts have none.  Rows with equal doc_id
-are scanned one by one.  An empty table gives an empty table.
+held-back paragraphs makes everything less certain unknown, and a family is
+confirmed by the share of a template's n-grams that a window contains.
+
+Windows are 2 * HALF words of the whole text, HALF apart, whatever lines and
+comment marks part the words, so every template lies whole in one.  A window
+confirms all families that hold CONFIRM of a template, also of the n-grams that
+the better matched families lack.  Of overlapping windows the best counts.  Null
+and empty texts have no window.  Rows with equal doc_id are scanned one by one.
+An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import clean_text, stored, table
@@ -25,6 +29,7 @@ from riskloom.llm.common import clean_text, stored, table
 MAX_PLAIN = 4000         # corpus paragraphs to learn the class of no licence from
 MAX_COMMON = 0.002       # n-grams in a larger share of these are no features
 WINDOW = 14              # words of a training window of a template
+HALF = 32                # words from a window of a text to the next
 CONFIRM = 0.6            # share of a template's n-grams
 FALSE_RATE = 0.001       # of held-back plain paragraphs above the threshold
 MIN_TELLING = 2          # word triples of templates
@@ -61,10 +66,15 @@ TEMPLATES = (
 )
 
 
+def words_of(text: Column) -> Column:
+    """Words of letters and digits, in lower case."""
+    return F.filter(F.split(F.lower(text), "[^a-z0-9\\x{80}-\\x{10ffff}]+"), lambda x: x != "")
+
+
 def grams(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     """Hashes of word pairs and triples; lower case, letters and digits only.
     The words are bound once, as a lambda's variable."""
-    w = F.filter(F.split(F.lower(text), "[^a-z0-9\\x{80}-\\x{10ffff}]+"), lambda x: x != "")
+    w = words_of(text)
 
     def of(ws, k):
         n = F.size(ws)
@@ -73,10 +83,17 @@ def grams(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     return F.get(F.transform(F.array(w), lambda ws: F.concat(*[of(ws, k) for k in sizes])), F.lit(0))
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """row, doc_id, line number and text of every line that is not blank."""
-    d = docs.select("doc_id", clean_text().alias("text"), F.monotonically_increasing_id().alias("row"))
-    return d.select("row", "doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).where("length(trim(line)) > 0")
+def window_hits(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs (row, text) and n-grams -> row, win, gram and the gram's first word
+    in the window, for the n-grams ``wanted``."""
+    g = docs.select("row", grams(F.col("text")).alias("grams"))
+    n = F.floor((F.size("grams") + 3) / 2)                      # words; the pairs come before the triples
+    flat = g.select("row", n.alias("n"), F.posexplode("grams").alias("at", "gram")).join(F.broadcast(wanted.select("gram")), "gram")
+    word = F.when(F.col("at") < F.col("n") - 1, F.col("at")).otherwise(F.col("at") - F.col("n") + 1).cast("int")
+    flat = flat.select("row", "gram", word.alias("word"))
+    near = F.floor(F.col("word") / HALF).cast("int")
+    return flat.withColumn("win", F.explode(F.array(near, near - 1))).where("win >= 0") \
+        .groupBy("row", "win", "gram").agg(F.min("word").alias("word"))
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -128,7 +145,7 @@ def fit(docs: DataFrame) -> Classifier:
     weights = spark.createDataFrame([(g, [float(x) for x in coef[:, i]]) for i, g in enumerate(vocabulary)], "gram long, w array<double>")
     out = Classifier(families, weights, [float(x) for x in bias], 0.5)
     check = stored(predict(rows.where(F.col("aside") & (F.col("family") == NONE)).select(
-        F.monotonically_increasing_id().alias("row"), F.lit(0).alias("line_no"), F.explode("grams").alias("gram")), out), "license")
+        F.monotonically_increasing_id().alias("row"), F.lit(0).alias("win"), F.explode("grams").alias("gram")), out), "license")
     # plain paragraphs without any feature have the class of no licence; the others set the threshold
     n_aside = rows.where(F.col("aside") & (F.col("family") == NONE)).count()
     spare = int(FALSE_RATE * n_aside)
@@ -139,41 +156,74 @@ def fit(docs: DataFrame) -> Classifier:
 
 
 def predict(hits: DataFrame, model: Classifier) -> DataFrame:
-    """hits (row, line_no, gram) -> row, line_no, family, probability."""
+    """hits (row, win, gram) -> row, win, z (a logit per family), family, probability."""
     k = len(model.families)
     h = hits.join(F.broadcast(model.weights), "gram")
-    sums = h.groupBy("row", "line_no").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])
+    sums = h.groupBy("row", "win").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])
     logit = F.array(*[F.col(f"s{i}") + model.intercepts[i] for i in range(k)])
-    s = sums.select("row", "line_no", logit.alias("z")).withColumn("top", F.array_max("z"))
+    s = sums.select("row", "win", logit.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     names = F.array(*map(F.lit, model.families))
-    return s.select("row", "line_no", F.element_at(names, F.array_position("z", F.col("top")).cast("int")).alias("family"),
+    return s.select("row", "win", "z", F.element_at(names, F.array_position("z", F.col("top")).cast("int")).alias("family"),
                     (1 / total).alias("probability"))
 
 
+def best_of_neighbours(found: DataFrame) -> DataFrame:
+    """found without the windows whose neighbour has the family as well, and better."""
+    w = Window.partitionBy("row", "family").orderBy("win")
+    value = F.struct("contained", "probability", (-F.col("win")).alias("win"))
+    near = found.withColumn("own", value).withColumn("before", F.lag("own").over(w)).withColumn("behind", F.lead("own").over(w))
+    beaten = lambda c: F.coalesce((F.abs(F.col(c)["win"] + F.col("win")) == 1) & (F.col(c) > F.col("own")), F.lit(False))
+    return near.where(~beaten("before") & ~beaten("behind")).drop("own", "before", "behind")
+
+
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and findings (line_no, family, probability,
     contained, confirmed), by line; family is unknown below the threshold."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     model = fit(docs)
-    every = paragraphs(docs)
-    hits = every.select("row", "line_no", F.explode(grams(F.col("line"))).alias("gram")) \
-        .join(F.broadcast(model.weights.select("gram")), "gram")
-    hits = stored(hits.distinct(), "license")
-    guess = predict(hits, model).where(F.col("family") != NONE)
+    every = docs.select(F.monotonically_increasing_id().alias("row"), clean_text().alias("text"))
+    hits = stored(window_hits(every, model.weights), "license")
+    guess = stored(predict(hits, model), "license")
     t = templates(spark).withColumn("gram", F.explode(F.array_distinct(grams(F.col("line"))))).select("template", "family", "gram") \
         .join(model.weights.select("gram"), "gram")
-    size = t.groupBy("template").agg(F.count(F.lit(1)).alias("size"))
-    t = t.join(size, "template")                                # fixed templates: a few hundred rows
-    match = hits.join(F.broadcast(t), "gram").groupBy("row", "line_no", "family", "template", "size").agg(
-        (F.count(F.lit(1)) / F.col("size")).alias("part"))
-    match = match.groupBy("row", "line_no", "family").agg(F.max("part").alias("contained"))
-    found = guess.join(match, ["row", "line_no", "family"], "left").na.fill(0.0, ["contained"])
-    sure = F.col("probability") >= model.threshold
-    found = found.select("row", F.struct(
-        F.col("line_no"), F.when(sure, F.col("family")).otherwise("unknown").alias("family"), F.round("probability", 6).alias("probability"),
-        F.round("contained", 6).alias("contained"), (sure & (F.col("contained") >= CONFIRM)).alias("confirmed")).alias("f"))
+    whole = t.groupBy("template", "family").agg(F.collect_set("gram").alias("own"))
+    whole = whole.join(t.groupBy("family").agg(F.collect_set("gram").alias("every")), "family")
+    match = hits.join(F.broadcast(t), "gram").groupBy("row", "win", "family", "template").agg(     # t, whole: fixed templates
+        F.collect_set("gram").alias("found"), F.min("word").alias("word"))
+    match = match.join(F.broadcast(whole), ["family", "template"]).withColumn("part", F.size("found") / F.size("own"))
+    match = stored(match.groupBy("row", "win", "family").agg(
+        F.max(F.struct("part", "word", "found", "own", "every")).alias("m")).select("row", "win", "family", "m.*"), "license")
+    # families that hold enough of a template, also of what the better ones lack
+    logit = F.get("z", F.array_position(F.array(*map(F.lit, model.families)), F.col("family")).cast("int") - 1)
+    strong = match.where(F.col("part") >= CONFIRM).join(guess.select("row", "win", "z"), ["row", "win"])
+    strong = strong.groupBy("row", "win").agg(F.collect_list(F.struct(
+        "part", logit.alias("logit"), "family", "word", "found", "own", "every", (1 / (1 + F.exp(F.col("z")[0] - logit))).alias("probability"))).alias("s"))
+
+    def stands(f, g):
+        better = F.struct(g["part"], g["logit"], g["family"]) > F.struct(f["part"], f["logit"], f["family"])
+        lacked = F.size(F.array_except(f["own"], g["every"]))
+        return ~better | ((lacked > 0) & (F.size(F.array_except(f["found"], g["every"])) >= CONFIRM * lacked))
+
+    sure = strong.select("row", "win", F.explode(F.filter("s", lambda f: F.forall("s", lambda g: stands(f, g)))).alias("f")) \
+        .select("row", "win", "f.family", "f.probability", F.col("f.part").alias("contained"), "f.word").where(F.col("probability") >= model.threshold)
+    sure = stored(best_of_neighbours(sure), "license")
+    covered = sure.select("row", F.explode(F.array(F.col("win") - 1, F.col("win"), F.col("win") + 1)).alias("win")).distinct()
+    first = hits.groupBy("row", "win").agg(F.min("word").alias("word"))
+    other = guess.where(F.col("family") != NONE).drop("z").join(covered, ["row", "win"], "left_anti") \
+        .join(match.select("row", "win", "family", F.col("part").alias("contained")), ["row", "win", "family"], "left") \
+        .na.fill(0.0, ["contained"]).join(first, ["row", "win"]) \
+        .withColumn("family", F.when(F.col("probability") >= model.threshold, F.col("family")).otherwise("unknown"))
+    other = best_of_neighbours(other)
+    cols = ["row", "family", "probability", "contained", "word"]
+    found = sure.select(*cols, F.lit(True).alias("confirmed")).unionByName(other.select(*cols, F.lit(False).alias("confirmed")))
+    found = stored(found, "license")
+    lines = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, i: F.array_repeat(i, F.size(words_of(x)))))
+    lines = every.join(found.select("row").distinct(), "row", "left_semi").select("row", lines.alias("lines"))
+    found = found.join(lines, "row").select("row", F.struct(
+        F.get("lines", F.col("word")).alias("line_no"), "family", F.round("probability", 6).alias("probability"),
+        F.round("contained", 6).alias("contained"), "confirmed").alias("f"))
     per = found.groupBy("row").agg(F.array_sort(F.collect_list("f")).alias("findings"))
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"))
     return rows.join(per, "row", "left").select(

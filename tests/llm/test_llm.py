@@ -361,3 +361,29 @@ def test_licenses(spark):
     got = {r["doc_id"]: [f["family"] for f in r["findings"] if f["confirmed"]] for r in
            license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == ["MIT"] and got[4] == ["Apache-2.0"] and not got[2] and not got[3]
+
+
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_wrapped_and_several_licenses(spark):
+    def comment(x, mark):
+        return "int a;\n" + "\n".join(mark + y for y in x.split("\n")) + "\n\nint main() { return 0; }\n"
+    rows = [(1, comment(GPL3, " * ")), (2, comment(BSD, "// ")), (3, comment(ISC, "# ")), (4, "int a;\nint b;\n"),
+            (5, "Released under the MIT License and some parts are Licensed under the Apache License, Version 2.0 as well"),
+            (6, comment(GPL3.replace("version 3", "version 2"), "## "))]
+    rows += [(10 + i, f"filler text number {i} about things {hashlib.md5(str(i).encode()).hexdigest()}") for i in range(60)]
+    got = {r["doc_id"]: r["findings"] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sure = {i: [f["family"] for f in x if f["confirmed"]] for i, x in got.items()}
+    assert sure[1] == ["GPL-3.0"] and sure[2] == ["BSD"] and sure[3] == ["ISC"] and sure[6] == ["GPL-2.0"] and not any(sure[i] for i in (4, *range(10, 70)))
+    assert sorted(sure[5]) == ["Apache-2.0", "MIT"]
+    assert got[2][0]["line_no"] == 1
