@@ -1,12 +1,12 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams.
 
 A multinomial logistic regression learns the families from windows of short
-licence templates, alone and inside corpus paragraphs, and the class of no
-licence from paragraphs of the corpus.  Only n-grams that are rare in plain
-paragraphs are features, so most paragraphs have none and the weights are a
-small table that is joined to the n-grams of the corpus.  A threshold set on
-held-back paragraphs makes everything less certain unknown, and a family is
-confirmed by the share of a template's n-grams that a window contains.
+licence templates, alone and among the n-grams of corpus windows, and the class
+of no licence from a bounded sample of windows of the corpus.  Only n-grams that
+are rare in all plain windows are features, so most windows have none and the
+weights are a small table that is joined to the n-grams of the corpus.  A
+threshold set on all windows of the held-back documents, by a histogram, makes
+everything less certain unknown, and a family is confirmed by the share of a template's n-grams that a window contains.
 
 Windows are 2 * HALF words of the whole text, HALF apart, whatever lines and
 comment marks part the words, so every template lies whole in one.  A window
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import clean_text, stored, table
 
-MAX_PLAIN = 4000         # corpus paragraphs to learn the class of no licence from
-MAX_COMMON = 0.002       # n-grams in a larger share of these are no features
+MAX_PLAIN = 4000         # corpus windows to learn the class of no licence from; nothing else is sampled
+MAX_COMMON = 0.002       # n-grams in a larger share of all plain windows are no features
 WINDOW = 14              # words of a training window of a template
 HALF = 32                # words from a window of a text to the next
 CONFIRM = 0.6            # share of a template's n-grams
-FALSE_RATE = 0.001       # of held-back plain paragraphs above the threshold
+FALSE_RATE = 0.001       # of all plain windows of the held-back documents above the threshold
+STEPS = 10_000           # of the histogram of probabilities that sets the threshold
+FOLDS = 4                # one of so many documents, by a hash of the text, is held back
 MIN_TELLING = 2          # word triples of templates
 FIT_PARTS = 4            # partitions of the bounded training table
 NONE = "none"
@@ -105,38 +107,46 @@ class Classifier:
         self.families, self.weights, self.intercepts, self.threshold = families, weights, intercepts, threshold
 
 
-def plain_sample(docs: DataFrame) -> DataFrame:
-    """At most MAX_PLAIN corpus paragraphs, by a hash of their text."""
-    pick = docs.select(F.get(F.split(clean_text(), "\n", -1), F.lit(0)).alias("line")).where("length(trim(line)) > 0")
-    return pick.groupBy("line").agg(F.lit(1).alias("one")).orderBy(F.xxhash64("line"), "line").limit(MAX_PLAIN).select("line")
-
-
-def fit(docs: DataFrame) -> Classifier:
+def fit(docs: DataFrame) -> tuple[Classifier, DataFrame]:
+    """docs (row, text) -> the classifier and ``window_hits`` of its n-grams."""
     spark = docs.sparkSession
     t = templates(spark).withColumn("grams", F.array_distinct(grams(F.col("line"))))
-    plain = stored(plain_sample(docs).withColumn("grams", F.array_distinct(grams(F.col("line")))), "license")
-    # a plain paragraph that holds several word triples of templates is no example of plain text
-    telling = [r["g"] for r in t.select(F.explode(grams(F.col("line"), (3,))).alias("g")).distinct().collect()]
-    plain = plain.where(F.size(F.array_intersect("grams", F.array(*map(F.lit, telling)))) < MIN_TELLING)
-    own = t.select(F.explode("grams").alias("g")).distinct()
-    n = plain.count()
-    seen = plain.select(F.explode("grams").alias("g")).groupBy("g").count().where(F.col("count") > MAX_COMMON * max(n, 1))
-    vocabulary = sorted(r["g"] for r in own.join(F.broadcast(own.join(seen, "g", "left_semi")), "g", "left_anti").collect())
+    own = t.select(F.explode("grams").alias("gram")).distinct()
+    hits = stored(window_hits(docs, own), "license")
+    # a window that holds several word triples of templates is no example of plain text
+    telling = t.select(F.explode(grams(F.col("line"), (3,))).alias("gram")).distinct()
+    marked = hits.join(F.broadcast(telling), "gram").groupBy("row", "win").count().where(F.col("count") >= MIN_TELLING).select("row", "win")
+    plain = stored(hits.join(marked, ["row", "win"], "left_anti").select("row", "win", "gram"), "license")
+    aside = F.pmod("key", F.lit(FOLDS)) == 0
+    n_words = F.size(words_of(F.col("text")))
+    sizes = stored(docs.select("row", F.xxhash64("text").alias("key"), F.when(n_words > 0, F.greatest(F.ceil(n_words / HALF) - 1, F.lit(1)))
+                               .otherwise(0).cast("long").alias("windows")), "license")
+    every, held = sizes.agg(F.sum("windows"), F.sum(F.when(aside, F.col("windows")))).first()
+    own_marked = marked.join(sizes, "row")
+    off, off_held = own_marked.agg(F.count(F.lit(1)), F.count_if(aside)).first()
+    n, n_aside = max((every or 0) - off, 1), max((held or 0) - off_held, 0)
+    seen = plain.groupBy("gram").count().where(F.col("count") > MAX_COMMON * n)
+    vocabulary = sorted(r["gram"] for r in own.join(F.broadcast(own.join(seen, "gram", "left_semi")), "gram", "left_anti").collect())
+    features = spark.createDataFrame([(g,) for g in vocabulary], "gram long")
+    plain = plain.join(F.broadcast(features), "gram").join(sizes.select("row", "key"), "row")
+    plain = stored(plain, "license")
+    sets = plain.where(~aside).groupBy("row", "key", "win").agg(F.array_sort(F.collect_set("gram")).alias("grams"))
+    sample = sets.groupBy("key", "win").agg(F.first("grams").alias("grams")).orderBy(F.xxhash64("key", "win"), "key", "win").limit(MAX_PLAIN).select("grams")
+    sample = stored(sample, "license")
     words = F.split("line", " ")
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - WINDOW, F.lit(0)), F.lit(3))
     windows = t.select("family", "line", F.explode(starts).alias("at")) \
         .select("family", F.array_join(F.slice(words, F.col("at") + 1, WINDOW), " ").alias("line"))
-    windows = windows.unionByName(t.select("family", "line"))
-    around = plain.select(F.col("line").alias("around")).orderBy(F.xxhash64("line")).limit(4)
-    mixed = windows.crossJoin(F.broadcast(around)).select("family", F.concat_ws(" ", "around", "line", "around").alias("line"))  # 4 rows
-    rows = windows.unionByName(mixed).unionByName(plain.select(F.lit(NONE).alias("family"), "line"))
-    rows = stored(rows.select("family", F.array_distinct(grams(F.col("line"))).alias("grams"), (F.pmod(F.xxhash64("line"), F.lit(4)) == 0).alias("aside"))
-                  .coalesce(FIT_PARTS), "license")
+    windows = windows.unionByName(t.select("family", "line")).select("family", F.array_distinct(grams(F.col("line"))).alias("grams"))
+    around = sample.select(F.col("grams").alias("around")).orderBy(F.xxhash64("grams")).limit(4)
+    mixed = windows.crossJoin(F.broadcast(around)).select("family", F.array_union("grams", "around").alias("grams"))  # 4 rows
+    blank = spark.createDataFrame([(NONE, [])], "family string, grams array<long>")
+    rows = windows.unionByName(mixed).unionByName(sample.select(F.lit(NONE).alias("family"), "grams")).unionByName(blank)
+    rows = stored(rows.coalesce(FIT_PARTS), "license")
     families = [NONE, *sorted({f for f, _ in TEMPLATES})]
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
     vec = CountVectorizerModel.from_vocabulary([str(g) for g in vocabulary], inputCol="text_grams", outputCol="features", binary=True)
-    data = vec.transform(rows.withColumn("label", label).withColumn("text_grams", F.col("grams").cast("array<string>")))
-    learn = data.where((F.col("family") != NONE) | ~F.col("aside"))
+    learn = vec.transform(rows.withColumn("label", label).withColumn("text_grams", F.col("grams").cast("array<string>")))
     model = LogisticRegression(maxIter=60, regParam=0.002, elasticNetParam=0.2, family="multinomial", standardization=False).fit(learn)
     coef, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     if len(bias) < len(families):
@@ -144,15 +154,22 @@ def fit(docs: DataFrame) -> Classifier:
         bias = np.concatenate([bias, np.full(len(families) - len(bias), -50.0)])
     weights = spark.createDataFrame([(g, [float(x) for x in coef[:, i]]) for i, g in enumerate(vocabulary)], "gram long, w array<double>")
     out = Classifier(families, weights, [float(x) for x in bias], 0.5)
-    check = stored(predict(rows.where(F.col("aside") & (F.col("family") == NONE)).select(
-        F.monotonically_increasing_id().alias("row"), F.lit(0).alias("win"), F.explode("grams").alias("gram")), out), "license")
-    # plain paragraphs without any feature have the class of no licence; the others set the threshold
-    n_aside = rows.where(F.col("aside") & (F.col("family") == NONE)).count()
-    spare = int(FALSE_RATE * n_aside)
-    worst = [r["probability"] for r in check.where(F.col("family") != NONE).orderBy(F.desc("probability")).limit(spare + 1).collect()]
-    if len(worst) > spare:
-        out.threshold = max(out.threshold, min(worst[spare] + 1e-9, 0.999))
-    return out
+    # plain windows without any feature have the class of no licence; the others set the threshold
+    guess = predict(plain.where(aside), out).where(F.col("family") != NONE)
+    bars = guess.groupBy(F.floor(F.col("probability") * STEPS).cast("int").alias("bar")).count().collect()     # STEPS rows at most
+    out.threshold = max(out.threshold, threshold_of({r["bar"]: r["count"] for r in bars}, int(FALSE_RATE * n_aside)))
+    return out, hits.join(F.broadcast(features), "gram")
+
+
+def threshold_of(bars: dict[int, int], spare: int) -> float:
+    """The lowest threshold that at most ``spare`` of the counted probabilities
+    reach, to a bar of the histogram."""
+    above = 0
+    for bar in sorted(bars, reverse=True):
+        above += bars[bar]
+        if above > spare:
+            return min((bar + 1) / STEPS, 0.999)
+    return 0.0
 
 
 def predict(hits: DataFrame, model: Classifier) -> DataFrame:
@@ -182,9 +199,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     contained, confirmed), by line; family is unknown below the threshold."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    model = fit(docs)
     every = docs.select(F.monotonically_increasing_id().alias("row"), clean_text().alias("text"))
-    hits = stored(window_hits(every, model.weights), "license")
+    model, hits = fit(every)
+    hits = stored(hits, "license")
     guess = stored(predict(hits, model), "license")
     t = templates(spark).withColumn("gram", F.explode(F.array_distinct(grams(F.col("line"))))).select("template", "family", "gram") \
         .join(model.weights.select("gram"), "gram")

@@ -387,3 +387,17 @@ def test_wrapped_and_several_licenses(spark):
     assert sure[1] == ["GPL-3.0"] and sure[2] == ["BSD"] and sure[3] == ["ISC"] and sure[6] == ["GPL-2.0"] and not any(sure[i] for i in (4, *range(10, 70)))
     assert sorted(sure[5]) == ["Apache-2.0", "MIT"]
     assert got[2][0]["line_no"] == 1
+
+
+def test_license_statistics_cover_all_lines(spark):
+    # a phrase that shares pairs with a template stands in every body, never in a first line
+    phrase = "people shall ask the old public domain office"
+    rows = [(i, f"first line {hashlib.md5(str(i).encode()).hexdigest()}\n\n{phrase} {i}") for i in range(400)]
+    d = spark.createDataFrame(rows, "row long, text string")
+    model, _ = license_scan.fit(d)
+    gram = spark.createDataFrame([("public domain",)], "line string").select(license_scan.grams(license_scan.F.col("line"))[0]).first()[0]
+    template = spark.createDataFrame([license_scan.TEMPLATES[-2]], "f string, line string").select(license_scan.grams(license_scan.F.col("line")).alias("g")).first()["g"]
+    assert gram in template and gram not in {r["gram"] for r in model.weights.collect()}
+    assert license_scan.threshold_of({9000: 1, 8000: 2, 7000: 5}, 0) == 0.9001
+    assert license_scan.threshold_of({9000: 1, 8000: 2, 7000: 5}, 3) == 0.7001
+    assert license_scan.threshold_of({9000: 1}, 1) == 0.0
