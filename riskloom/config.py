@@ -79,7 +79,7 @@ ANOMALY_FEATURES: tuple[str, ...] = (
 class GbtParams:
     max_iter: int = 20
     step_size: float = 0.03
-    max_depth: int = 5
+    max_depth: int = 8
     subsampling_rate: float = 0.7
     feature_subset: str = "0.7"
     seed: int = 42

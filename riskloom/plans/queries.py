@@ -618,14 +618,14 @@ from riskloom.operators import embed  # noqa: E402
 
 @register("graph_walks")
 def graph_walks(spark, sf_dir):
-    """G13 walks (5 walks of length 20 per vertex on the canonical graph)."""
-    return embed.random_walks(_graph(spark, sf_dir), WalkParams(num_walks=5))
+    """G13 walks (50 walks of length 20 per vertex on the canonical graph)."""
+    return embed.random_walks(_graph(spark, sf_dir), WalkParams())
 
 
 @register("node_embeddings")
 def node_embeddings(spark, sf_dir):
     """Word2Vec (dim 64, window 10) over the walks."""
-    walks = embed.random_walks(_graph(spark, sf_dir), WalkParams(num_walks=5))
+    walks = embed.random_walks(_graph(spark, sf_dir), WalkParams())
     return embed.word2vec_embeddings(walks, WalkParams())
 
 

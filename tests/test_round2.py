@@ -44,3 +44,14 @@ def test_median_of_integers_is_not_truncated(spark):
 def test_folds_keep_rows_without_label(spark):
     df = spark.createDataFrame([(i, None if i % 4 == 0 else i % 2) for i in range(20)], "TransactionID long, isFraud int")
     assert stratified_folds(df, 5).count() == 20
+
+
+def test_walk_queries_and_trees_use_the_full_parameters(monkeypatch):
+    from riskloom.config import GbtParams, WalkParams
+    from riskloom.plans import queries as Q
+    monkeypatch.setattr(Q, "_graph", lambda spark, sf_dir: None)
+    monkeypatch.setattr(Q.embed, "random_walks", lambda g, params: params)
+    monkeypatch.setattr(Q.embed, "word2vec_embeddings", lambda walks, params: walks)
+    for query in (Q.graph_walks, Q.node_embeddings):
+        assert query(None, "") == WalkParams() and query(None, "").num_walks == 50
+    assert GbtParams().max_depth == 8
