@@ -1,8 +1,10 @@
 """Secret scans: spans of secrets and the corpus-wide ownership of each value.
 
 Every text is scanned whole by JVM regular expressions.  The value of each
-span is hashed; a hash that many owners share is a copied example, one that a
-single owner uses and that looks random is a live-looking credential.
+span is hashed; a hash that many owners or many repositories share is a copied
+example, one that a single owner uses in few places and that looks random is a
+live-looking credential.  The corpus names neither: the source stands in for
+the owner, and the document (source, language, doc_id) for the repository.
 
 Nulls and empty texts have no span.  Null owners and repositories count as
 one owner or repository of their own.  Rows with equal doc_id are scanned and
@@ -29,6 +31,8 @@ KINDS = (
 )
 N_BASE = 3
 EXAMPLE_OWNERS = 3          # so many owners: an example that was copied widely
+EXAMPLE_REPOSITORIES = 10   # so many repositories, of whatever owners: an example as well
+LIVE_USES = 100             # so many uses are no longer live-looking
 LIVE_DISTINCT_CHARS = 8     # so many different characters: looks random
 
 
@@ -75,8 +79,8 @@ def ownership(found: DataFrame) -> DataFrame:
     per = places.groupBy("value_hash").agg(
         F.sum("uses").alias("uses"), F.countDistinct("owner").alias("owners"),
         F.count(F.lit(1)).alias("repositories"), F.max("chars").alias("chars"))
-    verdict = F.when(F.col("owners") >= EXAMPLE_OWNERS, "example") \
-        .when((F.col("owners") == 1) & (F.col("chars") >= LIVE_DISTINCT_CHARS), "live").otherwise("unclear")
+    verdict = F.when((F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES), "example") \
+        .when((F.col("owners") == 1) & (F.col("uses") < LIVE_USES) & (F.col("chars") >= LIVE_DISTINCT_CHARS), "live").otherwise("unclear")
     return per.withColumn("verdict", verdict)
 
 
@@ -90,7 +94,7 @@ def secret_scan(docs: DataFrame, owner: Column | None = None, repository: Column
     """doc_id, spans with values, and how many spans are live-looking,
     examples or unclear by ownership over the whole corpus."""
     owner = F.col("source") if owner is None else owner
-    repository = F.concat_ws("/", "source", "lang") if repository is None else repository
+    repository = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")) if repository is None else repository
     found = stored(scan(docs, owner, repository), "secrets")
     own = ownership(found).select("value_hash", "verdict")
     hits = found.select("row", F.explode("spans").alias("s")).select(

@@ -72,6 +72,14 @@ def test_secret_spans(docs):
     assert got == {r["doc_id"]: spans(r["text"] or "") for r in every.collect()}
 
 
+def test_secret_verdict_counts_repositories_and_uses(spark):
+    rows = [(i, "token = exampleKEY12345") for i in range(50)] + [(60, "token = aliveKEY6789xyz"), (61, "token = aliveKEY6789xyz")]
+    rows += [(70, "token = repeatedKEY4567\n" * 150)]
+    d = spark.createDataFrame([(i, t, "hot", "en") for i, t in rows], "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: (r["n_live"], r["n_example"], r["n_unclear"]) for r in secrets.secret_scan(d).collect()}
+    assert all(got[i] == (0, 1, 0) for i in range(50)) and got[60] == got[61] == (1, 0, 0) and got[70] == (0, 0, 150)
+
+
 def test_quality_counts(docs):
     for r in quality.features(docs, ("doc_id", "text")).collect():
         s, w = r["text"], WORDS.findall(r["text"])
