@@ -497,6 +497,11 @@ ORACLE["mean_component_scores"] = with_canon(PRED_BODY + "\n" + " UNION ALL ".jo
 ORACLE["batch_summary"] = with_canon(PRED_BODY + """
 SELECT batch_id, count(*) AS total_processed, count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) AS high_risk_count,
   """ + r6("round(avg(fraud_score) * (1.0 + 1e-11), 4)", "avg_fraud_score") + " FROM pred GROUP BY batch_id")
+ORACLE["latency_histogram"] = with_canon(PRED_BODY + """,
+waits AS (SELECT CAST(max(ts) OVER (PARTITION BY batch_id) - ts AS DOUBLE) AS sec FROM pred),
+bounds AS (SELECT * FROM (VALUES ('0.01', 0.01), ('0.025', 0.025), ('0.05', 0.05), ('0.1', 0.1), ('0.25', 0.25), ('0.5', 0.5),
+  ('1.0', 1.0), ('2.5', 2.5), ('5.0', 5.0), ('+Inf', 1e300)) AS v(le, b))
+SELECT le, count(*) FILTER (WHERE sec <= b) AS count, """ + r6("sum(sec)", "sum_seconds") + " FROM bounds, waits GROUP BY le")
 ORACLE["request_counters"] = with_canon(PRED_BODY + """
 SELECT '/predict/batch' AS endpoint, risk_level, count(*) AS requests,
   count(*) FILTER (WHERE risk_level IN ('HIGH', 'CRITICAL')) AS alerts FROM pred GROUP BY risk_level""")

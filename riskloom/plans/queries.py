@@ -487,7 +487,11 @@ def rolling_fraud_rate_60s(spark, sf_dir):
 
 @register("latency_histogram")
 def latency_histogram(spark, sf_dir):
-    return monitor.latency_histogram(fixed_predictions(spark, sf_dir))
+    """A28 over the time that a row waits for the last row of its batch."""
+    p = fixed_predictions(spark, sf_dir).drop("latency_ms")
+    last = p.groupBy("batch_id").agg(F.max("ts").alias("last"))
+    p = p.join(last, "batch_id").withColumn("latency_ms", (F.col("last") - F.col("ts")).cast("double") * 1000)
+    return round_doubles(monitor.latency_histogram(p))
 
 
 @register("alert_messages")

@@ -55,3 +55,11 @@ def test_walk_queries_and_trees_use_the_full_parameters(monkeypatch):
     for query in (Q.graph_walks, Q.node_embeddings):
         assert query(None, "") == WalkParams() and query(None, "").num_walks == 50
     assert GbtParams().max_depth == 8
+
+
+def test_latency_histogram_follows_the_data(spark, monkeypatch):
+    from riskloom.plans import queries as Q
+    rows = spark.createDataFrame([(1, 100, 0.0), (1, 102, 0.0), (1, 99, 0.0), (2, 50, 0.0)], "batch_id long, ts long, latency_ms double")
+    monkeypatch.setattr(Q, "fixed_predictions", lambda spark, sf_dir: rows)
+    got = {r["le"]: (r["count"], r["sum_seconds"]) for r in Q.latency_histogram(spark, "").collect()}
+    assert got["0.01"] == (2, 5.0) and got["2.5"] == (3, 5.0) and got["+Inf"] == (4, 5.0)
