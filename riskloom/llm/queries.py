@@ -2,6 +2,8 @@
 
 from riskloom.llm.license_scan import op1_license_scan
 from riskloom.llm.line_dedup import op8_line_dedup
+from riskloom.llm.merkle import ORACLE_SQL as MERKLE_SQL
+from riskloom.llm.merkle import op12_merkle_manifest
 from riskloom.llm.mixing import op3_mixing
 from riskloom.llm.ngram_lm import op2_lm_score
 from riskloom.llm.order_minhash import op5_order_minhash
@@ -13,6 +15,6 @@ from riskloom.llm.toxicity import op9_toxicity
 
 REGISTRY = {f.__name__: f for f in (
     op1_license_scan, op2_lm_score, op3_mixing, op4_secret_scan, op5_order_minhash, op6_quality, op7_packing,
-    op8_line_dedup, op9_toxicity, op10_range_join)}
+    op8_line_dedup, op9_toxicity, op10_range_join, op12_merkle_manifest)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_merkle_manifest": MERKLE_SQL}
