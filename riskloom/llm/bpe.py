@@ -51,6 +51,15 @@ _MARK = r"!-/:-@\[-`{-~"
 CUT = re.compile(f"(?<=[ 0-9])|(?<=[{_LETTER}]{{3}})(?=[{_LETTER}])|(?<=[{_MARK}])(?=[{_MARK}])(?!')")
 
 
+# words whose runs a plain expression finds as the vocabulary does
+_PLAIN = "a-zà-öø-ÿ"
+PLAIN = re.compile(f"[!-~{_PLAIN}]+")
+RUNS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_PLAIN}]+|[0-9]|[^0-9{_PLAIN}]+")
+# fixed rule: bytes that the vocabulary writes as themselves; the others follow from 256 on
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(b) for b in _SELF} | {b: chr(256 + n) for n, b in enumerate(sorted(set(range(256)).difference(_SELF)))}
+
+
 def vocabulary_path(vocabulary: str | None) -> str:
     if vocabulary is None:
         import public_tokenizers
@@ -81,22 +90,13 @@ class Codec:
         self.names = [""] * (max(names.values()) + 1)
         for t, i in names.items():
             self.names[i] = t
-        self.known: dict[str, bytes] = {}
-        self.known_bare: dict[str, bytes] = {}
-
-    def by_words(self, texts: list[str], bare: bool = False) -> list[np.ndarray]:
-        """Ids of every text."""
-        tokenizer, known = (self.bare, self.known_bare) if bare else (self.tokenizer, self.known)
-        split = [WORDS.findall(t) for t in texts]
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = set().union(*split)
-        new = list(new)
-        for k in range(0, len(new), 4096):
-            part = new[k:k + 4096]
-            known.update((w, np.array(e.ids, "<i4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        return [np.frombuffer(b"".join(map(known.__getitem__, s)), "<i4") for s in split]
+        self.known = Known(self, self.tokenizer)
+        self.known_bare = Known(self, self.bare)
+
+    def by_words(self, text: str, bare: bool = False) -> np.ndarray:
+        """Ids of a text."""
+        known = self.known_bare if bare else self.known
+        return np.frombuffer(b"".join(map(known.__getitem__, WORDS.findall(text))), "<i4")
 
     def run(self, text: str, open_end: bool) -> list[int]:
         """Ids of one run, as the pre-tokenizer writes it."""
@@ -119,13 +119,13 @@ class Codec:
             last = [s for s, _ in self.bare.pre_tokenizer.pre_tokenize_str(words[-1])]
             end = self.run(last[-1], True)
             rest = [i for s in last[:-1] for i in self.run(s, False)]
-            before = self.by_words([" ".join(words[:-1])], bare=True)[0]
+            before = self.by_words(" ".join(words[:-1]), bare=True)
             ids = np.concatenate([before, np.array(rest + end, np.int32)])
             if len(words) == len(last) == 1:
                 return Part(ids, len(ids) if open_start else 0, len(ids), True)
         else:
             end = []
-            ids = self.by_words([text], bare=True)[0]
+            ids = self.by_words(text, bare=True)
         single = open_start and len(words) == len(head) == 1
         return Part(ids, len(self.run(head[0], False)) if open_start else 0, len(end), single)
 
@@ -167,6 +167,25 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+class Known(dict):
+    """Word to ids (bytes); a new word is encoded when it is first looked up."""
+
+    def __init__(self, codec: Codec, tokenizer):
+        super().__init__()
+        self.codec, self.tokenizer = codec, tokenizer
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= CACHED_WORDS:
+            self.clear()
+        low = word.lower()
+        if PLAIN.fullmatch(low) and not any(s in word for s in self.codec.specials):
+            ids = [i for r in RUNS.findall(low) for i in self.codec.run(r if r.isascii() else r.encode().decode("latin-1").translate(BYTES), False)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        self[word] = out = np.array(ids, "<i4").tobytes()
+        return out
+
+
 class Part:
     """Ids of neighbouring blocks; head and tail: how many belong to a cut run
     at their start and end; single: all of them to one and the same."""
@@ -197,7 +216,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, block: int = BLOCK) -
         codec = worker_codec(vocabulary_path(vocabulary))
         for b in batches:
             for c in W.chunks(b):
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), id_lists(codec.by_words(c.column("text").to_pylist()))], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), id_lists([codec.by_words(t) for t in c.column("text").to_pylist()])], ["doc_id", "ids"])
 
     def cut(batches):
         codec = worker_codec(vocabulary_path(vocabulary))
@@ -254,7 +273,10 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 c = b.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("ids"), pa.array(codec.decode(c.column("ids").to_pylist()), pa.string())],
+                ends = c.column("ids").offsets.to_numpy()
+                ids = c.column("ids").values.to_numpy()
+                text = codec.decode([ids[i:j].tolist() for i, j in zip(ends, ends[1:])])
+                yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("ids"), pa.array(text, pa.string())],
                                                  ["doc_id", "ids", "decoded"])
 
     kind = dict(encoded.dtypes)["doc_id"]
