@@ -23,6 +23,7 @@ empty table.  Memory of a task: one text and its ids.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -40,7 +41,7 @@ from riskloom.llm.common import WORD, stored, table
 
 BLOCK = 1 << 14              # characters of a block
 WINDOW = 4                   # ids on each side of a join that are encoded again at first
-CACHED_WORDS = 1_000_000     # words whose ids a worker keeps
+CACHED_WORDS = 1 << 18       # words whose ids a worker keeps
 WORDS = re.compile(WORD)
 # letters that the vocabulary puts in one run, whatever follows, and punctuation it does
 _LETTER = "a-zà-öø-ÿа-я一-鿿ぁ-ゖァ-ヺ가-힣"
@@ -72,26 +73,40 @@ class Codec:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # for normalised text without special strings
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
-        self.bare.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self.suffix = model["end_of_word_suffix"] or ""
-        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
-        self.inner = models.BPE(vocab=model["vocab"], merges=merges)          # runs that go on behind the block
+        self.suffix = self.tokenizer.model.end_of_word_suffix or ""
         self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.names = [""] * (max(names.values()) + 1)
         for t, i in names.items():
             self.names[i] = t
         self.known = Known(self, self.tokenizer)
-        self.known_bare = Known(self, self.bare)
+
+    @functools.cached_property
+    def bare(self):
+        """Tokenizer of normalised text without special strings."""
+        from tokenizers import Tokenizer
+        bare = Tokenizer.from_file(self.path)
+        bare.normalizer = None
+        bare.encode_special_tokens = True
+        return bare
+
+    @functools.cached_property
+    def known_bare(self):
+        return Known(self, self.bare)
+
+    @functools.cached_property
+    def inner(self):
+        """Model of runs that go on behind the block."""
+        from tokenizers import models
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        return models.BPE(vocab=model["vocab"], merges=merges)
 
     def by_words(self, text: str, bare: bool = False) -> np.ndarray:
         """Ids of a text."""

@@ -84,6 +84,11 @@ def coordinates(vectors: DataFrame) -> tuple[int, int, list[int]]:
     return max(len(rows), 1), int(max((r["top"] for r in rows), default=0)), order
 
 
+def leading(order: list[int]) -> list[Column]:
+    """The two most varying coordinates of a vector as columns."""
+    return [F.coalesce(F.get("q", F.lit(j)), F.lit(0)) for j in (order + order)[:2]] or [F.col("row"), F.col("row")]
+
+
 def pack_pages(q: np.ndarray, order: list[int]) -> list[np.ndarray]:
     """Sort-tile recursion in halves, one coordinate after the other."""
     def cut(at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -141,7 +146,7 @@ def pack_tree(vectors: DataFrame, width: int, order: list[int]) -> list[str]:
     """Names of the node files of a new tree; one per FAN tiles and task."""
     spark = vectors.sparkSession
     tiles = max(1, math.ceil(vectors.count() / TILE))
-    first, second = [F.coalesce(F.get("q", F.lit(j)), F.lit(0)) for j in (order + order)[:2]] or [F.lit(0), F.lit(0)]
+    first, second = leading(order)
     slabs = vectors.repartitionByRange(math.ceil(math.sqrt(tiles)), first, "row").withColumn("slab", F.spark_partition_id())
     parts = max(1, math.ceil(tiles * TILE / SLAB_ROWS), min(tiles, spark.sparkContext.defaultParallelism))
     key = ["slab", second, "row"]
@@ -280,8 +285,8 @@ def hard_negatives(embeddings: DataFrame, label: Column, anchor: Column) -> Data
 
     chosen = vectors.filter(anchor)
     tasks = max(1, math.ceil(chosen.count() / ANCHORS), embeddings.sparkSession.sparkContext.defaultParallelism)
-    near = [F.coalesce(F.get("q", F.lit(j)), F.lit(0)) for j in (order + order)[:2]]
-    return (chosen.repartitionByRange(tasks, *near, "row").sortWithinPartitions(*near, "row").select("vec_id", "label", "row", "q")
+    near = [*leading(order), F.col("row")]
+    return (chosen.repartitionByRange(tasks, *near).sortWithinPartitions(*near).select("vec_id", "label", "row", "q")
             .mapInArrow(search, "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"))
 
 

@@ -109,8 +109,10 @@ def rounds(nodes: DataFrame) -> list[DataFrame]:
         nodes = out[-1].select("key", "n", F.col("block").alias("rank"), "node")
 
 
-STEP = f"""transform(filter(sequence(0, {DIGIT - 1}), l -> l < size(levels) - 1),
-                     l -> struct(get(levels[l], shiftright(kid.d, l) ^ 1) AS sibling, (shiftright(kid.d, l) & 1) = 1 AS later))"""
+def step(digit: int) -> str:
+    """Path of a child through the levels of its parent."""
+    return f"""transform(filter(sequence(0, {digit - 1}), l -> l < size(levels) - 1),
+                         l -> struct(get(levels[l], shiftright(kid.d, l) ^ 1) AS sibling, (shiftright(kid.d, l) & 1) = 1 AS later))"""
 
 
 def descend(blocks: DataFrame, above: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def descend(blocks: DataFrame, above: DataFrame) -> DataFrame:
         work = work.select("key", "top", "path", "levels", rank.alias("rank"), F.explode("kids").alias("kid"))
         last = i == DIGITS - 1
         work = work.select("key", "top", (F.col("rank") * (1 << DIGIT) + F.col("kid.d")).alias("rank"),
-                           F.concat(F.expr(STEP).cast(PATH), "path").alias("path"), *(
+                           F.concat(F.expr(step(DIGIT)).cast(PATH), "path").alias("path"), *(
                                [F.col("kid")] if last else [F.col("kid.levels").alias("levels"), F.col("kid.kids").alias("kids")]))
         rank = F.col("rank")
     return work.select("key", "top", "rank", "path", "kid.node", *[f"kid.{c}" for c in ("item",) if c in work.schema["kid"].dataType.names])
