@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom.config import ANOMALY_FEATURES, ForestParams
+from riskloom.operators.quantile import quantile_row
+from riskloom.session import cut_lineage
 
 EULER = 0.5772156649015329
 
@@ -67,13 +69,12 @@ def select_features(df: DataFrame, names=ANOMALY_FEATURES) -> list[str]:
 
 
 def robust_stats(df: DataFrame, feats: list[str]) -> tuple[list[float], list[float]]:
-    """median and IQR per feature in one aggregate."""
-    aggs = [F.percentile(F.coalesce(F.col(c).cast("double"), F.lit(0.0)),
-                         F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in feats]
-    row = df.agg(*aggs).first()
+    """median and IQR of every feature, null as 0, in one selection."""
+    filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in feats])
+    row = quantile_row(filled, {f"{c}|{p}": (c, p) for c in feats for p in (0.25, 0.5, 0.75)}).first()
     center, scale = [], []
     for c in feats:
-        q1, med, q3 = row[c]
+        q1, med, q3 = [row[f"{c}|{p}"] for p in (0.25, 0.5, 0.75)]
         iqr = q3 - q1
         center.append(float(med))
         scale.append(float(iqr) if iqr != 0 else 1.0)
@@ -188,8 +189,9 @@ def fit(df: DataFrame, params: ForestParams = ForestParams(), feats: list[str] |
     forest = Forest(feats, center, scale, nodes, psi)
     # training score distribution: contamination offset and min / max of the decision values
     raw = _scaled(df, feats, center, scale).select(_score_udf(forest, df.sparkSession)(F.col("_x")).alias("s"))
-    st = raw.agg(F.percentile("s", F.lit(100 * params.contamination / 100.0)).alias("off"),
-                 F.min("s").alias("mn"), F.max("s").alias("mx")).first()
+    raw = cut_lineage(raw)
+    st = quantile_row(raw, {"off": ("s", params.contamination)}).crossJoin(
+        raw.agg(F.min("s").alias("mn"), F.max("s").alias("mx"))).first()
     forest.offset = float(st["off"])
     forest.score_min = float(st["mn"]) - forest.offset
     forest.score_max = float(st["mx"]) - forest.offset

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from riskloom.config import DEVICE_TYPE_RISK, DEVICE_TYPE_RISK_DEFAULT, ROLES
 from riskloom.operators.merge import safe_join
+from riskloom.operators.quantile import quantile_row
 
 
 @dataclass
@@ -112,7 +113,7 @@ def transform(df: DataFrame, stats: EntityStats, roles=ROLES) -> DataFrame:
         ud = stats.device.select(dev, "device_user_count")
         vals = per_dev.join(ud, on=dev, how="left").select(
             F.coalesce(F.col("device_user_count"), F.lit(0)).alias("_v"), "_rows")
-        p95 = vals.agg(F.percentile(F.col("_v"), F.lit(0.95), F.col("_rows")).alias("_p95"))
+        p95 = quantile_row(vals, {"_p95": ("_v", 0.95)}, weight="_rows")
         out = out.crossJoin(F.broadcast(p95)).withColumn(
             "device_is_high_risk", (F.col("device_user_count") > F.col("_p95")).cast("int")).drop("_p95")
     elif "device_user_count" in out.columns:
@@ -125,7 +126,7 @@ def transform(df: DataFrame, stats: EntityStats, roles=ROLES) -> DataFrame:
 
 
 def df_p95(df: DataFrame, col: str) -> DataFrame:
-    return df.agg(F.percentile(F.col(col), F.lit(0.95)).alias("_p95"))
+    return quantile_row(df, {"_p95": (col, 0.95)})
 
 
 def fit_transform(df: DataFrame, fit_df: DataFrame | None = None, roles=ROLES) -> tuple[DataFrame, EntityStats]:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from riskloom.config import ROLES
 from riskloom.operators.ordinal import prefix_sums
+from riskloom.operators.quantile import quantile_row
 from riskloom.session import cut_lineage
 
 # fixed node-type prefixes
@@ -229,7 +230,7 @@ def node_features(g: Graph, with_pagerank: bool = True) -> DataFrame:
     out = deg.join(clustering(g), "node").join(components(g).drop("component"), "node")
     if with_pagerank:
         out = out.join(pagerank(g), "node")
-    p95 = deg.filter(F.col("type") == "card").agg(F.percentile("graph_degree", 0.95).alias("_p95"))
+    p95 = quantile_row(deg.filter(F.col("type") == "card"), {"_p95": ("graph_degree", 0.95)})
     out = out.crossJoin(F.broadcast(p95)).withColumn(
         "graph_is_hub", F.coalesce((F.col("graph_degree") > F.col("_p95")).cast("int"), F.lit(0))).drop("_p95")
     return out

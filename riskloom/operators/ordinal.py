@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,3 +83,24 @@ def prefix_sums(
     res = ranged.mapInPandas(running, out_schema)
     res = res.withColumn(prefix + "_n", F.col(prefix + "_n").cast("long"))
     return res.drop("_n", "_pid")
+
+
+def same(cols: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of columns with their namesakes behind ``prefix``."""
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(prefix + c))
+    return cond
+
+
+def ranks_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank") -> DataFrame:
+    """Add the 0-based rank by ``order`` (a total order) within ``keys``: row
+    numbers of sorted range partitions, written with the rows, minus the first
+    one of the key in its partition, plus the key's rows in the partitions
+    before.  The window sees one row per key and partition."""
+    ranged = cut_lineage(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+                         .withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    runs = ranged.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_in"))
+    before = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_in")
+    runs = runs.select(*[F.col(c).alias("r" + c) for c in [*keys, "_part"]], (before - F.col("_first")).alias("_shift"))
+    return ranged.join(runs, same([*keys, "_part"], "r")).withColumn(name, F.col("_at") + F.col("_shift")).select(*df.columns, name)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from riskloom.config import ROLES
 from riskloom.functions.time import int_day_of_week
+from riskloom.operators.ordinal import same
+from riskloom.operators.quantile import quantile_row, quantile_table, quantiles
 
 T = ROLES.target
 
@@ -101,21 +103,17 @@ def device_card_bucket_rate(df: DataFrame) -> DataFrame:
 def describe_by_class(df: DataFrame, col: str = ROLES.amount) -> DataFrame:
     """Count, mean, std, min, quartiles, max per class."""
     x = F.col(col)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(T).agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-        q.alias("_q"), F.max(x).alias("max"),
-    ).select(T, "count", "mean", "std", "min", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"),
-             F.col("_q")[2].alias("p75"), "max")
+    stats = df.groupBy(T).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+                              F.min(x).alias("min"), F.max(x).alias("max"))
+    q = quantile_table(df, {"p25": (col, 0.25), "p50": (col, 0.5), "p75": (col, 0.75)}, [T]).withColumnRenamed(T, "r" + T)
+    return stats.join(q, same([T], "r"), "left").select(T, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def amount_percentiles(df: DataFrame, col: str = ROLES.amount,
                        pcts: Sequence[int] = (25, 50, 75, 90, 95, 99)) -> DataFrame:
     """Linear-interpolated percentiles per class, long format."""
-    arr = F.percentile(F.col(col), F.array(*[F.lit(p / 100) for p in pcts]))
-    wide = df.groupBy(T).agg(arr.alias("_v"))
-    return wide.select(T, F.posexplode("_v").alias("_i", "value")).select(
-        T, F.element_at(F.array(*[F.lit(p) for p in pcts]), F.col("_i") + 1).alias("percentile"), "value")
+    q = quantiles(df, [col], [p / 100 for p in pcts], [T])
+    return q.select(T, F.round(F.col("p") * 100).cast("int").alias("percentile"), "value")
 
 
 def missing_rates(df: DataFrame) -> DataFrame:
@@ -188,11 +186,11 @@ def class_histogram(df: DataFrame, value, bins: int, by: str = T) -> DataFrame:
 
 
 def clip_to_quantiles(df: DataFrame, col: str, lo: float = 0.01, hi: float = 0.99) -> DataFrame:
-    """clip a column to its [1 %, 99 %] quantiles (one-row aggregate, broadcast)."""
-    q = df.agg(F.percentile(F.col(col), F.array(F.lit(lo), F.lit(hi))).alias("_q"))
+    """clip a column to its [1 %, 99 %] quantiles (one row, broadcast)."""
+    q = quantile_row(df, {"_lo": (col, lo), "_hi": (col, hi)})
     return df.crossJoin(F.broadcast(q)).withColumn(
-        col, F.when(F.col(col).isNotNull(), F.least(F.greatest(F.col(col), F.col("_q")[0]), F.col("_q")[1]))
-    ).drop("_q")
+        col, F.when(F.col(col).isNotNull(), F.least(F.greatest(F.col(col), F.col("_lo")), F.col("_hi")))
+    ).drop("_lo", "_hi")
 
 
 def equal_width_buckets(df: DataFrame, col: str, bins: int = 10) -> DataFrame:

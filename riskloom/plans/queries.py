@@ -113,13 +113,15 @@ def time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("label_encoders")
 def label_encoders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1 + P8 + P9: (column, value, code) dimension table."""
-    return preprocess.fit(timed_transactions(spark, sf_dir)).encoders
+    df = timed_transactions(spark, sf_dir)
+    return preprocess.fit_encoders(df, preprocess.categorical_columns(df))
 
 
 @register("numeric_medians")
 def numeric_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P2 + P7: (column, median) dimension table."""
-    return round_doubles(preprocess.fit(timed_transactions(spark, sf_dir)).medians)
+    df = timed_transactions(spark, sf_dir)
+    return round_doubles(preprocess.fit_medians(df, preprocess.numeric_columns(df, preprocess.categorical_columns(df))))
 
 
 PREP_COLS = ["TransactionID", "isFraud", "ProductCD", "P_emaildomain", "DeviceType", "DeviceInfo",
