@@ -44,3 +44,56 @@ def test_ranks_within(spark):
         groups.setdefault(r["k"], []).append(r["v"])
     want = {(k, v): i for k, vs in groups.items() for i, v in enumerate(sorted(vs))}
     assert {(r["k"], r["v"]): r["rank"] for r in ranks_within(df, ["k"], ["v"]).collect()} == want
+
+
+def velocity_rows(spark, n=4000):
+    """One card with a third of all rows, ties, null cards and amounts, far-off times, text ids."""
+    import random
+    rnd = random.Random(11)
+    rows = [(f"i{i:05d}", None if i % 17 == 0 else 1 if i % 3 == 0 else rnd.randint(2, 400), rnd.choice([0, 5, rnd.randint(0, 30 * 86400)]),
+             None if i % 13 == 0 else rnd.choice([5.0, 99999.99, rnd.randint(1, 10**7) / 100]), "W") for i in range(n)]
+    return rows, spark.createDataFrame(rows, "TransactionID string, card1 int, TransactionDT long, TransactionAmt double, ProductCD string").repartition(5)
+
+
+def test_probe_rows_equal_brute_force(spark):
+    from riskloom.operators.velocity import velocity_features
+    rows, df = velocity_rows(spark)
+    wins = ((1, "1s"), (3600, "1h"), (604800, "7d"))
+    got = {r["TransactionID"]: r for r in velocity_features(df, windows=wins, amount="TransactionAmt").collect()}
+    assert len(got) == len(rows)
+    cards = {}
+    for i, c, t, a, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        r, prior = got[i], cards.setdefault(c, []) if c is not None else []
+        assert r["time_since_last_tx"] == (t - prior[-1][0] if prior else 0)
+        for w, label in wins:
+            inside = [x for pt, x in prior if pt >= t - w]
+            known = [x for x in inside if x is not None]
+            assert r[f"card_tx_count_{label}"] == len(inside)
+            assert (r[f"card_tx_mean_amt_{label}"] is None) == (not known)
+            if known:
+                assert r[f"card_tx_mean_amt_{label}"] == pytest.approx(np.mean(known))
+            if len(known) > 1:
+                assert r[f"card_tx_std_amt_{label}"] == pytest.approx(np.std(known, ddof=1), abs=1e-9)
+        if c is not None:
+            prior.append((t, a))
+
+
+def test_a_hot_card_is_spread_over_all_tasks(spark):
+    from riskloom.operators.velocity import _sorted_rows
+    _, df = velocity_rows(spark, 12000)
+    hot = df.withColumn("card1", F.lit(1))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        per_task = [r["n"] for r in _sorted_rows(hot, "card1", "TransactionDT", "TransactionID", ((3600, "1h"),), None)
+                    .groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(per_task) == 4 and max(per_task) < sum(per_task) / 2
+
+
+def test_repeated_rows_share_the_first_ones_values(spark):
+    from riskloom.operators.velocity import velocity_features
+    df = spark.createDataFrame([(1, 1, 10, 1.0), (1, 1, 10, 1.0), (2, 1, 12, 1.0)], "TransactionID long, card1 long, TransactionDT long, TransactionAmt double")
+    got = [(r["TransactionID"], r["time_since_last_tx"], r["card_tx_count_1h"]) for r in velocity_features(df).collect()]
+    assert sorted(got) == [(1, 0.0, 0), (1, 0.0, 0), (2, 2.0, 2)]
+    assert velocity_features(df.limit(0)).count() == 0
