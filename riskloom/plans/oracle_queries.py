@@ -544,6 +544,10 @@ FROM wb GROUP BY window_start"""
 
 ORACLE["alert_windows_10s"] = with_canon(_win(10, 10))
 ORACLE["rolling_fraud_rate_60s"] = with_canon(_win(60, 10))
+ORACLE["stream_alert_windows_10s"] = ORACLE["alert_windows_10s"]
+ORACLE["stream_rolling_fraud_rate_60s"] = ORACLE["rolling_fraud_rate_60s"]
+ORACLE["stream_consumer_stats"] = ORACLE["consumer_stats"]
+ORACLE["message_log_offsets"] = _q("SELECT TransactionID AS transaction_id, TransactionDT AS ts, true AS once, true AS gapless FROM tx")
 
 
 _VEL_ONLY = """

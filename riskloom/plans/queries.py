@@ -4,7 +4,7 @@ canonical views, so its work grows with them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import behavioral
@@ -598,16 +598,112 @@ def stream_card_velocity(spark, sf_dir):
     """Canonical rows -> time-ordered JSON files -> file stream -> keyed
     velocity state -> Parquet sink in the shared folder -> read back."""
     from riskloom.streaming import stream as st
+    from riskloom.streaming.velocity_state import card_velocity_stream
     from riskloom.sources.tables import events_transactions
     base = _stream_dir(spark, "stream-velocity")
     st.write_time_ordered_files(events_transactions(spark, sf_dir), f"{base}/in", 6)
-    q = (st.card_velocity_stream(st.transaction_stream(spark, f"{base}/in"))
+    q = (card_velocity_stream(st.transaction_stream(spark, f"{base}/in"))
          .writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/ckpt").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
 
 
+SCORED_MESSAGE = "transaction_id long, risk_level string, ts long, label int, invalid boolean"
+
+
+def _scored_log(spark, sf_dir, base, run):
+    """Fixed predictions as messages of a log, appended in three slices of
+    event time; ``run(log)`` consumes what has come, from where it stopped."""
+    from riskloom.session import cut_lineage
+    from riskloom.sources.message_log import append_messages
+    amount = F.col("TransactionAmt")
+    p = cut_lineage(fixed_predictions(spark, sf_dir).select(
+        "transaction_id", "risk_level", "ts", "label", (amount.isNull() | ~(amount > 0)).alias("invalid")))
+    low, high = p.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(3):
+        a, b = low + (high + 1 - low) * k // 3, low + (high + 1 - low) * (k + 1) // 3
+        part = p.filter((F.col("ts") >= a) & (F.col("ts") < b))
+        append_messages(part.select(F.col("transaction_id").cast("string").alias("key"), F.to_json(F.struct("*")).alias("value"), "ts"),
+                        f"{base}/log", 4, order="ts")
+        run(f"{base}/log")
+
+
+def _scored_stream(spark, log):
+    from riskloom.sources.message_log import read_log
+    return read_log(spark, log).select(F.from_json("value", SCORED_MESSAGE).alias("m")).select("m.*")
+
+
+def _stream_windows(spark, sf_dir, name, duration, slide=None):
+    from riskloom.streaming import stats
+    base = _stream_dir(spark, name)
+    shape = []
+
+    def run(log):
+        w = stats.window_updates(_scored_stream(spark, log), F.timestamp_seconds(F.col("ts") + F.lit(EPOCH_OFFSET)), duration, slide)
+        shape[:] = [w.schema]
+        stats.start_updates(w, f"{base}/out", f"{base}/ckpt").awaitTermination()
+
+    _scored_log(spark, sf_dir, base, run)
+    out = stats.latest_windows(spark, f"{base}/out", shape[0])
+    return round_doubles(out.select(F.unix_seconds("window_start").alias("window_start"), "processed", "alerts", "fraud_rate"))
+
+
+@register("stream_alert_windows_10s")
+def stream_alert_windows_10s(spark, sf_dir):
+    """V4: message log -> watermarked tumbling windows in update mode, the
+    query stopped and started again from its offsets between appends."""
+    return _stream_windows(spark, sf_dir, "stream-windows", "10 seconds")
+
+
+@register("stream_rolling_fraud_rate_60s")
+def stream_rolling_fraud_rate_60s(spark, sf_dir):
+    """V6: the same with sliding windows of 60 seconds."""
+    return _stream_windows(spark, sf_dir, "stream-rolling", "60 seconds", "10 seconds")
+
+
+@register("stream_consumer_stats")
+def stream_consumer_stats(spark, sf_dir):
+    """V2 + A30: counters of a consuming query, added up by its listener over
+    two restarts."""
+    from riskloom.streaming import stats
+    base = _stream_dir(spark, "stream-consumer")
+    listener = stats.ConsumerListener()
+    spark.streams.addListener(listener)
+    try:
+        def run(log):
+            s = stats.observed(_scored_stream(spark, log), F.col("invalid"))
+            q = (s.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+                 .trigger(availableNow=True).start())
+            listener.query_id = str(q.id)
+            q.awaitTermination()
+            listener.wait(str(q.runId))
+
+        _scored_log(spark, sf_dir, base, run)
+    finally:
+        spark.streams.removeListener(listener)
+    return round_doubles(stats.totals_frame(spark, listener))
+
+
+@register("message_log_offsets")
+def message_log_offsets(spark, sf_dir):
+    """S13 + S14 + V5: every message read once over two restarts, with
+    gapless offsets in each partition of the log."""
+    base = _stream_dir(spark, "stream-offsets")
+
+    def run(log):
+        from riskloom.sources.message_log import read_log
+        (read_log(spark, log).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start().awaitTermination())
+
+    _scored_log(spark, sf_dir, base, run)
+    seen = spark.read.parquet(f"{base}/out")
+    return seen.select(F.col("key").cast("long").alias("transaction_id"), F.from_json("value", SCORED_MESSAGE)["ts"].alias("ts"),
+                       (F.count(F.lit(1)).over(Window.partitionBy("partition", "offset")) == 1).alias("once"),
+                       (F.max("offset").over(Window.partitionBy("partition")) + 1 ==
+                        F.count(F.lit(1)).over(Window.partitionBy("partition"))).alias("gapless"))
+
+
 @register("message_roundtrip")
 def message_roundtrip(spark, sf_dir):
     """S17 encode -> S18 decode of the merged rows (values must survive)."""

@@ -10,24 +10,18 @@ S13-S18).
   ``batch_id=<n>`` with overwrite, so a replayed batch replaces itself.
 * Windowed stats (V4, V6): event-time tumbling / sliding windows with a
   watermark.
-* Velocity state (V7): ``applyInPandasWithState`` keyed by card keeps the
-  card's times inside the largest window and emits W1 / W2 for each new row
-  in (time, id) order -- equal to the batch operator when rows arrive in
-  time order.
+* Velocity state (V7): velocity_state.py.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from riskloom.config import ROLES, TIME_WINDOWS
+from riskloom.config import ROLES
 from riskloom.operators import monitor
 from riskloom.sources.tables import EPOCH_OFFSET, ID_SCHEMA, TX_SCHEMA
 
@@ -61,10 +55,14 @@ def decode_messages(df: DataFrame, value: str = "value") -> DataFrame:
 
 # ---------------------------------------------------------------- sources / sinks
 def transaction_stream(spark: SparkSession, path: str | None = None, kafka_servers: str | None = None,
-                       topic: str = "fraud-transactions", max_per_trigger: int | None = None) -> DataFrame:
+                       topic: str = "fraud-transactions", max_per_trigger: int | None = None, log: str | None = None) -> DataFrame:
     """Streaming transactions (decoded).  Kafka: ``startingOffsets``
     latest, ``max_per_trigger`` as ``maxOffsetsPerTrigger``; None: no
-    limit.  File stand-in: JSON lines, ``max_per_trigger`` files (None: one)."""
+    limit.  ``log``: a message log with offsets (sources/message_log.py).
+    File stand-in: JSON lines, ``max_per_trigger`` files (None: one)."""
+    if log:
+        from riskloom.sources.message_log import read_log
+        return decode_messages(read_log(spark, log, max_per_trigger))
     if kafka_servers:
         raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", kafka_servers)
                .option("subscribe", topic).option("startingOffsets", "latest"))
@@ -99,10 +97,13 @@ def write_time_ordered_files(df: DataFrame, path: str, n_files: int, time_col: s
         write_messages(part.coalesce(1), path)
 
 
-def alert_writer(out_dir: str, art, high_levels: Sequence[str] = monitor.HIGH):
-    """V1 / V2 / V3: foreachBatch function: validate, score, split alerts,
-    write alert messages (S15), the alert log (S16) and the quarantine, each
-    under ``batch_id=<n>`` with overwrite (replay-safe)."""
+def alert_writer(out_dir: str, art, high_levels: Sequence[str] = monitor.HIGH, kafka_servers: str | None = None,
+                 alert_topic: str = "fraud-alerts"):
+    """V1 / V2 / V3: foreachBatch function: validate, score once, write the
+    scored rows, and from them the alert messages (S15), the alert log (S16)
+    and the quarantine, each under ``batch_id=<n>`` with overwrite
+    (replay-safe).  With ``kafka_servers`` the alerts go to a topic instead,
+    keyed by transaction, where a replayed batch may repeat them."""
     from riskloom.functions.risk import alert_message
     from riskloom.plans.train import score
 
@@ -113,19 +114,24 @@ def alert_writer(out_dir: str, art, high_levels: Sequence[str] = monitor.HIGH):
             "_corrupt_record", F.lit("unparsable message").alias("quarantine_reason"))
         bad.select(F.to_json(F.struct("*")).alias("_corrupt_record"), "quarantine_reason").unionByName(corrupt) \
             .write.mode("overwrite").json(f"{out_dir}/quarantine/batch_id={batch_id}")
-        scored = score(valid, art)
+        score(valid, art).write.mode("overwrite").parquet(f"{out_dir}/scored/batch_id={batch_id}")
+        scored = batch.sparkSession.read.parquet(f"{out_dir}/scored/batch_id={batch_id}")
         alerts = scored.filter(F.col("prediction.risk_level").isin(*high_levels))
-        alerts.select(F.to_json(alert_message(F.col("prediction"), F.col("TransactionAmt"))).alias("value")) \
-            .write.mode("overwrite").text(f"{out_dir}/alerts/batch_id={batch_id}")
+        messages = alerts.select(F.col("prediction.transaction_id").cast("string").alias("key"),
+                                 F.to_json(alert_message(F.col("prediction"), F.col("TransactionAmt"))).alias("value"))
+        if kafka_servers:
+            messages.write.format("kafka").option("kafka.bootstrap.servers", kafka_servers).option("topic", alert_topic).save()
+        else:
+            messages.select("value").write.mode("overwrite").text(f"{out_dir}/alerts/batch_id={batch_id}")
         alerts.select("prediction.*", F.struct("ts", "TransactionAmt", "device").alias("original_tx")) \
             .write.mode("overwrite").json(f"{out_dir}/alert_log/batch_id={batch_id}")
     return run
 
 
-def start_scoring(stream: DataFrame, art, out_dir: str, checkpoint: str, available_now: bool = True):
+def start_scoring(stream: DataFrame, art, out_dir: str, checkpoint: str, available_now: bool = True, **alerts):
     """V1 + V5: offsets / files are committed through the checkpoint after
     each batch's sinks are written (at-least-once sinks made idempotent)."""
-    w = stream.writeStream.foreachBatch(alert_writer(out_dir, art)).option("checkpointLocation", checkpoint)
+    w = stream.writeStream.foreachBatch(alert_writer(out_dir, art, **alerts)).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")).start()
 
 
@@ -144,55 +150,3 @@ def windowed_counts(stream: DataFrame, duration: str = "10 seconds", slide: str
                                        F.sum(F.col(ROLES.target)).alias("frauds")) \
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "processed", "frauds",
                 (F.col("frauds") / F.col("processed")).alias("fraud_rate"))
-
-
-# ---------------------------------------------------------------- keyed velocity state (V7)
-VELOCITY_OUT = T.StructType([
-    T.StructField(ROLES.id, T.LongType()), T.StructField(ROLES.card, T.LongType()),
-    T.StructField("time_since_last_tx", T.DoubleType()),
-] + [T.StructField(f"card_tx_count_{label}", T.IntegerType()) for _, label in TIME_WINDOWS])
-VELOCITY_STATE = T.StructType([T.StructField("times", T.ArrayType(T.LongType())),
-                               T.StructField("ids", T.ArrayType(T.LongType()))])
-
-
-def _velocity_fn(windows: Sequence[tuple[int, str]]):
-    horizon = max(w for w, _ in windows)
-
-    def fn(key, pdfs, state):
-        if state.exists:
-            times, ids = state.get
-            times, ids = list(times), list(ids)
-        else:
-            times, ids = [], []
-        new = pd.concat(list(pdfs), ignore_index=True).sort_values([ROLES.time, ROLES.id])
-        ht = np.array(times, dtype="int64")
-        hi = np.array(ids, dtype="int64")
-        out = []
-        for t, i in zip(new[ROLES.time].to_numpy(), new[ROLES.id].to_numpy()):
-            before = (ht < t) | ((ht == t) & (hi < i))
-            prior = ht[before]
-            row = {ROLES.id: int(i), ROLES.card: int(key[0]),
-                   "time_since_last_tx": float(t - prior.max()) if prior.size else 0.0}
-            for w, label in windows:
-                row[f"card_tx_count_{label}"] = int((prior >= t - w).sum())
-            out.append(row)
-            ht = np.append(ht, t)
-            hi = np.append(hi, i)
-        keep = ht >= ht.max() - horizon - 1 if ht.size else ht.astype(bool)
-        # the latest row is always kept so time-since-last survives quiet periods
-        if ht.size:
-            keep[np.argmax(ht)] = True
-        state.update((ht[keep].tolist(), hi[keep].tolist()))
-        yield pd.DataFrame(out, columns=[f.name for f in VELOCITY_OUT.fields])
-    return fn
-
-
-def card_velocity_stream(stream: DataFrame, windows: Sequence[tuple[int, str]] = TIME_WINDOWS) -> DataFrame:
-    """V7: streaming W1 / W2 keyed by card (null cards -> zeros, no state)."""
-    keyed = stream.filter(F.col(ROLES.card).isNotNull()).select(ROLES.id, ROLES.card, ROLES.time)
-    timed = keyed.groupBy(ROLES.card).applyInPandasWithState(
-        _velocity_fn(windows), VELOCITY_OUT, VELOCITY_STATE, "append", GroupStateTimeout.NoTimeout)
-    without = stream.filter(F.col(ROLES.card).isNull()).select(
-        *[F.col(f.name).cast(f.dataType) if f.name in (ROLES.id, ROLES.card) else F.lit(0).cast(f.dataType).alias(f.name)
-          for f in VELOCITY_OUT.fields])
-    return timed.unionByName(without)

@@ -97,3 +97,108 @@ def test_repeated_rows_share_the_first_ones_values(spark):
     got = [(r["TransactionID"], r["time_since_last_tx"], r["card_tx_count_1h"]) for r in velocity_features(df).collect()]
     assert sorted(got) == [(1, 0.0, 0), (1, 0.0, 0), (2, 2.0, 2)]
     assert velocity_features(df.limit(0)).count() == 0
+
+
+def consume(spark, log, out):
+    from riskloom.sources.message_log import read_log
+    q = (read_log(spark, log).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def test_message_log_is_read_once_over_restarts(spark, tmp_path):
+    """Offsets go on behind the last append; an append without a manifest is not seen."""
+    from riskloom.sources.message_log import append_messages, ends, manifests
+    log, out = f"{tmp_path}/log", f"{tmp_path}/out"
+    frame = spark.range(0, 500).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("v"), "id").alias("value"))
+    append_messages(frame, log, 3)
+    consume(spark, log, out)
+    consume(spark, log, out)
+    append_messages(frame.filter("id % 2 = 0"), log, 3)
+    frame.withColumn("partition", F.lit(0)).withColumn("offset", F.lit(9999).cast("long")).write.partitionBy("partition").parquet(f"{log}/append=torn")
+    consume(spark, log, out)
+    rows = spark.read.parquet(f"{out}/rows").collect()
+    assert len(rows) == 750 and len({(r["partition"], r["offset"]) for r in rows}) == 750
+    for p, n in ends(manifests(log)).items():
+        assert sorted(r["offset"] for r in rows if r["partition"] == int(p)) == list(range(n))
+    assert sorted(r["value"] for r in rows if int(r["key"]) % 2) == sorted(f"v{i}" for i in range(1, 500, 2))
+
+
+def test_message_log_ranges(tmp_path, monkeypatch):
+    """A range of offsets is cut into tasks and keeps to its borders."""
+    import json
+    import os
+    from riskloom.sources import message_log as m
+    monkeypatch.setattr(m, "TASK_MESSAGES", 40)
+    os.makedirs(f"{tmp_path}/_commits")
+    for n, ranges in enumerate([{"0": [0, 100], "1": [0, 5]}, {"0": [100, 130]}]):
+        with open(f"{tmp_path}/_commits/{n:08d}.json", "w") as f:
+            json.dump({"append": f"append={n}", "ranges": ranges}, f)
+    r = m.LogStreamReader(str(tmp_path), None, False)
+    assert r.initialOffset() == {} and r.latestOffset() == {"0": 130, "1": 5}
+    got = [(p.partition, p.start, p.end, p.appends[0]) for p in r.partitions({"0": 50}, {"0": 120, "1": 5})]
+    assert got == [(0, 50, 90, "append=0"), (0, 90, 100, "append=0"), (1, 0, 5, "append=0"), (0, 100, 120, "append=1")]
+    limited = m.LogStreamReader(str(tmp_path), 60, False)
+    assert limited.latestOffset() == {"0": 60, "1": 5}
+    limited.partitions({}, {"0": 60, "1": 5})
+    assert limited.latestOffset() == {"0": 120, "1": 5}
+    assert m.LogStreamReader(str(tmp_path), None, True).initialOffset() == {"0": 130, "1": 5}
+
+
+def velocity_batches(spark, base, batches, **kw):
+    """Rows (id, card, time) of each batch through the keyed state; (since, count in 1 h) by id."""
+    from riskloom.streaming.velocity_state import card_velocity_stream
+    schema = "TransactionID long, card1 long, TransactionDT long"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{base}/in")
+        stream = spark.readStream.schema(schema).json(f"{base}/in")
+        (card_velocity_stream(stream, **kw).writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start().awaitTermination())
+    return {r["TransactionID"]: (r["time_since_last_tx"], r["card_tx_count_1h"]) for r in spark.read.parquet(f"{base}/out").collect()}
+
+
+def test_late_rows_and_idle_cards(spark, tmp_path):
+    """Out of order within the watermark: counted; behind it: dropped; idle
+    cards start anew; rows without a card get zeros."""
+    day = 86400
+    got = velocity_batches(spark, tmp_path, [
+        [(1, 7, 10 * day), (2, 7, 10 * day + 60), (3, 8, 10 * day), (4, None, 10 * day)],
+        [(5, 7, 10 * day + 30), (6, 8, 10 * day + 1800), (7, 9, 9 * day)],     # 5: out of order; 7: behind the watermark
+        [(8, 9, 13 * day)],                                                   # time passes: 7 and 8 are idle for over a day
+        [(9, 9, 13 * day + 10)],
+        [(10, 7, 13 * day + 20), (11, 9, 13 * day + 20)],
+    ], idle_seconds=day)
+    assert got == {1: (0, 0), 2: (60, 1), 3: (0, 0), 4: (0, 0), 5: (30, 1), 6: (1800, 1), 8: (0, 0), 9: (10, 1), 10: (0, 0), 11: (10, 2)}
+
+
+def test_state_forgets_what_no_window_needs():
+    """Old pairs go when they are the larger part; the last one stays."""
+    from riskloom.streaming.velocity_state import CardVelocity
+
+    class Value:
+        def __init__(self): self.v = None
+        def exists(self): return self.v is not None
+        def get(self): return self.v
+        def update(self, v): self.v = v
+
+    class Blocks:
+        def __init__(self): self.v = []
+        def get(self): return iter(self.v)
+        def put(self, v): self.v = list(v)
+        def appendValue(self, v): self.v.append(v)
+
+    class Handle:
+        def registerTimer(self, ms): self.timer = ms
+
+    class Now:
+        def __init__(self, s): self.s = s
+        def getCurrentWatermarkInMs(self): return self.s * 1000
+
+    import pandas as pd
+    c = CardVelocity(((10, "1h"), (20, "24h"), (30, "7d")), 1000, 0)
+    c.handle, c.blocks, c.last = Handle(), Blocks(), Value()
+    for t in range(0, 500, 5):
+        out = next(c.handleInputRows((1,), iter([pd.DataFrame({"t": [t, t + 1], "i": [t, t + 1]})]), Now(t)))
+        assert out["card_tx_count_7d"].tolist() == [min(2 * (t // 5), 12), min(2 * (t // 5) + 1, 12)]
+        assert sum(len(b[0]) for b in c.blocks.v) < 40
+    assert c.handle.timer == (496 + 1000) * 1000

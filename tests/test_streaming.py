@@ -32,10 +32,11 @@ def test_stream_scoring_writes_alerts_and_quarantine(spark):
 
 def test_stream_velocity_equals_batch(spark):
     from riskloom.operators.velocity import velocity_features
+    from riskloom.streaming.velocity_state import card_velocity_stream
     tx = events_transactions(spark, SF)
     base = tempfile.mkdtemp(prefix="rl-vel-")
     st.write_time_ordered_files(tx, f"{base}/in", 4)
-    q = (st.card_velocity_stream(st.transaction_stream(spark, f"{base}/in")).writeStream.format("parquet")
+    q = (card_velocity_stream(st.transaction_stream(spark, f"{base}/in")).writeStream.format("parquet")
          .option("path", f"{base}/out").option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
     got = {r.TransactionID: r for r in spark.read.parquet(f"{base}/out").collect()}
