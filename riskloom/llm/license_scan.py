@@ -198,8 +198,9 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and findings (line_no, family, probability,
     contained, confirmed), by line; family is unknown below the threshold."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    every = docs.select(F.monotonically_increasing_id().alias("row"), clean_text().alias("text"))
+    # row numbers are read from files: computed anew, they follow the split of the input
+    docs = stored(docs.select("doc_id", clean_text().alias("text"), F.monotonically_increasing_id().alias("row")), "license")
+    every = docs.select("row", "text")
     model, hits = fit(every)
     hits = stored(hits, "license")
     guess = stored(predict(hits, model), "license")
@@ -242,8 +243,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
         F.get("lines", F.col("word")).alias("line_no"), "family", F.round("probability", 6).alias("probability"),
         F.round("contained", 6).alias("contained"), "confirmed").alias("f"))
     per = found.groupBy("row").agg(F.array_sort(F.collect_list("f")).alias("findings"))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"))
-    return rows.join(per, "row", "left").select(
+    return docs.select("doc_id", "row").join(per, "row", "left").select(
         "doc_id", F.coalesce("findings", F.array().cast(dict(per.dtypes)["findings"])).alias("findings"))
 
 

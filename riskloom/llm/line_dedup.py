@@ -83,7 +83,8 @@ def band_keys(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, two hashes of the line and its band keys."""
+    """doc_id, twin (hash of the text), line_no, two hashes of the line and its
+    band keys."""
     names = [f"b{j}" for j in range(BANDS)]
 
     def run(batches):
@@ -94,13 +95,19 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 doc, number, s, e = line_spans(buf, off)
                 keys = band_keys(*shingle_values(buf, s, e)).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [c.column("doc_id").take(pa.array(doc)), pa.array(number.astype(np.int32)),
+                    [c.column("doc_id").take(pa.array(doc)), c.column("twin").take(pa.array(doc)), pa.array(number.astype(np.int32)),
                      pa.array(W.hash_spans(buf, s, e).view(np.int64)), pa.array(W.hash_spans(buf, s, e, 7).view(np.int64)),
                      *(pa.array(np.ascontiguousarray(keys[:, j])) for j in range(BANDS))],
-                    ["doc_id", "line_no", "id", "check", *names])
+                    ["doc_id", "twin", "line_no", "id", "check", *names])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    return docs.mapInArrow(run, "doc_id long, line_no int, id long, check long, " + ", ".join(f"{n} long" for n in names))
+    return identified(docs).where("doc_id is not null").mapInArrow(
+        run, "doc_id long, twin long, line_no int, id long, check long, " + ", ".join(f"{n} long" for n in names))
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id, twin, text: a doc_id may stand for several texts, which the hash
+    tells apart in every job alike."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin"), "text")
 
 
 def rule(similarity: float = SIMILARITY) -> Rule:
@@ -128,7 +135,7 @@ def rule(similarity: float = SIMILARITY) -> Rule:
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed array<int>) of every document that loses a line."""
+    """(doc_id, twin, removed array<int>) of every document that loses a line."""
     lines = stored(lines_of(docs), "lines")
     names = [f"b{j}" for j in range(BANDS)]
     texts = lines.groupBy("id").agg(*[F.first(n).alias(n) for n in names])
@@ -136,29 +143,28 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     sketches = stored(sketches, "lines")
     rows = stored(bucket_rows(sketches), "lines")
     wanted = rows.select("id").distinct()
-    at = lines.select("id", "doc_id", "line_no").join(wanted, "id", "left_semi") \
-        .groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("at"))
-    at = at.groupBy("at.doc_id").agg(F.collect_list(F.struct("id", "at.line_no")).alias("want"))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = text.join(at, "doc_id").select(F.split("text", "\n", -1).alias("all"), F.explode("want").alias("w")) \
+    at = lines.select("id", "doc_id", "twin", "line_no").join(wanted, "id", "left_semi") \
+        .groupBy("id").agg(F.min(F.struct("doc_id", "twin", "line_no")).alias("at"))
+    at = at.groupBy("at.doc_id", "at.twin").agg(F.collect_list(F.struct("id", "at.line_no")).alias("want"))
+    found = identified(docs).join(at, ["doc_id", "twin"]).select(F.split("text", "\n", -1).alias("all"), F.explode("want").alias("w")) \
         .select(F.col("w.id").alias("id"), F.get("all", F.col("w.line_no")).alias("text")).where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     found = stored(found.dropDuplicates(["id"]), "lines")
     comp = connected_components(link(rows, sketches, found, rule()))
-    where = lines.select("doc_id", "line_no", "id", "check").join(comp, "id", "left") \
-        .select("doc_id", "line_no", F.coalesce("component", "id").alias("group"),
+    where = lines.select("doc_id", "twin", "line_no", "id", "check").join(comp, "id", "left") \
+        .select("doc_id", "twin", "line_no", F.coalesce("component", "id").alias("group"),
                 F.when(F.col("component").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"))
     where = stored(where, "lines")
-    first = where.groupBy("group", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("kept"), F.count(F.lit(1)).alias("n")) \
+    first = where.groupBy("group", "check").agg(F.min(F.struct("doc_id", "twin", "line_no")).alias("kept"), F.count(F.lit(1)).alias("n")) \
         .where("n > 1").drop("n")
-    gone = where.join(first, ["group", "check"]).where(F.struct("doc_id", "line_no") != F.col("kept")) \
-        .groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    gone = where.join(first, ["group", "check"]).where(F.struct("doc_id", "twin", "line_no") != F.col("kept")) \
+        .groupBy("doc_id", "twin").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
     return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs without the removed lines; n_chars follows where docs have it."""
-    gone = removed_lines(docs).withColumnRenamed("doc_id", "at")
-    d = packed(docs, F.col("doc_id").cast("long").alias("id")).join(gone, F.col("id") == F.col("at"), "left")
+    gone = removed_lines(docs)
+    d = packed(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("twin")).join(gone, ["doc_id", "twin"], "left")
     left = F.array_join(F.filter(F.split("doc.text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(left)
     out = []
@@ -174,7 +180,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    gone = removed_lines(docs).withColumnRenamed("doc_id", "_id")
-    out = docs.select("doc_id").join(gone, F.col("doc_id") == F.col("_id"), "left")
+    out = identified(docs).drop("text").join(removed_lines(docs), ["doc_id", "twin"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

@@ -155,13 +155,13 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def take_copies(docs: DataFrame) -> DataFrame:
-    """Every document as often as the mix takes it, with all its columns."""
-    taken = mix(stored(sized(docs), "mix")).where("copies > 0") \
-        .groupBy("doc_id", "key", "size").agg(F.max("copies").cast("int").alias("copies"))
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "key": "_key", "size": "_size"})
+    """Every document as often as the mix takes it, with all its columns.  Rows
+    are known by a number that is written with them, so that repeated rows get
+    their own copies."""
     key, size = sized_columns()
-    out = packed(docs, F.col("doc_id").alias("id"), key.alias("k"), size.alias("s")).join(
-        taken, F.col("id").eqNullSafe(F.col("_id")) & (F.col("k") == F.col("_key")) & (F.col("s") == F.col("_size")))
+    rows = stored(packed(docs, F.monotonically_increasing_id().alias("row"), key.alias("key"), size.alias("size")), "mix")
+    taken = mix(rows.select("row", "key", "size"), "row").where("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    out = rows.select("row", "doc").join(taken, "row")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 

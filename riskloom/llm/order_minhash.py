@@ -203,10 +203,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def first_of_classes(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose class has a smaller doc_id."""
+    """docs without the documents whose class has a smaller doc_id, and with
+    one row of those that agree in doc_id and text."""
     gone = near_duplicates(docs).where("doc_id != class_id").select(F.col("doc_id").alias("gone"))
-    out = packed(docs, F.col("doc_id").cast("long").alias("id"))
-    return out.join(gone, F.col("id") == F.col("gone"), "left_anti").select("doc.*")
+    out = packed(docs, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("twin"))
+    again = stored(docs.groupBy(F.col("doc_id").cast("long").alias("again"), F.xxhash64("text").alias("twin"))
+                   .count().where("count > 1 and again is not null").select("again", "twin"), "omh")
+    out = out.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    twice = (F.col("id") == F.col("again")) & (out["twin"] == again["twin"])
+    single = out.join(again, twice, "left_semi").groupBy("id", out["twin"]).agg(F.first("doc").alias("doc"))
+    return out.join(again, twice, "left_anti").select("doc.*").unionByName(single.select("doc.*"))
 
 
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

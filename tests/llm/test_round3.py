@@ -180,3 +180,42 @@ def test_boxes_prune_on_low_dimensions(spark, monkeypatch, tmp_path):
     ids = np.arange(0, 2000, 100)
     hard_negatives.mine(ids, ids % 2, ids, x[ids].astype(np.float64), nodes)
     assert sum(compared) < 2 * len(ids) * 2000 / 3
+
+
+def test_license_findings_follow_their_documents(spark):
+    """Rows behind a shuffle get the findings that they get from a file."""
+    from riskloom.llm.license_scan import license_scan
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    key = lambda df: {r["doc_id"]: [tuple(f) for f in r["findings"]] for r in df.collect()}
+    want = key(license_scan(docs))
+    got = key(license_scan(docs.groupBy("doc_id").agg(F.first("text").alias("text"))))
+    assert got == want and sum(map(len, want.values())) > 0
+
+
+def test_repeated_ids_lose_no_unique_line(spark):
+    from riskloom.llm.line_dedup import dedup_lines
+    rows = [(7, "a line that is seen twice here\nmore words stand in this one"), (7, "unique passage of the other text\nsecond unique line, quite different"),
+            (8, "a line that is seen twice here\nand something else altogether")]
+    got = sorted(r["text"] for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    lines = [x for t in got for x in t.split("\n")]
+    assert sorted(lines) == sorted({x for _, t in rows for x in t.split("\n")}) and len(got) == 3
+
+
+def test_repeated_rows_take_their_own_copies(spark):
+    from riskloom.llm.mixing import mix, sized, take_copies
+    rows = [(1, "w " * 5, "a", "x")] * 40 + [(i, "w " * (3 + i % 7), "b", "x") for i in range(2, 60)] + [(100, "v " * 5, "a", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, row string")
+    due = sum(r["copies"] for r in mix(sized(docs)).collect())
+    got = take_copies(docs)
+    assert got.columns == docs.columns and got.count() == due
+    assert max(r["count"] for r in got.groupBy("doc_id").count().collect() if r["doc_id"] != 1) <= 3
+
+
+def test_equal_rows_leave_one_document(spark):
+    from riskloom.llm.order_minhash import first_of_classes
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text), (3, None), (3, None), (4, ""), (5, "other words altogether here"), (5, "not the same text at all"), (None, text)]
+    got = sorted(map(str, first_of_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    one = [r for r in got if "word39" in r and "doc_id=None" not in r]
+    assert len(one) == 1 and "doc_id=1" in one[0]
+    assert sum("doc_id=5" in r for r in got) == 2
