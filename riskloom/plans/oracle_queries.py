@@ -595,3 +595,13 @@ ORACLE["card_amount_windows"] = _q("""SELECT a.TransactionID, """ + ", ".join(
 FROM tx a LEFT JOIN tx b ON a.card1 = b.card1
    AND (b.TransactionDT < a.TransactionDT OR (b.TransactionDT = a.TransactionDT AND b.TransactionID < a.TransactionID))
 GROUP BY a.TransactionID""")
+
+
+# M2 by the min-max formula: the highest, over all starts up to a score, of the
+# lowest mean from that start to any end at or behind the score
+ORACLE["isotonic_calibration"] = with_canon(SCORES.split("cv AS")[0].rstrip().rstrip(",") + """,
+pts AS (SELECT score, count(*) AS w, sum(label) AS wy FROM sc WHERE score IS NOT NULL GROUP BY score),
+cum AS (SELECT score, sum(w) OVER o AS cw, sum(wy) OVER o AS cy, w, wy FROM pts WINDOW o AS (ORDER BY score)),
+pair AS (SELECT a.score AS a, b.score AS b, (b.cy - a.cy + a.wy) / (b.cw - a.cw + a.w) AS mean FROM cum a JOIN cum b ON b.score >= a.score),
+low AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM pair)
+SELECT """ + r6("b", "score") + ", " + r6("max(least)", "calibrated") + " FROM low GROUP BY b")

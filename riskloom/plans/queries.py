@@ -576,7 +576,8 @@ def isotonic_calibration(spark, sf_dir):
     from riskloom.operators import model
     s = fixed_scores(spark, sf_dir)
     iso = model.isotonic(s)
-    return iso.transform(s.select(F.col("score").cast("double").alias("score"))).distinct()
+    scores = s.select(F.col("score").cast("double").alias("score")).filter(F.col("score").isNotNull()).distinct()
+    return round_doubles(iso.transform(scores))
 
 
 @register("hash_sample")

@@ -202,3 +202,31 @@ def test_state_forgets_what_no_window_needs():
         assert out["card_tx_count_7d"].tolist() == [min(2 * (t // 5), 12), min(2 * (t // 5) + 1, 12)]
         assert sum(len(b[0]) for b in c.blocks.v) < 40
     assert c.handle.timer == (496 + 1000) * 1000
+
+
+def brute_isotonic(points):
+    xs = sorted({x for x, _ in points})
+    mean = lambda a, b: np.mean([y for x, y in points if xs[a] <= x <= xs[b]])
+    return {xs[k]: max(min(mean(a, b) for b in range(k, len(xs))) for a in range(k + 1)) for k in range(len(xs))}
+
+
+@pytest.mark.parametrize("rows,knots", [(1 << 20, 1 << 20), (4, 1)])
+def test_isotonic_equals_min_max_formula(spark, monkeypatch, rows, knots):
+    """Many small blocks give the regression of one; both ways to predict."""
+    from riskloom.operators import isotonic
+    monkeypatch.setattr(isotonic, "ROWS", rows)
+    monkeypatch.setattr(isotonic, "BROADCAST_KNOTS", knots)
+    rng = np.random.default_rng(4)
+    points = [(float(round(x, 2)), float(rng.random() < x)) for x in rng.random(150)] + [(0.5, 1.0)] * 80
+    df = spark.createDataFrame(points + [(None, 1.0), (0.3, None)], "score double, label double").repartition(3)
+    model = isotonic.fit(df)
+    want = brute_isotonic(points)
+    got = {r["score"]: r["calibrated"] for r in model.transform(df.select("score")).collect()}
+    assert got.pop(None) is None
+    assert {x for x in got} == set(want) | {0.3} and all(got[x] == pytest.approx(want[x]) for x in want)
+    xs = sorted(want)
+    probe = spark.createDataFrame([(-1.0, "a"), (2.0, "b"), ((xs[3] + xs[4]) / 2, "c")], "score double, part string")
+    out = {r["part"]: r["calibrated"] for r in model.transform(probe).collect()}
+    assert out["a"] == pytest.approx(want[xs[0]]) and out["b"] == pytest.approx(want[xs[-1]])
+    assert want[xs[3]] - 1e-9 <= out["c"] <= want[xs[4]] + 1e-9
+    assert isotonic.fit(df.limit(0)).transform(probe).count() == 3
