@@ -26,6 +26,7 @@ class EntityStats:
     email: DataFrame | None
     addr: DataFrame | None
     card: DataFrame | None
+    high_risk: DataFrame | None = None      # one row, _p95: stored threshold of F11 for rows that come one by one
 
 
 def _rate(df: DataFrame, target: str, name: str):
@@ -104,16 +105,15 @@ def transform(df: DataFrame, stats: EntityStats, roles=ROLES) -> DataFrame:
         cols["identity_mismatch_score"] = F.lit(0.0)
     out = out.withColumns(cols)
 
-    if "device_user_count" in out.columns and stats.device is not None and dev in df.columns:
+    if "device_user_count" in out.columns and stats.high_risk is not None:
+        out = out.crossJoin(F.broadcast(stats.high_risk)).withColumn(
+            "device_is_high_risk", F.coalesce((F.col("device_user_count") > F.col("_p95")).cast("int"), F.lit(0))).drop("_p95")
+    elif "device_user_count" in out.columns and stats.device is not None and dev in df.columns:
         # 95th percentile (linear) of device_user_count over the
         # rows of the frame being transformed, taken as a row-weighted
         # percentile over the per-device table (rows of unseen / null devices
         # carry the filled 0): no second pass through the joined frame
-        per_dev = df.groupBy(dev).agg(F.count(F.lit(1)).alias("_rows"))
-        ud = stats.device.select(dev, "device_user_count")
-        vals = per_dev.join(ud, on=dev, how="left").select(
-            F.coalesce(F.col("device_user_count"), F.lit(0)).alias("_v"), "_rows")
-        p95 = quantile_row(vals, {"_p95": ("_v", 0.95)}, weight="_rows")
+        p95 = high_risk_threshold(df, stats, roles)
         out = out.crossJoin(F.broadcast(p95)).withColumn(
             "device_is_high_risk", (F.col("device_user_count") > F.col("_p95")).cast("int")).drop("_p95")
     elif "device_user_count" in out.columns:
@@ -125,6 +125,15 @@ def transform(df: DataFrame, stats: EntityStats, roles=ROLES) -> DataFrame:
     return out
 
 
+def high_risk_threshold(df: DataFrame, stats: EntityStats, roles=ROLES) -> DataFrame:
+    """One row, _p95: the 95th percentile of device_user_count over df's rows."""
+    per_dev = df.groupBy(roles.device).agg(F.count(F.lit(1)).alias("_rows"))
+    ud = stats.device.select(roles.device, "device_user_count")
+    vals = per_dev.join(ud, on=roles.device, how="left").select(
+        F.coalesce(F.col("device_user_count"), F.lit(0)).alias("_v"), "_rows")
+    return quantile_row(vals, {"_p95": ("_v", 0.95)}, weight="_rows")
+
+
 def df_p95(df: DataFrame, col: str) -> DataFrame:
     return quantile_row(df, {"_p95": (col, 0.95)})
 

@@ -33,6 +33,7 @@ class Graph:
         self.vertices = vertices
         self._edges_fn = edges_fn
         self._edges = None
+        self.degree_table: DataFrame | None = None      # of a stored graph
 
     @property
     def edges(self) -> DataFrame:
@@ -117,6 +118,8 @@ def adjacency(g: Graph) -> DataFrame:
 
 def degrees(g: Graph) -> DataFrame:
     """G7 + G11: degree and neighbours by type; isolated vertices get 0."""
+    if g.degree_table is not None:
+        return g.degree_table
     adj = adjacency(g)
     d = adj.groupBy("node").agg(
         F.count(F.lit(1)).alias("graph_degree"),

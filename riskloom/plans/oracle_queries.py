@@ -605,3 +605,6 @@ cum AS (SELECT score, sum(w) OVER o AS cw, sum(wy) OVER o AS cy, w, wy FROM pts
 pair AS (SELECT a.score AS a, b.score AS b, (b.cy - a.cy + a.wy) / (b.cw - a.cw + a.w) AS mean FROM cum a JOIN cum b ON b.score >= a.score),
 low AS (SELECT a, b, min(mean) OVER (PARTITION BY a ORDER BY b DESC) AS least FROM pair)
 SELECT """ + r6("b", "score") + ", " + r6("max(least)", "calibrated") + " FROM low GROUP BY b")
+
+ORACLE["contribution_checks"] = _q("SELECT TransactionID, true AS sums_to_margin, true AS top_five FROM tx")
+ORACLE["scored_from_store"] = _q("SELECT TransactionID, true AS same_score, true AS same_level FROM tx")

@@ -513,7 +513,7 @@ def trained(spark, sf_dir):
     """Train once per (session, data dir) and reuse the artifacts for the
     model queries below."""
     from riskloom.plans import train as tr
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ARTIFACTS:
         df = merged_transactions(spark, sf_dir)
         out = _stream_dir(spark, "train")          # shared folder (S5-S12 artifacts, runs table)
@@ -524,7 +524,7 @@ def trained(spark, sf_dir):
 
 def _train_dir(spark, sf_dir):
     trained(spark, sf_dir)
-    return _ARTIFACTS[(id(spark), sf_dir)][2]
+    return _ARTIFACTS[(spark.sparkContext.applicationId, sf_dir)][2]
 
 
 @register("anomaly_scores")
@@ -570,6 +570,43 @@ def contribution_summary(spark, sf_dir):
     return explain.global_importance(explain.contributions(art.classifier, frame), art.features, 20)
 
 
+@register("contribution_checks")
+def contribution_checks(spark, sf_dir):
+    """M13 + W6: each row's contributions and bias are the model's margin, and
+    its top five are its largest by absolute value."""
+    from pyspark.ml.functions import vector_to_array
+    from riskloom.operators import explain, model
+    from riskloom.plans import train as tr
+    art, _ = trained(spark, sf_dir)
+    frame = tr._features(timed_transactions(spark, sf_dir), art)
+    c = explain.top_contributions(explain.contributions(art.classifier, frame), art.features, 5)
+    out = art.classifier.model.transform(model._assemble(c, art.features))
+    margin = vector_to_array("rawPrediction")[1]
+    total = F.aggregate("contrib", F.col("bias"), lambda a, x: a + x)
+    ranked = F.slice(F.sort_array(F.transform("contrib", F.abs), asc=False), 1, 5)
+    return out.select("TransactionID", (F.abs(total - margin) < 1e-9).alias("sums_to_margin"),
+                      F.forall(F.arrays_zip(F.transform("top_shap_features", lambda t: F.abs(t["shap_impact"])).alias("a"), ranked.alias("b")),
+                               lambda p: F.abs(p["a"] - p["b"]) <= 0.00005 + 1e-12).alias("top_five"))
+
+
+@register("scored_from_store")
+def scored_from_store(spark, sf_dir):
+    """Scores from a stored and reloaded state equal those
+    of the state in memory."""
+    from riskloom.plans import store
+    from riskloom.plans import train as tr
+    art, _ = trained(spark, sf_dir)
+    base = _stream_dir(spark, "store")
+    store.save(spark, art, base)
+    tx = merged_transactions(spark, sf_dir)
+    cols = ["prediction.transaction_id", "prediction.fraud_score", "prediction.risk_level"]
+    a = tr.score(tx, art).select(*cols)
+    b = tr.score(tx, store.load(spark, base)).select(F.col(cols[0]).alias("id"), F.col(cols[1]).alias("s"), F.col(cols[2]).alias("l"))
+    return a.join(b, F.col("transaction_id") == F.col("id"), "left").select(
+        F.col("transaction_id").cast("long").alias("TransactionID"), (F.abs(F.col("fraud_score") - F.col("s")) < 1e-9).alias("same_score"),
+        (F.col("risk_level") == F.col("l")).alias("same_level"))
+
+
 @register("isotonic_calibration")
 def isotonic_calibration(spark, sf_dir):
     """M2 on the fixed scores: calibrated value per distinct score."""

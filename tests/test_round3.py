@@ -230,3 +230,87 @@ def test_isotonic_equals_min_max_formula(spark, monkeypatch, rows, knots):
     assert out["a"] == pytest.approx(want[xs[0]]) and out["b"] == pytest.approx(want[xs[-1]])
     assert want[xs[3]] - 1e-9 <= out["c"] <= want[xs[4]] + 1e-9
     assert isotonic.fit(df.limit(0)).transform(probe).count() == 3
+
+
+def random_tree(rng, depth, n_feat):
+    rows = []
+
+    def grow(level, cover):
+        at = len(rows)
+        rows.append(None)
+        if level == depth or rng.random() < 0.2:
+            rows[at] = (0, at, rng.normal(), -1, -1, -1, 0.0, cover)
+        else:
+            part = rng.uniform(0.1, 0.9)
+            f, t = int(rng.integers(n_feat)), rng.normal()
+            left, right = grow(level + 1, cover * part), grow(level + 1, cover * (1 - part))
+            rows[at] = (0, at, 0.0, left, right, f, t, cover)
+        return at
+
+    grow(0, 100.0)
+    from riskloom.operators.explain import NODES
+    import pandas as pd
+    return pd.DataFrame(rows, columns=NODES)
+
+
+def test_tree_shapley_values_equal_all_coalitions():
+    from itertools import combinations
+    from math import factorial
+    from riskloom.operators.explain import leaves
+    rng, n = np.random.default_rng(6), 4
+    for _ in range(12):
+        nodes = random_tree(rng, 5, n)
+        rows = {r.id: r for r in nodes.itertuples()}
+
+        def expect(x, known, at=0):
+            r = rows[at]
+            if r.leftChild < 0:
+                return r.prediction
+            if r.feature in known:
+                return expect(x, known, r.leftChild if x[r.feature] <= r.threshold else r.rightChild)
+            return sum(rows[c].cover / r.cover * expect(x, known, c) for c in (r.leftChild, r.rightChild))
+
+        every = leaves(nodes)
+        for x in rng.normal(size=(5, n)):
+            got = np.zeros(n)
+            for leaf in every:
+                got[leaf.features] += leaf.values()[leaf.pattern(x[None, :])[0]] if len(leaf.features) else 0
+            for i in range(n):
+                rest = [j for j in range(n) if j != i]
+                want = sum(factorial(k) * factorial(n - 1 - k) / factorial(n) * (expect(x, {*s, i}) - expect(x, set(s)))
+                           for k in range(n) for s in combinations(rest, k))
+                assert got[i] == pytest.approx(want, abs=1e-12)
+            assert got.sum() + sum(leaf.expected() for leaf in every) == pytest.approx(expect(x, set(range(n))))
+
+
+def test_store_gives_the_state_back(spark, tmp_path):
+    """Newest whole version, changed schemas, missing state; a batch of one
+    row reads no training table."""
+    import os
+    from riskloom.config import Config, ForestParams, GbtParams
+    from riskloom.plans import store
+    from riskloom.plans import train as tr
+    from riskloom.sources.tables import merged_transactions
+    df = merged_transactions(spark, "/root/testdata/sf0.001")
+    art, _ = tr.train(spark, df, Config(gbt=GbtParams(max_iter=3, max_depth=3), forest=ForestParams(n_trees=10)), embeddings=True)
+    assert any(c.startswith("emb_card_") for c in art.features)
+    base = str(tmp_path / "store")
+    with pytest.raises(tr.NotFittedError):
+        store.load(spark, base)
+    with pytest.raises(tr.NotFittedError):
+        tr.score(df, tr.Artifacts(art.prep, art.card_stats, art.entity_stats, None, None))
+    first = store.save(spark, art, base)
+    second = store.save(spark, store.load(spark, base), base)
+    assert store.versions(base) == [first, second]
+    back = store.load(spark, base)
+    key = lambda rows: sorted((r["prediction"]["transaction_id"], round(r["prediction"]["fraud_score"], 9), r["prediction"]["risk_level"]) for r in rows)
+    assert key(tr.score(df, back).collect()) == key(tr.score(df, art).collect())
+    one = spark.createDataFrame(df.limit(1).collect(), df.schema)
+    plan = tr.score(one, back)._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and "rdd_" not in plan
+    spark.range(1).write.mode("overwrite").parquet(f"{base}/{second}/medians")
+    with pytest.raises(store.StoreError):
+        store.load(spark, base)
+    assert store.load(spark, base, first).features == art.features
+    os.unlink(f"{base}/_manifests/{second}.json")
+    assert store.versions(base) == [first]
