@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from riskloom.config import ANOMALY_FEATURES, ForestParams
 from riskloom.operators.quantile import quantile_row
-from riskloom.session import cut_lineage
+from riskloom.session import written
 
 EULER = 0.5772156649015329
 
@@ -189,7 +189,7 @@ def fit(df: DataFrame, params: ForestParams = ForestParams(), feats: list[str] |
     forest = Forest(feats, center, scale, nodes, psi)
     # training score distribution: contamination offset and min / max of the decision values
     raw = _scaled(df, feats, center, scale).select(_score_udf(forest, df.sparkSession)(F.col("_x")).alias("s"))
-    raw = cut_lineage(raw)
+    raw = written(raw)
     st = quantile_row(raw, {"off": ("s", params.contamination)}).crossJoin(
         raw.agg(F.min("s").alias("mn"), F.max("s").alias("mx"))).first()
     forest.offset = float(st["off"])

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, written
 
 
 def prefix_sums(
@@ -98,8 +98,8 @@ def ranks_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     numbers of sorted range partitions, written with the rows, minus the first
     one of the key in its partition, plus the key's rows in the partitions
     before.  The window sees one row per key and partition."""
-    ranged = cut_lineage(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-                         .withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    ranged = written(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+                     .withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
     runs = ranged.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_in"))
     before = F.sum("_in").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_in")
     runs = runs.select(*[F.col(c).alias("r" + c) for c in [*keys, "_part"]], (before - F.col("_first")).alias("_shift"))

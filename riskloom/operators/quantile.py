@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.ordinal import same
-from riskloom.session import cut_lineage
+from riskloom.session import written
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str], weight: str | None) -> DataFrame:
@@ -38,8 +38,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Se
     """One row per group of ``by``, column and probability that has values:
     ``by`` columns, column, p, value.  ``weight``: how often a row counts."""
     keys = [f"_k{i}" for i in range(len(by))] + ["_c"]
-    ranged = cut_lineage(_long(df, cols, by, weight).repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v")
-                         .withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    ranged = written(_long(df, cols, by, weight).repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v")
+                     .withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
     runs = ranged.groupBy(*keys, "_part").agg(F.sum("_w").alias("_in"))
     group = Window.partitionBy(*keys)
     runs = runs.withColumns({"_before": F.sum("_in").over(group.orderBy("_part")) - F.col("_in"), "_n": F.sum("_in").over(group)})
