@@ -17,6 +17,8 @@ node otherwise.  An empty table gives an empty table.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +33,7 @@ K = 5
 SKETCHES = 20       # at shingle similarity 0.8 a sketch agrees with 0.64: missing all 20 has odds of 1e-9
 MINIMA = 2
 SIMILARITY = 0.8
+BAND = 60            # edits that the first band allows
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -116,10 +119,60 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.minimum(ca[same], cb[at[same]]).sum())
 
 
+def _band(a: list[int], b: list[int], k: int) -> int | None:
+    """Edit distance of two sequences if at most ``k``, else None: the band of
+    2k + 1 diagonals is one column of bits, where bit t of column j is row
+    j - k + t, and holds the steps of +1 and of -1 down the column."""
+    m, n = len(a), len(b)
+    width = 2 * k + 1
+    full = (1 << width) - 1
+    at: dict[int, list[int]] = {}
+    for i, w in enumerate(a):
+        at.setdefault(w, []).append(i)
+    many = max(16, m // 1000)       # words so frequent have their rows as one number: at most 1000 of them
+    rows = {}
+    for w, where in at.items():
+        if len(where) > many:
+            bits = np.zeros(m, np.uint8)
+            bits[where] = 1
+            rows[w] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    up = full & ~((1 << (k + 1)) - 1)
+    down, low, stop = 0, k, k + n + k - m       # low: the distance on the lowest diagonal
+    for j in range(1, n + 1):
+        w, first = b[j - 1], j - k - 1
+        same = 0
+        if w in rows:
+            same = (rows[w] >> first if first >= 0 else rows[w] << -first) & full
+        elif w in at:
+            where = at[w]
+            where = where[bisect_left(where, first):bisect_right(where, first + width - 1)]
+            if len(where) <= 16:
+                for i in where:
+                    same |= 1 << (i - first)
+            else:
+                bits = np.zeros(width, np.uint8)
+                bits[np.array(where) - first] = 1
+                same = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        up >>= 1
+        down >>= 1
+        up |= 1 << (width - 1)                  # below the band: one more than above
+        still = ((((same & up) + up) ^ up) | same | down) & full
+        more = ((down | ~(still | up)) << 1 | 1) & full
+        less = ((still & up) << 1) & full
+        low += 1 - (still >> (width - 1))
+        if low > stop:
+            return None
+        up = (less | ~(still | more)) & full
+        down = still & more
+    under = n + k - m                           # rows of the band under the last row
+    d = low - (up >> (width - under)).bit_count() + (down >> (width - under)).bit_count()
+    return d if d <= k else None
+
+
 def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     """Edit distance of two word sequences if at most ``limit``, else None.
-    The band grows by one diagonal on each side per edit; words and word pairs
-    that the other text lacks bound the distance from below first."""
+    Words and word pairs that the other text lacks bound the distance from
+    below first; then the band widens until it holds the alignment."""
     n = min(len(a), len(b))
     diff = np.flatnonzero(a[:n] != b[:n])
     cut = int(diff[0]) if len(diff) else n
@@ -132,37 +185,21 @@ def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     long = max(len(a), len(b))
     if not len(a) or not len(b):
         return long if long <= limit else None
-    if abs(len(a) - len(b)) > limit or long - _common(a, b) > limit:
+    apart = abs(len(a) - len(b))
+    if apart > limit or long - _common(a, b) > limit:
         return None
     if min(len(a), len(b)) > 1:
         with np.errstate(over="ignore"):
             p, q = (x[:-1] * W.U(0x9FB21C651E98DF25) + x[1:] for x in (a, b))
         if -(-(long - 1 - _common(p, q)) // 2) > limit:
             return None
-    apart: dict[int, np.ndarray] = {}
-
-    def slide(i: int, k: int) -> int:
-        if k not in apart:
-            x, y = max(0, -k), min(len(a), len(b) - k)
-            apart[k] = np.append(np.flatnonzero(a[x:y] != b[x + k:y + k]) + x, y)
-        stops = apart[k]
-        return int(stops[np.searchsorted(stops, i)]) if i <= stops[-1] else i
-
-    goal = len(b) - len(a)
-    far = {0: slide(0, 0)}
-    if goal == 0 and far[0] >= len(a):
-        return 0
-    for d in range(1, limit + 1):
-        new = {}
-        for k in range(max(-d, -len(a)), min(d, len(b)) + 1):
-            i = max(far.get(k, -1) + 1 if k in far else -1, far.get(k + 1, -2) + 1, far.get(k - 1, -1))
-            i = min(i, len(a), len(b) - k)
-            if i >= max(0, -k):
-                new[k] = slide(i, k)
-        far = new
-        if far.get(goal, -1) >= len(a):
+    x, y = a.tolist(), b.tolist()
+    k = min(limit, max(apart, BAND))
+    while True:
+        d = _band(x, y, k)
+        if d is not None or k == limit:
             return d
-    return None
+        k = min(limit, 4 * k)
 
 
 def rule(similarity: float = SIMILARITY) -> Rule:
