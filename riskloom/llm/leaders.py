@@ -4,7 +4,8 @@ Every bucket elects its smallest id as leader, and members that it does not
 match elect again, ``ROUNDS`` times; each round verifies a pair a row.  The
 links found part a bucket's members into components.  Then comes the exact
 pass: members outside their bucket's largest component are compared with all
-members of other components, in blocks of bounded rows and bytes inside tasks.
+members of other components and of like size, in blocks of bounded rows and
+bytes inside tasks.
 A block gives only links that join two components, so at most one a row.  No
 member, pair or bucket is capped: the components are those of all verified
 pairs that share a bucket.
@@ -25,9 +26,10 @@ from riskloom.llm.common import stored
 from riskloom.llm.components import connected_components
 
 ROUNDS = 2
-BLOCK = 256                 # rows of a side of a block
-BLOCK_BYTES = 1 << 23       # bytes of text of a side of a block
-FOLD = 128                  # cells of the folded counts that bound the common items
+BLOCK = 1024                # rows of a side of a block
+BLOCK_BYTES = 1 << 24       # bytes of text of a side of a block
+NO_KEY = 0                  # in place of a key that a text lacks
+STEP = 1.26                 # sizes of linked texts differ less than by this factor
 
 
 class Rule(NamedTuple):
@@ -38,10 +40,10 @@ class Rule(NamedTuple):
 
 
 def bucket_rows(sketches: DataFrame) -> DataFrame:
-    """(id, keys array<long>) -> (id, keys, j, bucket), buckets of two ids and
+    """(id, keys array<long>) -> (id, j, bucket), buckets of two ids and
     more only.  Counting moves 16 bytes a key; the keys follow for the few ids
     that share a bucket."""
-    flat = sketches.select("id", F.posexplode("keys").alias("j", "bucket"))
+    flat = sketches.select("id", F.posexplode("keys").alias("j", "bucket")).where(F.col("bucket") != NO_KEY)
     shared = flat.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("bucket")
     return flat.join(shared, "bucket", "left_semi")
 
@@ -81,22 +83,39 @@ def _blocks(batches) -> Iterator[pa.Table]:
 def join_block(t: pa.Table, rule: Rule) -> tuple[list[int], list[int]]:
     """Links (a, b) that join components of a block.  A pair is left to the
     first bucket that both texts share."""
-    left, main, j = (t.column(c).to_numpy() for c in ("left", "main", "j"))
+    left, main, low, j = (t.column(c).to_numpy() for c in ("left", "main", "low", "j"))
     key = t.column("id").to_numpy()
     keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
     _, group = np.unique(t.column("component").to_numpy(), return_inverse=True)
     items = rule.items(t.column("text"))
     size = np.array([len(x) for x in items], np.int64)
+    # every text as (item, count), items numbered within the block
     owner = np.repeat(np.arange(len(key)), size)
-    cell = (np.concatenate(items) >> W.U(57)).astype(np.int64) if len(owner) else owner
-    fold = np.bincount(owner * FOLD + cell, minlength=len(key) * FOLD).reshape(-1, FOLD).astype(np.int32)
+    names, code = np.unique(np.concatenate(items), return_inverse=True) if len(owner) else (owner, owner)
+    kinds, times = np.unique(owner * max(len(names), 1) + code, return_counts=True)
+    owner, code = np.divmod(kinds, max(len(names), 1))
+    start = np.searchsorted(owner, np.arange(len(key) + 1))
+    mine_of = np.zeros(max(len(names), 1), np.int64)
     right = np.flatnonzero(~left)
+    there = ~left[owner]
+    r_code, r_times = code[there], times[there]
+    r_start = np.concatenate([[0], np.cumsum(np.diff(start)[right])])
+    place = np.full(len(key), -1)
+    place[right] = np.arange(len(right))
     a, b = [], []
     for i in np.flatnonzero(left):
         # of two members outside the largest component, the smaller id is on the left
-        to = right[(group[right] != group[i]) & (main[right] | (key[right] > key[i]))]
-        to = to[~(keys[to, :j[i]] == keys[i, :j[i]]).any(axis=1)]
-        to = to[np.minimum(fold[to], fold[i]).sum(axis=1) >= rule.need(size[to], size[i])]
+        to = right[(group[right] != group[i]) & (main[right] | (key[right] > key[i])) & ~(low[right] & low[i])]
+        mine = keys[i, :j[i]]
+        to = to[~((keys[to, :j[i]] == mine) & (mine != NO_KEY)).any(axis=1)]
+        if not len(to):
+            continue
+        own = slice(start[i], start[i + 1])
+        mine_of[code[own]] = times[own]
+        common = np.concatenate([[0], np.cumsum(np.minimum(r_times, mine_of[r_code]))])
+        mine_of[code[own]] = 0
+        at = place[to]
+        to = to[common[r_start[at + 1]] - common[r_start[at]] >= rule.need(size[to], size[i])]
         for k in to:
             if group[k] != group[i] and rule.same(items[i], items[k]):
                 group[group == group[k]] = group[i]
@@ -105,6 +124,18 @@ def join_block(t: pa.Table, rule: Rule) -> tuple[list[int], list[int]]:
     return a, b
 
 
+def by_size(m: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Buckets cut by the number of items, where ``sketches`` has it as
+    ``size``: linked texts are at most one class apart, so a member goes to its
+    class and, as ``low``, to the next one; two low members met one class lower."""
+    if "size" not in sketches.columns:
+        return m.withColumn("low", F.lit(False))
+    of = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(STEP))).cast("int")
+    m = m.join(sketches.select("id", of.alias("class")), "id") \
+        .withColumn("low", F.explode(F.array(F.lit(False), F.lit(True))))
+    return m.withColumn("bucket", F.xxhash64("bucket", F.col("class") + F.col("low").cast("int"))).drop("class")
+
+
 def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): the links within buckets that the links ``known`` do not imply.
     A bucket's smallest id has been compared with all members already."""
@@ -113,6 +144,7 @@ def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFram
     m = rows.join(lead.drop("last"), "bucket").where("id != lead").drop("lead").join(comp, "id", "left") \
         .withColumn("component", F.coalesce("component", "id"))
     m = stored(m.join(texts.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "id"), "rows")
+    m = by_size(m, sketches)
     size = m.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     size = size.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max(F.struct("n", "component", "bytes")).alias("top"),
                                       F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("parts > 1")
@@ -122,7 +154,7 @@ def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFram
     part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     left = m.where(~F.col("main")).select("*", part(F.col("nl"), 1).alias("lb"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"), F.lit(True).alias("left"))
     right = m.select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lb"), part(F.col("nr"), 2).alias("rb"), F.lit(False).alias("left"))
-    both = left.unionByName(right).select("id", "j", "component", "main", "left", F.xxhash64("bucket", "lb", "rb").alias("block"))
+    both = left.unionByName(right).select("id", "j", "component", "main", "low", "left", F.xxhash64("bucket", "lb", "rb").alias("block"))
     both = both.join(sketches.select("id", "keys"), "id").join(texts.select("id", "text"), "id") \
         .repartition("block").sortWithinPartitions("block")
 
@@ -132,7 +164,7 @@ def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFram
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.select("block", "id", "j", "component", "main", "left", "keys", "text").mapInArrow(run, "a long, b long")
+    return both.select("block", "id", "j", "component", "main", "low", "left", "keys", "text").mapInArrow(run, "a long, b long")
 
 
 def link(rows: DataFrame, sketches: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:

@@ -2,10 +2,10 @@
 
 A text is its lower-cased words; its k-mers are five words, each labelled with
 how many equal ones came before.  Every sketch takes the ``MINIMA`` smallest
-k-mers under its own hash and keeps them in text order, so equal sketches point
-to texts that agree in order as well: sensitive to edit similarity, not only to
-sets.  Texts that share a sketch are verified by banded alignment of whole
-texts: a link is 1 - edits / longer length of at least 0.8, in words.  Equal
+k-mers under its own hash and keeps them in text order; every two of them are a
+key, so equal keys point to texts that agree in order as well: sensitive to edit
+similarity, not only to sets.  Texts that share a key are verified by banded
+alignment of whole texts: a link is 1 - edits / longer length of at least 0.8, in words.  Equal
 texts are one class before any sketch is compared.
 
 Texts shorter than five words have one k-mer, the whole text.  Texts without a
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from riskloom.llm import words as W
 from riskloom.llm.common import packed, stored, table
 from riskloom.llm.components import connected_components
-from riskloom.llm.leaders import Rule, bucket_rows, link
+from riskloom.llm.leaders import NO_KEY, Rule, bucket_rows, link
 
 K = 5
-SKETCHES = 20       # at shingle similarity 0.8 a sketch agrees with 0.64: missing all 20 has odds of 1e-9
-MINIMA = 2
+SKETCHES = 12
+MINIMA = 4          # every two of a sketch's minima are a key
 SIMILARITY = 0.8
 BAND = 60            # edits that the first band allows
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -56,12 +56,15 @@ def kmers(h: np.ndarray, n: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndar
         return W.mix(key + nth.astype(np.uint64) * W.U(0xD6E8FEB86659FD93)), per
 
 
-def sketch(h: np.ndarray, n: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
-    """One row of sketch keys per text with a word (two minima in text order)."""
+def sketch(h: np.ndarray, n: np.ndarray, sketches: int = SKETCHES, minima: int = MINIMA) -> np.ndarray:
+    """One row of keys per text with a word: for each sketch every two of its
+    minima, in text order.  Texts with fewer k-mers than minima have NO_KEY in
+    place of the pairs that they lack, and a lone k-mer stands as a pair."""
     x, per = kmers(h, n)
     per = per[per > 0]
     start = np.cumsum(per) - per
-    out = np.empty((len(per), sketches), np.uint64)
+    pairs = [(p, q) for q in range(1, minima) for p in range(q)]
+    out = np.empty((len(per), sketches * len(pairs)), np.uint64)
     if not len(per):
         return out
     text = np.repeat(np.arange(len(per)), per)
@@ -70,15 +73,17 @@ def sketch(h: np.ndarray, n: np.ndarray, sketches: int = SKETCHES) -> np.ndarray
             odd = W.mix(np.array([2 * j + 1], np.uint64))[0] | W.U(1)
             v = (x ^ (odd >> W.U(7))) * odd
             found = []
-            for _ in range(MINIMA):
+            for _ in range(minima):
                 low = np.minimum.reduceat(v, start)
                 at = np.flatnonzero(v == low[text])
                 at = at[np.searchsorted(text[at], np.arange(len(per)))]
                 found.append((np.where(low == NONE, NONE, x[at]), at))
                 v[at] = NONE
-            (a, pa_), (b, pb) = found
-            swap = pb < pa_
-            out[:, j] = W.mix(np.where(swap, b, a) * W.U(0x9FB21C651E98DF25) + W.mix(np.where(swap, a, b)) + W.U(j))
+            for k, (p, q) in enumerate(pairs):
+                (a, at_a), (b, at_b) = found[p], found[q]
+                swap = at_b < at_a
+                key = W.mix(np.where(swap, b, a) * W.U(0x9FB21C651E98DF25) + W.mix(np.where(swap, a, b)) + W.U(j))
+                out[:, j * len(pairs) + k] = key if k == 0 else np.where(b == NONE, NO_KEY, key)
     return out
 
 
@@ -227,7 +232,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equal = sk.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
     member = stored(sk.join(equal, ["h1", "h2"]).select("doc_id", "id").distinct(), "omh")
     one = sk.join(equal.select("id").distinct(), sk["doc_id"] == F.col("id"), "left_semi").dropDuplicates(["doc_id"]) \
-        .select(F.col("doc_id").alias("id"), "keys")
+        .select(F.col("doc_id").alias("id"), "keys", F.col("n_words").alias("size"))
     one = stored(one, "omh")
     rows = stored(bucket_rows(one), "omh")
     wanted = rows.select("id").distinct()

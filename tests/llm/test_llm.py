@@ -258,13 +258,39 @@ def test_links_of_a_bucket_are_those_of_all_pairs(spark, monkeypatch):
     want = components_of(ids, lambda i, k: edits(words[i], words[k]) <= 0.2 * max(len(words[i]), len(words[k])) + 1e-9)
     assert len(set(want.values())) == 2
     t = spark.createDataFrame(sorted(texts.items()), "id long, text string")
-    for keys in (lambda i: [7], lambda i: [i % 2, 7]):      # one bucket; two halves of it before
-        s = spark.createDataFrame([(i, keys(i)) for i in ids], "id long, keys array<long>")
+    # one bucket; two halves of it before (one without a key); cut by size
+    for keys, sized in ((lambda i: [7], False), (lambda i: [i % 2, 7], False), (lambda i: [i % 2, 7], True)):
+        s = spark.createDataFrame([(i, keys(i), len(words[i])) for i in ids], "id long, keys array<long>, size long")
+        s = s if sized else s.drop("size")
         links = leaders.link(leaders.bucket_rows(s), s, t, rule)
         got = {r["id"]: r["component"] for r in connected_components(links).collect()}
         assert got == want
 
 
+def test_sketches_find_texts_at_the_threshold():
+    """Substituted words: 20 % (the least similar links) and 15 %."""
+    rng = np.random.default_rng(0)
+    for n, edited, least in ((50, 10, 0.85), (200, 40, 0.9), (1000, 200, 0.92), (50, 7, 0.97), (200, 30, 0.97)):
+        a = rng.integers(0, 1 << 40, (300, n)).astype(np.uint64)
+        b = a.copy()
+        for row in b:
+            at = rng.choice(n, edited, replace=False)
+            row[at] = rng.integers(0, 1 << 40, edited)
+        keys = [order_minhash.sketch(x.ravel(), np.full(300, n)).tolist() for x in (a, b)]
+        assert np.mean([not set(x).isdisjoint(y) for x, y in zip(*keys)]) >= least
+
+
+def test_banded_alignment_of_random_sequences(monkeypatch):
+    rng = np.random.default_rng(5)
+    for t in range(600):
+        monkeypatch.setattr(order_minhash, "BAND", int(rng.choice([1, 3, 60])))
+        a = rng.integers(0, rng.integers(2, 30), rng.integers(0, 40)).astype(np.uint64)
+        b = np.delete(a, rng.integers(0, max(len(a), 1), min(len(a), 3)))
+        b = np.insert(b, rng.integers(0, len(b) + 1, 4), rng.integers(0, 30, 4).astype(np.uint64))
+        limit, d = int(rng.integers(0, 12)), edits(a.tolist(), b.tolist())
+        assert order_minhash.edits_within(a, b, limit) == (d if d <= limit else None)
+
+
 def test_near_duplicates_of_a_chain_and_a_star(spark):
     texts = chain_and_star()
     words = {i: t.split() for i, t in texts.items()}
