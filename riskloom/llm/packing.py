@@ -32,7 +32,7 @@ UNIT = 8
 END_ID = 1
 SPREAD = 256             # parts of a class that are ranked apart, at least
 PART_ROWS = 200_000      # pieces of a part if all were of one class, on average
-MAX_COLUMNS = 5000       # patterns priced at most; the plan so far is valid at any time
+GAP = 5e-4               # the plan is within this share of the linear program's best
 CACHED_WORDS = 1_000_000 # pieces of text whose ids a worker keeps
 GROUP = 256              # new words that are encoded as one text
 SPECIAL = "<|endoftext|>"
@@ -161,17 +161,19 @@ def best_pattern(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[fl
 
 def plan_patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
     """Whole patterns [(times, count of each size)] that use up the demand.
-    Revised simplex over generated columns; the fractions left by rounding are
-    packed first-fit by falling size (at most one pattern's pieces per size)."""
+    Revised simplex over generated columns, run until no pattern is worth more
+    than ``GAP`` above its cost.  Demands are raised by tiny, different amounts,
+    so that every step gains and none comes twice.  The fractions left by
+    rounding are packed first-fit by falling size (at most one pattern's pieces per size)."""
     m = len(size)
     if not m:
         return []
     columns = [np.eye(m, dtype=np.int64)[i] * (capacity // size[i]) for i in range(m)]
     inverse = np.diag(1.0 / np.array([c.max() for c in columns], float))
-    x = inverse @ demand
-    for _ in range(MAX_COLUMNS):
+    x = inverse @ (demand + 1e-7 * np.random.default_rng(m).random(m))
+    while True:
         worth, col = best_pattern(inverse.sum(axis=0), size, capacity)
-        if worth <= 1 + 5e-4:        # the plan is within this share of the best
+        if worth <= 1 + GAP:
             break
         way = inverse @ col
         ratio = np.where(way > 1e-9, x / np.where(way > 1e-9, way, 1), np.inf)

@@ -219,3 +219,32 @@ def test_equal_rows_leave_one_document(spark):
     one = [r for r in got if "word39" in r and "doc_id=None" not in r]
     assert len(one) == 1 and "doc_id=1" in one[0]
     assert sum("doc_id=5" in r for r in got) == 2
+
+
+def test_packing_plan_ends_near_the_linear_program():
+    """The plan uses up a histogram over all classes, and no pattern would
+    improve it by more than GAP: the dual prices bound the sequences below."""
+    import numpy as np
+
+    from riskloom.llm import packing
+    rng = np.random.default_rng(1)
+    size = np.arange(1, 129)
+    demand = (rng.pareto(1.0, 128) * 200).astype(np.int64) + 1
+    prices = []
+    real = packing.best_pattern
+
+    def watched(value, *rest):
+        prices.append(np.maximum(value, 0))
+        return real(value, *rest)
+
+    packing.best_pattern = watched
+    try:
+        plan = packing.plan_patterns(size, demand, 128)
+    finally:
+        packing.best_pattern = real
+    assert (sum(t * c for t, c in plan) == demand).all()
+    assert all((c * size).sum() <= 128 for _, c in plan)
+    worth = real(prices[-1], size, 128)[0]
+    bound = float(prices[-1] @ demand) / max(worth, 1)
+    # rounding leaves less than a sequence a class
+    assert sum(t for t, _ in plan) <= bound * (1 + packing.GAP) + 128
