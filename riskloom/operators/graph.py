@@ -170,8 +170,9 @@ def components(g: Graph) -> DataFrame:
     while True:
         prop = adj.join(labels.withColumnRenamed("node", "nbr").withColumnRenamed("label", "nl"), "nbr") \
             .groupBy("node").agg(F.min("nl").alias("nl"))
-        near = labels.join(prop, "node", "left").select(
-            "node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label"))
+        # written once: both sides of the next join read it
+        near = cut_lineage(labels.join(prop, "node", "left").select(
+            "node", F.col("label").alias("old"), F.least("label", F.coalesce("nl", "label")).alias("label")))
         up = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = cut_lineage(near.join(up, "label").select(
             "node", F.least("label", "far").alias("label"), (F.least("label", "far") < F.col("old")).alias("_chg")))
@@ -211,9 +212,11 @@ def pagerank(g: Graph, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e
     while done < max_iter:
         block = min(check_every, max_iter - done)
         prev, prev_iso = pr, p_iso
-        for _ in range(block):
+        for i in range(block):
             share = alpha * k_iso * p_iso / n
-            prev, prev_iso = pr, p_iso
+            # the last step reads the ranks before it twice: once to step, once to compare
+            prev, prev_iso = cut_lineage(pr) if i == block - 1 and i else pr, p_iso
+            pr = prev
             pr, p_iso = step(pr, share), (1 - alpha) / n + share
         done += block
         both = cut_lineage(pr.join(prev.withColumnRenamed("pr", "old"), "node"))
