@@ -1,8 +1,10 @@
 """Quality rules with adaptive thresholds.
 
 One pass counts the features of every whole text; KLL quantile sketches per
-(lang, source), which merge into those of the language and of the corpus where
-a group is small, give robust fences; a join of the fences decides.
+(lang, source), which merge into those of the language and of the corpus, give
+quartiles; those of a group are drawn to the wider ones' the more the smaller it
+is.  Joined to the documents they fence each feature, in spreads around the
+median; no bound on a feature is fixed.
 
 Null or empty text: all counts 0, rejected by the word minimum.  Null lang or
 source: a group of its own.  Rows with equal doc_id are judged one by one.  An
@@ -24,14 +26,17 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 # fixed value: symbol characters
 SYMBOLS = "#*$%&|<>"
-MIN_GROUP = 100         # documents; smaller groups take the fences of their language, then of the corpus
-# feature: (least distance above the median, multiples of the upper half-spread, below the median too)
+PRIOR = 100             # documents that the wider group counts for beside a group's own
+SPREADS = 8             # a fence is so many spreads from the median
+# feature: (the count it is a mean over, whether it is a rate of whole events, whether low values fail too)
 FENCES = {
-    "word_length": (1.5, 8.0, True),
-    "symbol_rate": (0.15, 8.0, False),
-    "dup_line_rate": (0.5, 8.0, False),
-    "stutter_rate": (0.2, 8.0, False),
+    "word_length": ("n_words", False, True),
+    "symbol_rate": ("n_words", True, False),
+    "dup_line_rate": ("n_lines", True, False),
+    "stutter_rate": ("n_words", True, False),
 }
+SIZES = ("n_words", "n_lines")
+QUARTILES = {"low": 0.25, "mid": 0.5, "high": 0.75}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stutter")
 
 
@@ -115,27 +120,43 @@ def _rates(df: DataFrame) -> DataFrame:
 
 
 def fences(rated: DataFrame) -> DataFrame:
-    """(lang, source) -> low and high per feature, from KLL sketches of the
-    documents that pass the base rules.  The sketches of a group merge into
-    those of its language and of the corpus; a small group takes those."""
+    """(lang, source) -> quartiles of each feature and the median sizes, from
+    KLL sketches of the documents that pass the base rules.  The sketches of a
+    group merge into those of its language and of the corpus; a group of n
+    documents weighs n / (n + PRIOR) against its language, and that likewise
+    against the corpus, so that small groups lean on the wider ones."""
     ok = rated.where(~F.col("base_failed"))
+    names = [*FENCES, *SIZES]
     cells = ok.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(f).alias(f) for f in FENCES])
+        F.count(F.lit(1)).alias("n"), *[F.kll_sketch_agg_double(F.col(f).cast("double")).alias(f) for f in names])
     cells = stored(cells, "quality")
     lang = cells.groupBy("lang").agg(F.sum("n").alias("lang_n"),
-                                     *[F.kll_merge_agg_double(f).alias(f"lang_{f}") for f in FENCES])
-    corpus = cells.agg(*[F.kll_merge_agg_double(f).alias(f"all_{f}") for f in FENCES])
-    every = cells.join(F.broadcast(lang.withColumnRenamed("lang", "_lang")), F.col("lang").eqNullSafe(F.col("_lang"))) \
+                                     *[F.kll_merge_agg_double(f).alias(f"lang_{f}") for f in names])
+    corpus = cells.agg(*[F.kll_merge_agg_double(f).alias(f"all_{f}") for f in names])
+    every = cells.join(lang.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang"))) \
         .crossJoin(F.broadcast(corpus))
-    out = [F.col("lang"), F.col("source")]
-    for f, (least, times, below) in FENCES.items():
-        sketch = F.when(F.col("n") >= MIN_GROUP, F.col(f)) \
-            .when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{f}")).otherwise(F.col(f"all_{f}"))
-        q = lambda r, sketch=sketch: F.kll_sketch_get_quantile_double(sketch, F.lit(r))
-        out.append((q(0.5) + F.greatest(F.lit(least), times * (q(0.75) - q(0.5)))).alias(f"high_{f}"))
-        out.append((q(0.5) - F.greatest(F.lit(least), times * (q(0.5) - q(0.25))) if below
-                    else F.lit(-1.0)).alias(f"low_{f}"))
-    return every.select(*out)
+    own, wide = F.col("n") / (F.col("n") + PRIOR), F.col("lang_n") / (F.col("lang_n") + PRIOR)
+
+    def blend(name: str, r: float):
+        q = lambda c: F.kll_sketch_get_quantile_double(F.col(c), F.lit(r))
+        return own * q(name) + (1 - own) * (wide * q(f"lang_{name}") + (1 - wide) * q(f"all_{name}"))
+
+    return every.select("lang", "source", *[blend(f, r).alias(f"{at}_{f}") for f in FENCES for at, r in QUARTILES.items()],
+                        *[blend(z, 0.5).alias(f"usual_{z}") for z in SIZES])
+
+
+def within(name: str):
+    """Whether a document's feature lies within the fences of its group.  The
+    spread is that between the median and a quartile, wider for texts shorter
+    than usual as for any mean, and for a rate no finer than one event in a
+    text of this size or, if that is shorter, of the usual size."""
+    size, rate, below = FENCES[name]
+    has, usual = F.greatest(F.col(size), F.lit(1)), F.greatest(F.col(f"usual_{size}"), F.lit(1.0))
+    short = F.sqrt(F.greatest(F.lit(1.0), usual / has))
+    mid, up, down = F.col(f"mid_{name}"), F.col(f"high_{name}") - F.col(f"mid_{name}"), F.col(f"mid_{name}") - F.col(f"low_{name}")
+    spread = F.greatest(up * short, 1 / F.least(has.cast("double"), usual)) if rate else up * short
+    inside = F.col(name) <= mid + SPREADS * spread
+    return inside & (F.col(name) >= mid - SPREADS * down * short) if below else inside
 
 
 def judge(counted: DataFrame, limits: DataFrame | None = None) -> DataFrame:
@@ -147,7 +168,7 @@ def judge(counted: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     out = rated.join(f, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     good = ~F.col("base_failed")
     for name in FENCES:
-        good &= F.coalesce(F.col(name).between(F.col(f"low_{name}"), F.col(f"high_{name}")), F.lit(True))
+        good &= F.coalesce(within(name), F.lit(True))
     return out.withColumn("kept", good).select(*counted.columns, "base_failed", "kept")
 
 

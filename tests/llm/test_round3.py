@@ -1,6 +1,7 @@
-"""BPE, Merkle manifest and hard negatives against brute force on small tables."""
+"""BPE, Merkle manifest, hard negatives and quality verdicts against brute force on small tables."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, hard_negatives, merkle
+from riskloom.llm import bpe, hard_negatives, merkle, quality
 from test_llm import DOCS, ODD
 
 SF = "/root/testdata/sf0.001"
@@ -248,3 +249,49 @@ def test_packing_plan_ends_near_the_linear_program():
     bound = float(prices[-1] @ demand) / max(worth, 1)
     # rounding leaves less than a sequence a class
     assert sum(t for t, _ in plan) <= bound * (1 + packing.GAP) + 128
+
+
+def quartile(values, r):
+    v = sorted(values)
+    return v[max(math.ceil(r * len(v)) - 1, 0)]
+
+
+def test_quality_verdict_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [r.asDict() for r in quality.judge(quality.features(docs)).collect()]
+    for r in rows:
+        w, ln = max(r["n_words"], 1), max(r["n_lines"], 1)
+        r |= {"word_length": r["word_chars"] / w, "symbol_rate": r["n_symbols"] / w,
+              "dup_line_rate": r["n_dup_lines"] / ln, "stutter_rate": r["n_stutter"] / w}
+    ok = [r for r in rows if not r["base_failed"]]
+
+    def blend(row, name, q):
+        value, left = 0.0, 1.0
+        for group in ([r for r in ok if (r["lang"], r["source"]) == (row["lang"], row["source"])],
+                      [r for r in ok if r["lang"] == row["lang"]]):
+            part = len(group) / (len(group) + quality.PRIOR)
+            value, left = value + left * part * quartile([r[name] for r in group], q), left * (1 - part)
+        return value + left * quartile([r[name] for r in ok], q)
+
+    seen = set()
+    for r in rows:
+        good = not r["base_failed"]
+        for name, (size, rate, below) in quality.FENCES.items() if good else ():
+            low, mid, high = (blend(r, name, q) for q in (0.25, 0.5, 0.75))
+            usual, has = max(blend(r, size, 0.5), 1.0), max(r[size], 1)
+            short = math.sqrt(max(1.0, usual / has))
+            spread = max((high - mid) * short, 1 / min(has, usual) if rate else 0.0)
+            good &= r[name] <= mid + quality.SPREADS * spread
+            good &= not below or r[name] >= mid - quality.SPREADS * (mid - low) * short
+        assert r["kept"] == good, r
+        seen.add((r["base_failed"], good))
+    assert seen == {(True, False), (False, False), (False, True)}
+
+
+def test_quality_fences_differ_between_groups(spark):
+    limits = quality.corpus_fences(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert limits.select("high_word_length").distinct().count() > limits.count() // 2
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = quality.op6_quality(spark, "/root/testdata/sf0.01").where("not base_failed").join(labels, "doc_id")
+    wrong = got.where("(quality = 1) <> kept").count()
+    assert wrong <= 0.01 * got.count()
