@@ -28,6 +28,7 @@ from riskloom.llm.components import connected_components
 
 COSINE = 0.9
 BLOCK = 2048
+MIN_PIVOTS = 16
 MAX_PIVOTS = 512        # pivots are kept in memory; cells beyond BLOCK are split, not cut
 SAMPLE = 4              # vectors sampled per pivot, by a hash, to choose pivots from
 EPS = 1e-9
@@ -117,6 +118,12 @@ def visits(homes: DataFrame, pivots: dict[int, np.ndarray], radii: dict[tuple[in
         run, f"key long, dim int, cell int, home boolean, m long, embedding {dict(homes.dtypes)['embedding']}")
 
 
+def compared_pairs(members: DataFrame) -> int:
+    """How many pairs of visits the cells compare (all pairs: n * n)."""
+    each = members.groupBy("dim", "cell").agg(F.count_if("home").alias("h"), F.count(F.lit(1)).alias("o"))
+    return each.agg(F.coalesce(F.sum(F.col("h") * F.col("o")), F.lit(0))).first()[0]
+
+
 def join_blocks(members: DataFrame, cosine: float, block: int) -> DataFrame:
     """(key, links, root): per vector and block, the weight of its links (home
     rows only) and its root among the vectors linked in the block."""
@@ -155,22 +162,27 @@ def join_blocks(members: DataFrame, cosine: float, block: int) -> DataFrame:
     return both.groupBy("dim", "cell", "hb", "ob").applyInArrow(run, "key long, links long, root long")
 
 
-def range_join(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
-    """vectors (vec_id, embedding) -> vec_id, n_links, component_id per row."""
-    spark = vectors.sparkSession
-    rows = stored(vectors.select("vec_id", "embedding", usable().alias("ok")), "range")
-    equal = rows.where("ok").groupBy("embedding").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("low"))
-    equal = stored(equal.withColumn("key", F.monotonically_increasing_id()), "range")
+def cells(equal: DataFrame, cosine: float = COSINE, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """Distinct vectors (key, m, embedding) -> the written visits of all cells."""
     n = equal.count()
     reach = math.sqrt(2 - 2 * cosine)
-    wanted = max(1, min(max_pivots, n // block))
+    wanted = min(max_pivots, max(MIN_PIVOTS, n // block))
     sample: dict[int, list] = {}
     for r in equal.orderBy(F.xxhash64("embedding")).limit(SAMPLE * wanted).select("embedding").collect():
         sample.setdefault(len(r["embedding"]), []).append(r["embedding"])
     pivots = {d: choose_pivots(_unit(np.array(v, np.float64)), wanted) for d, v in sample.items()}
     homes = stored(assign(equal, pivots), "range")
     radii = {(r["dim"], r["cell"]): r["r"] for r in homes.groupBy("dim", "cell").agg(F.max("near").alias("r")).collect()}
-    found = stored(join_blocks(stored(visits(homes, pivots, radii, reach), "range"), cosine, block), "range")
+    return stored(visits(homes, pivots, radii, reach), "range")
+
+
+def range_join(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """vectors (vec_id, embedding) -> vec_id, n_links, component_id per row."""
+    spark = vectors.sparkSession
+    rows = stored(vectors.select("vec_id", "embedding", usable().alias("ok")), "range")
+    equal = rows.where("ok").groupBy("embedding").agg(F.count(F.lit(1)).alias("m"), F.min("vec_id").alias("low"))
+    equal = stored(equal.withColumn("key", F.monotonically_increasing_id()), "range")
+    found = stored(join_blocks(cells(equal, cosine, block, max_pivots), cosine, block), "range")
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     each = equal.join(links, "key").join(comp.withColumnRenamed("id", "key"), "key", "left") \

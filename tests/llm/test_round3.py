@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, hard_negatives, merkle, quality
+from riskloom.llm import bpe, hard_negatives, merkle, quality, range_join
 from test_llm import DOCS, ODD
 
 SF = "/root/testdata/sf0.001"
@@ -295,3 +295,22 @@ def test_quality_fences_differ_between_groups(spark):
     got = quality.op6_quality(spark, "/root/testdata/sf0.01").where("not base_failed").join(labels, "doc_id")
     wrong = got.where("(quality = 1) <> kept").count()
     assert wrong <= 0.01 * got.count()
+
+
+def test_pivots_prune_clustered_vectors(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(40, 16))
+    x = (centre[rng.integers(0, 40, 800)] + 0.1 * rng.normal(size=(800, 16))).astype(np.float32)
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(x)]
+    members = range_join.cells(spark.createDataFrame(rows, "key long, m long, embedding array<float>"))
+    assert members.select("cell").distinct().count() == range_join.MIN_PIVOTS
+    assert members.where("home").count() == 800
+    assert range_join.compared_pairs(members) < 800 * 800 / 2
+    f = x.astype(float)
+    near = (f @ f.T) / np.outer(np.linalg.norm(f, axis=1), np.linalg.norm(f, axis=1)) >= 0.9
+    got = range_join.range_join(spark.createDataFrame([(i, v) for i, _, v in rows], "vec_id long, embedding array<float>"))
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == {i: int(near[i].sum()) - 1 for i in range(800)}
+
+
+def test_range_join_of_an_empty_table(spark):
+    assert range_join.range_join(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
