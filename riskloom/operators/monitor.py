@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HIGH = ("HIGH", "CRITICAL")
+# fixed values: requests of a batch, risk levels
+MAX_BATCH = 100
+RISK_LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 LATENCY_BUCKETS = (0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0)
 
 
@@ -113,6 +116,31 @@ def validate_requests(df: DataFrame, amount: str = "TransactionAmt") -> tuple[Da
     return d.filter(~bad), d.filter(bad).withColumn("quarantine_reason", reason)
 
 
+def validate_batches(df: DataFrame, batch: str, max_size: int = MAX_BATCH) -> tuple[DataFrame, DataFrame]:
+    """Requests of batches of at most ``max_size`` rows, and those of
+    larger ones with a reason column.  A batch goes or stays whole; rows
+    without a batch are single requests and stay.  Only sizes of batches that
+    are too large take part in the join."""
+    large = df.where(F.col(batch).isNotNull()).groupBy(batch).agg(F.count(F.lit(1)).alias("_n")) \
+        .where(F.col("_n") > max_size).select(F.col(batch).alias("_batch"), "_n")
+    marked = df.join(large, F.col(batch) == F.col("_batch"), "left").drop("_batch")
+    reason = F.concat(F.lit("batch of "), F.col("_n").cast("string"), F.lit(f" requests, at most {max_size} allowed"))
+    return marked.where(F.col("_n").isNull()).drop("_n"), \
+        marked.where(F.col("_n").isNotNull()).withColumn("quarantine_reason", reason).drop("_n")
+
+
+def validate_predictions(df: DataFrame, score: str = "fraud_score", level: str = "risk_level") -> tuple[DataFrame, DataFrame]:
+    """Predictions with a score within [0, 1] and a known level, and the
+    others with a reason column (the first rule that fails)."""
+    x, lv = F.col(score), F.col(level)
+    reason = F.when(x.isNull() | F.isnan(x), F.lit("missing score")) \
+        .when(~x.between(0.0, 1.0), F.lit("score outside [0, 1]")) \
+        .when(~F.coalesce(lv.isin(*RISK_LEVELS), F.lit(False)), F.lit("unknown risk level"))
+    marked = df.withColumn("quarantine_reason", reason)
+    return marked.where(F.col("quarantine_reason").isNull()).drop("quarantine_reason"), \
+        marked.where(F.col("quarantine_reason").isNotNull())
+
+
 def event_time_windows(df: DataFrame, ts: Column, duration: str, slide: str | None = None) -> DataFrame:
     """V4 / V6 batch form: tumbling or sliding event-time windows with
     processed / alert counts and alert rate."""

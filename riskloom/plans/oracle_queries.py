@@ -532,6 +532,27 @@ ORACLE["request_quarantine"] = _q("""SELECT count(*) FILTER (WHERE TransactionAm
   count(*) FILTER (WHERE TransactionAmt IS NULL OR NOT (TransactionAmt > 0)) AS n_quarantined FROM tx""")
 
 
+ORACLE["batch_quarantine"] = with_canon("""
+b AS (SELECT floor(TransactionDT / 3600.0) AS hour, count(*) AS n FROM tx GROUP BY ALL)
+SELECT CASE WHEN n > 10 THEN 'batch of ' || n || ' requests, at most 10 allowed' ELSE '' END AS quarantine_reason,
+  CAST(sum(n) AS BIGINT) AS n_requests, count(hour) AS n_batches FROM b GROUP BY 1""")
+
+ORACLE["prediction_quarantine"] = with_canon("""
+p AS (SELECT TransactionAmt / 100 AS s, CASE WHEN TransactionID % 10 = 0 THEN ProductCD ELSE 'LOW' END AS lv FROM tx)
+SELECT CASE WHEN s IS NULL OR isnan(s) THEN 'missing score' WHEN s < 0 OR s > 1 THEN 'score outside [0, 1]'
+  WHEN lv IS NULL OR lv NOT IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') THEN 'unknown risk level' ELSE '' END AS quarantine_reason,
+  count(*) AS n_predictions FROM p GROUP BY 1""")
+
+
+def _distinct_weeks(entity: str) -> str:
+    return f"""SELECT {entity} AS entity, CAST(floor(TransactionDT / 604800.0) AS BIGINT) AS week,
+  count(DISTINCT card1) AS n_cards, count(card1) AS n_rows, CAST(sum(isFraud) AS BIGINT) AS n_labels, TRUE AS within_bound
+FROM merged WHERE {entity} IS NOT NULL GROUP BY 1, 2"""
+
+
+ORACLE["entity_distinct_weeks"] = _q(_distinct_weeks("DeviceInfo") + "\nUNION ALL\n" + _distinct_weeks("P_emaildomain"))
+
+
 def _win(size: int, slide: int) -> str:
     return PRED_BODY + f""",
 ws AS (SELECT p.*, s.k FROM pred p, range(0, {size // slide}) s(k)),

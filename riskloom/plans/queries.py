@@ -469,6 +469,52 @@ def request_quarantine(spark, sf_dir):
     return counts
 
 
+@register("batch_quarantine")
+def batch_quarantine(spark, sf_dir):
+    """Requests by the verdict on their batch (all requests of an hour)."""
+    from riskloom.sources.tables import events_transactions
+    t = events_transactions(spark, sf_dir).select("TransactionID", F.floor(F.col("TransactionDT") / 3600).alias("hour"))
+    valid, bad = monitor.validate_batches(t, "hour", 10)
+    both = valid.withColumn("quarantine_reason", F.lit("")).unionByName(bad)
+    return both.groupBy("quarantine_reason").agg(F.count(F.lit(1)).alias("n_requests"),
+                                                 F.countDistinct("hour").alias("n_batches"))
+
+
+@register("prediction_quarantine")
+def prediction_quarantine(spark, sf_dir):
+    """P15 on responses: the score is the amount over 100 (so some lie outside
+    [0, 1]), the level the event type for every tenth row."""
+    from riskloom.sources.tables import events_transactions
+    t = events_transactions(spark, sf_dir)
+    score = F.col("TransactionAmt") / 100
+    level = F.when(F.col("TransactionID") % 10 == 0, F.col("ProductCD")).otherwise(risk.risk_level(score))
+    valid, bad = monitor.validate_predictions(t.select(score.alias("fraud_score"), level.alias("risk_level")))
+    both = valid.withColumn("quarantine_reason", F.lit("")).unionByName(bad)
+    return both.groupBy("quarantine_reason").agg(F.count(F.lit(1)).alias("n_predictions"))
+
+
+@register("entity_distinct_weeks")
+def entity_distinct_weeks(spark, sf_dir):
+    """A5, A6 as merged daily states: cards per device and e-mail domain and
+    week.  The estimate itself is compared with the exact count here; the row
+    says whether it lies within the stated bound."""
+    from riskloom.operators import distinct
+    df = merged_transactions(spark, sf_dir)
+    day, week = F.floor(F.col("TransactionDT") / 86400), F.floor(F.col("TransactionDT") / 604800)
+    out = None
+    for entity in ("DeviceInfo", "P_emaildomain"):
+        states = distinct.daily_states(df, entity, "card1", day, "isFraud")
+        got = distinct.over_days(states, F.floor(F.col("day") / 7)).withColumnRenamed("span", "week")
+        exact = df.where(F.col(entity).isNotNull()).groupBy(F.col(entity).alias("entity"), week.alias("week")).agg(
+            F.countDistinct("card1").alias("n_cards"))
+        off = F.abs(F.col("n_members") - F.col("n_cards"))
+        part = got.join(exact, ["entity", "week"]).select(
+            "entity", "week", "n_cards", "n_rows", "n_labels",
+            (off <= F.ceil(distinct.error_bound() * F.col("n_cards"))).alias("within_bound"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("alert_windows_10s")
 def alert_windows_10s(spark, sf_dir):
     p = fixed_predictions(spark, sf_dir)
