@@ -91,6 +91,37 @@ def add_up(k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k[first], np.add.reduceat(n, first) if len(k) else n
 
 
+def squeeze(key: np.ndarray, n: np.ndarray, bits: int) -> bytes:
+    """Ascending keys (parent << bits | item) and their counts as bytes: steps
+    of the parent, steps of the item within a parent, counts; of each only the
+    bytes in use, the lowest of all values first, compressed."""
+    parent, item = key >> bits, key & ((1 << bits) - 1)
+    up, step = np.diff(parent, prepend=0), np.diff(item, prepend=0)
+    streams = [x.astype("<u8") for x in (up, np.where(up > 0, item, step) if len(key) else step, n)]
+    streams[1][:1] = item[:1]
+    used = [max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 0 for x in streams]
+    body = b"".join(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :u].T).tobytes() for x, u in zip(streams, used))
+    return np.array([len(key), *used], "<i8").tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    n, *used = (int(x) for x in np.frombuffer(blob[:32], "<i8"))
+    body = np.frombuffer(pa.decompress(blob[32:], n * sum(used), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for u in used:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :u] = body[at:at + n * u].reshape(u, n).T
+        out.append(x.view("<u8").reshape(-1).astype(np.int64))
+        at += n * u
+    up, step, count = out
+    # items are sums of steps that begin anew with each parent
+    total = np.cumsum(step)
+    begin = np.flatnonzero((up > 0) | (np.arange(n) == 0))
+    before = (total - step)[begin]
+    item = total - np.repeat(before, np.diff(np.append(begin, n)))
+    return (np.cumsum(up) << bits) | item, count
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     def run(batches):
         sums = Sums()
@@ -216,14 +247,14 @@ class Level:
 
 
 def build_level(keys: DataFrame, shards: int, width: int, bits: int, context: str, model: "Trie", folder: str) -> Level:
-    """keys (shard, key = parent within the shard << bits | item, n) -> files."""
+    """keys (shard, runs of key = parent within the shard << bits | item) -> files."""
     def run(batches):
-        got = [(b.column("shard").to_numpy(), b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        shard, key, n = (np.concatenate(x) for x in zip(*got))
-        for s in np.unique(shard):
-            k, c = add_up(key[shard == s], n[shard == s].astype(np.int64))
+        got: dict[int, list] = {}
+        for b in batches:
+            for s, blob in zip(b.column("shard").to_pylist(), b.column("run")):
+                got.setdefault(s, []).append(unsqueeze(blob.as_py(), bits))
+        for s in sorted(got):
+            k, c = add_up(*(np.concatenate(x) for x in zip(*got.pop(s))))
             parent, item = k >> bits, k & ((1 << bits) - 1)
             first = np.searchsorted(parent, np.arange(width + 1))
             last = np.flatnonzero(np.concatenate([parent[1:] != parent[:-1], [True]]))
@@ -237,7 +268,7 @@ def build_level(keys: DataFrame, shards: int, width: int, bits: int, context: st
             left[parent] = np.maximum(left[parent], 1)       # 0 says that a parent has no range
             name = write_arrays(folder, {
                 **encode(base[parent] + item, "items"), **encode(base, "base"), **encode(first.astype(np.int64), "first"),
-                "kept": quantise(kept), "rest": left, "counts": c.astype(np.uint32)})
+                "kept": quantise(kept), "rest": left, "counts": c.astype(np.uint32 if c.max() < 1 << 32 else np.int64)})
             yield pa.RecordBatch.from_pydict({"shard": [int(s)], "size": [len(k)], "name": [name]})
 
     rows = keys.repartition(max(shards, 1), "shard").mapInArrow(run, "shard long, size long, name string").collect()
@@ -309,15 +340,15 @@ def _slices(batch: pa.RecordBatch, size: int = 1 << 19):
 
 
 def _keys(ids: DataFrame, width: int, bits: int, items) -> DataFrame:
-    """Summed (shard, key, n) of what ``items`` gives for a batch: (parent, item)."""
+    """Per shard, runs of the summed keys of what ``items`` gives for a batch:
+    (parent, item).  A run holds at most about HOLD keys."""
     def run(batches):
         sums = {}, [0]
 
         def flush():
             for s, x in list(sums[0].items()):
-                k, n = x.merged()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), s, np.int32)), pa.array(k), pa.array(n.astype(np.int32))],
-                                                 ["shard", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([squeeze(*x.merged(), bits)], pa.binary())],
+                                                 ["shard", "run"])
             sums[0].clear()
             sums[1][0] = 0
         for b in batches:
@@ -336,7 +367,7 @@ def _keys(ids: DataFrame, width: int, bits: int, items) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return ids.select("ids").mapInArrow(run, "shard int, key long, n int")
+    return ids.select("ids").mapInArrow(run, "shard int, run binary")
 
 
 def train(docs: DataFrame, is_training, carry: list[str]) -> tuple[Trie, DataFrame]:
@@ -346,6 +377,8 @@ def train(docs: DataFrame, is_training, carry: list[str]) -> tuple[Trie, DataFra
     docs = docs.withColumn("_train", is_training)
     counts = stored(word_counts(docs.where("_train")), "lm")
     size, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if size >= 1 << 31:
+        raise OverflowError(f"{size} words: ranks are 32-bit integers")
     model = Trie(build_words(counts, size, folder), tokens, 0)
     ids = stored(_ids(docs, model.words, [*carry, "_train"]), "lm")
     rows = ids.where("_train")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, hard_negatives, merkle, quality, range_join
+from riskloom.llm import bpe, hard_negatives, merkle, ngram_lm, quality, range_join
 from test_llm import DOCS, ODD
 
 SF = "/root/testdata/sf0.001"
@@ -314,3 +314,12 @@ def test_pivots_prune_clustered_vectors(spark):
 
 def test_range_join_of_an_empty_table(spark):
     assert range_join.range_join(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_runs_of_keys_round_trip():
+    rng = np.random.default_rng(8)
+    for size, parents, items in ((0, 1, 1), (1, 1, 1), (1, 9, 1 << 39), (5000, 3, 1 << 30), (5000, 4000, 5), (20_000, 1 << 22, 1 << 39)):
+        key = np.unique((rng.integers(0, parents, size) << ngram_lm.REL) | rng.integers(0, items, size))
+        n = rng.integers(1, 1 << 33, len(key))
+        got = ngram_lm.unsqueeze(ngram_lm.squeeze(key, n, ngram_lm.REL), ngram_lm.REL)
+        assert (got[0] == key).all() and (got[1] == n).all() and len(got[0]) == len(key)
