@@ -52,3 +52,18 @@ def test_value_tables_share_their_steps():
     began = time.process_time()
     explain.value_tables(every)
     assert time.process_time() - began < 0.6 * alone and len(one) == 1024
+
+
+def test_trained_state_and_report_are_files(spark):
+    """What scores and reports read again is not computed again."""
+    from riskloom.config import Config, ForestParams, GbtParams
+    from riskloom.operators import graph as G
+    from riskloom.plans import train as tr
+    from riskloom.sources.tables import merged_transactions
+    df = merged_transactions(spark, "/root/testdata/sf0.001")
+    art, report = tr.train(spark, df, Config(gbt=GbtParams(max_iter=2, max_depth=2), forest=ForestParams(n_trees=5)))
+    e = art.entity_stats
+    for t in (report, art.card_stats.table, e.device, e.email, e.addr, e.card, art.node_features, art.graph.vertices, art.graph.edges,
+              G.degrees(art.graph)):
+        assert t.inputFiles() and "events.parquet" not in "".join(t.inputFiles())
+        assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
