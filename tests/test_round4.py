@@ -67,3 +67,45 @@ def test_trained_state_and_report_are_files(spark):
               G.degrees(art.graph)):
         assert t.inputFiles() and "events.parquet" not in "".join(t.inputFiles())
         assert "Exchange" not in t._jdf.queryExecution().executedPlan().toString()
+
+
+def small_graph(spark):
+    from riskloom.operators import graph as G
+    edges = [("card:a", "card:b"), ("card:a", "card:c"), ("card:b", "card:c"), ("card:c", "card:d"), ("card:d", "device:x"), ("card:a", "device:x")]
+    v = spark.createDataFrame([(n, n[:4], n[-1]) for n in sorted({x for e in edges for x in e} | {"card:z"})], "id string, type string, value string")
+    e = spark.createDataFrame([(a, b, "t", None) for a, b in edges], "src string, dst string, edge_type string, shared_device string")
+    return G.Graph(v, lambda: e), edges
+
+
+@pytest.mark.parametrize("p, q, per_pass", [(1.0, 0.5, 8), (0.25, 4.0, 2), (20.0, 20.0, 1)])
+def test_walks_take_the_first_accepted_attempt(spark, monkeypatch, p, q, per_pass):
+    from riskloom.config import WalkParams
+    from riskloom.operators import embed
+    writes = []
+    for name in ("cut_lineage", "written"):
+        if hasattr(embed, name):
+            monkeypatch.setattr(embed, name, lambda df, f=getattr(embed, name): writes.append(1) or f(df))
+    g, edges = small_graph(spark)
+    got = {r["walk"]: r["path"] for r in embed.random_walks(g, WalkParams(walk_length=5, num_walks=2, p=p, q=q), per_pass).collect()}
+    if per_pass == 8:
+        assert len(writes) <= 4 + 5         # one table a step
+    assert len(got) == 12 and got["card:z#0"] == ["card:z"]
+    nbrs = {n: sorted({b for a, b in edges if a == n} | {a for a, b in edges if b == n}) for e in edges for n in e}
+    draws = spark.createDataFrame([(w,) for w in got], "walk string").crossJoin(spark.range(1, 5).select(F.col("id").cast("int").alias("step"))) \
+        .crossJoin(spark.range(400).select(F.col("id").cast("int").alias("a")))
+    draws = draws.select("walk", "step", "a", embed._u(F.col("walk"), F.col("step"), F.col("a"), F.lit(42)).alias("u"),
+                         embed._u(F.col("walk"), F.col("step"), F.col("a"), F.lit(49)).alias("s")).toPandas()
+    draws = {key: d.sort_values("a")[["u", "s"]].to_numpy() for key, d in draws.groupby(["walk", "step"])}
+    top = max(1 / p, 1.0, 1 / q)
+    for walk, path in got.items():
+        cur, prev = walk.split("#")[0], None
+        want = [cur]
+        for step in range(1, 5 if cur in nbrs else 1):
+            for u, s in draws[walk, step]:
+                cand = nbrs[cur][int(u * len(nbrs[cur]))]
+                w = top if prev is None else 1 / p if cand == prev else 1.0 if cand in nbrs[prev] else 1 / q
+                if s * top < w:
+                    break
+            prev, cur = cur, cand
+            want.append(cur)
+        assert path == want
