@@ -109,3 +109,61 @@ def test_walks_take_the_first_accepted_attempt(spark, monkeypatch, p, q, per_pas
             prev, cur = cur, cand
             want.append(cur)
         assert path == want
+
+
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("parts", [1, 40])
+def test_co_device_links_go_over_partitions_without_a_join(spark, parts):
+    from riskloom.operators import graph as G
+    rows = [("hot", f"{i * 7919 % 1000}") for i in range(300)] + [(f"d{i % 90}", f"{i}") for i in range(180)] + [("d1", None), (None, "1"), ("d1", "1")]
+    pairs = sorted({(d, c) for d, c in rows if d is not None and c is not None})
+    lists = spark.createDataFrame(pairs, "dev string, card string").repartitionByRange(parts, "dev", "card") \
+        .sortWithinPartitions("dev", "card").withColumn("_pid", F.spark_partition_id()).localCheckpoint()
+    want = {(d, c, pairs[j][1]) for i, (d, c) in enumerate(pairs) for j in range(i + 1, min(i + 5, len(pairs))) if pairs[j][0] == d}
+    got = [tuple(r) for r in G.co_device_links(lists).collect()]
+    assert len(got) == len(want) and set(got) == want
+    df = spark.createDataFrame(rows, "DeviceInfo string, card1 string")
+    edges = G.co_device_edges(df)
+    assert {tuple(r) for r in edges.collect()} == {("card:" + a, "card:" + b, d) for d, a, b in want}
+    assert "Join" not in executed(edges)
+    # degrees of a graph of cards and devices: the pairs are made distinct once, each edge is read once
+    assert executed(G.degrees(G.build(df))).count("Union") <= 4
+
+
+@pytest.mark.parametrize("hubs_linked", [False, True])
+def test_clustering_equals_brute_force_and_makes_no_wedges_of_hubs(spark, monkeypatch, hubs_linked):
+    from riskloom.operators import graph as G
+    rng = np.random.default_rng(3)
+    cards, hubs = [f"card:{i}" for i in range(14)], [f"{k}:{i}" for k in ("device", "email") for i in range(6)]
+    edges = {tuple(sorted((a, b))) for a in cards for b in cards + hubs if a != b and rng.random() < 0.4}
+    if hubs_linked:
+        edges |= {tuple(sorted((a, b))) for a in hubs for b in hubs if a < b and rng.random() < 0.4}
+    v = spark.createDataFrame([(n, n.split(":")[0], n) for n in cards + hubs], "id string, type string, value string")
+    e = spark.createDataFrame([(a, b, "t", None) for a, b in edges], "src string, dst string, edge_type string, shared_device string")
+    nbrs = {n: {b for a, b in edges if a == n} | {a for a, b in edges if b == n} for n in cards + hubs}
+    got = {r["node"]: r["graph_clustering"] for r in G.clustering(G.Graph(v, lambda: e)).collect()}
+    for n, near in nbrs.items():
+        d = len(near)
+        t = sum(b in nbrs[a] for a in near for b in near) / 2
+        assert got[n] == pytest.approx(2 * t / (d * (d - 1)) if d > 1 else 0.0)
+
+
+def test_pagerank_of_lists_equals_power_iteration(spark, monkeypatch):
+    from riskloom.operators import graph as G
+    monkeypatch.setattr(G, "LIST", 2)
+    g, edges = small_graph(spark)
+    nodes = sorted({n for e in edges for n in e} | {"card:z"})
+    at, n = {x: i for i, x in enumerate(nodes)}, len(nodes)
+    m = np.zeros((n, n))
+    for a, b in edges:
+        m[at[a], at[b]] = m[at[b], at[a]] = 1
+    out = m.sum(axis=0)
+    pr = np.full(n, 1 / n)
+    for _ in range(200):
+        pr = 0.15 / n + 0.85 * (m @ (pr / np.maximum(out, 1)) + pr[out == 0].sum() / n)
+    got = {r["node"]: r["graph_pagerank"] for r in G.pagerank(g, tol=1e-12).collect()}
+    assert [got[x] for x in nodes] == pytest.approx(list(pr), abs=1e-9)
