@@ -167,3 +167,22 @@ def test_pagerank_of_lists_equals_power_iteration(spark, monkeypatch):
         pr = 0.15 / n + 0.85 * (m @ (pr / np.maximum(out, 1)) + pr[out == 0].sum() / n)
     got = {r["node"]: r["graph_pagerank"] for r in G.pagerank(g, tol=1e-12).collect()}
     assert [got[x] for x in nodes] == pytest.approx(list(pr), abs=1e-9)
+
+
+def test_vectors_of_devices_reach_rows_without_a_shuffle_by_device(spark, monkeypatch):
+    from riskloom.operators import embed
+    df = spark.createDataFrame([(i, i % 7, None if i % 4 else f"d{i % 8}") for i in range(200)], "TransactionID long, card1 long, DeviceInfo string")
+    emb = spark.createDataFrame([(f"card:{i}", [float(i), 1.0]) for i in range(5)] + [("device:d4", [8.0, 9.0]), ("device:Unknown", [7.0, 7.0])],
+                                "node_id string, emb array<float>")
+    want = [(i, [float(i % 7), 1.0] if i % 7 < 5 else [0.0, 0.0], [7.0, 7.0] if i % 4 else [8.0, 9.0] if i % 8 == 4 else [0.0, 0.0]) for i in range(200)]
+    for few in (10_000, 1):
+        monkeypatch.setattr(embed, "BROADCAST_DEVICES", few, raising=False)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            out = embed.transaction_embeddings(df, emb, dim=2).select("TransactionID", "emb_card", "emb_device")
+            got = sorted(tuple(r) for r in out.collect())
+            keys = [line for line in executed(out).split("\n") if "Exchange hashpartitioning" in line]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got == want
+        assert all("device:" not in line.split("ENSURE")[0] or "_own" in line or "pmod" in line for line in keys), keys
