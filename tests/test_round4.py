@@ -186,3 +186,51 @@ def test_vectors_of_devices_reach_rows_without_a_shuffle_by_device(spark, monkey
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert got == want
         assert all("device:" not in line.split("ENSURE")[0] or "_own" in line or "pmod" in line for line in keys), keys
+
+
+def test_a_bucket_of_cards_answers_each_card_alone_and_forgets_idle_ones():
+    from riskloom.streaming.velocity_state import BLOCK, CardVelocity
+
+    class Value:
+        v = None
+        def exists(self): return self.v is not None
+        def get(self): return self.v
+        def update(self, v): self.v = v
+        def clear(self): self.v = None
+
+    class Blocks:
+        v = ()
+        def get(self): return iter(self.v)
+        def put(self, v): self.v = list(v)
+        def appendValue(self, v): self.v = [*self.v, v]
+        def clear(self): self.v = ()
+
+    class Handle:
+        timers = ()
+        def registerTimer(self, ms): self.timers = (*self.timers, ms)
+
+    class Now:
+        def __init__(self, s): self.s = s
+        def getCurrentWatermarkInMs(self): return self.s * 1000
+
+    assert BLOCK.names == ["times", "ids", "cards"]
+    rng, windows = np.random.default_rng(5), ((10, "1h"), (20, "24h"), (30, "7d"))
+    v = CardVelocity(windows, 60, 0)
+    v.handle, v.blocks, v.last = Handle(), Blocks(), Value()
+    seen = []
+    for k in range(30):
+        new = [(int(rng.integers(20)) * 1000, 7 * k + int(rng.integers(7)), 100 * k + j) for j in range(12)]
+        out = next(v.handleInputRows((3,), iter([pd.DataFrame(new, columns=["card", "t", "i"])]), Now(7 * k - 1)))
+        seen += new
+        got = {r.TransactionID: r for r in out.itertuples()}
+        assert len(got) == 12
+        for card, t, i in new:
+            before = [x for c, x, j in seen if c == card and (x, j) < (t, i)]
+            assert got[i].card1 == card and got[i].time_since_last_tx == (t - max(before) if before else 0)
+            assert [got[i].card_tx_count_1h, got[i].card_tx_count_24h, got[i].card_tx_count_7d] == [sum(x >= t - w for x in before) for w, _ in windows]
+        # fire what the watermark has passed: idle cards are forgotten
+        list(v.handleExpiredTimer((3,), Now(7 * k + 6), None))
+        last = {c: max(x for d, x, _ in seen if d == c) for c in {c for c, _, _ in seen}}
+        seen = [r for r in seen if last[r[0]] + 60 > 7 * k + 6]
+    list(v.handleExpiredTimer((3,), Now(10 ** 6), None))
+    assert not v.blocks.v and not v.last.exists()
