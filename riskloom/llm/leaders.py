@@ -5,7 +5,9 @@ match elect again, ``ROUNDS`` times; each round verifies a pair a row.  The
 links found part a bucket's members into components.  Then comes the exact
 pass: members outside their bucket's largest component are compared with all
 members of other components and of like size, in blocks of bounded rows and
-bytes inside tasks.
+bytes inside tasks.  A row goes once to each of its blocks, and buckets that
+fit into a block are not cut by size.  Within a block only texts that share one
+of their rarest items are compared: without one they lack too many common items.
 A block gives only links that join two components, so at most one a row.  No
 member, pair or bucket is capped: the components are those of all verified
 pairs that share a bucket.
@@ -18,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm import words as W
@@ -39,13 +41,17 @@ class Rule(NamedTuple):
     same: Callable[[np.ndarray, np.ndarray], bool]
 
 
+def _led(rows: DataFrame) -> DataFrame:
+    """``rows`` of buckets with two and more, with the bucket's smallest id as
+    ``lead`` and its number of rows as ``n``."""
+    bucket = Window.partitionBy("bucket")
+    return rows.select("id", "j", "bucket", F.min("id").over(bucket).alias("lead"), F.count(F.lit(1)).over(bucket).alias("n")).where("n > 1")
+
+
 def bucket_rows(sketches: DataFrame) -> DataFrame:
-    """(id, keys array<long>) -> (id, j, bucket), buckets of two ids and
-    more only.  Counting moves 16 bytes a key; the keys follow for the few ids
-    that share a bucket."""
-    flat = sketches.select("id", F.posexplode("keys").alias("j", "bucket")).where(F.col("bucket") != NO_KEY)
-    shared = flat.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("bucket")
-    return flat.join(shared, "bucket", "left_semi")
+    """(id, keys array<long>) -> (id, j, bucket, lead, n), buckets of two ids
+    and more only."""
+    return _led(sketches.select("id", F.posexplode("keys").alias("j", "bucket")).where(F.col("bucket") != NO_KEY))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -80,12 +86,20 @@ def _blocks(batches) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _dense(own: pa.ListArray) -> np.ndarray:
+    """Lists of (j, bucket) as one row of keys each, NO_KEY between them."""
+    j, bucket = (x.to_numpy() for x in own.flatten().flatten())
+    keys = np.full((len(own), int(j.max(initial=-1)) + 1), NO_KEY, np.int64)
+    keys[np.repeat(np.arange(len(own)), np.diff(own.offsets.to_numpy())), j] = bucket
+    return keys
+
+
 def join_block(t: pa.Table, rule: Rule) -> tuple[list[int], list[int]]:
     """Links (a, b) that join components of a block.  A pair is left to the
     first bucket that both texts share."""
-    left, main, low, j = (t.column(c).to_numpy() for c in ("left", "main", "low", "j"))
+    left, right, main, low, j = (t.column(c).to_numpy() for c in ("left", "right", "main", "low", "j"))
     key = t.column("id").to_numpy()
-    keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+    keys = _dense(t.column("own").combine_chunks())
     _, group = np.unique(t.column("component").to_numpy(), return_inverse=True)
     items = rule.items(t.column("text"))
     size = np.array([len(x) for x in items], np.int64)
@@ -96,27 +110,46 @@ def join_block(t: pa.Table, rule: Rule) -> tuple[list[int], list[int]]:
     owner, code = np.divmod(kinds, max(len(names), 1))
     start = np.searchsorted(owner, np.arange(len(key) + 1))
     mine_of = np.zeros(max(len(names), 1), np.int64)
-    right = np.flatnonzero(~left)
-    there = ~left[owner]
-    r_code, r_times = code[there], times[there]
-    r_start = np.concatenate([[0], np.cumsum(np.diff(start)[right])])
-    place = np.full(len(key), -1)
-    place[right] = np.arange(len(right))
+    # the texts on the right that have an item, item by item
+    there = np.flatnonzero(right[owner])
+    there = there[np.argsort(code[there], kind="stable")]
+    has, has_at = owner[there], np.searchsorted(code[there], np.arange(len(names) + 1))
+    rarest = np.lexsort((np.diff(has_at)[code], owner)) if len(owner) else owner
+    right = np.flatnonzero(right)
+    near = np.zeros(len(key), bool)
     a, b = [], []
     for i in np.flatnonzero(left):
         # of two members outside the largest component, the smaller id is on the left
         to = right[(group[right] != group[i]) & (main[right] | (key[right] > key[i])) & ~(low[right] & low[i])]
+        need = rule.need(size[to], size[i])
+        fits = need <= np.minimum(size[to], size[i])
+        to, need = to[fits], need[fits]
+        if not len(to):
+            continue
+        if need.min() > 0:
+            # items past the first few are too few to be all that is common
+            first = rarest[start[i]:start[i + 1]]
+            past = size[i] - np.cumsum(times[first])
+            first = code[first[:int(np.argmax(past < need.min())) + 1]]
+            n = has_at[first + 1] - has_at[first]
+            found = has[np.repeat(has_at[first], n) + W.run_positions(n)]
+            near[found] = True
+            some = near[to]
+            near[found] = False
+            to, need = to[some], need[some]
         mine = keys[i, :j[i]]
-        to = to[~((keys[to, :j[i]] == mine) & (mine != NO_KEY)).any(axis=1)]
+        again = ((keys[to, :j[i]] == mine) & (mine != NO_KEY)).any(axis=1)
+        to, need = to[~again], need[~again]
         if not len(to):
             continue
         own = slice(start[i], start[i + 1])
         mine_of[code[own]] = times[own]
-        common = np.concatenate([[0], np.cumsum(np.minimum(r_times, mine_of[r_code]))])
+        n = start[to + 1] - start[to]
+        at = np.repeat(start[to], n) + W.run_positions(n)
+        common = np.concatenate([[0], np.cumsum(np.minimum(times[at], mine_of[code[at]]))])
         mine_of[code[own]] = 0
-        at = place[to]
-        to = to[common[r_start[at + 1]] - common[r_start[at]] >= rule.need(size[to], size[i])]
-        for k in to:
+        end = np.cumsum(n)
+        for k in to[common[end] - common[end - n] >= need]:
             if group[k] != group[i] and rule.same(items[i], items[k]):
                 group[group == group[k]] = group[i]
                 a.append(int(key[i]))
@@ -125,37 +158,51 @@ def join_block(t: pa.Table, rule: Rule) -> tuple[list[int], list[int]]:
 
 
 def by_size(m: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Buckets cut by the number of items, where ``sketches`` has it as
-    ``size``: linked texts are at most one class apart, so a member goes to its
-    class and, as ``low``, to the next one; two low members met one class lower."""
+    """Buckets beyond a block are cut by the number of items, where ``sketches``
+    has it as ``size``: linked texts are at most one class apart, so a member
+    goes to its class and, as ``low``, to the next one; two low members met one
+    class lower."""
     if "size" not in sketches.columns:
         return m.withColumn("low", F.lit(False))
+    bucket = Window.partitionBy("bucket")
+    big = (F.count(F.lit(1)).over(bucket) > BLOCK) | (F.sum("bytes").over(bucket) > BLOCK_BYTES)
     of = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(STEP))).cast("int")
-    m = m.join(sketches.select("id", of.alias("class")), "id") \
-        .withColumn("low", F.explode(F.array(F.lit(False), F.lit(True))))
-    return m.withColumn("bucket", F.xxhash64("bucket", F.col("class") + F.col("low").cast("int"))).drop("class")
+    m = m.join(sketches.select("id", of.alias("class")), "id").withColumn("big", big) \
+        .withColumn("low", F.explode(F.when(F.col("big"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    return m.withColumn("bucket", F.when(F.col("big"), F.xxhash64("bucket", F.col("class") + F.col("low").cast("int"))).otherwise(F.col("bucket"))) \
+        .drop("class", "big")
 
 
 def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): the links within buckets that the links ``known`` do not imply.
-    A bucket's smallest id has been compared with all members already."""
-    lead = rows.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
+    A bucket's smallest id has been compared with all members already, and
+    members of one component need no link."""
     comp = connected_components(known)
-    m = rows.join(lead.drop("last"), "bucket").where("id != lead").drop("lead").join(comp, "id", "left") \
-        .withColumn("component", F.coalesce("component", "id"))
+    bucket = Window.partitionBy("bucket")
+    m = rows.where("n > 2 and id != lead").select("id", "j", "bucket").join(comp, "id", "left") \
+        .withColumn("component", F.coalesce("component", "id")) \
+        .withColumn("least", F.min("component").over(bucket)).withColumn("most", F.max("component").over(bucket)) \
+        .where("least < most").drop("least", "most")
     m = stored(m.join(texts.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "id"), "rows")
+    own = m.groupBy("id").agg(F.collect_list(F.struct("j", "bucket")).alias("own"))      # at most a list of keys long
     m = by_size(m, sketches)
-    size = m.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    size = m.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("low").alias("low"))
     size = size.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max(F.struct("n", "component", "bytes")).alias("top"),
-                                      F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("parts > 1")
+                                      F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("low").alias("low")) \
+        .where("parts > 1 and not low")
     parts = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES, F.lit(1.0))).cast("int")
     size = size.select("bucket", "most", parts(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("nl"), parts(F.col("n"), F.col("bytes")).alias("nr"))
     m = m.join(size, "bucket").withColumn("main", F.col("component") == F.col("most"))
     part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
-    left = m.where(~F.col("main")).select("*", part(F.col("nl"), 1).alias("lb"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"), F.lit(True).alias("left"))
-    right = m.select("*", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lb"), part(F.col("nr"), 2).alias("rb"), F.lit(False).alias("left"))
-    both = left.unionByName(right).select("id", "j", "component", "main", "low", "left", F.xxhash64("bucket", "lb", "rb").alias("block"))
-    both = both.join(sketches.select("id", "keys"), "id").join(texts.select("id", "text"), "id") \
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    at = lambda lb, rb, left, right: F.struct(lb.alias("lb"), rb.alias("rb"), left.alias("left"), right.alias("right"))
+    m = m.withColumn("l", part(F.col("nl"), 1)).withColumn("r", part(F.col("nr"), 2))
+    # on the left of its blocks l, on the right of its blocks r; on both sides of the block of both
+    on_left = F.transform(F.filter(upto(F.col("nr")), lambda x: ~F.col("main")), lambda x: at(F.col("l"), x, F.lit(True), x == F.col("r")))
+    on_right = F.transform(F.filter(upto(F.col("nl")), lambda x: F.col("main") | (x != F.col("l"))), lambda x: at(x, F.col("r"), F.lit(False), F.lit(True)))
+    both = m.withColumn("at", F.explode(F.concat(on_left, on_right))) \
+        .select("id", "j", "component", "main", "low", "at.left", "at.right", F.xxhash64("bucket", "at.lb", "at.rb").alias("block"))
+    both = both.join(own, "id").join(texts.select("id", "text"), "id") \
         .repartition("block").sortWithinPartitions("block")
 
     def run(batches):
@@ -164,22 +211,21 @@ def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFram
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.select("block", "id", "j", "component", "main", "low", "left", "keys", "text").mapInArrow(run, "a long, b long")
+    return both.select("block", "id", "j", "component", "main", "low", "left", "right", "own", "text").mapInArrow(run, "a long, b long")
 
 
 def link(rows: DataFrame, sketches: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """rows of ``bucket_rows`` and texts (id, text) -> verified links (a, b),
     whose components are those of all pairs of a bucket."""
-    known, left = None, rows
-    for _ in range(ROUNDS):
-        lead = left.groupBy("bucket").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last")
-        cur = stored(left.join(lead.drop("last"), "bucket").where(F.col("id") != F.col("lead")), "rows")
-        pairs = cur.select(F.col("id").alias("b"), F.col("lead").alias("a")).distinct()
+    known, cur = None, rows
+    for k in range(ROUNDS):
+        if k:   # members that the leader does not match; there is no other in a bucket of two
+            good = known.where("ok").select(F.col("b").alias("id"), F.col("a").alias("lead"))
+            cur = stored(_led(cur.where("n > 2 and id != lead").join(good, ["id", "lead"], "left_anti")), "rows")
+        pairs = cur.where("id != lead").select(F.col("id").alias("b"), F.col("lead").alias("a")).distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         new = stored(verify(pairs, texts, rule), "links")
         known = new if known is None else known.unionByName(new)
-        good = known.where("ok").select(F.col("b").alias("id"), F.col("a").alias("lead"))
-        left = cur.join(good, ["id", "lead"], "left_anti").drop("lead")
     found = known.where("ok").select("a", "b")
     return found.unionByName(stored(rest(rows, sketches, found, texts, rule), "links"))

@@ -128,7 +128,9 @@ def rule(similarity: float = SIMILARITY) -> Rule:
     def same(p, q):
         if min(len(p), len(q)) < similarity * max(len(p), len(q)):
             return False
-        both = len(np.intersect1d(p, q, assume_unique=True))
+        x = np.concatenate([p, q])
+        x.sort()
+        both = np.count_nonzero(x[1:] == x[:-1])
         return both >= similarity * (len(p) + len(q) - both) - 1e-9
 
     return Rule(items, need, same)

@@ -323,3 +323,30 @@ def test_runs_of_keys_round_trip():
         n = rng.integers(1, 1 << 33, len(key))
         got = ngram_lm.unsqueeze(ngram_lm.squeeze(key, n, ngram_lm.REL), ngram_lm.REL)
         assert (got[0] == key).all() and (got[1] == n).all() and len(got[0]) == len(key)
+
+
+def test_exact_pass_sends_few_rows_and_compares_few_pairs(spark):
+    """Texts that share a passage and little else: buckets of two ask once,
+    and a block aligns no pair without a rare word in common."""
+    from riskloom.llm import leaders, order_minhash
+    from riskloom.llm.components import connected_components
+
+    rng = np.random.default_rng(3)
+    passage = " ".join(f"p{i}" for i in range(6))
+    texts = {i: passage + " " + " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 24)) for i in range(60)}
+    texts |= {100 + i: texts[i] + " end" for i in range(20, 30)}
+    one = spark.createDataFrame([(i, [7, 1000 + i % 100], 30 + (i >= 100)) for i in texts], "id long, keys array<long>, size long")
+    rows = leaders.bucket_rows(one)
+    assert {(r["bucket"], r["n"], r["lead"]) for r in rows.collect()} == {(7, 70, 0)} | {(1000 + i, 2, i) for i in range(20, 30)}
+    t = spark.createDataFrame(sorted(texts.items()), "id long, text string")
+    got = {(r["id"], r["component"]) for r in connected_components(leaders.link(rows, one, t, order_minhash.rule())).collect()}
+    assert got == {(i + add, i) for i in range(20, 30) for add in (0, 100)}
+    # the block itself: every pair is asked about that could be linked, no other has its common items counted
+    import pyarrow as pa
+    ids = sorted(texts)
+    own = pa.array([[{"j": 0, "bucket": 7}]] * len(ids), pa.list_(pa.struct([("j", pa.int32()), ("bucket", pa.int64())])))
+    no = [False] * len(ids)
+    block = pa.table({"id": ids, "j": [0] * len(ids), "component": ids, "main": no, "low": no, "left": [True] * len(ids),
+                      "right": [True] * len(ids), "own": own, "text": [texts[i] for i in ids]})
+    links = leaders.join_block(block, order_minhash.rule())
+    assert sorted(zip(*links)) == [(i, i + 100) for i in range(20, 30)]
