@@ -247,7 +247,8 @@ class Level:
 
 
 def build_level(keys: DataFrame, shards: int, width: int, bits: int, context: str, model: "Trie", folder: str) -> Level:
-    """keys (shard, runs of key = parent within the shard << bits | item) -> files."""
+    """keys (shard, runs of key = parent within the shard << bits | item) -> files.
+    Counts are kept where the next level reads them, in level 2 only."""
     def run(batches):
         got: dict[int, list] = {}
         for b in batches:
@@ -268,7 +269,8 @@ def build_level(keys: DataFrame, shards: int, width: int, bits: int, context: st
             left[parent] = np.maximum(left[parent], 1)       # 0 says that a parent has no range
             name = write_arrays(folder, {
                 **encode(base[parent] + item, "items"), **encode(base, "base"), **encode(first.astype(np.int64), "first"),
-                "kept": quantise(kept), "rest": left, "counts": c.astype(np.uint32 if c.max() < 1 << 32 else np.int64)})
+                "kept": quantise(kept), "rest": left,
+                **({"counts": c.astype(np.uint32 if c.max() < 1 << 32 else np.int64)} if context == "words" else {})})
             yield pa.RecordBatch.from_pydict({"shard": [int(s)], "size": [len(k)], "name": [name]})
 
     rows = keys.repartition(max(shards, 1), "shard").mapInArrow(run, "shard long, size long, name string").collect()

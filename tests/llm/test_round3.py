@@ -350,3 +350,10 @@ def test_exact_pass_sends_few_rows_and_compares_few_pairs(spark):
                       "right": [True] * len(ids), "own": own, "text": [texts[i] for i in ids]})
     links = leaders.join_block(block, order_minhash.rule())
     assert sorted(zip(*links)) == [(i, i + 100) for i in range(20, 30)]
+
+
+def test_only_level_two_keeps_counts(spark):
+    df = spark.createDataFrame([(i, f"a b c d{i % 3} a b c e{i % 5}") for i in range(40)], "doc_id long, text string")
+    model, _ = ngram_lm.train(df, F.lit(True), ["doc_id"])
+    names = [[set(level.shard(s)[0]) for s in level.names] for level in (model.two, model.three)]
+    assert all("counts" in x for x in names[0]) and names[1] and not any("counts" in x for x in names[1])
