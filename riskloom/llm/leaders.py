@@ -16,10 +16,12 @@ pairs that share a bucket.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,11 @@ from riskloom.llm.common import stored
 from riskloom.llm.components import connected_components
 
 ROUNDS = 2
-BLOCK = 1024                # rows of a side of a block
-BLOCK_BYTES = 1 << 24       # bytes of text of a side of a block
+BLOCK = 2048                # rows of a side of a block
+BLOCK_BYTES = 1 << 22       # bytes of text of a side of a block
+SOME = 512                  # rows of small blocks that are compared together
+CANDIDATES = 1 << 18        # pairs that are looked at together
+PAIRS = 1 << 13             # pairs whose keys are compared together
 NO_KEY = 0                  # in place of a key that a text lacks
 STEP = 1.26                 # sizes of linked texts differ less than by this factor
 
@@ -69,19 +74,22 @@ def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _blocks(batches) -> Iterator[pa.Table]:
-    """The rows of each block; blocks lie one after the other."""
-    held, last = [], None
+    """Whole blocks, which lie one after the other; small ones together, up to
+    SOME rows or the bytes of one side of a block."""
+    held, last, rows, size = [], None, 0, 0
     for b in batches:
         if not b.num_rows:
             continue
         block = b.column("block").to_numpy()
-        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), b.num_rows]
-        for p, q in zip(cuts, cuts[1:]):
-            if held and block[p] != last:
+        end = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        p = 0
+        for q in [*([0] if held and block[0] != last else []), *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist()]:
+            if rows + q - p >= SOME or size + end[q] - end[p] >= BLOCK_BYTES:
+                held.append(b.slice(p, q - p))
                 yield pa.Table.from_batches(held).combine_chunks()
-                held = []
-            held.append(b.slice(p, q - p))
-            last = block[p]
+                held, p, rows, size = [], q, 0, 0
+        held.append(b.slice(p))
+        last, rows, size = block[-1], rows + b.num_rows - p, size + int(end[-1] - end[p])
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 
@@ -94,18 +102,35 @@ def _dense(own: pa.ListArray) -> np.ndarray:
     return keys
 
 
+def _candidates(left: np.ndarray, code: np.ndarray, has: np.ndarray, has_at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a text on the left and one on the right that has its item; all
+    of a text's pairs together, about CANDIDATES at a time."""
+    n = has_at[code + 1] - has_at[code]
+    part = (np.cumsum(n) - n) // CANDIDATES
+    first = np.searchsorted(left, left)             # a text's items stay together
+    cuts = np.flatnonzero(np.diff(part[first], prepend=-1)) if len(left) else []
+    for p, q in zip(cuts, [*cuts[1:], len(left)]):
+        yield np.repeat(left[p:q], n[p:q]), has[np.repeat(has_at[code[p:q]], n[p:q]) + W.run_positions(n[p:q])]
+
+
 def join_block(t: pa.Table, rule: Rule) -> tuple[list[int], list[int]]:
-    """Links (a, b) that join components of a block.  A pair is left to the
-    first bucket that both texts share."""
+    """Links (a, b) that join components, of one block or of several, told
+    apart by ``block``.  A pair is left to the first bucket that both texts
+    share."""
     left, right, main, low, j = (t.column(c).to_numpy() for c in ("left", "right", "main", "low", "j"))
     key = t.column("id").to_numpy()
     keys = _dense(t.column("own").combine_chunks())
     _, group = np.unique(t.column("component").to_numpy(), return_inverse=True)
+    block = np.unique(t.column("block").to_numpy(), return_inverse=True)[1] if "block" in t.column_names else np.zeros(len(key), np.int64)
     items = rule.items(t.column("text"))
     size = np.array([len(x) for x in items], np.int64)
-    # every text as (item, count), items numbered within the block
+    # every text as (item, count), items numbered by block; two items with one number only make more candidates
     owner = np.repeat(np.arange(len(key)), size)
-    names, code = np.unique(np.concatenate(items), return_inverse=True) if len(owner) else (owner, owner)
+    if len(owner):
+        with np.errstate(over="ignore"):
+            names, code = np.unique(W.mix(np.concatenate(items) + W.U(0x9E3779B97F4A7C15) * block[owner].astype(np.uint64)), return_inverse=True)
+    else:
+        names, code = owner, owner
     kinds, times = np.unique(owner * max(len(names), 1) + code, return_counts=True)
     owner, code = np.divmod(kinds, max(len(names), 1))
     start = np.searchsorted(owner, np.arange(len(key) + 1))
@@ -114,78 +139,75 @@ def join_block(t: pa.Table, rule: Rule) -> tuple[list[int], list[int]]:
     there = np.flatnonzero(right[owner])
     there = there[np.argsort(code[there], kind="stable")]
     has, has_at = owner[there], np.searchsorted(code[there], np.arange(len(names) + 1))
-    rarest = np.lexsort((np.diff(has_at)[code], owner)) if len(owner) else owner
-    right = np.flatnonzero(right)
-    near = np.zeros(len(key), bool)
+    # a text's rarest items; those past the first few are too few to be all that is common
+    least = rule.need(np.zeros(len(key), np.int64), size)
+    own = np.flatnonzero(left[owner])
+    rarest = own[np.lexsort((np.diff(has_at)[code[own]], owner[own]))]
+    whose = owner[rarest]
+    before = np.cumsum(times[rarest]) - times[rarest]
+    before = before - before[np.searchsorted(whose, whose)]
+    rarest = rarest[size[whose] - before >= least[whose]]
+    none = np.flatnonzero(left & (least <= 0))      # texts that need no item in common
+    every = ((np.full(len(x), i), x) for i in none for x in [np.flatnonzero(right & (block == block[i]))])
     a, b = [], []
-    for i in np.flatnonzero(left):
+    for i, k in chain(_candidates(owner[rarest], code[rarest], has, has_at), every):
         # of two members outside the largest component, the smaller id is on the left
-        to = right[(group[right] != group[i]) & (main[right] | (key[right] > key[i])) & ~(low[right] & low[i])]
-        need = rule.need(size[to], size[i])
-        fits = need <= np.minimum(size[to], size[i])
-        to, need = to[fits], need[fits]
-        if not len(to):
-            continue
-        if need.min() > 0:
-            # items past the first few are too few to be all that is common
-            first = rarest[start[i]:start[i + 1]]
-            past = size[i] - np.cumsum(times[first])
-            first = code[first[:int(np.argmax(past < need.min())) + 1]]
-            n = has_at[first + 1] - has_at[first]
-            found = has[np.repeat(has_at[first], n) + W.run_positions(n)]
-            near[found] = True
-            some = near[to]
-            near[found] = False
-            to, need = to[some], need[some]
-        mine = keys[i, :j[i]]
-        again = ((keys[to, :j[i]] == mine) & (mine != NO_KEY)).any(axis=1)
-        to, need = to[~again], need[~again]
-        if not len(to):
-            continue
-        own = slice(start[i], start[i + 1])
-        mine_of[code[own]] = times[own]
-        n = start[to + 1] - start[to]
-        at = np.repeat(start[to], n) + W.run_positions(n)
-        common = np.concatenate([[0], np.cumsum(np.minimum(times[at], mine_of[code[at]]))])
-        mine_of[code[own]] = 0
-        end = np.cumsum(n)
-        for k in to[common[end] - common[end - n] >= need]:
-            if group[k] != group[i] and rule.same(items[i], items[k]):
-                group[group == group[k]] = group[i]
-                a.append(int(key[i]))
-                b.append(int(key[k]))
+        asked = (group[k] != group[i]) & (main[k] | (key[k] > key[i])) & ~(low[k] & low[i])
+        i, k = np.divmod(np.unique(i[asked] * len(key) + k[asked]), len(key))
+        need = rule.need(size[k], size[i])
+        asked = need <= np.minimum(size[k], size[i])
+        for p in range(0, len(i), PAIRS):
+            x, y = keys[i[p:p + PAIRS]], keys[k[p:p + PAIRS]]
+            asked[p:p + PAIRS] &= ~((x == y) & (x != NO_KEY) & (np.arange(keys.shape[1]) < j[i[p:p + PAIRS], None])).any(axis=1)
+        i, k, need = i[asked], k[asked], need[asked]
+        cuts = np.flatnonzero(np.diff(i, prepend=-1))
+        for p, q in zip(cuts, [*cuts[1:], len(i)]):
+            x, to, least_of = i[p], k[p:q], need[p:q]
+            apart = group[to] != group[x]
+            to, least_of = to[apart], least_of[apart]
+            if not len(to):
+                continue
+            own = slice(start[x], start[x + 1])
+            mine_of[code[own]] = times[own]
+            n = start[to + 1] - start[to]
+            at = np.repeat(start[to], n) + W.run_positions(n)
+            common = np.concatenate([[0], np.cumsum(np.minimum(times[at], mine_of[code[at]]))])
+            mine_of[code[own]] = 0
+            end = np.cumsum(n)
+            for y in to[common[end] - common[end - n] >= least_of]:
+                if group[y] != group[x] and rule.same(items[x], items[y]):
+                    group[group == group[y]] = group[x]
+                    a.append(int(key[x]))
+                    b.append(int(key[y]))
     return a, b
 
 
-def by_size(m: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Buckets beyond a block are cut by the number of items, where ``sketches``
-    has it as ``size``: linked texts are at most one class apart, so a member
-    goes to its class and, as ``low``, to the next one; two low members met one
-    class lower."""
-    if "size" not in sketches.columns:
-        return m.withColumn("low", F.lit(False))
+def by_size(m: DataFrame) -> DataFrame:
+    """Buckets beyond a block are cut by ``class``, the number of items, where
+    it is known: linked texts are at most one class apart, so a member goes to
+    its class and, as ``low``, to the next one; two low members met one class
+    lower."""
     bucket = Window.partitionBy("bucket")
-    big = (F.count(F.lit(1)).over(bucket) > BLOCK) | (F.sum("bytes").over(bucket) > BLOCK_BYTES)
-    of = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(STEP))).cast("int")
-    m = m.join(sketches.select("id", of.alias("class")), "id").withColumn("big", big) \
+    big = F.col("class").isNotNull() & ((F.count(F.lit(1)).over(bucket) > BLOCK) | (F.sum("bytes").over(bucket) > BLOCK_BYTES))
+    m = m.withColumn("big", big) \
         .withColumn("low", F.explode(F.when(F.col("big"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
     return m.withColumn("bucket", F.when(F.col("big"), F.xxhash64("bucket", F.col("class") + F.col("low").cast("int"))).otherwise(F.col("bucket"))) \
         .drop("class", "big")
 
 
-def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): the links within buckets that the links ``known`` do not imply.
-    A bucket's smallest id has been compared with all members already, and
-    members of one component need no link."""
-    comp = connected_components(known)
+def block_places(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, component, own, at): a row for every id that the exact pass needs,
+    with its keys and its places in blocks, which are lists of a few numbers a
+    key.  Texts are joined to it once an id, not once a key."""
+    of = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(STEP))).cast("int") if "size" in sketches.columns else F.lit(None).cast("int")
+    ids = texts.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")) \
+        .join(sketches.select("id", of.alias("class")), "id").join(connected_components(known), "id", "left") \
+        .withColumn("component", F.coalesce("component", "id"))
     bucket = Window.partitionBy("bucket")
-    m = rows.where("n > 2 and id != lead").select("id", "j", "bucket").join(comp, "id", "left") \
-        .withColumn("component", F.coalesce("component", "id")) \
+    m = rows.where("n > 2 and id != lead").select("id", "j", "bucket").join(stored(ids, "rows"), "id") \
         .withColumn("least", F.min("component").over(bucket)).withColumn("most", F.max("component").over(bucket)) \
-        .where("least < most").drop("least", "most")
-    m = stored(m.join(texts.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "id"), "rows")
-    own = m.groupBy("id").agg(F.collect_list(F.struct("j", "bucket")).alias("own"))      # at most a list of keys long
-    m = by_size(m, sketches)
+        .where("least < most").drop("least", "most").withColumn("key", F.col("bucket"))
+    m = stored(by_size(m), "rows")
     size = m.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("low").alias("low"))
     size = size.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max(F.struct("n", "component", "bytes")).alias("top"),
                                       F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.min("low").alias("low")) \
@@ -195,14 +217,22 @@ def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFram
     m = m.join(size, "bucket").withColumn("main", F.col("component") == F.col("most"))
     part = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     upto = lambda n: F.sequence(F.lit(0), n - 1)
-    at = lambda lb, rb, left, right: F.struct(lb.alias("lb"), rb.alias("rb"), left.alias("left"), right.alias("right"))
+    at = lambda lb, rb, left, right: F.struct(F.xxhash64("bucket", lb, rb).alias("block"), "j", "main", "low", left.alias("left"), right.alias("right"))
     m = m.withColumn("l", part(F.col("nl"), 1)).withColumn("r", part(F.col("nr"), 2))
     # on the left of its blocks l, on the right of its blocks r; on both sides of the block of both
     on_left = F.transform(F.filter(upto(F.col("nr")), lambda x: ~F.col("main")), lambda x: at(F.col("l"), x, F.lit(True), x == F.col("r")))
     on_right = F.transform(F.filter(upto(F.col("nl")), lambda x: F.col("main") | (x != F.col("l"))), lambda x: at(x, F.col("r"), F.lit(False), F.lit(True)))
-    both = m.withColumn("at", F.explode(F.concat(on_left, on_right))) \
-        .select("id", "j", "component", "main", "low", "at.left", "at.right", F.xxhash64("bucket", "at.lb", "at.rb").alias("block"))
-    both = both.join(own, "id").join(texts.select("id", "text"), "id") \
+    return m.select("id", "component", F.struct("j", F.col("key").alias("bucket")).alias("own"), F.concat(on_left, on_right).alias("at")) \
+        .groupBy("id").agg(F.first("component").alias("component"), F.collect_set("own").alias("own"), F.flatten(F.collect_list("at")).alias("at"))
+
+
+def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): the links within buckets that the links ``known`` do not imply.
+    A bucket's smallest id has been compared with all members already, and
+    members of one component need no link."""
+    both = block_places(rows, sketches, known, texts).join(texts.select("id", "text"), "id") \
+        .select("id", "component", "own", "text", F.explode("at").alias("at")) \
+        .select("at.block", "id", "at.j", "component", "at.main", "at.low", "at.left", "at.right", "own", "text") \
         .repartition("block").sortWithinPartitions("block")
 
     def run(batches):
@@ -211,7 +241,7 @@ def rest(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts: DataFram
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return both.select("block", "id", "j", "component", "main", "low", "left", "right", "own", "text").mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def link(rows: DataFrame, sketches: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:

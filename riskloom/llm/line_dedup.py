@@ -120,7 +120,15 @@ def rule(similarity: float = SIMILARITY) -> Rule:
         k = np.arange(len(col))
         first, last = np.searchsorted(doc, k), np.searchsorted(doc, k, "right") - 1
         x, n = shingle_values(buf, s[first], e[last])
-        return [np.unique(v) for v in np.split(x, np.cumsum(n)[:-1])] if len(n) else []
+        end = np.cumsum(n)
+        for p, q in zip((end - n).tolist(), end.tolist()):
+            x[p:q].sort()
+        new = np.ones(len(x), bool)
+        new[1:] = x[1:] != x[:-1]
+        new[end - n] = True
+        left = np.concatenate([[0], np.cumsum(new)])[end].tolist()
+        x = x[new]
+        return [x[p:q] for p, q in zip([0, *left], left)]
 
     def need(m, n):
         return np.maximum((similarity * (m + n) - 1e-9) / (1 + similarity), similarity * np.maximum(m, n)) - 1e-6

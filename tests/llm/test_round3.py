@@ -357,3 +357,67 @@ def test_only_level_two_keeps_counts(spark):
     model, _ = ngram_lm.train(df, F.lit(True), ["doc_id"])
     names = [[set(level.shard(s)[0]) for s in level.names] for level in (model.two, model.three)]
     assert all("counts" in x for x in names[0]) and names[1] and not any("counts" in x for x in names[1])
+
+
+def test_exact_pass_joins_a_text_once(spark):
+    """Texts in many shared buckets: a row an id meets the texts, whatever the
+    number of its buckets, and its places are those of every bucket."""
+    from riskloom.llm import leaders
+
+    texts = {i: " ".join(f"w{i}x{k}" for k in range(20)) for i in range(40)}
+    one = spark.createDataFrame([(i, [100 + k for k in range(6)], 20) for i in texts], "id long, keys array<long>, size long")
+    t = spark.createDataFrame(sorted(texts.items()), "id long, text string")
+    known = spark.createDataFrame([(1, 2)], "a long, b long")
+    got = leaders.block_places(leaders.bucket_rows(one), one, known, t).collect()
+    assert sorted(r["id"] for r in got) == list(range(1, 40))
+    assert all(len(r["at"]) == len(r["own"]) == 6 and len({x["block"] for x in r["at"]}) == 6 for r in got)
+    assert {(r["id"], r["component"]) for r in got} == {(i, max(i, 1) if i != 2 else 1) for i in range(1, 40)}
+
+
+def test_blocks_together_give_the_links_of_each(monkeypatch):
+    """Small blocks are compared in one go, whole, and only within a block."""
+    import pyarrow as pa
+    from riskloom.llm import leaders, order_minhash
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for block in range(40):
+        for i in range(int(rng.integers(2, 9))):
+            words = [f"a{block % 7}x{k}" for k in range(30)]
+            for at in rng.choice(30, int(rng.integers(0, 9)), replace=False):
+                words[at] = f"y{rng.integers(0, 1 << 40)}"
+            key = block * 100 + i
+            rows.append((block, key, 0, key, bool(rng.integers(0, 2)) and i > 0, False, i < 5, True, [{"j": 0, "bucket": 7 + block}], " ".join(words)))
+    rows = [r[:6] + (r[6] and not r[4],) + r[7:] for r in rows]
+    names = ["block", "id", "j", "component", "main", "low", "left", "right", "own", "text"]
+    own = pa.list_(pa.struct([("j", pa.int32()), ("bucket", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(x, own) if n == "own" else pa.array(x) for n, x in zip(names, zip(*rows))], names)
+    batches = [batch.slice(p, 13) for p in range(0, batch.num_rows, 13)]
+    rule = order_minhash.rule()
+
+    def classes(tables):
+        comp = {r[1]: r[1] for r in rows}
+        for t in tables:
+            for a, b in zip(*leaders.join_block(t, rule)):
+                low, high = sorted((comp[a], comp[b]))
+                comp = {k: low if v == high else v for k, v in comp.items()}
+        return comp
+
+    monkeypatch.setattr(leaders, "SOME", 0)
+    alone = list(leaders._blocks(batches))
+    assert [set(t.column("block").to_pylist()) for t in alone] == [{b} for b in range(40)]
+    monkeypatch.setattr(leaders, "SOME", 30)
+    some = list(leaders._blocks(batches))
+    assert 1 < len(some) < 40 and sum(t.num_rows for t in some) == len(rows)
+    monkeypatch.setattr(leaders, "CANDIDATES", 50)
+    monkeypatch.setattr(leaders, "PAIRS", 7)
+    want = {r[1]: r[1] for r in rows}
+    for r in rows:
+        for s in rows:
+            if r[0] == s[0] and r[6] and s[1] != r[1] and (s[4] or s[1] > r[1]):
+                x, y = (v[-1].split() for v in (r, s))
+                if sum(p != q for p, q in zip(x, y)) <= 6 and want[r[1]] != want[s[1]]:
+                    low, high = sorted((want[r[1]], want[s[1]]))
+                    want = {k: low if v == high else v for k, v in want.items()}
+    assert classes(alone) == classes(some) == want
+    assert len(set(want.values())) < len(want)
