@@ -22,12 +22,13 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, hashes: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts
-    the lineage in files that survive a lost executor."""
+    the lineage in files that survive a lost executor.  Tables that are mostly
+    ``hashes`` get no dictionaries, which would not shorten them."""
     spark = df.sparkSession
     path = shared_folder(spark, tag)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", not hashes).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

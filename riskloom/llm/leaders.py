@@ -6,9 +6,10 @@ links found part a bucket's members into components.  Then comes the exact
 pass: members outside their bucket's largest component are compared with all
 members of other components and of like size, in blocks of bounded rows and
 bytes inside tasks.  A row goes once to each of its blocks, and buckets that
-fit into a block are not cut by size.  Within a block only texts that share one
-of their rarest items are compared: without one they lack too many common items.
-A block gives only links that join two components, so at most one a row.  No
+fit into a block are not cut by size.  Every text marks the bits of its items in
+a short row; two texts differ in an item at least for every bit that one of them
+lacks, so most pairs are known to be too far apart before they are compared.  A
+block gives only links that join two components, so at most one a row.  No
 member, pair or bucket is capped: the components are those of all verified
 pairs that share a bucket.
 """
@@ -16,7 +17,6 @@ pairs that share a bucket.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -34,6 +34,7 @@ BLOCK = 2048                # rows of a side of a block
 BLOCK_BYTES = 1 << 22       # bytes of text of a side of a block
 SOME = 512                  # rows of small blocks that are compared together
 CANDIDATES = 1 << 18        # pairs that are looked at together
+MARKED = 1 << 23            # bits of texts that are marked together
 PAIRS = 1 << 13             # pairs whose keys are compared together
 NO_KEY = 0                  # in place of a key that a text lacks
 STEP = 1.26                 # sizes of linked texts differ less than by this factor
@@ -41,8 +42,8 @@ STEP = 1.26                 # sizes of linked texts differ less than by this fac
 
 class Rule(NamedTuple):
     """When two texts are linked."""
-    items: Callable[[pa.Array], list[np.ndarray]]       # hashes of every text
-    need: Callable[[np.ndarray, np.ndarray], np.ndarray]    # common items that texts of so many items need at least
+    items: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]      # hashes of all texts one after the other, how many of each
+    far: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]     # no link between texts of so many items with so many or more not in common
     same: Callable[[np.ndarray, np.ndarray], bool]
 
 
@@ -59,14 +60,55 @@ def bucket_rows(sketches: DataFrame) -> DataFrame:
     return _led(sketches.select("id", F.posexplode("keys").alias("j", "bucket")).where(F.col("bucket") != NO_KEY))
 
 
+def _marks(items: np.ndarray, size: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """A row of bits a text, in words of 64; every item sets one.  As many bits
+    as four usual texts have items, or ``bits``."""
+    bits = bits or mark_bits(items, size)
+    out = np.empty((len(size), bits // 64), np.uint64)
+    end, step = np.cumsum(size), max(MARKED // bits, 1)
+    for p in range(0, len(size), step):
+        q = min(p + step, len(size))
+        seen = np.zeros((q - p, bits), bool)
+        part = items[end[p] - size[p]:end[q - 1]]
+        seen.ravel()[np.repeat(np.arange(q - p) * bits, size[p:q]) + (part & W.U(bits - 1)).astype(np.int64)] = True
+        out[p:q] = np.packbits(seen, axis=1).view(np.uint64)
+    return out
+
+
+def mark_bits(items: np.ndarray, size: np.ndarray) -> int:
+    return 1 << min(max(int(4 * len(items) // max(len(size), 1)).bit_length(), 9), 14)
+
+
+def _apart(marks: np.ndarray, i: np.ndarray, others: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Bits that only one of two texts has."""
+    return np.bitwise_count(marks[i] ^ others[k]).sum(axis=1, dtype=np.int64)
+
+
+def verified(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Pairs with their texts (a, x, b, y) -> (a, b, ok); the items of a text
+    that stands in several rows in a row are made once."""
+    for batch in batches:
+        for c in W.chunks(batch, "x"):
+            a = c.column("a").to_numpy()
+            new = np.diff(a, prepend=a[0] ^ 1) != 0
+            (x, m), (y, n) = rule.items(c.column("x").filter(pa.array(new))), rule.items(c.column("y"))
+            i, k = np.cumsum(new) - 1, np.arange(len(a))
+            bits = mark_bits(y, n)
+            ok = ~rule.far(m[i], n, 0)
+            mine, others, x_end, y_end = _marks(x, m, bits), _marks(y, n, bits), np.cumsum(m), np.cumsum(n)
+            for p in range(0, len(a), PAIRS):
+                q = slice(p, p + PAIRS)
+                ok[q] &= ~rule.far(m[i[q]], n[q], _apart(mine, i[q], others, k[q]))
+            for t in np.flatnonzero(ok).tolist():
+                s = i[t]
+                ok[t] = rule.same(x[x_end[s] - m[s]:x_end[s]], y[y_end[t] - n[t]:y_end[t]])
+            yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+
 def verify(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Distinct pairs (a, b) and texts (id, text) -> (a, b, ok)."""
     def run(batches):
-        for batch in batches:
-            for c in W.chunks(batch, "x"):
-                x, y = rule.items(c.column("x")), rule.items(c.column("y"))
-                ok = [bool(rule.same(p, q)) for p, q in zip(x, y)]
-                yield pa.RecordBatch.from_arrays([c.column("a"), c.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+        return verified(batches, rule)
 
     both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b") \
         .join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
@@ -103,12 +145,10 @@ def _dense(own: pa.ListArray) -> np.ndarray:
 
 
 def _candidates(left: np.ndarray, code: np.ndarray, has: np.ndarray, has_at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a text on the left and one on the right that has its item; all
-    of a text's pairs together, about CANDIDATES at a time."""
+    """Pairs of a text on the left and one on the right of its block; all of a
+    text's pairs together, about CANDIDATES at a time."""
     n = has_at[code + 1] - has_at[code]
-    part = (np.cumsum(n) - n) // CANDIDATES
-    first = np.searchsorted(left, left)             # a text's items stay together
-    cuts = np.flatnonzero(np.diff(part[first], prepend=-1)) if len(left) else []
+    cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // CANDIDATES, prepend=-1)) if len(left) else []
     for p, q in zip(cuts, [*cuts[1:], len(left)]):
         yield np.repeat(left[p:q], n[p:q]), has[np.repeat(has_at[code[p:q]], n[p:q]) + W.run_positions(n[p:q])]
 
@@ -122,63 +162,32 @@ def join_block(t: pa.Table, rule: Rule) -> tuple[list[int], list[int]]:
     keys = _dense(t.column("own").combine_chunks())
     _, group = np.unique(t.column("component").to_numpy(), return_inverse=True)
     block = np.unique(t.column("block").to_numpy(), return_inverse=True)[1] if "block" in t.column_names else np.zeros(len(key), np.int64)
-    items = rule.items(t.column("text"))
-    size = np.array([len(x) for x in items], np.int64)
-    # every text as (item, count), items numbered by block; two items with one number only make more candidates
-    owner = np.repeat(np.arange(len(key)), size)
-    if len(owner):
-        with np.errstate(over="ignore"):
-            names, code = np.unique(W.mix(np.concatenate(items) + W.U(0x9E3779B97F4A7C15) * block[owner].astype(np.uint64)), return_inverse=True)
-    else:
-        names, code = owner, owner
-    kinds, times = np.unique(owner * max(len(names), 1) + code, return_counts=True)
-    owner, code = np.divmod(kinds, max(len(names), 1))
-    start = np.searchsorted(owner, np.arange(len(key) + 1))
-    mine_of = np.zeros(max(len(names), 1), np.int64)
-    # the texts on the right that have an item, item by item
-    there = np.flatnonzero(right[owner])
-    there = there[np.argsort(code[there], kind="stable")]
-    has, has_at = owner[there], np.searchsorted(code[there], np.arange(len(names) + 1))
-    # a text's rarest items; those past the first few are too few to be all that is common
-    least = rule.need(np.zeros(len(key), np.int64), size)
-    own = np.flatnonzero(left[owner])
-    rarest = own[np.lexsort((np.diff(has_at)[code[own]], owner[own]))]
-    whose = owner[rarest]
-    before = np.cumsum(times[rarest]) - times[rarest]
-    before = before - before[np.searchsorted(whose, whose)]
-    rarest = rarest[size[whose] - before >= least[whose]]
-    none = np.flatnonzero(left & (least <= 0))      # texts that need no item in common
-    every = ((np.full(len(x), i), x) for i in none for x in [np.flatnonzero(right & (block == block[i]))])
+    items, size = rule.items(t.column("text"))
+    end = np.cumsum(size)
+    marks = _marks(items, size)
+    # the texts on the right, block by block
+    has = np.flatnonzero(right)
+    has = has[np.argsort(block[has], kind="stable")]
+    has_at = np.searchsorted(block[has], np.arange(int(block.max(initial=-1)) + 2))
+    own = np.flatnonzero(left)
     a, b = [], []
-    for i, k in chain(_candidates(owner[rarest], code[rarest], has, has_at), every):
+    for i, k in _candidates(own, block[own], has, has_at):
         # of two members outside the largest component, the smaller id is on the left
         asked = (group[k] != group[i]) & (main[k] | (key[k] > key[i])) & ~(low[k] & low[i])
-        i, k = np.divmod(np.unique(i[asked] * len(key) + k[asked]), len(key))
-        need = rule.need(size[k], size[i])
-        asked = need <= np.minimum(size[k], size[i])
+        i, k = i[asked], k[asked]
+        asked = ~rule.far(size[i], size[k], 0)
+        i, k = i[asked], k[asked]
+        asked = np.zeros(len(i), bool)
         for p in range(0, len(i), PAIRS):
-            x, y = keys[i[p:p + PAIRS]], keys[k[p:p + PAIRS]]
-            asked[p:p + PAIRS] &= ~((x == y) & (x != NO_KEY) & (np.arange(keys.shape[1]) < j[i[p:p + PAIRS], None])).any(axis=1)
-        i, k, need = i[asked], k[asked], need[asked]
-        cuts = np.flatnonzero(np.diff(i, prepend=-1))
-        for p, q in zip(cuts, [*cuts[1:], len(i)]):
-            x, to, least_of = i[p], k[p:q], need[p:q]
-            apart = group[to] != group[x]
-            to, least_of = to[apart], least_of[apart]
-            if not len(to):
-                continue
-            own = slice(start[x], start[x + 1])
-            mine_of[code[own]] = times[own]
-            n = start[to + 1] - start[to]
-            at = np.repeat(start[to], n) + W.run_positions(n)
-            common = np.concatenate([[0], np.cumsum(np.minimum(times[at], mine_of[code[at]]))])
-            mine_of[code[own]] = 0
-            end = np.cumsum(n)
-            for y in to[common[end] - common[end - n] >= least_of]:
-                if group[y] != group[x] and rule.same(items[x], items[y]):
-                    group[group == group[y]] = group[x]
-                    a.append(int(key[x]))
-                    b.append(int(key[y]))
+            x, y = i[p:p + PAIRS], k[p:p + PAIRS]
+            near = np.flatnonzero(~rule.far(size[x], size[y], _apart(marks, x, marks, y)))
+            m, n = keys[x[near]], keys[y[near]]
+            asked[p + near] = ~((m == n) & (m != NO_KEY) & (np.arange(keys.shape[1]) < j[x[near], None])).any(axis=1)
+        for x, y in zip(i[asked].tolist(), k[asked].tolist()):
+            if group[y] != group[x] and rule.same(items[end[x] - size[x]:end[x]], items[end[y] - size[y]:end[y]]):
+                group[group == group[y]] = group[x]
+                a.append(int(key[x]))
+                b.append(int(key[y]))
     return a, b
 
 
@@ -200,8 +209,9 @@ def block_places(rows: DataFrame, sketches: DataFrame, known: DataFrame, texts:
     with its keys and its places in blocks, which are lists of a few numbers a
     key.  Texts are joined to it once an id, not once a key."""
     of = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(np.log(STEP))).cast("int") if "size" in sketches.columns else F.lit(None).cast("int")
-    ids = texts.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")) \
-        .join(sketches.select("id", of.alias("class")), "id").join(connected_components(known), "id", "left") \
+    ids = texts.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    ids = ids.join(sketches.select("id", of.alias("class")), "id") if "size" in sketches.columns else ids.withColumn("class", of)
+    ids = ids.join(connected_components(known), "id", "left") \
         .withColumn("component", F.coalesce("component", "id"))
     bucket = Window.partitionBy("bucket")
     m = rows.where("n > 2 and id != lead").select("id", "j", "bucket").join(stored(ids, "rows"), "id") \

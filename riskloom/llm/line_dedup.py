@@ -16,6 +16,8 @@ table gives an empty table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +32,7 @@ SHINGLE = 8
 BANDS = 8
 ROWS = 3
 SIMILARITY = 0.8
-BLOCK = 1 << 15     # shingles that are sketched at a time
+BLOCK = 1 << 16     # bytes of lines that are sketched at a time
 
 
 def line_spans(buf: np.ndarray, off: np.ndarray):
@@ -44,38 +46,37 @@ def line_spans(buf: np.ndarray, off: np.ndarray):
     return doc[has], number[has], s[first[has]], e[last[has] - 1]
 
 
-def shingle_values(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every shingle, shingles per line)."""
-    n = np.maximum(e - s - SHINGLE + 1, 1)
-    at = np.repeat(s, n) + W.run_positions(n)
-    x = W.eight(buf)[at]
+def shingle_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole lines of about BLOCK bytes at a time, so that the arrays stay in a
+    core's cache: first line, last line, the hash of the eight bytes from every
+    position on, and where each line's shingles start and end there."""
+    if not len(s):
+        return
+    stop = np.maximum(e - SHINGLE + 1, s + 1)
     short = np.flatnonzero(e - s < SHINGLE)
-    if len(short):
-        i = (np.cumsum(n) - n)[short]
-        x[i] &= (W.U(1) << ((e - s)[short].astype(np.uint64) * W.U(8))) - W.U(1)
-    return W.mix(x), n
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff((e - s[0]) // BLOCK)) + 1, [len(s)]])
+    for p, q in zip(cuts, cuts[1:]):
+        x = W.eight(buf)[s[p]:stop[q - 1]].copy()
+        some = short[np.searchsorted(short, p):np.searchsorted(short, q)]
+        x[s[some] - s[p]] &= (W.U(1) << ((e - s)[some].astype(np.uint64) * W.U(8))) - W.U(1)
+        yield p, q, W.mix_within(x), s[p:q] - s[p], stop[p:q] - s[p]
 
 
-def band_keys(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """One row of band keys per line; whole lines of about BLOCK shingles at a
-    time, so that the arrays stay in a core's cache."""
-    out = np.zeros((len(n), BANDS), np.uint64)
-    if not len(n):
+def band_keys(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """One row of band keys per line."""
+    out = np.zeros((len(s), BANDS), np.uint64)
+    if not len(s):
         return out
-    end = np.cumsum(n)
-    x = (x >> W.U(32)).astype(np.uint32)
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(end // BLOCK)) + 1, [len(n)]])
     seeds = [int(W.mix(np.array([j + 1], np.uint64))[0]) for j in range(BANDS * ROWS)]
-    room = np.empty(int(np.diff(np.concatenate([[0], end[cuts[1:] - 1]])).max()), np.uint32)
-    low = np.empty((BANDS * ROWS, len(n)), np.uint32)
-    for p, q in zip(cuts, cuts[1:]):
-        start = end[p:q] - n[p:q]
-        part = x[start[0]:end[q - 1]]
-        v, start = room[:len(part)], start - start[0]
+    low = np.empty((BANDS * ROWS, len(s)), np.uint32)
+    for p, q, x, start, stop in shingle_hashes(buf, s, e):
+        part = (x >> W.U(32)).astype(np.uint32)
+        v = np.empty_like(part)
+        cuts = np.stack([start, stop], axis=1).ravel()[:-1]     # every other run is what lies between two lines
         for j, r in enumerate(seeds):
             np.multiply(part, np.uint32(r & 0xFFFFFFFF | 1), out=v)
             np.add(v, np.uint32(r >> 32), out=v)
-            low[j, p:q] = np.minimum.reduceat(v, start)
+            low[j, p:q] = np.minimum.reduceat(v, cuts)[::2]
     with np.errstate(over="ignore"):
         for j in range(BANDS * ROWS):
             out[:, j // ROWS] = W.mix(out[:, j // ROWS] * W.U(0x9FB21C651E98DF25) + low[j].astype(np.uint64) + W.U(j + 1))
@@ -83,8 +84,8 @@ def band_keys(x: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, twin (hash of the text), line_no, two hashes of the line and its
-    band keys."""
+    """doc_id, twin (hash of the text), line_no, first byte of the trimmed line
+    and its bytes, two hashes of the line and its band keys."""
     names = [f"b{j}" for j in range(BANDS)]
 
     def run(batches):
@@ -93,15 +94,17 @@ def lines_of(docs: DataFrame) -> DataFrame:
                 buf, off = W.text_bytes(c.column("text"))
                 buf = W.lower_az(buf)
                 doc, number, s, e = line_spans(buf, off)
-                keys = band_keys(*shingle_values(buf, s, e)).view(np.int64)
+                keys = band_keys(buf, s, e).view(np.int64)
+                line, check = W.hashes_of_spans(buf, s, e, (0x9E3779B97F4A7C15, 7))
                 yield pa.RecordBatch.from_arrays(
                     [c.column("doc_id").take(pa.array(doc)), c.column("twin").take(pa.array(doc)), pa.array(number.astype(np.int32)),
-                     pa.array(W.hash_spans(buf, s, e).view(np.int64)), pa.array(W.hash_spans(buf, s, e, 7).view(np.int64)),
+                     pa.array((s - off[doc]).astype(np.int32)), pa.array((e - s).astype(np.int32)),
+                     pa.array(line.view(np.int64)), pa.array(check.view(np.int64)),
                      *(pa.array(np.ascontiguousarray(keys[:, j])) for j in range(BANDS))],
-                    ["doc_id", "twin", "line_no", "id", "check", *names])
+                    ["doc_id", "twin", "line_no", "start", "length", "id", "check", *names])
 
     return identified(docs).where("doc_id is not null").mapInArrow(
-        run, "doc_id long, twin long, line_no int, id long, check long, " + ", ".join(f"{n} long" for n in names))
+        run, "doc_id long, twin long, line_no int, start int, length int, id long, check long, " + ", ".join(f"{n} long" for n in names))
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -115,52 +118,54 @@ def rule(similarity: float = SIMILARITY) -> Rule:
     def items(col):
         buf, off = W.text_bytes(col)
         buf = W.lower_az(buf)
-        s, e = W.word_spans(buf, off)
-        doc = W.owner_of_words(off, s)
-        k = np.arange(len(col))
-        first, last = np.searchsorted(doc, k), np.searchsorted(doc, k, "right") - 1
-        x, n = shingle_values(buf, s[first], e[last])
-        end = np.cumsum(n)
-        for p, q in zip((end - n).tolist(), end.tolist()):
-            x[p:q].sort()
-        new = np.ones(len(x), bool)
-        new[1:] = x[1:] != x[:-1]
-        new[end - n] = True
-        left = np.concatenate([[0], np.cumsum(new)])[end].tolist()
-        x = x[new]
-        return [x[p:q] for p, q in zip([0, *left], left)]
-
-    def need(m, n):
-        return np.maximum((similarity * (m + n) - 1e-9) / (1 + similarity), similarity * np.maximum(m, n)) - 1e-6
+        has = np.diff(off) > 0
+        s, e = off[:-1][has], off[1:][has]
+        n = np.zeros(len(col), np.int64)
+        n[has] = np.maximum(e - s - SHINGLE + 1, 1)
+        out, end = np.empty(int(n.sum()), np.uint64), np.cumsum(n[has])
+        for p, q, x, start, stop in shingle_hashes(buf, s, e):
+            inside = np.ones(len(x), bool)      # without the bytes between the shingles of two lines
+            gap = start[1:] - stop[:-1]
+            inside[np.repeat(stop[:-1], gap) + W.run_positions(gap)] = False
+            out[end[p] - stop[0]:end[q - 1]] = x[inside]
+        return out, n
+
+    def far(m, n, apart):
+        return m + n - apart < similarity * (m + n + apart) - 1e-6
+
+    def kinds(x):
+        x = np.sort(x)
+        return len(x) - np.count_nonzero(x[1:] == x[:-1])
 
     def same(p, q):
-        if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+        m, n = kinds(p), kinds(q)
+        if min(m, n) < similarity * max(m, n):
             return False
-        x = np.concatenate([p, q])
-        x.sort()
-        both = np.count_nonzero(x[1:] == x[:-1])
-        return both >= similarity * (len(p) + len(q) - both) - 1e-9
+        both = m + n - kinds(np.concatenate([p, q]))
+        return both >= similarity * (m + n - both) - 1e-9
 
-    return Rule(items, need, same)
+    return Rule(items, far, same)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, twin, removed array<int>) of every document that loses a line."""
-    lines = stored(lines_of(docs), "lines")
+    lines = stored(lines_of(docs), "lines", hashes=True)
     names = [f"b{j}" for j in range(BANDS)]
-    texts = lines.groupBy("id").agg(*[F.first(n).alias(n) for n in names])
+    # one of a line's places: every first() takes the same row
+    texts = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *[F.first(n).alias(n) for n in ("doc_id", "twin", "start", "length", *names)])
+    texts = stored(texts, "lines", hashes=True)
     sketches = texts.select("id", F.array(*names).alias("keys"))
-    sketches = stored(sketches, "lines")
     rows = stored(bucket_rows(sketches), "lines")
     wanted = rows.select("id").distinct()
-    at = lines.select("id", "doc_id", "twin", "line_no").join(wanted, "id", "left_semi") \
-        .groupBy("id").agg(F.min(F.struct("doc_id", "twin", "line_no")).alias("at"))
-    at = at.groupBy("at.doc_id", "at.twin").agg(F.collect_list(F.struct("id", "at.line_no")).alias("want"))
-    found = identified(docs).join(at, ["doc_id", "twin"]).select(F.split("text", "\n", -1).alias("all"), F.explode("want").alias("w")) \
-        .select(F.col("w.id").alias("id"), F.get("all", F.col("w.line_no")).alias("text")).where("text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    found = stored(found.dropDuplicates(["id"]), "lines")
+    # hash joins: documents are not sorted, and a document with many wanted lines is not copied for each
+    at = texts.select("id", "doc_id", "twin", "start", "length").join(wanted.hint("shuffle_hash"), "id", "left_semi")
+    found = identified(docs).join(at.hint("shuffle_hash"), ["doc_id", "twin"]) \
+        .select("id", F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("length")).cast("string").alias("text"))
+    found = stored(found.repartition("id").dropDuplicates(["id"]), "lines")
     comp = connected_components(link(rows, sketches, found, rule()))
-    where = lines.select("doc_id", "twin", "line_no", "id", "check").join(comp, "id", "left") \
+    # a line that stands once and is linked with none stays
+    ids = texts.where("n > 1").select("id").join(comp, "id", "full_outer")
+    where = lines.select("doc_id", "twin", "line_no", "id", "check").join(ids.hint("shuffle_hash"), "id") \
         .select("doc_id", "twin", "line_no", F.coalesce("component", "id").alias("group"),
                 F.when(F.col("component").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check"))
     where = stored(where, "lines")

@@ -210,20 +210,19 @@ def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
 def rule(similarity: float = SIMILARITY) -> Rule:
     """Texts are linked by the edit distance of their words."""
     def items(col):
-        h, n = W.word_hashes(col)
-        return np.split(h, np.cumsum(n)[:-1]) if len(n) else []
+        return W.word_hashes(col)
 
     def limit(long):
         return np.floor((1 - similarity) * long + 1e-9).astype(np.int64)
 
-    def need(m, n):
+    def far(m, n, apart):
         long = np.maximum(m, n)
-        return long - limit(long)
+        return np.minimum(np.minimum(m, n), (m + n - apart) // 2) < long - limit(long)
 
     def same(a, b):
         return edits_within(a, b, int(limit(np.int64(max(len(a), len(b)))))) is not None
 
-    return Rule(items, need, same)
+    return Rule(items, far, same)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -26,6 +26,17 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> U(31))
 
 
+def mix_within(x: np.ndarray) -> np.ndarray:
+    """``mix`` of a fresh array, in place."""
+    t = np.empty_like(x)
+    for shift, by in ((30, U(0xBF58476D1CE4E5B9)), (27, U(0x94D049BB133111EB)), (31, None)):
+        np.right_shift(x, U(shift), out=t)
+        np.bitwise_xor(x, t, out=x)
+        if by is not None:
+            np.multiply(x, by, out=x)
+    return x
+
+
 def chunks(batch: pa.RecordBatch, text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``size`` bytes of text, one text at least."""
     if not batch.num_rows:
@@ -86,8 +97,13 @@ def eight(buf: np.ndarray) -> np.ndarray:
 def hash_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """64-bit hash of every span of bytes: the sum of its mixed, numbered
     eight-byte blocks, mixed with its length."""
+    return hashes_of_spans(buf, s, e, (seed,))[0]
+
+
+def hashes_of_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """``hash_spans`` under every seed; the blocks are read once."""
     if not len(s):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in seeds]
     size = (e - s).astype(np.int64)
     n = np.maximum((size + 7) >> 3, 1)
     k = run_positions(n)
@@ -95,9 +111,12 @@ def hash_spans(buf: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0x9E37
     left = np.repeat(size, n) - 8 * k
     masks = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
     with np.errstate(over="ignore"):
-        number = mix(np.arange(int(n.max()), dtype=np.uint64) * U(0x9FB21C651E98DF25) + U(seed))
-        v = mix((eight(buf)[at] & masks[np.minimum(left, 8)]) ^ number[k])
-        return mix(np.add.reduceat(v, np.cumsum(n) - n) + size.astype(np.uint64) * U(0xD6E8FEB86659FD93))
+        block, out = eight(buf)[at] & masks[np.minimum(left, 8)], []
+        for seed in seeds:
+            number = mix(np.arange(int(n.max()), dtype=np.uint64) * U(0x9FB21C651E98DF25) + U(seed))
+            v = mix_within(block ^ number[k])
+            out.append(mix(np.add.reduceat(v, np.cumsum(n) - n) + size.astype(np.uint64) * U(0xD6E8FEB86659FD93)))
+        return out
 
 
 def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
