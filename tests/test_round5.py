@@ -78,3 +78,42 @@ def test_forest_goes_down_full_trees_as_its_nodes_say(spark):
     began = time.process_time()
     anomaly.mean_depths(trees, many)
     assert time.process_time() - began < 12 * len(many) * 1.5e-7       # 2.2e-7 s a row and tree before, 0.65e-7 after
+
+
+def test_visits_and_links_are_handed_over_in_bounded_pieces(spark, monkeypatch):
+    """A batch of vectors that visit every cell gives pieces of VISITS rows,
+    without the vectors; links come from blocks, a row per linked vector."""
+    from riskloom.llm import range_join
+    rng = np.random.default_rng(7)
+    x = (rng.normal(size=(900, 6)) + 3 * (np.arange(900) % 2)[:, None]).astype(np.float32)
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "key long, m long, embedding array<float>").coalesce(1)
+    homes, reach = range_join.parted(df, 0.9, 100, 16)
+    members = range_join.visits(homes, reach)
+    assert members.columns == ["key", "dim", "cell", "home", "own", "block"]
+    monkeypatch.setattr(range_join, "VISITS", 160)
+    one = homes.select("key", "embedding", "cell", "block").toArrow().combine_chunks().to_batches()[0]
+    sizes = [b.num_rows for b in range_join.visits_of(one, reach)]
+    assert max(sizes) <= 160 and sum(sizes) == members.count() > 900
+    blocks = range_join.write_blocks(homes)
+    found = range_join.join_blocks(members, blocks, reach, 0.9)
+    f = x.astype(float)
+    near = (f @ f.T) / np.outer(np.linalg.norm(f, axis=1), np.linalg.norm(f, axis=1)) >= 0.9
+    got = {r["key"]: r["n"] for r in found.groupBy("key").agg(F.sum("links").alias("n")).collect()}
+    assert got == {i: int(near[i].sum()) for i in range(900)}
+    assert blocks.count() >= 9 and found.where("links = 0").isEmpty()
+
+
+@pytest.mark.parametrize("dim, scale", [(3, 1.0), (64, 1e-3), (300, 1e6)])
+def test_linked_equals_double_precision(dim, scale):
+    from riskloom.llm import range_join
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(300, dim)) * scale
+    # pairs right at the bound: y lies at cosine 0.9, give or take the last places
+    u = rng.normal(size=(300, dim))
+    u -= (u * x).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+    y = 0.9 * x / np.linalg.norm(x, axis=1, keepdims=True) + np.sqrt(1 - 0.81) * u / np.linalg.norm(u, axis=1, keepdims=True) * (1 + 1e-9 * rng.normal(size=(300, 1)))
+    cosine = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+    sure = np.abs(cosine - 0.9) > 1e-14
+    got = np.diagonal(range_join.linked(x, y, 0.9))
+    assert (got[sure] == (cosine >= 0.9)[sure]).all() and sure.sum() > 100
