@@ -117,3 +117,35 @@ def test_linked_equals_double_precision(dim, scale):
     sure = np.abs(cosine - 0.9) > 1e-14
     got = np.diagonal(range_join.linked(x, y, 0.9))
     assert (got[sure] == (cosine >= 0.9)[sure]).all() and sure.sum() > 100
+
+
+def test_hash_of_ints_goes_on_as_in_spark(spark):
+    from riskloom.operators import embed
+    rows = [(f"card:{i}#é", i * 37, i) for i in range(50)]
+    df = spark.createDataFrame(rows, "w string, x int, y int")
+    got = df.select("x", "y", F.xxhash64("w").alias("h"), embed._u(F.col("w"), F.col("x"), F.col("y"), F.lit(42)).alias("u")).toPandas()
+    h = embed.hash_int(got["y"].to_numpy(), embed.hash_int(got["x"].to_numpy(), got["h"].to_numpy().view(np.uint64)))
+    assert (embed.uniform(embed.hash_int(42, h)) == got["u"].to_numpy()).all()
+
+
+def test_walks_read_a_mapped_graph_and_join_nothing_per_step(spark, monkeypatch):
+    """The graph lies in parts that become one file; walks of any length make
+    one join, of the starts, and follow edges."""
+    from riskloom.config import WalkParams
+    from riskloom.operators import embed
+    from riskloom.operators import graph as G
+    rng = np.random.default_rng(8)
+    pairs = sorted({(f"card:{a}", f"device:é{b}") for a, b in zip(rng.integers(0, 60, 300), rng.integers(0, 9, 300))})
+    v = spark.createDataFrame([(n, n.split(":")[0], n) for n in sorted({x for p in pairs for x in p} | {"card:alone"})], "id string, type string, value string")
+    e = spark.createDataFrame([(a, b, "t", None) for a, b in pairs], "src string, dst string, edge_type string, shared_device string")
+    graph, params = G.Graph(v, lambda: e), WalkParams(walk_length=12, num_walks=3)
+    whole = {r["walk"]: r["path"] for r in embed.random_walks(graph, params).collect()}
+    monkeypatch.setattr(embed, "PART", 50)
+    walks = embed.random_walks(graph, params)
+    plan = walks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+    got = {r["walk"]: r["path"] for r in walks.collect()}
+    assert got == whole and len(got) == 3 * v.count() and got["card:alone#2"] == ["card:alone"]
+    near = {frozenset(p) for p in pairs}
+    assert all(frozenset(s) in near for path in got.values() for s in zip(path, path[1:]))
+    assert {len(p) for w, p in got.items() if not w.startswith("card:alone")} == {12}
